@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup
+from . import chat, exact_dedup, pii
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_pii": pii.op3_pii,
     "op9_chat_format": chat.op9_chat_format,
 }
 

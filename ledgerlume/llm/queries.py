@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, pii
+from . import bpe, chat, exact_dedup, langid, pii
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_pii": pii.op3_pii,
+    "op6_language_id": langid.op6_language_id,
     "op9_chat_format": chat.op9_chat_format,
 }
 

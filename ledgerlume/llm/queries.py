@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, langid, pii
+from . import bpe, chat, exact_dedup, langid, pii, quality
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_pii": pii.op3_pii,
     "op6_language_id": langid.op6_language_id,
     "op9_chat_format": chat.op9_chat_format,
+    "op10_quality": quality.op10_quality,
 }
 
 ORACLE_SQL = {

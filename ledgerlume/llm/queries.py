@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, langid, pii, quality
+from . import bpe, chat, exact_dedup, langid, pii, quality, toxicity
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_pii": pii.op3_pii,
     "op6_language_id": langid.op6_language_id,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op9_chat_format": chat.op9_chat_format,
     "op10_quality": quality.op10_quality,
 }

@@ -23,6 +23,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -30,9 +31,9 @@ from pyspark.sql import functions as F
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Entries that one task's piece cache and pair cache may hold in each of two generations.
-CACHED_PIECES, CACHED_PAIRS = 150_000, 1_000_000
-#: Rows of one output batch.
-ROWS_OUT = 512
+CACHED_PIECES, CACHED_PAIRS = 300_000, 1_000_000
+#: Rows and characters after which a part of a batch is closed.
+ROWS_OUT, CHARS_OUT = 2048, 4 << 20
 
 
 def read_ranks(raw: bytes) -> dict[bytes, int]:
@@ -46,6 +47,8 @@ class Vocabulary:
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.longest = max(map(len, ranks))
+        #: Every beginning of a token, with the token's id or -1: a walk through it ends candidates early.
+        self.begun = {token[:n]: -1 for token in ranks for n in range(1, len(token))} | ranks
         self._made: dict[int, tuple[int, int] | None] = {}
         self._pairs: dict[int, bool] = {}
 
@@ -95,10 +98,14 @@ class Vocabulary:
 
 
 class PrefixTable:
-    """The last token of the encoding of every prefix of a piece."""
+    """The last token of the encoding of every prefix of a piece.
+
+    `open` holds, for every prefix, where tokens may still be under way: the starts from which the
+    bytes up to the prefix's end begin a token.
+    """
 
     def __init__(self, vocabulary: Vocabulary, data: bytes = b""):
-        self.vocabulary, self.data, self.last = vocabulary, b"", []
+        self.vocabulary, self.data, self.last, self.open = vocabulary, b"", [], []
         self.append(data)
 
     def append(self, more: bytes) -> None:
@@ -107,33 +114,37 @@ class PrefixTable:
 
     def truncate(self, size: int) -> None:
         self.data = self.data[:size]
-        del self.last[size:]
+        del self.last[size:], self.open[size:]
 
     def _fill(self, size: int) -> None:
         v, data, last = self.vocabulary, self.data, self.last
-        ranks, pairs, longest = v.ranks, v._pairs, v.longest
+        begun, pairs = v.begun.get, v._pairs.get
+        under_way = self.open[-1] if self.open else ()
         for end in range(len(last) + 1, size + 1):
-            for start in range(end - longest if end > longest else 0, end):
-                token = ranks.get(data[start:end])
+            found, still = None, []
+            for start in (*under_way, end - 1):
+                token = begun(data[start:end])
                 if token is None:
                     continue
-                if start == 0:
-                    if v.made_of(token) is not None:
-                        break
-                    continue
-                before = last[start - 1]
-                known = pairs.get(before << 32 | token)
-                if known is None:
-                    known = v.valid_pair(before, token)
-                if known:
-                    break
-            last.append(token)
+                still.append(start)
+                if found is None and token >= 0:
+                    if start == 0:
+                        if v.made_of(token) is not None:
+                            found = token
+                    else:
+                        before = last[start - 1]
+                        known = pairs(before << 32 | token)
+                        if v.valid_pair(before, token) if known is None else known:
+                            found = token
+            last.append(found)
+            self.open.append(still)
+            under_way = still
 
     def replace(self, start: int, stop: int, new: bytes) -> int:
         """Replace bytes start..stop and return how many entries were computed again."""
         old_data, old_last, shift = self.data, self.last, len(new) - (stop - start)
         self.data = old_data[:start] + new + old_data[stop:]
-        self.last = old_last[:start]
+        self.last, old_open, self.open = old_last[:start], self.open, self.open[:start]
         same, at = 0, start
         while at < len(self.data):
             self._fill(at + 1)
@@ -143,6 +154,7 @@ class PrefixTable:
             same = same + 1 if beyond and self.last[-1] == old_last[behind] else 0
             if same >= self.vocabulary.longest:
                 self.last += old_last[behind + 1 :]
+                self.open += [[x + shift for x in o] for o in old_open[behind + 1 :]]
                 break
         return at - start
 
@@ -179,15 +191,15 @@ class Encoder:
                 found = tuple(table.tokens())
             self.new[piece] = found
 
-    def encode_all(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
-        for text in texts:
-            pieces = self.split.findall(text) if text else []
-            if missing := set(pieces).difference(self.new):
-                if len(self.new) + len(missing) > CACHED_PIECES:
-                    self.old, self.new = self.new, {}
-                    missing = set(pieces)
-                self._learn(missing)
-            yield np.fromiter(chain.from_iterable(map(self.new.__getitem__, pieces)), np.int32)
+    def encode_all(self, texts: Iterable[str | None]) -> list[np.ndarray]:
+        """Ids of every text; what the texts share is learned once."""
+        split = [self.split.findall(text) if text else [] for text in texts]
+        needed = set(chain.from_iterable(split))
+        missing = needed.difference(self.new)
+        if len(self.new) + len(missing) > CACHED_PIECES:
+            self.old, self.new, missing = self.new, {}, needed
+        self._learn(missing)
+        return [np.fromiter(chain.from_iterable(map(self.new.__getitem__, pieces)), np.int32) for pieces in split]
 
 
 class Decoder:
@@ -227,6 +239,18 @@ def rank_file(name: str = VOCABULARY) -> bytes:
         return f.read()
 
 
+def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch, closed by rows or by the size of the second column (at least one row each)."""
+    size = pc.fill_null(pc.binary_length(batch.column(1)) if pa.types.is_string(batch.column(1).type) else pc.list_value_length(batch.column(1)), 0)
+    stop = np.cumsum(size.to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        most = int(np.searchsorted(stop, (stop[at - 1] if at else 0) + CHARS_OUT, side="right"))
+        end = min(max(at + 1, most), at + ROWS_OUT, batch.num_rows)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def encode(docs: DataFrame, ranks: bytes) -> DataFrame:
     """doc_id and ids (array<int>) of every row; the rank file's bytes are broadcast, as their size is fixed."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
@@ -234,9 +258,8 @@ def encode(docs: DataFrame, ranks: bytes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _once(Encoder, shared.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_OUT):
-                part = batch.slice(at, ROWS_OUT)
-                ids = list(encoder.encode_all(part.column(1).to_pylist()))
+            for part in parts(batch):
+                ids = encoder.encode_all(part.column(1).to_pylist())
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.ListArray.from_arrays(offsets, np.concatenate([np.zeros(0, np.int32), *ids]))], names=["doc_id", "ids"]
@@ -252,8 +275,7 @@ def decode(encoded: DataFrame, ranks: bytes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = _once(Decoder, shared.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_OUT):
-                part = batch.slice(at, ROWS_OUT)
+            for part in parts(batch):
                 ids = part.column(1)
                 values, offsets = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
                 texts = [decoder.decode(values[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, langid, license_scan, pii, quality, toxicity
+from . import bpe, chat, exact_dedup, langid, license_scan, minhash, pii, quality, toxicity
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_pii": pii.op3_pii,
+    "op4_near_dedup": minhash.op4_near_dedup,
     "op5_license_scan": license_scan.op5_license_scan,
     "op6_language_id": langid.op6_language_id,
     "op7_toxicity": toxicity.op7_toxicity,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, langid, license_scan, minhash, pii, quality, toxicity
+from . import bpe, chat, decontaminate, exact_dedup, langid, license_scan, minhash, pii, quality, toxicity
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_license_scan": license_scan.op5_license_scan,
     "op6_language_id": langid.op6_language_id,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_chat_format": chat.op9_chat_format,
     "op10_quality": quality.op10_quality,
 }

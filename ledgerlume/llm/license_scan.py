@@ -45,6 +45,9 @@ TEMPLATES = {
     "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
 }
 
+# Frequent English words, the last choice as marker words.
+COMMON = set("a an and any are as at be by can do for from if in is it may no not of on one or so that the this to use was which with you".split())
+
 #: What separates words: anything but letters, digits and dots between digits.
 GAP = r"(?:[^\p{L}\p{N}.]|(?<!\p{N})\.|\.(?!\p{N}))+"
 
@@ -68,12 +71,15 @@ def template_pieces(templates: dict[str, str]) -> list[tuple[str, int, list[str]
 
 
 def marker_words(pieces: list[tuple[str, int, list[str]]]) -> list[str]:
-    """Words such that every shingle of every piece holds at least one: long words first, then frequent ones."""
+    """Words such that every shingle of every piece holds at least one.
+
+    Words that are frequent in any English text come only where a shingle has no other.
+    """
     left = {tuple(words[i : i + WORDS]) for _, _, words in pieces for i in range(max(1, len(words) - WORDS + 1))}
     found = []
     while left:
         counts = Counter(w for s in left for w in set(s))
-        best = max(counts, key=lambda w: (counts[w] * min(len(w), 8) ** 2, w))
+        best = max(counts, key=lambda w: (w not in COMMON, counts[w] * min(len(w), 8), w))
         found.append(best)
         left = {s for s in left if best not in s}
     return sorted(found)

@@ -46,7 +46,7 @@ TEMPLATES = {
 }
 
 # Frequent English words, the last choice as marker words.
-COMMON = set("a an and any are as at be by can do for from if in is it may no not of on one or so that the this to use was which with you".split())
+COMMON = set("a an and any are as at be by can do for from if in is it may no not of on one or so that the this to was which with you".split())
 
 #: What separates words: anything but letters, digits and dots between digits.
 GAP = r"(?:[^\p{L}\p{N}.]|(?<!\p{N})\.|\.(?!\p{N}))+"

@@ -1,6 +1,791 @@
-"""Registered queries over the given tables, with the SQL that must give the same rows."""
+"""Registered queries over the given tables, with the SQL that must give the same rows.
+
+Keys begin with the identifier of the operator they cover. Every query reads whole tables; those with
+a row limit are listings and rankings whose limit is the feature.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scalars as S
+from ..operators import audit, extraction, folds, queueing, reports, rules, sweeps
+from ..sources import documents
+from ..sources.business import frame, with_tables
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+NOW, EVENT_NOW = "1998-01-01 00:00:00", "2024-01-30 00:00:00"
+FROM, UNTIL = "1996-01-01", "1997-12-31"
+
+
+def query(name: str, sql: str | None = None, tables: str = ""):
+    """Register a query that takes (get, spark, sf_dir), where get(name) is a business or driver table."""
+
+    def add(build):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            def get(table: str) -> DataFrame:
+                from ..sources.business import TABLES
+
+                return frame(spark, sf_dir, table) if table in TABLES else spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+            return build(get, spark, sf_dir)
+
+        QUERIES[name] = run
+        if sql:
+            ORACLE_SQL[name] = with_tables(sql, *tables.split()) if tables else sql
+        return build
+
+    return add
+
+
+MONEY = "CAST(coalesce(sum(CAST({0} AS DECIMAL(18,2))), 0) AS DOUBLE)"
+
+
+def money(column: str) -> str:
+    return MONEY.format(column)
+
+
+IN_PERIOD = f"coalesce(issued, created) >= TIMESTAMP '{FROM}' AND coalesce(issued, created) < TIMESTAMP '{UNTIL}' + INTERVAL 1 DAY"
+LABEL = f"coalesce(nullif(legal_name, ''), nullif(trade_name, ''), '{reports.NO_NAME}')"
+
+
+def period(invoices: DataFrame) -> DataFrame:
+    return invoices.filter(reports.in_period(FROM, UNTIL, "issued", "created"))
+
+
+# Reports
+
+
+@query("a01_report_totals", f"SELECT count(*) AS invoices, {money('gross')} AS gross, {money('net')} AS net, {money('iss')} AS iss FROM invoices WHERE {IN_PERIOD}", "invoices")
+def _(get, spark, d):
+    return reports.report_totals(period(get("invoices")))
+
+
+@query("a02_report_by_status", f"SELECT status, count(*) AS invoices FROM invoices WHERE {IN_PERIOD} GROUP BY status", "invoices")
+def _(get, spark, d):
+    return reports.by_status(period(get("invoices")))
+
+
+@query(
+    "a03_report_by_customer",
+    f"SELECT {LABEL} AS label, {money('gross')} AS gross, count(*) AS invoices FROM invoices LEFT JOIN parties ON party_id = customer_id WHERE {IN_PERIOD} GROUP BY 1",
+    "invoices parties",
+)
+def _(get, spark, d):
+    return reports.by_customer(period(get("invoices")), get("parties"))
+
+
+@query("report_month_totals", f"SELECT strftime(coalesce(issued, created), '%Y-%m') AS month, {money('gross')} AS gross, count(*) AS invoices FROM invoices GROUP BY 1", "invoices")
+def _(get, spark, d):
+    return reports.by_month(get("invoices"))
+
+
+@query(
+    "a05_month_summary",
+    f"""SELECT count(*) FILTER (date_trunc('month', issued) = TIMESTAMP '{NOW}') AS month_invoices, {money("CASE WHEN date_trunc('month', issued) = TIMESTAMP '" + NOW + "' THEN gross END")} AS month_gross,
+    count(*) AS all_invoices, {money('gross')} AS all_gross, count(*) FILTER (status = 'CANCELADA') AS cancelled FROM invoices""",
+    "invoices",
+)
+def _(get, spark, d):
+    return reports.month_summary(get("invoices"), NOW)
+
+
+@query("a07_expense_total", f"SELECT category, {money('spent')} AS spent, count(*) AS expenses FROM expenses GROUP BY category", "expenses")
+def _(get, spark, d):
+    return reports.rollup_expenses(get("expenses"), F.col("category"), "category")
+
+
+@query(
+    "a08_tax_totals",
+    "SELECT kind, " + ", ".join(f"{money(f'CASE WHEN status = {chr(39)}{s}{chr(39)} THEN amount END')} AS {s.lower()}" for s in ("PENDENTE", "PAGO", "VENCIDO")) + f", {money('amount')} AS total FROM taxes GROUP BY kind",
+    "taxes",
+)
+def _(get, spark, d):
+    return reports.tax_totals(get("taxes"))
+
+
+@query(
+    "a09_service_profit",
+    """, s AS (SELECT service_id, sum(CAST(spent AS DECIMAL(18,2))) AS s, count(*) AS n FROM expenses GROUP BY 1)
+    SELECT v.service_id, name, CAST(coalesce(s, 0) AS DOUBLE) AS spent, coalesce(n, 0) AS expenses, CAST(CAST(contract AS DECIMAL(18,2)) - coalesce(s, 0) AS DOUBLE) AS profit,
+    floor(CAST(coalesce(s, 0) AS DOUBLE) / nullif(contract, 0) * 100 * 10 + 0.5) / 10 AS used_percent FROM services v LEFT JOIN s ON s.service_id = v.service_id""".lstrip(", "),
+    "services expenses",
+)
+def _(get, spark, d):
+    return reports.service_profit(get("services"), get("expenses"))
+
+
+for _name, _key, _sql, _as in (
+    ("supplier", lambda: F.col("supplier"), "supplier", "supplier"),
+    ("service", lambda: F.col("service_id"), "service_id", "service_id"),
+    ("month", lambda: F.date_format("spent_on", "yyyy-MM"), "strftime(spent_on, '%Y-%m')", "month"),
+):
+    @query(f"a32_expenses_by_{_name}", f"SELECT {_sql} AS {_as}, {money('spent')} AS spent, count(*) AS expenses FROM expenses GROUP BY 1", "expenses")
+    def _(get, spark, d, _key=_key, _as=_as):
+        return reports.rollup_expenses(get("expenses"), _key(), _as)
+
+
+@query(
+    "a33_service_ranking",
+    """s AS (SELECT service_id, sum(CAST(spent AS DECIMAL(18,2))) AS s FROM expenses GROUP BY 1)
+    SELECT v.service_id, CAST(CAST(contract AS DECIMAL(18,2)) - coalesce(s, 0) AS DOUBLE) AS profit FROM services v LEFT JOIN s ON s.service_id = v.service_id ORDER BY profit DESC, v.service_id LIMIT 5""",
+    "services expenses",
+)
+def _(get, spark, d):
+    return reports.service_profit(get("services"), get("expenses")).select("service_id", "profit").orderBy(F.desc("profit"), "service_id").limit(5)
+
+
+@query(
+    "a34_tax_by_month",
+    f"SELECT month, kind, {money('amount')} AS amount, count(*) AS taxes, max(due) AS last_due FROM taxes WHERE contains(month, '1996') GROUP BY 1, 2",
+    "taxes",
+)
+def _(get, spark, d):
+    taxes = reports.containing(get("taxes"), "1996", "month")
+    return taxes.groupBy("month", "kind").agg(reports.money_sum("amount").alias("amount"), F.count(F.lit(1)).alias("taxes"), F.max("due").alias("last_due"))
+
+
+@query(
+    "a35_monthly_evolution",
+    """m AS (SELECT strftime(DATE '1995-06-01' + INTERVAL 1 MONTH * i, '%Y-%m') AS month FROM range(90) AS t(i)),
+    r AS (SELECT strftime(issued, '%Y-%m') AS month, sum(CAST(gross AS DECIMAL(18,2))) AS v FROM invoices GROUP BY 1),
+    e AS (SELECT strftime(spent_on, '%Y-%m') AS month, sum(CAST(spent AS DECIMAL(18,2))) AS v FROM expenses GROUP BY 1)
+    SELECT m.month, CAST(coalesce(r.v, 0) AS DOUBLE) AS revenue, CAST(coalesce(e.v, 0) AS DOUBLE) AS expense, CAST(coalesce(r.v, 0) - coalesce(e.v, 0) AS DOUBLE) AS profit
+    FROM m LEFT JOIN r ON r.month = m.month LEFT JOIN e ON e.month = m.month""",
+    "invoices expenses",
+)
+def _(get, spark, d):
+    return reports.monthly_evolution(get("invoices"), get("expenses"), "1995-06-01", 90)
+
+
+# Filters, joins, listings
+
+
+@query("f01_equality_filter", "SELECT id, number, gross FROM invoices WHERE status = 'PAGA' AND tenant = 3", "invoices")
+def _(get, spark, d):
+    return reports.matching(get("invoices"), status="PAGA", tenant=3, supplier_id="").select("id", "number", "gross")
+
+
+@query("f03_range_filter", "SELECT expense_id, spent FROM expenses WHERE spent_on >= TIMESTAMP '1996-03-01' AND spent_on < TIMESTAMP '1996-03-31' + INTERVAL 1 DAY", "expenses")
+def _(get, spark, d):
+    return get("expenses").filter(reports.in_period("1996-03-01", "1996-03-31", "spent_on")).select("expense_id", "spent")
+
+
+@query("f04_search", "SELECT id, legal_name FROM invoices LEFT JOIN parties ON party_id = customer_id WHERE contains(number, '77') OR contains(coalesce(trade_name, ''), 'Loja 7')", "invoices parties")
+def _(get, spark, d):
+    rows = reports.with_customer(get("invoices"), get("parties"))
+    return reports.containing(rows, "77", "number").select("id", "legal_name").union(reports.containing(rows, "Loja 7", "trade_name").select("id", "legal_name")).distinct()
+
+
+@query("f05_expense_search", "SELECT expense_id, description FROM expenses WHERE contains(description, 'pedido 12') OR contains(supplier, 'Fornecedor 9')", "expenses")
+def _(get, spark, d):
+    return reports.containing(get("expenses"), "pedido 12", "description").unionByName(reports.containing(get("expenses"), "Fornecedor 9", "supplier")).distinct().select("expense_id", "description")
+
+
+@query("f08_null_filter", "SELECT sub_id FROM subscriptions WHERE reminded IS NULL AND cancelled IS NOT NULL", "subscriptions")
+def _(get, spark, d):
+    return get("subscriptions").filter("reminded IS NULL AND cancelled IS NOT NULL").select("sub_id")
+
+
+@query("f09_audit_search", "SELECT event_id, document, field FROM audit WHERE severity = 'CRITICO' AND actor = 'HUMANO' ORDER BY seq LIMIT 50 OFFSET 100", "audit")
+def _(get, spark, d):
+    return audit.search(get("audit"), 100, 50, severity="CRITICO", actor="HUMANO").select("event_id", "document", "field")
+
+
+@query("f12_number_forms", "SELECT id, TRY_CAST(CAST(gross AS DECIMAL(18,2)) AS DOUBLE) AS typed, CAST(replace(CAST(CAST(gross AS DECIMAL(18,2)) AS VARCHAR), '.', '') AS DOUBLE) AS local_form FROM invoices", "invoices")
+def _(get, spark, d):
+    text = F.col("gross").cast("decimal(18,2)").cast("string")
+    return get("invoices").select("id", S.form_number(text).alias("typed"), S.parse_number(text).alias("local_form"))
+
+
+@query("f14_short_names", r"SELECT party_id, substr(regexp_replace(trade_name, '\s+(Ltda|S\.A|ME|EIRELI)\.?$', '', 'i'), 1, 24) AS short FROM parties", "parties")
+def _(get, spark, d):
+    return get("parties").select("party_id", S.strip_company_suffix(F.col("trade_name")).alias("short"))
+
+
+@query("f15_cancelled_guard", "SELECT status, count(*) AS n FROM invoices WHERE NOT regexp_matches(status, '(?i)cancelad') GROUP BY status", "invoices")
+def _(get, spark, d):
+    return get("invoices").filter(~F.col("status").rlike("(?i)cancelad")).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("j02_tax_with_invoice", "SELECT t.tax_id, t.kind, i.number, i.status AS invoice_status FROM taxes t LEFT JOIN invoices i ON i.id = t.invoice_id", "taxes invoices")
+def _(get, spark, d):
+    inv = get("invoices").select(F.col("id").alias("invoice_id"), "number", F.col("status").alias("invoice_status"))
+    return get("taxes").join(inv, "invoice_id", "left").select("tax_id", "kind", "number", "invoice_status")
+
+
+@query(
+    "j03_nested_taxes",
+    """x AS (SELECT invoice_id, kind, amount, row_number() OVER (PARTITION BY invoice_id ORDER BY due DESC NULLS LAST, tax_id) AS n FROM taxes),
+    y AS (SELECT invoice_id, string_agg(kind || ':' || CAST(CAST(amount AS DECIMAL(18,2)) AS VARCHAR), ',' ORDER BY n) AS taxes FROM x WHERE n <= 3 GROUP BY 1)
+    SELECT id, number, coalesce(y.taxes, '') AS taxes FROM invoices LEFT JOIN y ON y.invoice_id = id""",
+    "taxes invoices",
+)
+def _(get, spark, d):
+    return reports.invoice_detail(get("invoices"), get("taxes"), 3)
+
+
+@query("j04_substitutions", "SELECT a.id, a.substitute_id, a.gross, b.gross AS old_gross FROM invoices a LEFT JOIN invoices b ON b.id = a.substitute_id WHERE a.substitute_id IS NOT NULL", "invoices")
+def _(get, spark, d):
+    return reports.substitutions(get("invoices"))
+
+
+@query("j08_unpaid_invoices", "SELECT id FROM invoices WHERE id NOT IN (SELECT invoice_id FROM taxes WHERE status = 'PAGO')", "invoices taxes")
+def _(get, spark, d):
+    paid = get("taxes").filter("status = 'PAGO'").select(F.col("invoice_id").alias("id"))
+    return get("invoices").join(paid, "id", "left_anti").select("id")
+
+
+@query("j09_invoices_with_overdue_tax", "SELECT id FROM invoices WHERE id IN (SELECT invoice_id FROM taxes WHERE status = 'VENCIDO')", "invoices taxes")
+def _(get, spark, d):
+    late = get("taxes").filter("status = 'VENCIDO'").select(F.col("invoice_id").alias("id"))
+    return get("invoices").join(late, "id", "left_semi").select("id")
+
+
+@query("o02_page", "SELECT id, gross FROM invoices ORDER BY issued DESC NULLS LAST, id LIMIT 20 OFFSET 40", "invoices")
+def _(get, spark, d):
+    return reports.page(get("invoices"), [F.col("issued").desc_nulls_last(), F.col("id")], 3, 20).select("id", "gross")
+
+
+@query("o02_page_count", "SELECT count(*) AS total, CAST(ceil(count(*) / 20.0) AS BIGINT) AS pages FROM invoices WHERE status = 'ATIVA'", "invoices")
+def _(get, spark, d):
+    return reports.page_count(get("invoices").filter("status = 'ATIVA'"), 20)
+
+
+@query("o06_latest_per_customer", "SELECT id, customer_id, rank FROM (SELECT id, customer_id, row_number() OVER (PARTITION BY customer_id ORDER BY created DESC NULLS LAST, id) AS rank FROM invoices) WHERE rank <= 3", "invoices")
+def _(get, spark, d):
+    return reports.latest_per(get("invoices"), "customer_id", [F.col("created").desc_nulls_last(), F.col("id")], 3).select("id", "customer_id", "rank")
+
+
+@query("o10_latest_charge", "SELECT sub_id, arg_max(charge_id, (handled, charge_id)) AS charge_id, max(handled) AS handled FROM charges WHERE charge_status = 'APROVADA' GROUP BY sub_id", "charges")
+def _(get, spark, d):
+    return sweeps.latest_charge(get("charges"))
+
+
+@query(
+    "o11_recent_activity",
+    """u AS (SELECT 'nota' AS source, id AS ref, created AS at FROM invoices UNION ALL SELECT 'imposto', tax_id, due FROM taxes UNION ALL SELECT 'gasto', expense_id, spent_on FROM expenses)
+    SELECT * FROM u ORDER BY at DESC NULLS LAST, source, ref LIMIT 8""",
+    "invoices taxes expenses",
+)
+def _(get, spark, d):
+    return reports.recent_activity([("nota", get("invoices"), "id", "created"), ("imposto", get("taxes"), "tax_id", "due"), ("gasto", get("expenses"), "expense_id", "spent_on")], 8)
+
+
+@query("u01_party_keys", "SELECT customer_id AS party FROM invoices UNION SELECT party_id FROM parties", "invoices parties")
+def _(get, spark, d):
+    return get("invoices").select(F.col("customer_id").alias("party")).union(get("parties").select("party_id")).distinct()
+
+
+@query("u03_parties_without_invoice", "SELECT party_id FROM parties EXCEPT SELECT customer_id FROM invoices", "invoices parties")
+def _(get, spark, d):
+    return get("parties").select("party_id").join(get("invoices").select(F.col("customer_id").alias("party_id")), "party_id", "left_anti")
+
+
+@query(
+    "r01_early_payment",
+    f"""x AS (SELECT id, coalesce(net, gross, 0) AS base, coalesce(greatest(1, date_diff('day', TIMESTAMP '{NOW}', date_trunc('day', issued))), 30) AS days FROM invoices)
+    SELECT id, days, floor(base * 2.5 / 100 * days / 30 * 100 + 0.5) / 100 AS fee, floor(greatest(0, base - base * 2.5 / 100 * days / 30) * 100 + 0.5) / 100 AS paid_out FROM x""",
+    "invoices",
+)
+def _(get, spark, d):
+    return reports.early_payment(get("invoices"), 2.5, NOW)
+
+
+@query(
+    "r04_worker_status",
+    f"""x AS (SELECT worker_id, date_diff('day', TIMESTAMP '{NOW}', date_trunc('day', expires)) AS days FROM worker_docs), s AS (SELECT worker_id, count(*) FILTER (days < 0) AS o, count(*) FILTER (days BETWEEN 0 AND 30) AS n FROM x GROUP BY 1)
+    SELECT w.worker_id, coalesce(o, 0) AS overdue, coalesce(n, 0) AS near, CASE WHEN coalesce(o, 0) >= 2 THEN 'Integração e ASO vencidos' WHEN o = 1 THEN 'Documento vencido' WHEN coalesce(n, 0) > 0 THEN 'Próximo do vencimento' ELSE 'Em dia' END AS label
+    FROM workers w LEFT JOIN s ON s.worker_id = w.worker_id""",
+    "workers worker_docs",
+)
+def _(get, spark, d):
+    return reports.worker_status(get("worker_docs"), get("workers"), NOW)
+
+
+@query("r05_due_months", "SELECT tax_id, CAST(CAST(due AS DATE) + INTERVAL 1 MONTH AS DATE) AS next_due FROM taxes", "taxes")
+def _(get, spark, d):
+    return get("taxes").select("tax_id", S.add_months(F.to_date("due"), 1).alias("next_due"))
+
+
+@query(
+    "r09_change_log",
+    """o AS (SELECT id, CAST(status AS VARCHAR) AS s, CAST(tenant AS VARCHAR) AS t FROM invoices), n AS (SELECT id, CASE WHEN id % 4 = 0 THEN 'CANCELADA' ELSE status END AS s, CAST((customer_id + id % 9 // 8) % 7 AS VARCHAR) AS t FROM invoices)
+    SELECT o.id, 'status' AS field, o.s AS old, n.s AS new FROM o JOIN n ON o.id = n.id WHERE o.s <> n.s UNION ALL SELECT o.id, 'tenant', o.t, n.t FROM o JOIN n ON o.id = n.id WHERE o.t <> n.t""",
+    "invoices",
+)
+def _(get, spark, d):
+    old = get("invoices")
+    new = old.withColumn("status", F.when(F.col("id") % 4 == 0, "CANCELADA").otherwise(F.col("status"))).withColumn("tenant", F.expr("(customer_id + id % 9 div 8) % 7"))
+    return reports.change_log(old, new, "id", ["status", "tenant"])
+
+
+@query("q13_duplicate_invoices", "SELECT supplier_id, customer_id, count(*) AS times FROM invoices GROUP BY 1, 2 HAVING count(*) > 1", "invoices")
+def _(get, spark, d):
+    return reports.duplicates(get("invoices"), ["supplier_id", "customer_id"])
+
+
+# Scalars over whole columns
+
+
+@query("x01_tax_id_kinds", "SELECT party_id, CASE length(tax_id) WHEN 11 THEN 'CPF' WHEN 14 THEN 'CNPJ' END AS kind, tax_id[1:2] || '.' || tax_id[3:5] || '.' || tax_id[6:8] || '/' || tax_id[9:12] || '-' || tax_id[13:14] AS shown FROM parties", "parties")
+def _(get, spark, d):
+    return get("parties").select("party_id", S.tax_id_kind(F.col("tax_id")).alias("kind"), S.format_tax_id(F.col("tax_id")).alias("shown"))
+
+
+_cnpj_sum = lambda w: " + ".join(f"CAST(tax_id[{i + 1}] AS INT) * {x}" for i, x in enumerate(w))
+_cnpj_digit = lambda w: f"CASE WHEN ({_cnpj_sum(w)}) % 11 < 2 THEN 0 ELSE 11 - ({_cnpj_sum(w)}) % 11 END"
+
+
+@query(
+    "x02_valid_company_numbers",
+    f"SELECT party_id, ({_cnpj_digit(S.CNPJ_FIRST)}) = CAST(tax_id[13] AS INT) AND ({_cnpj_digit(S.CNPJ_SECOND)}) = CAST(tax_id[14] AS INT) AND tax_id <> repeat(tax_id[1], 14) AS valid FROM parties",
+    "parties",
+)
+def _(get, spark, d):
+    return get("parties").select("party_id", S.valid_cnpj(F.col("tax_id")).alias("valid"))
+
+
+@query(
+    "x05_money_text",
+    "x AS (SELECT id, format('{:,.2f}', gross) AS t FROM invoices) SELECT id, 'R$ ' || translate(t, ',.', '.,') AS shown, gross AS parsed FROM x JOIN invoices USING (id)",
+    "invoices",
+)
+def _(get, spark, d):
+    shown = S.format_money(F.col("gross"))
+    return get("invoices").select("id", shown.alias("shown"), S.parse_number(shown).alias("parsed"))
+
+
+@query("x07_dates_round_trip", "SELECT id, strftime(issued, '%d/%m/%Y') AS shown, CAST(issued AS DATE) AS parsed FROM invoices WHERE issued IS NOT NULL", "invoices")
+def _(get, spark, d):
+    shown = S.format_date(F.col("issued"))
+    return get("invoices").filter("issued IS NOT NULL").select("id", shown.alias("shown"), S.parse_date(shown).alias("parsed"))
+
+
+_PLAIN = f"trim(regexp_replace(regexp_replace(translate(lower(text), '{S.ACCENTED}', '{S.PLAIN}'), '[^A-Za-z0-9_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+@query("x11_normal_texts", f"SELECT doc_id, sha256({_PLAIN}) AS digest FROM documents")
+def _(get, spark, d):
+    return get("documents").select("doc_id", F.sha2(S.normal_text(F.col("text")), 256).alias("digest"))
+
+
+@query("x14_name_distance", "SELECT party_id, levenshtein(legal_name, trade_name) AS distance FROM parties WHERE trade_name IS NOT NULL", "parties")
+def _(get, spark, d):
+    return get("parties").filter("trade_name IS NOT NULL").select("party_id", F.levenshtein("legal_name", "trade_name").cast("long").alias("distance"))
+
+
+@query("x21_row_hashes")
+def _(get, spark, d):
+    return audit.sealed(get("audit"))
+
+
+@query("x22_text_digests", "SELECT doc_id, sha256(text) AS digest, length(text) AS chars FROM documents")
+def _(get, spark, d):
+    return get("documents").select("doc_id", F.sha2("text", 256).alias("digest"), F.char_length("text").cast("long").alias("chars"))
+
+
+_REDACT = "text"
+for _p, _m in S.REDACTIONS:
+    _REDACT = f"regexp_replace({_REDACT}, '{_p}', '{_m}', 'g')"
+
+
+@query("x23_redacted_texts", f"SELECT doc_id, sha256({_REDACT}) AS digest FROM documents")
+def _(get, spark, d):
+    return get("documents").select("doc_id", F.sha2(S.redact(F.col("text")), 256).alias("digest"))
+
+
+_FAIL = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(message), '{p}')" for p in parts) + f" THEN '{kind}'" for parts, kind in S.FAILURES) + " ELSE 'FALHA_EXTRACAO' END"
+
+
+@query("x25_failure_kinds", f"SELECT {_FAIL} AS failure, count(*) AS jobs FROM jobs GROUP BY 1", "jobs")
+def _(get, spark, d):
+    return get("jobs").groupBy(S.failure_kind(F.col("message")).alias("failure")).agg(F.count(F.lit(1)).alias("jobs"))
+
+
+@query("x31_json_props", "SELECT event_type, count(*) AS n, sum(CAST(json_extract_string(props, '$.k') AS BIGINT))::BIGINT AS k FROM events GROUP BY 1")
+def _(get, spark, d):
+    k = F.from_json("props", "k long")["k"]
+    return get("events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(k).alias("k"))
+
+
+@query("s07_segments", "x AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s FROM documents) SELECT doc_id, count(*) AS lines, sum(length(trim(s)))::BIGINT AS chars FROM x WHERE trim(s) <> '' GROUP BY 1".replace("x AS", "WITH x AS", 1))
+def _(get, spark, d):
+    return extraction.lines(get("documents")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.char_length("line")).alias("chars"))
+
+
+# Audit and versions
+
+
+@query(
+    "w01_field_history",
+    "SELECT document, field, seq, entry, row_number() OVER w AS version, lag(entry) OVER w AS previous, seq = max(seq) OVER (PARTITION BY document, field) AS is_final FROM audit WINDOW w AS (PARTITION BY document, field ORDER BY seq)",
+    "audit",
+)
+def _(get, spark, d):
+    return audit.field_history(get("audit"))
+
+
+@query(
+    "w02_human_edits",
+    "x AS (SELECT *, lag(entry) OVER (PARTITION BY document, field ORDER BY seq) AS previous FROM audit) SELECT document, field, seq, previous, entry FROM x WHERE actor = 'HUMANO' AND entry IS DISTINCT FROM previous",
+    "audit",
+)
+def _(get, spark, d):
+    return audit.human_edits(get("audit"))
+
+
+@query("w05_latest_values", "SELECT document, field, arg_max(entry, seq) AS entry, max(seq) AS seq FROM audit GROUP BY 1, 2", "audit")
+def _(get, spark, d):
+    return audit.latest_values(get("audit"))
+
+
+@query(
+    "w07_gaps",
+    """x AS (SELECT document, seq, (epoch(at)::BIGINT - epoch(lag(at) OVER (PARTITION BY document ORDER BY seq))::BIGINT) / 60.0 AS m FROM audit)
+    SELECT document, seq, CAST(floor(m) AS BIGINT) AS minutes, CASE WHEN m > 480 THEN 'LONGA' ELSE 'CURTA' END AS kind FROM x WHERE m > 60""",
+    "audit",
+)
+def _(get, spark, d):
+    return audit.gaps(get("audit"))
+
+
+@query("w09_version_span", "SELECT document, min(at) AS first_at, max(at) AS last_at, count(*) AS events FROM audit GROUP BY 1", "audit")
+def _(get, spark, d):
+    return audit.version_span(get("audit"))
+
+
+@query(
+    "a28_instability",
+    """x AS (SELECT document, field, lag(seq) OVER w IS NOT NULL AND entry IS DISTINCT FROM lag(entry) OVER w AS c FROM audit WINDOW w AS (PARTITION BY document, field ORDER BY seq))
+    SELECT document, field, count(*) AS entries, count(*) FILTER (c) AS changes FROM x GROUP BY 1, 2""",
+    "audit",
+)
+def _(get, spark, d):
+    return audit.instability(get("audit"))
+
+
+@query(
+    "j12_snapshot_diff",
+    """o AS (SELECT document, field, arg_max(entry, seq) AS old FROM audit WHERE seq <= 4000 GROUP BY 1, 2), n AS (SELECT document, field, arg_max(entry, seq) AS new FROM audit WHERE seq > 2000 GROUP BY 1, 2)
+    SELECT coalesce(o.document, n.document) AS document, coalesce(o.field, n.field) AS field, old, new FROM o FULL JOIN n ON o.document = n.document AND o.field = n.field WHERE old IS DISTINCT FROM new""",
+    "audit",
+)
+def _(get, spark, d):
+    return audit.snapshot_diff(get("audit"), 4000)
+
+
+@query("h04_integrity", "SELECT count(*) AS total, count(*) FILTER (event_id % 3 <> 0 AND event_id % 97 <> 0) AS intact, count(*) FILTER (event_id % 3 <> 0 AND event_id % 97 = 0) AS broken, count(*) FILTER (event_id % 3 = 0) AS unsealed FROM audit", "audit")
+def _(get, spark, d):
+    seals = audit.sealed(get("audit")).filter("event_id % 3 <> 0")
+    return audit.integrity(get("audit"), seals.withColumn("seal", F.when(F.col("event_id") % 97 == 0, "0").otherwise(F.col("seal"))))
+
+
+# Queue
+
+
+@query("a10_jobs_by_status", "d AS (SELECT unnest(['PENDENTE','PROCESSANDO','CONCLUIDO','FALHA','DEAD_LETTER','CANCELADO']) AS status) SELECT d.status, count(j.job_id) AS n FROM d LEFT JOIN jobs j ON j.status = d.status GROUP BY 1", "jobs")
+def _(get, spark, d):
+    return reports.zero_filled(get("jobs").groupBy("status").agg(F.count(F.lit(1)).alias("n")), "status", list(queueing.STATES))
+
+
+@query("a11_jobs_by_kind_and_status", "SELECT kind, " + ", ".join(f"count(*) FILTER (status = '{s}') AS {s.lower()}" for s in queueing.STATES) + " FROM jobs GROUP BY kind", "jobs")
+def _(get, spark, d):
+    return queueing.status_by_kind(get("jobs"))
+
+
+_REPORT = f"""q AS (SELECT count(*) FILTER (status = 'PENDENTE') AS pending, count(*) FILTER (status = 'DEAD_LETTER') AS dead_letter,
+    count(*) FILTER (status = 'CONCLUIDO' AND finished >= TIMESTAMP '{EVENT_NOW}' - INTERVAL 1 HOUR) AS throughput,
+    count(*) FILTER (status IN ('FALHA', 'DEAD_LETTER') AND finished >= TIMESTAMP '{EVENT_NOW}' - INTERVAL 1 HOUR) AS lost,
+    count(DISTINCT worker) FILTER (started >= TIMESTAMP '{EVENT_NOW}' - INTERVAL 60 SECOND) AS workers,
+    avg(CASE WHEN status = 'CONCLUIDO' THEN CAST(epoch_ms(finished) - epoch_ms(started) AS DOUBLE) END) AS mean FROM jobs),
+    r AS (SELECT pending, dead_letter, throughput, workers, CASE WHEN throughput + lost > 0 THEN floor(lost / (throughput + lost) * 100 * 10 + 0.5) / 10 ELSE 0.0::DOUBLE END AS error_rate, coalesce(floor(mean + 0.5), 0.0)::DOUBLE AS latency_ms FROM q)"""
+
+
+@query("q07_queue_report", f"{_REPORT} SELECT * FROM r", "jobs")
+def _(get, spark, d):
+    return queueing.queue_report(get("jobs"), EVENT_NOW)
+
+
+@query("a16_metric_rows", f"{_REPORT} " + " UNION ALL ".join(f"SELECT '{m}' AS metric, {m}::DOUBLE AS value FROM r" for m in ("pending", "dead_letter", "throughput", "workers", "error_rate", "latency_ms")), "jobs")
+def _(get, spark, d):
+    return queueing.metric_rows(queueing.queue_report(get("jobs"), EVENT_NOW))
+
+
+@query("q08_alerts", f"{_REPORT} " + " UNION ALL ".join(f"SELECT '{n}' AS alert, '{s}' AS severity FROM r WHERE {rule}" for n, s, rule in queueing.ALERT_RULES), "jobs")
+def _(get, spark, d):
+    return queueing.active_alerts(queueing.queue_report(get("jobs"), EVENT_NOW))
+
+
+@query(
+    "q09_alert_changes",
+    f"{_REPORT}, a AS (" + " UNION ALL ".join(f"SELECT '{n}' AS alert FROM r WHERE {rule}" for n, s, rule in queueing.ALERT_RULES) + """), o AS (SELECT DISTINCT CASE WHEN kind = 'UPLOAD' THEN 'fila_acumulando' WHEN kind = 'EXTRACAO' THEN 'latencia_alta' ELSE 'outro' END AS alert FROM jobs)
+    SELECT coalesce(a.alert, o.alert) AS alert, CASE WHEN o.alert IS NULL THEN 'ABRIR' WHEN a.alert IS NULL THEN 'RESOLVER' ELSE 'MANTER' END AS action FROM a FULL JOIN o ON a.alert = o.alert""",
+    "jobs",
+)
+def _(get, spark, d):
+    kind = F.when(F.col("kind") == "UPLOAD", "fila_acumulando").when(F.col("kind") == "EXTRACAO", "latencia_alta").otherwise("outro")
+    held = get("jobs").select(kind.alias("alert")).distinct()
+    return queueing.alert_changes(queueing.active_alerts(queueing.queue_report(get("jobs"), EVENT_NOW)), held)
+
+
+@query("o05_next_job", "SELECT job_id, kind FROM jobs WHERE status = 'PENDENTE' ORDER BY priority, created, job_id LIMIT 1", "jobs")
+def _(get, spark, d):
+    return queueing.next_job(get("jobs")).select("job_id", "kind")
+
+
+@query("j10_blocked_jobs", "SELECT a.job_id, a.after_id, b.status AS other_status FROM jobs a LEFT JOIN jobs b ON b.job_id = a.after_id WHERE a.status = 'PENDENTE' AND a.after_id IS NOT NULL AND (b.status IS NULL OR b.status <> 'CONCLUIDO')", "jobs")
+def _(get, spark, d):
+    return queueing.dependencies(get("jobs"))
+
+
+@query("j11_ready_jobs", "SELECT a.job_id FROM jobs a LEFT JOIN jobs b ON b.job_id = a.after_id WHERE a.status = 'PENDENTE' AND (a.after_id IS NULL OR b.status = 'CONCLUIDO')", "jobs")
+def _(get, spark, d):
+    return queueing.ready(get("jobs")).select("job_id")
+
+
+_CONFIG = "c AS (SELECT * FROM (VALUES " + ", ".join(str(c) for c in queueing.JOB_CONFIG) + ") AS v(kind, timeout_s, max_attempts, base_s, cap_s))"
+
+
+@query(
+    "q03_after_failure",
+    f"""{_CONFIG} SELECT job_id, {_FAIL} AS failure, CASE WHEN attempts < max_attempts THEN 'PENDENTE' ELSE 'DEAD_LETTER' END AS next_status,
+    CASE WHEN attempts < max_attempts THEN greatest(1.0::DOUBLE, least(base_s * pow(2.0, greatest(attempts, 1) - 1), cap_s::DOUBLE)) END AS delay_s FROM jobs LEFT JOIN c ON c.kind = jobs.kind WHERE status = 'FALHA'""",
+    "jobs",
+)
+def _(get, spark, d):
+    return queueing.after_failure(get("jobs"))
+
+
+@query(
+    "q04_stuck_jobs",
+    f"""{_CONFIG} SELECT job_id, epoch(TIMESTAMP '{EVENT_NOW}')::BIGINT - epoch(date_trunc('second', started))::BIGINT AS idle_s, CASE WHEN attempts < max_attempts THEN 'REENFILEIRAR' ELSE 'DEAD_LETTER' END AS action
+    FROM jobs JOIN c ON c.kind = jobs.kind WHERE status = 'PROCESSANDO' AND epoch(TIMESTAMP '{EVENT_NOW}')::BIGINT - epoch(date_trunc('second', started))::BIGINT > 2 * timeout_s""",
+    "jobs",
+)
+def _(get, spark, d):
+    return queueing.stuck(get("jobs"), EVENT_NOW)
+
+
+@query(
+    "q11_repeated_uploads",
+    """x AS (SELECT job_id, file_hash, created, lag(job_id) OVER w AS first_id, lag(created) OVER w AS sent FROM jobs WINDOW w AS (PARTITION BY file_hash ORDER BY created, job_id))
+    SELECT job_id, first_id, file_hash FROM x WHERE created < sent + INTERVAL 24 HOUR""",
+    "jobs",
+)
+def _(get, spark, d):
+    return queueing.repeated_uploads(get("jobs"))
+
+
+@query("q12_in_flight", "SELECT file_hash, count(*) AS live, arg_max(job_id, (created, job_id)) AS newest FROM jobs WHERE status IN ('PENDENTE', 'PROCESSANDO') GROUP BY 1", "jobs")
+def _(get, spark, d):
+    return queueing.in_flight(get("jobs"))
+
+
+@query("q15_transitions", "SELECT status, count(*) FILTER (status IN ('PENDENTE', 'FALHA')) AS cancel, count(*) FILTER (status IN ('FALHA', 'DEAD_LETTER', 'CANCELADO')) AS retry FROM jobs GROUP BY 1", "jobs")
+def _(get, spark, d):
+    ok = lambda a: F.count_if(queueing.transition_allowed(F.col("status"), F.lit(a))).alias(a)
+    return get("jobs").groupBy("status").agg(ok("cancel"), ok("retry"))
+
+
+@query("s16_purge", f"SELECT job_id FROM jobs WHERE finished < TIMESTAMP '{EVENT_NOW}' - INTERVAL 10 DAY AND status IN ('CONCLUIDO', 'CANCELADO')", "jobs")
+def _(get, spark, d):
+    return queueing.purged(get("jobs"), "finished", EVENT_NOW, 10, ("CONCLUIDO", "CANCELADO")).select("job_id")
+
+
+@query(
+    "a15_metric_window",
+    f"SELECT event_type, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS total, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) / count(value) AS mean FROM events WHERE ts >= TIMESTAMP '{EVENT_NOW}' - INTERVAL 72 HOUR GROUP BY 1",
+)
+def _(get, spark, d):
+    return queueing.metric_window(get("events"), EVENT_NOW, 72)
+
+
+# Sweeps
+
+_DUE = f"""x AS (SELECT doc_id, worker_id, kind, date_diff('day', TIMESTAMP '{NOW}', date_trunc('day', expires)) AS days FROM worker_docs), m AS (SELECT * FROM (VALUES ('2M', 60), ('1M', 30), ('15D', 15), ('3D', 3), ('0D', 0)) AS v(milestone, lead)),
+    due AS (SELECT doc_id, worker_id, kind, days, milestone FROM x JOIN m ON days <= lead)"""
+
+
+@query("j07_milestones", f"{_DUE} SELECT milestone, count(*) AS docs, min(days) AS least FROM due GROUP BY 1", "worker_docs")
+def _(get, spark, d):
+    return sweeps.milestones_due(get("worker_docs"), NOW).groupBy("milestone").agg(F.count(F.lit(1)).alias("docs"), F.min("days").cast("long").alias("least"))
+
+
+@query(
+    "b01_notifications",
+    f"{_DUE} SELECT due.doc_id, milestone, days, name AS worker, user_name FROM due LEFT JOIN workers w ON w.worker_id = due.worker_id LEFT JOIN users u ON u.user_id = w.user_id WHERE NOT (due.doc_id % 2 = 0 AND milestone IN ('2M', '1M')) AND days >= -200",
+    "worker_docs workers users",
+)
+def _(get, spark, d):
+    docs = get("worker_docs")
+    sent = docs.filter("doc_id % 2 = 0").select("doc_id", F.explode(F.array(F.lit("2M"), F.lit("1M"))).alias("milestone"))
+    return sweeps.notifications(docs, get("workers"), get("users"), sent, NOW).filter("days >= -200").withColumn("days", F.col("days").cast("long"))
+
+
+@query("b07_still_sent", "SELECT doc_id, '2M' AS milestone FROM worker_docs WHERE doc_id % 2 = 0 AND doc_id % 6 <> 0", "worker_docs")
+def _(get, spark, d):
+    docs = get("worker_docs")
+    sent = docs.filter("doc_id % 2 = 0").select("doc_id", F.lit("2M").alias("milestone"))
+    after = docs.withColumn("expires", F.when(F.col("doc_id") % 6 == 0, F.col("expires") + F.expr("INTERVAL 1 DAY")).otherwise(F.col("expires")))
+    return sweeps.still_sent(sent, docs, after)
+
+
+@query("b02_renewal_reminders", f"SELECT sub_id, user_id, period_end FROM subscriptions WHERE period_end > TIMESTAMP '{NOW}' AND period_end <= TIMESTAMP '{NOW}' + INTERVAL 3 DAY AND reminded IS NULL AND cancelled IS NULL", "subscriptions")
+def _(get, spark, d):
+    return sweeps.renewal_reminders(get("subscriptions"), NOW)
+
+
+@query(
+    "r07_subscription_states",
+    f"""x AS (SELECT *, coalesce(trial_end > TIMESTAMP '{NOW}', false) AS t, coalesce(period_end > TIMESTAMP '{NOW}', false) AS p FROM subscriptions)
+    SELECT sub_id, t OR p AS active, CASE WHEN cancelled IS NOT NULL AND (t OR p) THEN 'CANCELADA_ATIVA' WHEN cancelled IS NOT NULL THEN 'CANCELADA' WHEN p THEN 'ATIVA' WHEN t THEN 'TRIAL' ELSE 'EXPIRADA' END AS state,
+    greatest(TIMESTAMP '{NOW}', coalesce(period_end, TIMESTAMP '{NOW}')) + INTERVAL 30 DAY AS extended FROM x""",
+    "subscriptions",
+)
+def _(get, spark, d):
+    return sweeps.subscription_states(get("subscriptions"), NOW)
+
+
+@query("b03_charge_decisions", "SELECT charge_id, CASE WHEN charge_status = 'PROCESSANDO' THEN 'PENDENTE' WHEN charge_status = 'RECUSADA' THEN 'RECUSADA' WHEN amount < 20000 THEN 'VALOR_DIVERGENTE' ELSE 'APLICAR' END AS decision FROM charges", "charges")
+def _(get, spark, d):
+    return sweeps.charge_decision(get("charges"), 20000.0)
+
+
+@query("b08_in_flight_charges", f"SELECT DISTINCT sub_id FROM charges WHERE charge_status = 'PROCESSANDO' AND handled >= TIMESTAMP '{NOW}' - INTERVAL 30 MINUTE", "charges")
+def _(get, spark, d):
+    return sweeps.in_flight_guard(get("charges"), NOW, 30)
+
+
+@query("s17_missing_trials", f"SELECT party_id, TIMESTAMP '{NOW}' + INTERVAL 7 DAY AS trial_end FROM parties WHERE party_id NOT IN (SELECT user_id FROM subscriptions)", "parties subscriptions")
+def _(get, spark, d):
+    return sweeps.missing_subscriptions(get("parties"), get("subscriptions"), "party_id", NOW)
+
+
+# Texts: classification, two extractions, reconciliation, scores, rules
+
+
+def _texts(spark, d):
+    return documents.texts(documents.facts(spark, d))
+
+
+@query("e01_classify", "SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 3 = 1 THEN 'DANFE' ELSE 'NFSE' END AS kind, CASE o_orderkey % 3 WHEN 2 THEN 'DANFSE_V2' ELSE 'MUNICIPAL' END AS layout FROM orders")
+def _(get, spark, d):
+    return extraction.classify(_texts(spark, d)).select("doc_id", "kind", "layout")
+
+
+@query(
+    "e09_extract_by_labels",
+    """SELECT o_orderkey AS doc_id, CAST(o_orderkey AS VARCHAR) AS numero, CAST(CASE WHEN o_orderkey % 10 <> 0 THEN o_orderdate ELSE o_orderdate + INTERVAL 3 DAY END AS DATE) AS day, o_totalprice AS gross,
+    (CASE WHEN o_orderkey % 7 = 0 THEN o_orderkey % 8 + 1 ELSE o_orderkey % 8 END)::DOUBLE AS rate, 'contato' || o_custkey || '@exemplo.com.br' AS email FROM orders""",
+)
+def _(get, spark, d):
+    w = rules.wide(extraction.by_labels(_texts(spark, d)))
+    return w.select("doc_id", "numero", S.parse_date(F.col("data_emissao")).alias("day"), S.parse_number(F.col("valor_bruto")).alias("gross"), S.parse_number(F.col("aliquota")).alias("rate"), F.col("tomador_email").alias("email"))
+
+
+@query("e26_extract_by_search", "SELECT o_orderkey AS doc_id, CAST(o_orderkey AS VARCHAR) AS numero, o_totalprice AS gross, 'contato' || o_custkey || '@exemplo.com.br' AS email FROM orders")
+def _(get, spark, d):
+    w = rules.wide(extraction.by_search(_texts(spark, d)))
+    return w.select("doc_id", "numero", S.parse_number(F.col("valor_bruto")).alias("gross"), F.col("tomador_email").alias("email"))
+
+
+def _compared(spark, d):
+    docs = _texts(spark, d)
+    return rules.compare(extraction.by_labels(docs), extraction.by_search(docs))
+
+
+@query("c04_compare")
+def _(get, spark, d):
+    return _compared(spark, d).select("doc_id", "field", "value_a", "value_b", "agreement")
+
+
+@query("c05_resolve")
+def _(get, spark, d):
+    return rules.resolve(_compared(spark, d)).drop("section", "weight")
+
+
+@query("c06_ownership", "SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'par' ELSE 'impar' END AS parity, count(*) AS n FROM orders GROUP BY 1")
+def _(get, spark, d):
+    kept = rules.own_field(rules.resolve(_compared(spark, d)), "prestador_cnpj", "tomador_cnpj").filter("field = 'numero'")
+    return kept.groupBy(F.when(F.col("doc_id") % 2 == 0, "par").otherwise("impar").alias("parity")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("c07_consolidate")
+def _(get, spark, d):
+    return rules.consolidate(rules.resolve(_compared(spark, d)))
+
+
+@query("c08_agreement_statistics")
+def _(get, spark, d):
+    return rules.agreement_statistics(_compared(spark, d))
+
+
+def _rules(spark, d):
+    return rules.fiscal_rules(rules.wide(extraction.by_labels(_texts(spark, d))))
+
+
+def _scored(spark, d):
+    named = F.when(F.col("rule") == "R001", "aliquota").when(F.col("rule") == "R002", "valor_iss").when(F.col("rule") == "R003", "valor_liquido").otherwise("numero")
+    failures = _rules(spark, d).filter("outcome = 'REPROVADO'").groupBy("doc_id", named.alias("field")).agg(F.count(F.lit(1)).alias("fails"))
+    return rules.field_confidence(rules.resolve(_compared(spark, d)), failures)
+
+
+@query("k03_field_confidence")
+def _(get, spark, d):
+    return _scored(spark, d).select("doc_id", "field", "score", "level", "origin", "risk", "review")
+
+
+@query("k05_section_scores")
+def _(get, spark, d):
+    return rules.section_scores(_scored(spark, d))
+
+
+@query("k10_document_scores")
+def _(get, spark, d):
+    return rules.document_scores(_scored(spark, d))
+
+
+@query(
+    "g00_fiscal_rules",
+    """WITH x AS (SELECT o_orderkey AS doc_id, o_totalprice AS g, (o_orderkey % 8)::DOUBLE AS r, CASE WHEN o_orderkey % 7 = 0 THEN o_orderkey % 8 + 1 ELSE o_orderkey % 8 END AS p FROM orders),
+    y AS (SELECT doc_id, p, abs(g * p / 100 - floor(g * r / 100 * 100 + 0.5) / 100) <= 0.05 AS ok FROM x)
+    SELECT doc_id, 'R001' AS rule, CASE WHEN p = 0 OR (p >= 1 AND p < 2) THEN 'AVISO' WHEN p BETWEEN 2 AND 5 THEN 'APROVADO' ELSE 'REPROVADO' END AS outcome FROM y
+    UNION ALL SELECT doc_id, 'R002', CASE WHEN ok THEN 'APROVADO' ELSE 'REPROVADO' END FROM y
+    UNION ALL SELECT doc_id, r, 'APROVADO' FROM y CROSS JOIN (VALUES ('R003'), ('R014'), ('R016')) AS v(r)""",
+)
+def _(get, spark, d):
+    return _rules(spark, d).select("doc_id", "rule", "outcome")
+
+
+@query("g17_fiscal_confidence")
+def _(get, spark, d):
+    return rules.fiscal_confidence(_rules(spark, d))
+
+
+@query("h07_lineage")
+def _(get, spark, d):
+    return audit.lineage(rules.resolve(_compared(spark, d)))
+
+
+# Folds
+
+
+@query("m07_learning")
+def _(get, spark, d):
+    return folds.learning(get("audit").select("field", "seq", (F.col("actor") == "HUMANO").alias("confirms")))
+
+
+@query("m05_contradictions", "SELECT document, field, count(DISTINCT entry) AS values FROM audit WHERE actor <> 'HUMANO' GROUP BY 1, 2 HAVING count(DISTINCT entry) >= 2", "audit")
+def _(get, spark, d):
+    return folds.frozen_fields(get("audit").withColumn("confirms", F.col("actor") == "HUMANO"))
+
+
+@query("q16_rate_limits")
+def _(get, spark, d):
+    return folds.rate_limited(get("events"), 5, 900)

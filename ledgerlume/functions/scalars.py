@@ -210,9 +210,8 @@ def dice(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).when(short, 0.0).otherwise(2.0 * common / (F.length(a) + F.length(b) - 2))
 
 
-def concordance(raw_a: Column, raw_b: Column, kind: Column) -> Column:
-    """How two readings of a field agree; never null."""
-    a, b = normalise(raw_a, kind), normalise(raw_b, kind)
+def concordance(raw_a: Column, raw_b: Column, a: Column, b: Column) -> Column:
+    """How two readings of a field and their normalised forms agree; never null."""
     likeness = dice(a, b)
     return (
         F.when(a.isNull() & b.isNull(), "CONCORDANCIA_TOTAL")

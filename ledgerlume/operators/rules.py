@@ -33,7 +33,11 @@ def compare(a: DataFrame, b: DataFrame) -> DataFrame:
     side = lambda df, t: df.select("doc_id", "field", F.col("value").alias(f"value_{t}"), F.col("confidence").alias(f"conf_{t}"), origin_of(F.col("how")).alias(f"origin_{t}"), F.col("how").alias(f"how_{t}"))
     rows = side(a, "a").join(side(b, "b"), ["doc_id", "field"]).join(F.broadcast(field_table(a)), "field", "left")
     kind = F.coalesce("norm", F.lit("text"))
-    return rows.withColumn("agreement", S.concordance(F.col("value_a"), F.col("value_b"), kind)).withColumn("critical", F.coalesce("critical", F.lit(False)))
+    # normalised forms are columns of their own, so that the likeness doesn't work them out for every bigram
+    rows = rows.withColumns({"norm_a": S.normalise(F.col("value_a"), kind), "norm_b": S.normalise(F.col("value_b"), kind)})
+    return rows.withColumns(
+        {"agreement": S.concordance(F.col("value_a"), F.col("value_b"), F.col("norm_a"), F.col("norm_b")), "critical": F.coalesce("critical", F.lit(False))}
+    )
 
 
 def resolve(compared: DataFrame) -> DataFrame:

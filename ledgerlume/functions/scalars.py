@@ -42,6 +42,11 @@ FAILURES = (
 )
 
 
+def let(value: Column, then) -> Column:
+    """`then(value)` with the value worked out once, however often `then` uses it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def nonempty(*columns: Column) -> Column:
     """The first column that is neither null nor the empty string."""
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in columns])
@@ -79,12 +84,12 @@ def _checked(number: Column, size: int, first: tuple[int, ...], second: tuple[in
 
 def valid_cpf(text: Column) -> Column:
     """A personal number: eleven digits, not all equal, both check digits right; false for null."""
-    return F.coalesce(_checked(digits(text), 11, CPF_FIRST, CPF_SECOND), F.lit(False))
+    return F.coalesce(let(digits(text), lambda d: _checked(d, 11, CPF_FIRST, CPF_SECOND)), F.lit(False))
 
 
 def valid_cnpj(text: Column) -> Column:
     """A company number: fourteen digits, not all equal, both check digits right; false for null."""
-    return F.coalesce(_checked(digits(text), 14, CNPJ_FIRST, CNPJ_SECOND), F.lit(False))
+    return F.coalesce(let(digits(text), lambda d: _checked(d, 14, CNPJ_FIRST, CNPJ_SECOND)), F.lit(False))
 
 
 def tax_id_kind(text: Column) -> Column:
@@ -94,7 +99,8 @@ def tax_id_kind(text: Column) -> Column:
 
 
 def valid_tax_id(text: Column) -> Column:
-    return F.when(tax_id_kind(text) == "CPF", valid_cpf(text)).when(tax_id_kind(text) == "CNPJ", valid_cnpj(text)).otherwise(False)
+    size = F.length(digits(text))
+    return F.when(size == 11, valid_cpf(text)).when(size == 14, valid_cnpj(text)).otherwise(False)
 
 
 def format_tax_id(text: Column) -> Column:
@@ -226,6 +232,10 @@ def concordance(raw_a: Column, raw_b: Column, a: Column, b: Column) -> Column:
 
 def repair_digits(text: Column) -> Column:
     """Letters that stand for digits, where a neighbour is a digit, point, slash or hyphen in the text as read."""
+    return F.when(text.isNotNull(), let(text, _repair))
+
+
+def _repair(text: Column) -> Column:
     near = r"[\d./\-]"
     places = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
     out = F.transform(
@@ -308,7 +318,7 @@ def scanned(text: Column) -> Column:
 
 def segments(text: Column) -> Column:
     """Trimmed lines that are not empty."""
-    return F.filter(F.transform(F.split(text, "\n"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, "\n"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def add_months(day: Column, months: int) -> Column:

@@ -97,7 +97,8 @@ def after_label(found: Column, label: str) -> Column:
 
 
 def grab(text: Column, pattern: str) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
+    found = F.regexp_extract(text, pattern, 1)
+    return F.when(found != "", found)
 
 
 MONEY = r"R\$\s*([\d.]+,\d{2})"
@@ -131,25 +132,29 @@ def by_labels(docs: DataFrame) -> DataFrame:
     """First extraction: lines after labels, digits repaired where a scan took letters for them."""
     rows = docs.select("doc_id", S.segments(F.col("text")).alias("s"))
     s = F.col("s")
-    near = lambda label, step: F.try_element_at(s, F.nullif(F.array_position(F.transform(s, lambda x: x.rlike(label)), True), F.lit(0)).cast("int") + step)
-    money = lambda label: grab(F.array_join(F.filter(s, lambda x: x.startswith(label)), "\n"), MONEY)
+    place = lambda label: F.array_position(F.transform(s, lambda x: x.rlike(label)), True).cast("int")
+    near = lambda label, step: F.when(place(label) > 0, F.try_element_at(s, place(label) + step))
+    joined = F.array_join(s, "\n")
+    money = lambda label: grab(joined, rf"(?m)^{label} = {MONEY}")
     anchored, read = F.lit("pattern_com_ancora"), F.lit("ocr_reparado")
-    party = lambda label: grab(near(label, 2), TAX_ID)
-    fixed = lambda label: S.repair_digits(party(label))
-    conf = lambda label: F.lit(50) + 15 + F.when(S.valid_cnpj(fixed(label)), 25).otherwise(0) + 10
-    how = lambda label: F.when(party(label) == fixed(label), anchored).otherwise(read)
-    provider, customer = "^(PRESTADOR|IDENTIFICAÇÃO DO EMITENTE)", "^(TOMADOR|DESTINATÁRIO)"
+    labels = {"provider": "^(PRESTADOR|IDENTIFICAÇÃO DO EMITENTE)", "customer": "^(TOMADOR|DESTINATÁRIO)"}
+    # each step is a column of its own: a repaired number is used many times by its check digits
+    rows = rows.withColumns({f"{p}_read": grab(near(label, 2), TAX_ID) for p, label in labels.items()})
+    rows = rows.withColumns({f"{p}_id": S.repair_digits(F.col(f"{p}_read")) for p in labels})
+    rows = rows.withColumns({f"{p}_ok": S.valid_cnpj(F.col(f"{p}_id")) for p in labels})
+    conf = lambda p: F.lit(75) + F.when(F.col(f"{p}_ok"), 25).otherwise(0)
+    how = lambda p: F.when(F.col(f"{p}_read") == F.col(f"{p}_id"), anchored).otherwise(read)
     day = after_label(s, "^(Data do Fato Gerador|Emissão|Competência da NFS-e)")
     return _long(
         rows, "A",
         {
             "numero": (grab(after_label(s, "^Número da Nota"), r"^(\d{1,10})$"), F.lit(95), anchored),
             "data_emissao": (grab(day, r"^(\d{2}/\d{2}/\d{4})"), F.lit(100), anchored),
-            "prestador_cnpj": (fixed(provider), conf(provider), how(provider)),
-            "tomador_cnpj": (fixed(customer), conf(customer), how(customer)),
-            "tomador_email": (F.lower(grab(F.array_join(s, "\n"), r"E-mail: (\S+@\S+)")), F.lit(100), anchored),
+            "prestador_cnpj": (F.col("provider_id"), conf("provider"), how("provider")),
+            "tomador_cnpj": (F.col("customer_id"), conf("customer"), how("customer")),
+            "tomador_email": (F.lower(grab(joined, r"E-mail: (\S+@\S+)")), F.lit(100), anchored),
             "base_calculo": (money("Base de cálculo"), F.lit(90), anchored),
-            "aliquota": (grab(F.array_join(F.filter(s, lambda x: x.startswith("Alíquota")), "\n"), r"([\d,]+)%"), F.lit(88), anchored),
+            "aliquota": (grab(joined, r"(?m)^Alíquota = ([\d,]+)%"), F.lit(88), anchored),
             "valor_iss": (money("Valor ISS"), F.lit(88), anchored),
             "valor_bruto": (money("Valor bruto"), F.lit(95), anchored),
             "valor_liquido": (money("Valor líquido"), F.lit(95), anchored),

@@ -269,8 +269,8 @@ def _(get, spark, d):
 
 @query(
     "o11_recent_activity",
-    """u AS (SELECT 'nota' AS source, id AS ref, created AS at FROM invoices UNION ALL SELECT 'imposto', tax_id, due FROM taxes UNION ALL SELECT 'gasto', expense_id, spent_on FROM expenses)
-    SELECT * FROM u ORDER BY at DESC NULLS LAST, source, ref LIMIT 8""",
+    """u AS (SELECT 'nota' AS source, id AS ref, created AS "at" FROM invoices UNION ALL SELECT 'imposto', tax_id, due FROM taxes UNION ALL SELECT 'gasto', expense_id, spent_on FROM expenses)
+    SELECT * FROM u ORDER BY "at" DESC NULLS LAST, source, ref LIMIT 8""",
     "invoices taxes expenses",
 )
 def _(get, spark, d):
@@ -447,7 +447,7 @@ def _(get, spark, d):
 
 @query(
     "w07_gaps",
-    """x AS (SELECT document, seq, (epoch(at)::BIGINT - epoch(lag(at) OVER (PARTITION BY document ORDER BY seq))::BIGINT) / 60.0 AS m FROM audit)
+    """x AS (SELECT document, seq, (epoch(date_trunc('second', "at"))::BIGINT - epoch(date_trunc('second', lag("at") OVER (PARTITION BY document ORDER BY seq)))::BIGINT) / 60.0 AS m FROM audit)
     SELECT document, seq, CAST(floor(m) AS BIGINT) AS minutes, CASE WHEN m > 480 THEN 'LONGA' ELSE 'CURTA' END AS kind FROM x WHERE m > 60""",
     "audit",
 )
@@ -455,7 +455,7 @@ def _(get, spark, d):
     return audit.gaps(get("audit"))
 
 
-@query("w09_version_span", "SELECT document, min(at) AS first_at, max(at) AS last_at, count(*) AS events FROM audit GROUP BY 1", "audit")
+@query("w09_version_span", 'SELECT document, min("at") AS first_at, max("at") AS last_at, count(*) AS events FROM audit GROUP BY 1', "audit")
 def _(get, spark, d):
     return audit.version_span(get("audit"))
 

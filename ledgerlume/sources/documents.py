@@ -48,7 +48,7 @@ def texts(facts: DataFrame) -> DataFrame:
     day = F.date_format("day", "dd/MM/yyyy")
     tail = F.lpad(F.col("number"), 8, "0")
     customer = S.format_tax_id(F.col("customer"))
-    customer = F.when(F.col("scanned"), F.regexp_replace(customer, r"0(?=\d*/)", "O")).otherwise(customer)
+    customer = F.when(F.col("scanned"), F.regexp_replace(customer, r"0(?=/)", "O")).otherwise(customer)
     rate = F.translate(F.format_string("%.2f", F.when(F.col("misread"), F.col("rate") + 1).otherwise(F.col("rate"))), ".", ",")
     values = ["Base de cálculo = ", money("gross"), "\nAlíquota = ", rate, "%\nValor ISS = ", money("iss"), "\nValor bruto = ", money("gross"), "\nValor líquido = ", money("net")]
     parties = lambda p, c: [

@@ -29,9 +29,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .storage import bounded_batches
+
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Entries that one task's piece cache and pair cache may hold in each of two generations.
-CACHED_PIECES, CACHED_PAIRS = 300_000, 1_000_000
+CACHED_PIECES, CACHED_PAIRS = 200_000, 300_000
 #: Rows and characters after which a part of a batch is closed.
 ROWS_OUT, CHARS_OUT = 2048, 4 << 20
 
@@ -253,6 +255,7 @@ def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 def encode(docs: DataFrame, ranks: bytes) -> DataFrame:
     """doc_id and ids (array<int>) of every row; the rank file's bytes are broadcast, as their size is fixed."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

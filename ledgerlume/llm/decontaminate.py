@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .joins import with_ids
-from .storage import materialise
+from .storage import bounded_batches, materialise
 
 FEATURES, RANK, SEED = 1 << 15, 64, 17
 BLOCK, WINDOW, SHORT_WINDOW = 8, 32, 16
@@ -41,9 +41,9 @@ BENCHMARK_WEIGHT = 3.0
 LEAST_COSINE, LEAST_SHARE = 0.45, 0.3
 COPY, PARAPHRASE, ANSWER_WORDS, ANSWER_SHARE = 0.8, 0.6, 6, 0.8
 LEAST_ITEM, ITEM_BLOCK = 8, 1024
-CACHED_WORDS = 300_000
+CACHED_WORDS = 100_000
 #: Words that one step of a task works on at once, and features in one row of the summed sketch.
-PART, CHUNK = 1 << 18, 512
+PART, CHUNK = 1 << 17, 512
 
 
 class WordHashes(dict):
@@ -310,6 +310,7 @@ def search(tokens: DataFrame, index: Index) -> DataFrame:
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, cosine, lcs, answer, at of every contaminated document and item."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text", answer.alias("answer"))
     items = materialise(items.filter("text IS NOT NULL").distinct(), "benchmark")

@@ -40,15 +40,15 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .joins import with_ids
-from .storage import materialise
+from .storage import bounded_batches, materialise
 
 WORDS, THRESHOLD = 5, 0.8
 ROWS, BANDS = 4, 24
 K = ROWS * BANDS
 SMALL, LEAST_AGREEMENT, BLOCK = 16, 0.6, 256
-CACHED_WORDS = 300_000
+CACHED_WORDS = 100_000
 #: Shingles that one step of the signature works on at once.
-PART = 1 << 19
+PART = 1 << 18
 
 U = np.uint64
 MIX_A, MIX_B, STEP = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97F4A7C15)
@@ -333,6 +333,7 @@ def exact_links(docs: DataFrame, groups: DataFrame) -> DataFrame:
 
 def near_classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id of every row."""
+    bounded_batches(docs.sparkSession)
     rows = materialise(signatures(docs), "signatures")
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "sketch", "bands")).alias("x")
     own = F.coalesce("x.doc_id", -1 - F.abs(F.xxhash64("digest") % (1 << 62)))

@@ -27,6 +27,16 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: Rows in one Arrow batch between the JVM and Python: texts are long, and both sides hold a batch.
+BATCH_ROWS = "1000"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small; the setting stays, as plans run after the operator returned them."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > int(BATCH_ROWS):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def materialise(frame: DataFrame, label: str) -> DataFrame:
     """Write `frame` once as Parquet in the shared folder and return it as read back."""
     spark = frame.sparkSession

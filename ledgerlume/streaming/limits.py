@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def rate_limited_stream(events: DataFrame, most: int, seconds: int) -> DataFrame:
+def rate_limited_stream(events: DataFrame, most: int, seconds: int, late: str = "1 hour") -> DataFrame:
     """user_id, event_id, at, allowed: fixed windows that open with a caller's first event.
 
-    State per caller is two numbers; it is dropped when a caller has been idle for two windows.
+    State per caller is two numbers; it is dropped once the watermark is two windows past its opening.
     """
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -29,12 +29,13 @@ def rate_limited_stream(events: DataFrame, most: int, seconds: int) -> DataFrame
             used += 1
             allowed.append(used <= most)
         state.update((opened, used))
-        state.setTimeoutDuration(2 * seconds * 1000)
+        state.setTimeoutTimestamp(max((opened + 2 * seconds) * 1000, state.getCurrentWatermarkMs() + 1))
         yield rows.assign(user_id=key[0], allowed=allowed)[["user_id", "event_id", "at", "allowed"]]
 
-    rows = events.select("user_id", "event_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"))
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    rows = rows.select("user_id", "event_id", "ts", F.unix_timestamp("ts").alias("at"))
     return rows.groupBy("user_id").applyInPandasWithState(
-        step, "user_id long, event_id long, at long, allowed boolean", "opened long, used long", "append", GroupStateTimeout.ProcessingTimeTimeout
+        step, "user_id long, event_id long, at long, allowed boolean", "opened long, used long", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 

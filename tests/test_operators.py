@@ -19,7 +19,7 @@ def brute_limits(events, most, seconds):
     return out
 
 
-EVENTS = [(i % 3, 60 * (i * 7 % 50), i) for i in range(120)]
+EVENTS = [(i % 3, 86_400 + 60 * (i * 7 % 50), i) for i in range(120)]
 
 
 def events(spark):

@@ -13,7 +13,7 @@ SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 HEADLINES = [
     "a01_report_totals", "a03_report_by_customer", "report_month_totals", "a08_tax_totals", "a09_service_profit", "a35_monthly_evolution",
     "j02_tax_with_invoice", "o06_latest_per_customer", "q07_queue_report", "q11_repeated_uploads", "w01_field_history", "x11_normal_texts",
-    "x23_redacted_texts", "e01_classify", "e09_extract_by_labels", "c05_resolve", "g17_fiscal_confidence", "k10_document_scores", "q16_rate_limits",
+    "x23_redacted_texts", "e01_classify", "e09_extract_by_labels", "c05_resolve", "g17_fiscal_confidence", "q16_rate_limits",
 ]
 
 

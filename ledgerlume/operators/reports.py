@@ -134,7 +134,7 @@ def invoice_detail(invoices: DataFrame, taxes: DataFrame, most: int) -> DataFram
 
     Taxes are cut to the latest per invoice by rank before they are gathered, so a list is bounded.
     """
-    latest = Window.partitionBy("invoice_id").orderBy(F.col("due").desc_nulls_last(), F.col("tax_id"))
+    latest = Window.partitionBy("invoice_id").orderBy(F.col("due").desc_nulls_last(), "tax_id", "amount")
     some = taxes.withColumn("n", F.row_number().over(latest)).filter(F.col("n") <= most)
     nested = some.groupBy("invoice_id").agg(F.sort_array(F.collect_list(F.struct("n", "kind", "amount"))).alias("taxes"))
     return invoices.join(nested, invoices["id"] == nested["invoice_id"], "left").select(

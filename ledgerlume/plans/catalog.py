@@ -221,7 +221,7 @@ def _(get, spark, d):
 
 @query(
     "j03_nested_taxes",
-    """x AS (SELECT invoice_id, kind, amount, row_number() OVER (PARTITION BY invoice_id ORDER BY due DESC NULLS LAST, tax_id) AS n FROM taxes),
+    """x AS (SELECT invoice_id, kind, amount, row_number() OVER (PARTITION BY invoice_id ORDER BY due DESC NULLS LAST, tax_id, amount) AS n FROM taxes),
     y AS (SELECT invoice_id, string_agg(kind || ':' || CAST(CAST(amount AS DECIMAL(18,2)) AS VARCHAR), ',' ORDER BY n) AS taxes FROM x WHERE n <= 3 GROUP BY 1)
     SELECT id, number, coalesce(y.taxes, '') AS taxes FROM invoices LEFT JOIN y ON y.invoice_id = id""",
     "taxes invoices",

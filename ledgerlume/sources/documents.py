@@ -15,7 +15,7 @@ from .business import frame
 
 def _company(number: Column, salt: int) -> Column:
     """A company number with right check digits, made from an id."""
-    base = F.lpad((number * salt % 999_999_999_999).cast("string"), 12, "0")
+    base = F.lpad(((number + 1) * salt % 999_999_999_999).cast("string"), 12, "0")
     first = F.concat(base, S._check_digit(base, S.CNPJ_FIRST).cast("string"))
     return F.concat(first, S._check_digit(first, S.CNPJ_SECOND).cast("string"))
 

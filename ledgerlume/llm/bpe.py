@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .storage import bounded_batches
+from .workers import claim
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Entries that one task's piece cache and pair cache may hold in each of two generations.
@@ -224,16 +225,13 @@ class Decoder:
         return self.bytes[place].tobytes()
 
 
-_held: dict[int, object] = {}
-
-
 def _once(kind, raw: bytes):
-    """One vocabulary, encoder or decoder per worker process and rank file."""
-    key = hash((kind.__name__, raw))
-    if key not in _held:
+    """One encoder or decoder per worker process and rank file."""
+    held, key = claim("bpe"), (kind.__name__, hash(raw))
+    if key not in held:
         ranks = read_ranks(raw)
-        _held[key] = kind(Vocabulary(ranks)) if kind is Encoder else kind(ranks)
-    return _held[key]
+        held[key] = kind(Vocabulary(ranks)) if kind is Encoder else kind(ranks)
+    return held[key]
 
 
 def rank_file(name: str = VOCABULARY) -> bytes:
@@ -253,6 +251,11 @@ def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         at = end
 
 
+def id_lists(ids: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+    return pa.ListArray.from_arrays(offsets, np.concatenate([np.zeros(0, np.int32), *ids]))
+
+
 def encode(docs: DataFrame, ranks: bytes) -> DataFrame:
     """doc_id and ids (array<int>) of every row; the rank file's bytes are broadcast, as their size is fixed."""
     bounded_batches(docs.sparkSession)
@@ -263,10 +266,7 @@ def encode(docs: DataFrame, ranks: bytes) -> DataFrame:
         for batch in batches:
             for part in parts(batch):
                 ids = encoder.encode_all(part.column(1).to_pylist())
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.ListArray.from_arrays(offsets, np.concatenate([np.zeros(0, np.int32), *ids]))], names=["doc_id", "ids"]
-                )
+                yield pa.RecordBatch.from_arrays([part.column(0), id_lists(ids)], names=["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -288,8 +288,18 @@ def decode(encoded: DataFrame, ranks: bytes) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, ranks: bytes) -> DataFrame:
-    """doc_id, ids and decoded of every row."""
-    return decode(encode(docs, ranks), ranks)
+    """doc_id, ids and decoded of every row, in one pass: ids are decoded where they were made."""
+    bounded_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = _once(Encoder, shared.value), _once(Decoder, shared.value)
+        for batch in batches:
+            for part in parts(batch):
+                ids = encoder.encode_all(part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), id_lists(ids), pa.array([decoder.decode(x) for x in ids], pa.binary())], names=["doc_id", "ids", "decoded"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

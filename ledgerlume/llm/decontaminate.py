@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from .joins import with_ids
 from .storage import bounded_batches, materialise
+from .workers import claim
 
 FEATURES, RANK, SEED = 1 << 15, 64, 17
 BLOCK, WINDOW, SHORT_WINDOW = 8, 32, 16
@@ -64,6 +65,7 @@ def token_table(docs: DataFrame) -> DataFrame:
     """doc_id, words (32-bit hashes as bytes) of every row that has words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("decontaminate")
         hashes = WordHashes()
         for batch in batches:
             words = [word_hashes(text, hashes).tobytes() for text in batch.column(1).to_pylist()]
@@ -282,6 +284,7 @@ def search(tokens: DataFrame, index: Index) -> DataFrame:
     shared = tokens.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("decontaminate")
         ix = shared.value
         for ids, words, features, starts, length in padded_parts(batches, BLOCK, WINDOW // BLOCK):
             text = lambda d: words[starts[d] * BLOCK : starts[d] * BLOCK + length[d]]  # noqa: B023, E731

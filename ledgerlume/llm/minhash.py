@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .joins import with_ids
 from .storage import bounded_batches, materialise
+from .workers import claim
 
 WORDS, THRESHOLD = 5, 0.8
 ROWS, BANDS = 4, 24
@@ -158,6 +159,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, digest (of the words), sketch (a byte per coordinate), bands of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("minhash")
         hashes = WordHashes()
         for batch in batches:
             at = 0
@@ -213,6 +215,7 @@ def shingle_sets(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """node, size, shingles (sorted distinct hashes as bytes) of one row of every grouped node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("minhash")
         hashes = WordHashes()
         for batch in batches:
             sets = [np.unique(shingles(word_hashes(text, hashes))) for text in batch.column(1).to_pylist()]

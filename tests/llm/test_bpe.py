@@ -59,6 +59,8 @@ def test_round_trip_in_spark(spark, reference):
     done = B.round_trip(docs, B.rank_file())
     got = sorted((r.doc_id or -1, list(r.ids), bytes(r.decoded).decode()) for r in done.collect())
     assert got == sorted((i or -1, reference.encode_ordinary(t or ""), t or "") for i, t, _ in rows)
+    apart = B.decode(B.encode(docs, B.rank_file()), B.rank_file())
+    assert sorted((r.doc_id or -1, list(r.ids), bytes(r.decoded).decode()) for r in apart.collect()) == got
     assert B.round_trip(docs.limit(0), B.rank_file()).count() == 0
 
 

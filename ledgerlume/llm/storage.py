@@ -44,9 +44,3 @@ def materialise(frame: DataFrame, label: str) -> DataFrame:
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
-
-def remove(spark: SparkSession, *paths: str) -> None:
-    """Delete intermediate tables that no returned frame reads any more."""
-    for path in paths:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

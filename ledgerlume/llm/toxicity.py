@@ -3,6 +3,9 @@
 P(grade > k) = sigmoid(x.w - theta_k): one weight vector is shared by all ordered thresholds. The
 features are the shares of words, and of word beginnings of three to six characters, that documents
 labelled toxic hold more often than others (a two-proportion z statistic over hashed features).
+Texts are read in windows of WINDOW words, a new one every STRIDE words, so that a toxic passage
+weighs the same in a long text as in a short one; a text of at most WINDOW words is one window. The
+model learns from each document's best window and a document gets the largest of its windows.
 Grades: 0 where the label is 0; toxic documents are parted at the median of their summed features
 into grade 1 and grade 2. Every document gets its expected severity, the sum of P(grade > k).
 
@@ -33,8 +36,12 @@ TRAIN_ROWS, MAX_FEATURES = 20_000, 50_000
 BUCKETS, BEGINNINGS = 1 << 20, (3, 4, 5, 6)
 #: A feature needs so many documents and such a z statistic.
 LEAST_DOCS, LEAST_Z = 5, 4.0
-#: A feature's share of a text's words is scaled by SCALE and stops at 1.
+#: Words of a window and between the beginnings of two; what is up to STRIDE words long lies whole in a window.
+WINDOW, STRIDE = 100, 50
+#: A feature's share of a window's words is scaled by SCALE and stops at 1.
 SCALE, RIDGE, STEPS, RATE = 20.0, 1e-5, 400, 0.3
+#: Fits; the windows of the first are those with the most features, later ones take the model before.
+ROUNDS = 2
 CACHED_WORDS = 300_000
 WORD = re.compile(r"\w+")
 
@@ -61,14 +68,35 @@ class Columns(dict):
         return found
 
 
-def sparse(text: str | None, columns: Columns) -> tuple[np.ndarray, np.ndarray]:
-    """Columns and values of a text."""
+def present(text: str | None, columns: Columns) -> np.ndarray:
+    """Distinct columns of a text."""
+    words = set(WORD.findall(text.lower())) if text else ()
+    return np.unique(np.array([c for word in words for c in columns[word]], np.int64))
+
+
+def windows(text: str | None, columns: Columns) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """How many windows a text has; window, column and value of every feature in each of them."""
     words = WORD.findall(text.lower()) if text else []
-    flat = [c for hit in filter(None, map(columns.__getitem__, words)) for c in hit]
-    if not flat:
-        return np.zeros(0, np.int64), np.zeros(0)
-    at, n = np.unique(np.array(flat, np.int64), return_counts=True)
-    return at, np.minimum(1.0, n * (SCALE / len(words)))
+    hits = [(i, hit) for i, hit in enumerate(map(columns.__getitem__, words)) if hit]
+    starts = np.minimum(np.arange(0, max(1, len(words) - WINDOW + STRIDE), STRIDE), max(0, len(words) - WINDOW))
+    if not hits:
+        return len(starts), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    column = np.array([c for _, hit in hits for c in hit], np.int64)
+    position = np.repeat([i for i, _ in hits], [len(hit) for _, hit in hits])
+    low, high = np.searchsorted(position, starts), np.searchsorted(position, starts + WINDOW)
+    size = high - low
+    at = np.arange(size.sum()) + np.repeat(low - np.cumsum(size) + size, size)
+    key, n = np.unique(np.repeat(np.arange(len(starts)), size) * BUCKETS + column[at], return_counts=True)
+    return len(starts), key // BUCKETS, key % BUCKETS, np.minimum(1.0, n * (SCALE / min(WINDOW, len(words))))
+
+
+def best_window(text: str | None, columns: Columns, weights: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Largest weighted sum over all windows of a text; columns and values of the first window that has it."""
+    many, window, column, value = windows(text, columns)
+    sums = np.bincount(window, weights=value * weights[column], minlength=many)
+    best = int(sums.argmax())
+    of = window == best
+    return float(sums[best]), column[of], value[of]
 
 
 def telling_features(train: DataFrame) -> DataFrame:
@@ -78,8 +106,7 @@ def telling_features(train: DataFrame) -> DataFrame:
         columns, held, seen = Columns(None), np.zeros((2, BUCKETS), np.int32), np.zeros(2, np.int64)
         for batch in batches:
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                at, _ = sparse(text, columns)
-                held[int(label > 0), at] += 1
+                held[int(label > 0), present(text, columns)] += 1
                 seen[int(label > 0)] += 1
         at = np.flatnonzero(held.any(0))
         ids, clean, toxic = (np.append(x, y) for x, y in ((at, -1), (held[0, at], seen[0]), (held[1, at], seen[1])))
@@ -133,9 +160,9 @@ class Ordinal:
                 x -= RATE * d / np.sqrt(s)
         return cls(weights, first + np.concatenate([[0.0], np.cumsum(np.exp(gaps))]))
 
-    def above(self, at: np.ndarray, value: np.ndarray) -> np.ndarray:
+    def above(self, eta: float) -> np.ndarray:
         """P(grade > k) for every threshold."""
-        return sigmoid(float(value @ self.weights[at]) - self.thresholds)
+        return sigmoid(eta - self.thresholds)
 
 
 class Model:
@@ -151,24 +178,29 @@ class Model:
         column_of = {r.feature: i for i, r in enumerate(best)}
         if not column_of:
             return cls({}, None)
-        got = vectors(train, column_of).select("label", "columns", "values").toPandas()
-        size = got["columns"].map(len).to_numpy()
-        doc, column, value = np.repeat(np.arange(len(got)), size), np.concatenate(got["columns"].to_list()).astype(np.int64), np.concatenate(got["values"].to_list())
-        toxic, signal = got["label"].to_numpy() > 0, np.bincount(doc, weights=value, minlength=len(got))
-        grade = toxic.astype(np.int64) + (toxic & (signal > np.median(signal[toxic])))
-        return cls(column_of, Ordinal.fit(doc, column, value, grade, len(column_of)))
-
-
-def vectors(rows: DataFrame, column_of: dict[int, int]) -> DataFrame:
-    """label, columns, values of every row."""
-    shared = rows.sparkSession.sparkContext.broadcast(column_of)
+        weights = np.ones(len(column_of))
+        for _ in range(ROUNDS):
+            got = vectors(train, column_of, weights).toPandas()
+            size = got["columns"].map(len).to_numpy()
+            doc, column, value = np.repeat(np.arange(len(got)), size), np.concatenate(got["columns"].to_list()).astype(np.int64), np.concatenate(got["values"].to_list())
+            toxic, signal = got["label"].to_numpy() > 0, np.bincount(doc, weights=value, minlength=len(got))
+            grade = toxic.astype(np.int64) + (toxic & (signal > np.median(signal[toxic])))
+            ordinal = Ordinal.fit(doc, column, value, grade, len(column_of))
+            weights = ordinal.weights
+        return cls(column_of, ordinal)
+
+
+def vectors(rows: DataFrame, column_of: dict[int, int], weights: np.ndarray) -> DataFrame:
+    """label, columns, values of every row's best window."""
+    shared = rows.sparkSession.sparkContext.broadcast((column_of, weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = Columns(shared.value)
+        known, w = shared.value
+        columns = Columns(known)
         for batch in batches:
-            got = [sparse(text, columns) for text in batch.column(1).to_pylist()]
+            got = [best_window(text, columns, w) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([x[0] for x in got], pa.list_(pa.int64())), pa.array([x[1] for x in got], pa.list_(pa.float64()))],
+                [batch.column(0), pa.array([x[1] for x in got], pa.list_(pa.int64())), pa.array([x[2] for x in got], pa.list_(pa.float64()))],
                 names=["label", "columns", "values"],
             )
 
@@ -183,7 +215,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         m = shared.value
         columns = Columns(m.column_of)
         for batch in batches:
-            p = [m.ordinal.above(*sparse(text, columns)) if m.ordinal else np.zeros(1) for text in batch.column(1).to_pylist()]
+            p = [m.ordinal.above(best_window(text, columns, m.ordinal.weights)[0]) if m.ordinal else np.zeros(1) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([float(x.sum()) for x in p], pa.float64()), pa.array([float(x[0]) for x in p], pa.float64())],
                 names=["doc_id", "severity", "p_toxic"],

@@ -53,3 +53,40 @@ def test_one_kind_of_label_only(spark):
     for rows in ([], [(1, 1, 0)]):
         model = X.Model.fit(frame, spark.createDataFrame(rows, "doc_id long, quality int, toxic int"))
         assert [(r.severity, r.toxic) for r in X.score(frame, model).collect()] == [(0.0, False)]
+
+
+def test_toxic_passages_in_long_texts(spark):
+    """A passage counts wherever it stands and however long the text around it is."""
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    model = X.Model.fit(docs, labels.filter("doc_id % 4 > 0"))
+    known = docs.join(labels, "doc_id").filter("doc_id % 4 > 0").select("text", "toxic").collect()
+    held = [{}, {}]
+    for r in known:
+        for w in set(X.WORD.findall((r.text or "").lower())):
+            held[r.toxic][w] = held[r.toxic].get(w, 0) + 1
+    telling = sorted((w for w in held[1] if w not in held[0]), key=lambda w: (-held[1][w], w))[:10]
+    alone = docs.join(labels, "doc_id").filter("toxic = 0 AND doc_id % 4 = 0")
+    alone = alone.join(X.score(alone, model).filter("NOT toxic").select("doc_id"), "doc_id").select("doc_id", "text").orderBy("doc_id")
+    clean = [w for r in alone.collect() for w in (r.text or "").split()]  # texts that are clean one by one stay clean when joined
+    rng, rows = np.random.default_rng(0), []
+    for size in (1000, 10_000, 20_000):
+        for i in range(40):
+            at = int(rng.integers(0, len(clean) - size))
+            words, where = clean[at : at + size], int(rng.integers(0, size))
+            rows.append((len(rows), " ".join(words), size, False))
+            rows.append((len(rows), " ".join(words[:where] + list(rng.choice(telling, 6, replace=False)) + words[where:]), size, True))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, size int, planted boolean")
+    got = {r.doc_id: r.toxic for r in X.score(frame, model).collect()}
+    for size in (1000, 10_000, 20_000):
+        assert np.mean([got[i] for i, _, n, planted in rows if n == size and planted]) > 0.95
+        assert np.mean([got[i] for i, _, n, planted in rows if n == size and not planted]) < 0.1
+
+
+def test_windows_cover_every_word():
+    columns = X.Columns({X.word_features("vile")[0]: 0})
+    for size in (1, X.STRIDE, X.WINDOW, X.WINDOW + 1, X.WINDOW + X.STRIDE, 1234):
+        for at in {0, size // 2, size - 1}:
+            text = " ".join("vile" if i == at else "fine" for i in range(size))
+            many, window, column, value = X.windows(text, columns)
+            assert many == 1 + max(0, -(-(size - X.WINDOW) // X.STRIDE)) and len(window) >= 1 and set(column) == {0}
+            assert set(value) == {min(1.0, X.SCALE / min(size, X.WINDOW))}

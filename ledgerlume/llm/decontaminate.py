@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .joins import with_ids
+from .joins import row_key, without_rows
 from .storage import bounded_batches, materialise
 from .workers import claim
 
@@ -62,7 +62,7 @@ def word_hashes(text: str | None, hashes: WordHashes) -> np.ndarray:
 
 
 def token_table(docs: DataFrame) -> DataFrame:
-    """doc_id, words (32-bit hashes as bytes) of every row that has words."""
+    """doc_id, words (32-bit hashes as bytes) of every row that has words; doc_id may be of any type."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("decontaminate")
@@ -71,7 +71,8 @@ def token_table(docs: DataFrame) -> DataFrame:
             words = [word_hashes(text, hashes).tobytes() for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary())], names=["doc_id", "words"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, words binary").filter("octet_length(words) > 0")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, words binary").filter("octet_length(words) > 0")
 
 
 def padded_parts(batches: Iterator[pa.RecordBatch], unit: int, at_least: int = 1) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -276,12 +277,14 @@ class Index:
                     yield item.item_id, int(hit.argmax())
 
 
-MATCH = "doc_id long, item_id long, cosine double, lcs double, answer double, at long"
+def match_schema(tokens: DataFrame) -> str:
+    return f"doc_id {tokens.schema['doc_id'].dataType.simpleString()}, item_id long, cosine double, lcs double, answer double, at long"
 
 
 def search(tokens: DataFrame, index: Index) -> DataFrame:
     """Verified matches of one block of items."""
     shared = tokens.sparkSession.sparkContext.broadcast(index)
+    id_kind = pa.binary() if tokens.schema["doc_id"].dataType.simpleString() == "binary" else pa.int64()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("decontaminate")
@@ -304,10 +307,10 @@ def search(tokens: DataFrame, index: Index) -> DataFrame:
                 for item_id, at in ix.runs(text(doc)):
                     found[doc, item_id] = (1.0, 1.0, 1.0, at)
             rows = [(ids[d], i, *x) for (d, i), x in found.items()]
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
+            kinds = [id_kind, pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["doc_id", "item_id", "cosine", "lcs", "answer", "at"])
 
-    return tokens.select("doc_id", "words").mapInArrow(run, MATCH)
+    return tokens.select("doc_id", "words").mapInArrow(run, match_schema(tokens))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -322,7 +325,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     idf = inverse_frequency(counts)
     sketch = corpus_sketch(tokens, idf)
     blocks = max(1, -(-items.count() // ITEM_BLOCK))
-    found = spark.createDataFrame([], MATCH)
+    found = spark.createDataFrame([], match_schema(tokens))
     hashes = WordHashes()
     for b in range(blocks):
         some = []
@@ -339,7 +342,8 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs` without a match, with all their columns."""
-    return with_ids(docs, matches(docs, benchmark).select("doc_id"), drop=True)
+    hits = matches(docs.select(row_key().alias("doc_id"), "text"), benchmark)  # ids may be null or stand for several texts
+    return without_rows(docs, hits.select(F.col("doc_id").alias("row_key")))
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

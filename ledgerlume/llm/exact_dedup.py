@@ -118,10 +118,11 @@ def exact_groups(docs: DataFrame, digest=sha256_digest) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The documents that stay, one per text, with all columns of `docs`."""
-    stays = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("stays_id")).distinct()
-    rows = docs.join(stays, F.col("doc_id").eqNullSafe(F.col("stays_id")), "left_semi")
-    return rows.dropDuplicates(["doc_id"])
+    """The documents that stay, one per text, with all columns of `docs`; ids may be null or stand for several texts."""
+    stays = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("stays_id"), F.col("digest").alias("stays_digest")).distinct()
+    rows = docs.withColumn("__digest", sha256_digest(F.coalesce(F.col("text"), F.lit(""))))
+    rows = rows.join(stays, F.col("doc_id").eqNullSafe(F.col("stays_id")) & (F.col("__digest") == F.col("stays_digest")), "left_semi")
+    return rows.dropDuplicates(["doc_id", "__digest"]).drop("__digest")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

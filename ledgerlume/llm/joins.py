@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Up to so many ids (about 40 bytes each once hashed) a side is broadcast; beyond it both sides shuffle.
 BROADCAST_IDS = 500_000
+#: The same for row keys, which take about twice the room.
+BROADCAST_KEYS = 250_000
 
 
-def sized(frame: DataFrame, rows: int) -> DataFrame:
+def sized(frame: DataFrame, rows: int, most: int = BROADCAST_IDS) -> DataFrame:
     """`frame` with a broadcast hint if its counted rows allow it."""
-    return F.broadcast(frame) if rows <= BROADCAST_IDS else frame
+    return F.broadcast(frame) if rows <= most else frame
+
+
+def row_key() -> Column:
+    """32 bytes that tell rows with another id or text apart; ids may be null or stand for several texts. A null text is the empty text."""
+    return F.unhex(F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))), 256))
+
+
+def without_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of `docs` whose key isn't in the column row_key of `keys`."""
+    gone = keys.select(F.col("row_key").alias("__gone_key")).distinct()
+    return docs.join(sized(gone, gone.count(), BROADCAST_KEYS), row_key() == F.col("__gone_key"), "left_anti")
 
 
 def with_ids(docs: DataFrame, ids: DataFrame, drop: bool = False) -> DataFrame:

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .joins import with_ids
+from .joins import row_key, sized, with_ids, without_rows
 from .storage import bounded_batches, materialise
 from .workers import claim
 
@@ -156,7 +156,7 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, digest (of the words), sketch (a byte per coordinate), bands of every row."""
+    """doc_id, digest (of the words), sketch (a byte per coordinate), bands, row_key of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("minhash")
@@ -164,7 +164,7 @@ def signatures(docs: DataFrame) -> DataFrame:
         for batch in batches:
             at = 0
             while at < batch.num_rows:
-                ids, digests, sets, size = [], [], [], 0
+                start, ids, digests, sets, size = at, [], [], [], 0
                 while at < batch.num_rows and size < PART:
                     words = word_hashes(batch.column(1)[at].as_py(), hashes)
                     digests.append(xxhash.xxh3_128_digest(words.tobytes()))
@@ -176,11 +176,11 @@ def signatures(docs: DataFrame) -> DataFrame:
                 bands = pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * BANDS, band_keys(sig).ravel())
                 sketch = [row.tobytes() for row in (sig & np.uint32(255)).astype(np.uint8)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketch, pa.binary()), bands],
-                    names=["doc_id", "digest", "sketch", "bands"],
+                    [pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketch, pa.binary()), bands, batch.column(2).slice(start, at - start)],
+                    names=["doc_id", "digest", "sketch", "bands", "row_key"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, digest binary, sketch binary, bands array<long>")
+    return docs.select("doc_id", "text", row_key().alias("row_key")).mapInArrow(run, "doc_id long, digest binary, sketch binary, bands array<long>, row_key binary")
 
 
 def agreeing(pairs: DataFrame) -> DataFrame:
@@ -211,21 +211,26 @@ def candidate_edges(nodes: DataFrame) -> DataFrame:
     return agreeing(both).unionByName(large)
 
 
-def shingle_sets(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """node, size, shingles (sorted distinct hashes as bytes) of one row of every grouped node."""
+def shingle_sets(docs: DataFrame, groups: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, size, shingles (sorted distinct hashes as bytes) of one row of every grouped node.
+
+    The ids of the nodes only narrow down the rows to read; the digest of a row's words tells its node.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("minhash")
         hashes = WordHashes()
         for batch in batches:
-            sets = [np.unique(shingles(word_hashes(text, hashes))) for text in batch.column(1).to_pylist()]
+            words = [word_hashes(text, hashes) for text in batch.column(1).to_pylist()]
+            sets = [np.unique(shingles(w)) for w in words]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                names=["node", "size", "shingles"],
+                [pa.array([xxhash.xxh3_128_digest(w.tobytes()) for w in words], pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                names=["digest", "size", "shingles"],
             )
 
-    rows = with_ids(docs.select("doc_id", "text"), groups.select("node"))
-    return rows.mapInArrow(run, "node long, size int, shingles binary").dropDuplicates(["node"])
+    grouped = materialise(nodes.join(groups.select("node"), "node", "left_semi").select("digest", "node", "own"), "grouped-nodes")
+    rows = with_ids(docs.select("doc_id", "text"), grouped.select("own")).mapInArrow(run, "digest binary, size int, shingles binary")
+    return rows.join(sized(grouped.select("digest", "node"), grouped.count()), "digest").select("node", "size", "shingles").dropDuplicates(["node"])
 
 
 def block_rows(groups: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -303,7 +308,7 @@ def links_of(side: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
 KEYS = ["group", "la", "ia", "lb", "ib"]
 
 
-def exact_links(docs: DataFrame, groups: DataFrame) -> DataFrame:
+def exact_links(docs: DataFrame, groups: DataFrame, nodes: DataFrame) -> DataFrame:
     """u, v: links (Jaccard similarity of THRESHOLD or more) that span each super-group's classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,30 +333,48 @@ def exact_links(docs: DataFrame, groups: DataFrame) -> DataFrame:
             yield out(found)
         yield out(close())
 
-    sets = materialise(shingle_sets(docs, groups), "shingles")
+    sets = materialise(shingle_sets(docs, groups, nodes), "shingles")
     blocks = block_rows(groups, sets).join(sets.select("node", "shingles"), "node")
     dealt = blocks.repartition(*KEYS).sortWithinPartitions(*KEYS)
     return dealt.select(*KEYS, "node", "side", "shingles").mapInArrow(run, "u long, v long")
 
 
-def near_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id of every row."""
+def row_classes(docs: DataFrame) -> DataFrame:
+    """doc_id, row_key, class_id, named (whether the class has an id) of every row.
+
+    A node is a distinct sequence of words. It goes by its smallest id; where it has none, or another
+    node goes by that id, by a negative number made from its digest.
+    """
     bounded_batches(docs.sparkSession)
     rows = materialise(signatures(docs), "signatures")
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "sketch", "bands")).alias("x")
-    own = F.coalesce("x.doc_id", -1 - F.abs(F.xxhash64("digest") % (1 << 62)))
-    nodes = materialise(rows.groupBy("digest").agg(least).select("digest", own.alias("node"), "x.sketch", "x.bands"), "nodes")
+    nodes = rows.groupBy("digest").agg(least).select("digest", F.col("x.doc_id").alias("own"), "x.sketch", "x.bands")
+    nodes = materialise(nodes, "named-nodes")
+    first = nodes.filter("own IS NOT NULL").groupBy("own").agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("first")).filter("n > 1")
+    first = first.select(F.col("own").alias("shared"), "first")
+    nodes = nodes.join(first, F.col("own") == F.col("shared"), "left")
+    made = -1 - F.abs(F.xxhash64("digest") % (1 << 62))
+    node = F.when(F.col("own").isNull() | F.coalesce(F.col("digest") != F.col("first"), F.lit(False)), made).otherwise(F.col("own"))
+    nodes = materialise(nodes.select("digest", "own", node.alias("node"), "sketch", "bands"), "nodes")
     groups = components(candidate_edges(nodes))
-    links = materialise(exact_links(docs, groups), "links")
+    links = materialise(exact_links(docs, groups, nodes), "links")
     classes = components(links).select("node", "component")
-    known = nodes.select("digest", "node").join(classes, "node", "left").select("digest", F.coalesce("component", "node").alias("class_id"))
-    return rows.select("doc_id", "digest").join(known, "digest").select("doc_id", "class_id")
+    known = nodes.select("digest", "node", "own").join(classes, "node", "left")
+    linked = known.filter("component IS NOT NULL").groupBy(F.col("component").alias("linked")).agg(F.min("own").alias("least"))
+    known = known.join(linked, F.col("component") == F.col("linked"), "left")
+    name = F.when(F.col("component").isNull(), F.col("own")).otherwise(F.col("least"))
+    known = known.select("digest", F.coalesce(name, "component", "node").alias("class_id"), name.isNotNull().alias("named"))
+    return rows.select("doc_id", "row_key", "digest").join(known, "digest").select("doc_id", "row_key", "class_id", "named")
+
+
+def near_classes(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id of every row."""
+    return row_classes(docs).select("doc_id", "class_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The document with the class id of each class, with all its columns; rows without an id stay if their class has none."""
-    leaves = near_classes(docs).filter("doc_id <> class_id OR (doc_id IS NULL AND class_id >= 0)").select("doc_id")
-    return with_ids(docs, leaves, drop=True)
+    """The rows with the class id of each class, with all their columns; rows without an id stay if their class has none."""
+    return without_rows(docs, row_classes(docs).filter("named AND NOT (doc_id <=> class_id)"))
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

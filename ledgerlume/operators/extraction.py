@@ -117,6 +117,8 @@ FIELDS = (
     ("valor_bruto", "financeiro", True, "money", 10),
     ("valor_liquido", "financeiro", True, "money", 10),
 )
+#: Fields that only one of the parties can own, with their labels.
+PARTY_FIELDS = (("email", "E-mail"), ("telefone", "Telefone"), ("endereco", "Endereço"), ("inscricao_municipal", "Inscrição Municipal"))
 SECTION_WEIGHTS = (("cabecalho", 25), ("prestador", 20), ("tomador", 20), ("servicos", 15), ("financeiro", 15), ("fiscal", 5))
 
 
@@ -187,6 +189,19 @@ def by_search(docs: DataFrame) -> DataFrame:
     )
 
 
+def parties_by_labels(docs: DataFrame) -> DataFrame:
+    """First extraction of the parties' exclusive fields: labels within each party's own section."""
+    sections = {"prestador": r"(?s)PRESTADOR DE SERVIÇOS\n(.*?)TOMADOR DE SERVIÇOS\n", "tomador": r"(?s)TOMADOR DE SERVIÇOS\n(.*?)DISCRIMINAÇÃO"}
+    rows = docs.select("doc_id", *[F.regexp_extract("text", pattern, 1).alias(side) for side, pattern in sections.items()])
+    return _long(rows, "A", {f"{side}_{f}": (grab(F.col(side), rf"(?m)^{label}: (.+)$"), F.lit(100), F.lit("pattern_com_ancora")) for side in sections for f, label in PARTY_FIELDS})
+
+
+def parties_by_search(docs: DataFrame) -> DataFrame:
+    """Second extraction: the whole text's first value goes to the provider and its last to the customer, without regard to sections."""
+    found = lambda label, at: F.try_element_at(F.regexp_extract_all("text", F.lit(rf"(?m)^{label}: (.+)$"), 1), F.lit(at))
+    return _long(docs.select("doc_id", "text"), "B", {f"{side}_{f}": (found(label, at), F.lit(80), F.lit("regex_global")) for side, at in (("prestador", 1), ("tomador", -1)) for f, label in PARTY_FIELDS})
+
+
 def merged(base: DataFrame, extra: DataFrame) -> DataFrame:
     """Field by field: the extra reading wins unless it is null."""
     b = base.select("doc_id", "field", F.col("value").alias("base_value"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from .extraction import FIELDS, SECTION_WEIGHTS
+from .extraction import FIELDS, PARTY_FIELDS, SECTION_WEIGHTS
 
 RATE_LOW, RATE_HIGH, TOLERANCE = 2.0, 5.0, 0.05
 
@@ -79,12 +79,23 @@ def consolidate(resolved: DataFrame) -> DataFrame:
     )
 
 
-def own_field(resolved: DataFrame, keep: str, drop: str) -> DataFrame:
-    """Empty `drop` where it repeats the value of `keep` in the same document."""
-    kept = resolved.filter(F.col("field") == keep).select("doc_id", S.ownership_key(F.col("value")).alias("kept_key"))
-    rows = resolved.join(kept, "doc_id", "left")
-    leak = (F.col("field") == drop) & (S.ownership_key(F.col("value")) == F.col("kept_key"))
-    return rows.select(*[F.when(F.coalesce(leak, F.lit(False)), None).otherwise(F.col(c)).alias(c) if c == "value" else F.col(c) for c in resolved.columns])
+def own_fields(resolved: DataFrame) -> DataFrame:
+    """Empty exclusive fields that hold the other party's value.
+
+    Where provider and customer of a document have the same value, the customer loses it, unless only
+    the customer's was found by method A. The loser is absent: no confidence, winner or review.
+    """
+    part = lambda i: F.regexp_extract("field", f"^(prestador|tomador)_({'|'.join(f for f, _ in PARTY_FIELDS)})$", i)
+    base = part(2)
+    pair = Window.partitionBy("doc_id", F.when(base != "", base).otherwise(F.col("field")))
+    of = lambda side, c: F.max(F.when(part(1) == side, c)).over(pair)
+    provider, customer = (S.ownership_key(of(side, F.col("value"))) for side in ("prestador", "tomador"))
+    found = {side: F.coalesce(of(side, F.col("value_a").isNotNull()), F.lit(False)) for side in ("prestador", "tomador")}
+    loser = F.when(found["tomador"] & ~found["prestador"], "prestador").otherwise("tomador")
+    leak = F.coalesce((base != "") & (provider != "") & (provider == customer) & (part(1) == loser), F.lit(False))
+    rows = resolved.withColumn("leak", leak)
+    empty = {"value": F.lit(None), "confidence": F.lit(0.0), "winner": F.lit("NENHUM"), "how": F.lit("campo_ausente"), "review": F.lit(False)}
+    return rows.select(*[F.when(F.col("leak"), empty[c]).otherwise(F.col(c)).alias(c) if c in empty else F.col(c) for c in resolved.columns])
 
 
 def reading_origin(how: Column) -> Column:

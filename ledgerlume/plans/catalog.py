@@ -712,10 +712,25 @@ def _(get, spark, d):
 
 @query("c06_ownership", "SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'par' ELSE 'impar' END AS parity, count(*) AS n FROM orders GROUP BY 1")
 def _(get, spark, d):
-    kept = rules.own_field(rules.resolve(_compared(spark, d)), "prestador_cnpj", "tomador_cnpj").filter("field = 'numero'")
+    kept = rules.own_fields(rules.resolve(_compared(spark, d))).filter("field = 'numero'")
     return kept.groupBy(F.when(F.col("doc_id") % 2 == 0, "par").otherwise("impar").alias("parity")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "c06_exclusive_fields",
+    """WITH f(n, name) AS (VALUES (0, 'email'), (1, 'telefone'), (2, 'endereco'), (3, 'inscricao_municipal')),
+    x AS (SELECT o_orderkey AS k, name, (o_orderkey + n) % 5 AS c,
+        CASE n WHEN 0 THEN 'fornecedor' || o_orderkey || '@exemplo.com.br' WHEN 1 THEN '11 3' || o_orderkey WHEN 2 THEN 'Rua do Fornecedor ' || o_orderkey ELSE CAST(o_orderkey * 10 AS VARCHAR) END AS p,
+        CASE n WHEN 0 THEN 'cliente' || o_orderkey || '@exemplo.com.br' WHEN 1 THEN '11 9' || o_orderkey WHEN 2 THEN 'Avenida do Cliente ' || o_orderkey ELSE CAST(o_orderkey * 10 + 5 AS VARCHAR) END AS t FROM orders CROSS JOIN f)
+    SELECT k AS doc_id, 'prestador_' || name AS field, CASE WHEN c IN (0, 2, 3) THEN p END AS value, CASE WHEN c IN (0, 2, 3) THEN 90 ELSE 0 END::DOUBLE AS confidence, CASE WHEN c = 1 THEN 'NENHUM' ELSE 'AMBOS' END AS winner FROM x
+    UNION ALL SELECT k, 'tomador_' || name, CASE WHEN c IN (1, 3) THEN t END, CASE WHEN c IN (1, 3) THEN 90 ELSE 0 END::DOUBLE, CASE WHEN c IN (0, 2) THEN 'NENHUM' ELSE 'AMBOS' END FROM x""",
+)
+def _(get, spark, d):
+    docs = documents.party_texts(documents.facts(spark, d))
+    compared = rules.compare(extraction.parties_by_labels(docs), extraction.parties_by_search(docs))
+    return rules.own_fields(rules.resolve(compared)).select("doc_id", "field", "value", "confidence", "winner")
+
+
 @query("c07_consolidate")
 def _(get, spark, d):
     return rules.consolidate(rules.resolve(_compared(spark, d)))

@@ -60,3 +60,25 @@ def texts(facts: DataFrame) -> DataFrame:
     join = lambda parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
     text = F.when(F.col("layout") == 0, join(municipal)).when(F.col("layout") == 1, join(goods)).otherwise(join(second))
     return facts.select("doc_id", text.alias("text"))
+
+
+def party_texts(facts: DataFrame) -> DataFrame:
+    """doc_id, text with the parties' exclusive fields.
+
+    By (doc_id + number of the field) % 5 a field stands for the provider only, for the customer only,
+    for both with one value (the customer's in capitals), for both with their own values, or not at all.
+    """
+    k = F.col("doc_id")
+    text = k.cast("string")
+    both = [
+        ("E-mail", F.concat(F.lit("fornecedor"), text, F.lit("@exemplo.com.br")), F.concat(F.lit("cliente"), text, F.lit("@exemplo.com.br"))),
+        ("Telefone", F.concat(F.lit("11 3"), text), F.concat(F.lit("11 9"), text)),
+        ("Endereço", F.concat(F.lit("Rua do Fornecedor "), text), F.concat(F.lit("Avenida do Cliente "), text)),
+        ("Inscrição Municipal", (k * 10).cast("string"), (k * 10 + 5).cast("string")),
+    ]
+    line = lambda label, here, value: F.when(here, F.concat(F.lit(f"{label}: "), value, F.lit("\n"))).otherwise("")
+    case = lambda n: (k + n) % 5
+    provider = [line(label, case(n).isin(0, 2, 3), p) for n, (label, p, _) in enumerate(both)]
+    customer = [line(label, case(n).isin(1, 2, 3), F.when(case(n) == 2, F.upper(p)).otherwise(c)) for n, (label, p, c) in enumerate(both)]
+    heads = [F.lit(x) for x in ("PRESTADOR DE SERVIÇOS\nEmpresa Fornecedora Ltda\n", "TOMADOR DE SERVIÇOS\nCliente Exemplo SA\n", "DISCRIMINAÇÃO DOS SERVIÇOS\nManutenção")]
+    return facts.select("doc_id", F.concat(heads[0], *provider, heads[1], *customer, heads[2]).alias("text"))

@@ -16,6 +16,23 @@ def sized(frame: DataFrame, rows: int, most: int = BROADCAST_IDS) -> DataFrame:
     return F.broadcast(frame) if rows <= most else frame
 
 
+#: A key with over 1 / HOT of all rows is hot, so there are fewer than HOT of them.
+HOT = 1000
+
+
+def by_key(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """Inner join of `rows`, `total` at most, with `groups`: one row a key, whose column `size` counts the rows of that key.
+
+    The hot keys, fewer than HOT whatever the tables hold, are broadcast; the other rows are dealt by key, and none of
+    these keys has over 1 / HOT of them.
+    """
+    wide = [c for c in groups.columns if c != key]
+    hot = groups.filter(F.col(size) * HOT > total).withColumn("__hot", F.lit(True))
+    marked = rows.join(F.broadcast(hot), key, "left")
+    cold = marked.filter("__hot IS NULL").select(rows.columns).join(groups.filter(F.col(size) * HOT <= total), key)
+    return marked.filter("__hot").select(*rows.columns, *wide).unionByName(cold.select(*rows.columns, *wide))
+
+
 def row_key() -> Column:
     """32 bytes that tell rows with another id or text apart; ids may be null or stand for several texts. A null text is the empty text."""
     return F.unhex(F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))), 256))

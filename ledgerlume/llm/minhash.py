@@ -14,12 +14,16 @@ The steps, all over whole texts and all rows:
 3. buckets of up to SMALL nodes give all their pairs, less those whose signatures agree so little
    that a similarity of 0.8 is out of the question (LEAST_AGREEMENT, five deviations below); larger
    buckets give one edge per member, unfiltered;
-4. the components of these edges are super-groups: links exist only inside them. All pairs of a
-   super-group are compared exactly, in blocks of BLOCK nodes by BLOCK nodes whose sizes are near
-   enough for the threshold; a block emits a spanning forest of its links, never all pairs;
-5. the components of the links are the classes.
-
-No bucket or group is capped: large ones are only cut into blocks. Similarity is the Jaccard
+4. the components of these edges are super-groups: links exist only inside them. In super-groups too
+   large for one block, LEADERS nodes one after the other are compared with all that aren't linked to
+   an earlier one: most of a large group of copies hangs on its first leader, at one comparison a node;
+5. pairs of a super-group whose nodes don't hang on the same leader are compared exactly, in blocks of
+   cells of BLOCK nodes or BLOCK_BYTES at most, of sizes near enough for the threshold; a block emits a
+   spanning forest of its links, never all pairs;
+6. the components of the links are the classes.
+
+No bucket or group is capped: large ones are only cut into blocks. What is left of the square of a
+group's size are the nodes that none of its leaders holds, times the group. Similarity is the Jaccard
 similarity of sets of five lower-case words between white space (a shorter text is one shingle).
 
 Defined results: null and empty texts have no words and form one class; the class id is the smallest
@@ -41,39 +45,21 @@ from pyspark.sql import functions as F
 from .components import components
 from .joins import row_key, sized, with_ids, without_rows
 from .storage import bounded_batches, materialise
+from .words import MIX_B, U, mix, word_hashes
 from .workers import claim
 
 WORDS, THRESHOLD = 5, 0.8
 ROWS, BANDS = 4, 24
 K = ROWS * BANDS
-SMALL, LEAST_AGREEMENT, BLOCK = 16, 0.6, 256
-CACHED_WORDS = 100_000
+#: LEAST_AGREEMENT of 0 compares every pair of a small bucket.
+SMALL, LEAST_AGREEMENT = 16, 0.6
+BLOCK, BLOCK_BYTES, LEADERS = 256, 8 << 20, 3
 #: Shingles that one step of the signature works on at once.
-PART = 1 << 18
-
-U = np.uint64
-MIX_A, MIX_B, STEP = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97F4A7C15)
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser."""
-    x = (x ^ (x >> U(30))) * MIX_A
-    x = (x ^ (x >> U(27))) * MIX_B
-    return x ^ (x >> U(31))
-
-
-class WordHashes(dict):
-    """Word to 64-bit hash, cleared when full."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return found
+PART = 1 << 16
+#: Rows in one file of an intermediate table: ids alone, with signatures, with shingles.
+IDS, SIGNED, WIDE = 1 << 20, 1 << 17, 1 << 14
 
-
-def word_hashes(text: str | None, hashes: WordHashes) -> np.ndarray:
-    return np.fromiter(map(hashes.__getitem__, text.lower().split()), U) if text else np.zeros(0, U)
+STEP = U(0x9E3779B97F4A7C15)
 
 
 def shingles(words: np.ndarray) -> np.ndarray:
@@ -160,23 +146,20 @@ def signatures(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("minhash")
-        hashes = WordHashes()
         for batch in batches:
-            at = 0
+            at, words = 0, word_hashes(batch.column(1).to_pylist())
             while at < batch.num_rows:
-                start, ids, digests, sets, size = at, [], [], [], 0
+                start, digests, sets, size = at, [], [], 0
                 while at < batch.num_rows and size < PART:
-                    words = word_hashes(batch.column(1)[at].as_py(), hashes)
-                    digests.append(xxhash.xxh3_128_digest(words.tobytes()))
-                    sets.append(shingles(words))
-                    ids.append(batch.column(0)[at].as_py())
+                    digests.append(xxhash.xxh3_128_digest(words[at].tobytes()))
+                    sets.append(shingles(words[at]))
                     size, at = size + len(sets[-1]), at + 1
                 doc = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
                 sig = dart_signatures(np.concatenate(sets), np.ones(len(doc)), doc, len(sets))
                 bands = pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * BANDS, band_keys(sig).ravel())
                 sketch = [row.tobytes() for row in (sig & np.uint32(255)).astype(np.uint8)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketch, pa.binary()), bands, batch.column(2).slice(start, at - start)],
+                    [batch.column(0).slice(start, at - start), pa.array(digests, pa.binary()), pa.array(sketch, pa.binary()), bands, batch.column(2).slice(start, at - start)],
                     names=["doc_id", "digest", "sketch", "bands", "row_key"],
                 )
 
@@ -196,11 +179,11 @@ def agreeing(pairs: DataFrame) -> DataFrame:
     return pairs.select("u", "v", "su", "sv").mapInArrow(run, "u long, v long")
 
 
-def candidate_edges(nodes: DataFrame) -> DataFrame:
+def candidate_edges(nodes: DataFrame, rows: int) -> DataFrame:
     """u, v: edges whose components hold every pair that shares a band (but for hopeless small-bucket pairs)."""
     entries = nodes.select("node", F.explode("bands").alias("band"))
     buckets = entries.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).filter("n > 1")
-    members = materialise(entries.join(buckets, "band").select("band", "node", "n", "first"), "bucket-members")
+    members = materialise(entries.join(buckets, "band").select("band", "node", "n", "first"), "bucket-members", rows * BANDS, IDS)
     large = members.filter(F.col("n") > SMALL).select(F.col("first").alias("u"), F.col("node").alias("v")).filter("u <> v").distinct()
     small = members.filter(F.col("n") <= SMALL).groupBy("band").agg(F.sort_array(F.collect_list("node")).alias("m"))  # at most SMALL
     rest = F.flatten(F.transform("m", lambda a, i: F.transform(F.slice("m", i + 2, SMALL), lambda b: F.struct(a.alias("u"), b.alias("v")))))
@@ -211,7 +194,7 @@ def candidate_edges(nodes: DataFrame) -> DataFrame:
     return agreeing(both).unionByName(large)
 
 
-def shingle_sets(docs: DataFrame, groups: DataFrame, nodes: DataFrame) -> DataFrame:
+def shingle_sets(docs: DataFrame, groups: DataFrame, nodes: DataFrame, rows: int) -> DataFrame:
     """node, size, shingles (sorted distinct hashes as bytes) of one row of every grouped node.
 
     The ids of the nodes only narrow down the rows to read; the digest of a row's words tells its node.
@@ -219,50 +202,95 @@ def shingle_sets(docs: DataFrame, groups: DataFrame, nodes: DataFrame) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("minhash")
-        hashes = WordHashes()
         for batch in batches:
-            words = [word_hashes(text, hashes) for text in batch.column(1).to_pylist()]
+            words = word_hashes(batch.column(1).to_pylist())
             sets = [np.unique(shingles(w)) for w in words]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([xxhash.xxh3_128_digest(w.tobytes()) for w in words], pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())],
                 names=["digest", "size", "shingles"],
             )
 
-    grouped = materialise(nodes.join(groups.select("node"), "node", "left_semi").select("digest", "node", "own"), "grouped-nodes")
-    rows = with_ids(docs.select("doc_id", "text"), grouped.select("own")).mapInArrow(run, "digest binary, size int, shingles binary")
-    return rows.join(sized(grouped.select("digest", "node"), grouped.count()), "digest").select("node", "size", "shingles").dropDuplicates(["node"])
+    grouped = materialise(nodes.join(groups.select("node"), "node", "left_semi").select("digest", "node", "own"), "grouped-nodes", rows, IDS)
+    found = with_ids(docs.select("doc_id", "text"), grouped.select("own")).mapInArrow(run, "digest binary, size int, shingles binary")
+    return found.join(sized(grouped.select("digest", "node"), grouped.count()), "digest").select("node", "size", "shingles").dropDuplicates(["node"])
+
 
+def large_groups(groups: DataFrame, sizes: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """group, node, size of nodes in super-groups that fit a block, and of those in larger ones."""
+    rows = groups.select(F.col("component").alias("group"), "node").join(sizes.select("node", "size"), "node")
+    per_group = rows.groupBy("group").agg((F.count(F.lit(1)) > BLOCK).alias("many"), (F.sum("size") * 8 > BLOCK_BYTES).alias("wide"))
+    rows = materialise(rows.join(per_group, "group").select("group", "node", "size", (F.col("many") | F.col("wide")).alias("large")), "sized-nodes", most, IDS)
+    return rows.filter("NOT large").drop("large"), rows.filter("large").drop("large")
 
-def block_rows(groups: DataFrame, sizes: DataFrame) -> DataFrame:
-    """group, la, ia, lb, ib, side, node: every node once for each block it takes part in.
 
-    Super-groups over BLOCK nodes are dealt into cells by size class (classes grow by 1 / THRESHOLD,
-    so links stay within a class or reach the next) and slot; a block compares two cells, or one with itself.
+def led(rows: DataFrame, sets: DataFrame, most: int) -> DataFrame:
+    """group, node, size, leader (0: none), head: nodes of large groups with the number and the node of their leader.
+
+    In each round the node of the least hash among those without a leader leads. Its shingles are
+    dealt out once for every BLOCK nodes of its group, so no task gets a whole group.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, theirs = batch.column(1), batch.column(2)
+            linked = [similar(np.frombuffer(a.as_buffer(), U), np.frombuffer(b.as_buffer(), U)) for a, b in zip(own, theirs, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(linked, pa.bool_())], names=["node", "linked"])
+
+    rows = rows.withColumns({"leader": F.lit(0), "head": F.lit(None).cast("long")})
+    for n in range(1, LEADERS + 1):
+        free = rows.filter("leader = 0")
+        heads = free.groupBy("group").agg(F.min_by("node", F.xxhash64("node", F.lit(n))).alias("lead"), F.min_by("size", F.xxhash64("node", F.lit(n))).alias("lead_size"), F.count(F.lit(1)).alias("n"))
+        near = (F.col("size") >= THRESHOLD * F.col("lead_size") - 1e-6) & (F.col("lead_size") >= THRESHOLD * F.col("size") - 1e-6)
+        heads = materialise(heads, "leaders", most // BLOCK, IDS)
+        narrow = sized(heads, heads.count(), BLOCK * BLOCK)
+        copies = F.ceil(F.col("n") / BLOCK).cast("int")
+        told = heads.join(sets.select(F.col("node").alias("lead"), F.col("shingles").alias("theirs")), "lead")
+        told = told.select("group", "lead", "theirs", "n", F.explode(F.sequence(F.lit(0), copies - 1)).alias("slot"))
+        asked = free.join(narrow, "group").filter(near)
+        asked = asked.select("group", "node", "lead", F.pmod(F.xxhash64("node"), copies).cast("int").alias("slot")).join(sets.select("node", "shingles"), "node")
+        both = asked.join(told.select("group", "slot", "theirs"), ["group", "slot"])
+        linked = both.select("node", "shingles", "theirs").mapInArrow(run, "node long, linked boolean").filter("linked").select("node", F.lit(True).alias("linked"))
+        rows = rows.join(linked, "node", "left").join(narrow.select("group", "lead"), "group", "left")
+        hangs = F.col("linked").isNotNull() | (F.col("node") == F.col("lead")) & (F.col("leader") == 0)
+        rows = rows.select("group", "node", "size", F.when(hangs, n).otherwise(F.col("leader")).alias("leader"), F.when(hangs, F.col("lead")).otherwise(F.col("head")).alias("head"))
+        rows = materialise(rows, "led-nodes", most, IDS)
+    return rows
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets, as sorted hashes, have a Jaccard similarity of THRESHOLD or more."""
+    if not len(a) or not len(b):
+        return len(a) == len(b)
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    both = np.count_nonzero(b[at] == a)
+    return bool(both >= THRESHOLD * (len(a) + len(b) - both) - 1e-6)
+
+
+def block_rows(small: DataFrame, large: DataFrame) -> DataFrame:
+    """group, a, b, side, node: every node once for each block it takes part in.
+
+    A small group is one block. Nodes of large groups are dealt into cells by size class (classes grow
+    by 1 / THRESHOLD, so links stay within a class or reach the next), leader and slot; a block compares
+    two cells, or one without a leader with itself. Cells of one leader are never compared.
     """
-    rows = groups.join(sizes.select("node", "size"), "node")
     step = float(np.log(1 / THRESHOLD))
-    rows = rows.withColumn("level", F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / step).cast("int"))
-    per_level = rows.groupBy("component", "level").agg(F.count(F.lit(1)).alias("n"))
-    per_group = per_level.groupBy("component").agg(
-        F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("level", F.ceil(F.col("n") / BLOCK).cast("int")))).alias("slots")
-    )
-    rows = rows.join(per_group, "component")
-    slots = lambda level: F.coalesce(F.try_element_at("slots", level), F.lit(0))
-    slot = F.pmod(F.xxhash64("node"), slots(F.col("level"))).cast("int")
-    rows = rows.withColumn("slot", slot)
-    block = lambda la, ia, lb, ib, side: F.struct(la.alias("la"), ia.alias("ia"), lb.alias("lb"), ib.alias("ib"), side.alias("side"))
-    level, own = F.col("level"), F.col("slot")
-    upto = lambda n: F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(1))), lambda i: i < n)
-    within = F.transform(
-        upto(slots(level)),
-        lambda j: block(level, F.least(own, j), level, F.greatest(own, j), F.when(j == own, 2).when(own < j, 0).otherwise(1)),
-    )
-    over = F.transform(upto(slots(level + 1)), lambda j: block(level, own, level + 1, j, F.lit(0)))
-    under = F.transform(upto(slots(level - 1)), lambda j: block(level - 1, j, level, own, F.lit(1)))
-    whole = F.array(block(F.lit(0), F.lit(0), F.lit(0), F.lit(0), F.lit(2)))
-    return rows.select(
-        F.col("component").alias("group"), "node", F.explode(F.when(F.col("all") <= BLOCK, whole).otherwise(F.concat(within, over, under))).alias("b")
-    ).select("group", "b.*", "node")
+    rows = large.withColumn("level", F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / step).cast("int"))
+    room = F.greatest(F.lit(1.0), F.least(F.lit(float(BLOCK)), BLOCK_BYTES / (8 * F.exp((F.col("level") + 1) * step))))  # nodes a cell
+    cells = rows.groupBy("group", "level", "leader").agg(F.count(F.lit(1)).alias("n"))
+    cells = cells.select("group", F.struct("level", "leader", F.ceil(F.col("n") / F.floor(room)).cast("int").alias("slots")).alias("cell"))
+    cells = cells.groupBy("group").agg(F.collect_list("cell").alias("cells"))  # by the logarithm of the sizes, whatever the group's
+    rows = rows.join(cells, "group")
+    name = lambda level, leader, slot: ((level.cast("long") * (LEADERS + 1) + leader) * (1 << 32)) + slot
+    level, leader = F.col("level"), F.col("leader")
+    own = F.element_at(F.filter("cells", lambda c: (c["level"] == level) & (c["leader"] == leader)), 1)["slots"]
+    me = name(level, leader, F.pmod(F.xxhash64("node"), own))
+    met = F.filter("cells", lambda c: (F.abs(c["level"] - level) <= 1) & ((c["leader"] != leader) | (c["leader"] == 0)))
+    others = F.flatten(F.transform(met, lambda c: F.transform(F.sequence(F.lit(0), c["slots"] - 1), lambda i: name(c["level"], c["leader"], i))))
+    dealt = rows.select("group", "node", me.alias("me"), F.explode(others).alias("other"))
+    side = F.when(F.col("me") == F.col("other"), 2).when(F.col("me") < F.col("other"), 0).otherwise(1)
+    dealt = dealt.select("group", F.least("me", "other").alias("a"), F.greatest("me", "other").alias("b"), side.alias("side"), "node")
+    whole = small.select("group", F.lit(-1).cast("long").alias("a"), F.lit(-1).cast("long").alias("b"), F.lit(2).alias("side"), "node")
+    return whole.unionByName(dealt)
 
 
 def links_of(side: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -305,10 +333,10 @@ def links_of(side: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return out
 
 
-KEYS = ["group", "la", "ia", "lb", "ib"]
+KEYS = ["group", "a", "b"]
 
 
-def exact_links(docs: DataFrame, groups: DataFrame, nodes: DataFrame) -> DataFrame:
+def exact_links(docs: DataFrame, groups: DataFrame, nodes: DataFrame, rows: int) -> DataFrame:
     """u, v: links (Jaccard similarity of THRESHOLD or more) that span each super-group's classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,8 +350,8 @@ def exact_links(docs: DataFrame, groups: DataFrame, nodes: DataFrame) -> DataFra
 
         for batch in batches:
             found: list[tuple[int, int]] = []
-            keys = list(zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True))
-            for k, node, s, raw in zip(keys, batch.column(5).to_pylist(), batch.column(6).to_pylist(), batch.column(7), strict=True):
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
+            for k, node, s, raw in zip(keys, batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5), strict=True):
                 if k != key:
                     found += close()
                     key, nodes, side, sets = k, [], [], []
@@ -333,10 +361,13 @@ def exact_links(docs: DataFrame, groups: DataFrame, nodes: DataFrame) -> DataFra
             yield out(found)
         yield out(close())
 
-    sets = materialise(shingle_sets(docs, groups, nodes), "shingles")
-    blocks = block_rows(groups, sets).join(sets.select("node", "shingles"), "node")
+    sets = materialise(shingle_sets(docs, groups, nodes, rows), "shingles", rows, WIDE)
+    small, large = large_groups(groups, sets, rows)
+    large = led(large, sets, rows) if large.limit(1).count() else large.withColumns({"leader": F.lit(0), "head": F.lit(None).cast("long")})
+    blocks = block_rows(small, large).join(sets.select("node", "shingles"), "node")
     dealt = blocks.repartition(*KEYS).sortWithinPartitions(*KEYS)
-    return dealt.select(*KEYS, "node", "side", "shingles").mapInArrow(run, "u long, v long")
+    found = dealt.select(*KEYS, "node", "side", "shingles").mapInArrow(run, "u long, v long")
+    return found.unionByName(large.filter("head <> node").select(F.col("head").alias("u"), F.col("node").alias("v")))
 
 
 def row_classes(docs: DataFrame) -> DataFrame:
@@ -347,21 +378,22 @@ def row_classes(docs: DataFrame) -> DataFrame:
     """
     bounded_batches(docs.sparkSession)
     rows = materialise(signatures(docs), "signatures")
+    total = rows.count()
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "sketch", "bands")).alias("x")
     nodes = rows.groupBy("digest").agg(least).select("digest", F.col("x.doc_id").alias("own"), "x.sketch", "x.bands")
-    nodes = materialise(nodes, "named-nodes")
+    nodes = materialise(nodes, "named-nodes", total, SIGNED)
     first = nodes.filter("own IS NOT NULL").groupBy("own").agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("first")).filter("n > 1")
     first = first.select(F.col("own").alias("shared"), "first")
     nodes = nodes.join(first, F.col("own") == F.col("shared"), "left")
     made = -1 - F.abs(F.xxhash64("digest") % (1 << 62))
     node = F.when(F.col("own").isNull() | F.coalesce(F.col("digest") != F.col("first"), F.lit(False)), made).otherwise(F.col("own"))
-    nodes = materialise(nodes.select("digest", "own", node.alias("node"), "sketch", "bands"), "nodes")
-    groups = components(candidate_edges(nodes))
-    links = materialise(exact_links(docs, groups, nodes), "links")
-    classes = components(links).select("node", "component")
+    nodes = materialise(nodes.select("digest", "own", node.alias("node"), "sketch", "bands"), "nodes", total, SIGNED)
+    groups = components(candidate_edges(nodes, total), total * BANDS)
+    links = materialise(exact_links(docs, groups, nodes, total), "links", total, IDS)
+    classes = components(links, total * BANDS).select("node", "component")
     known = nodes.select("digest", "node", "own").join(classes, "node", "left")
     linked = known.filter("component IS NOT NULL").groupBy(F.col("component").alias("linked")).agg(F.min("own").alias("least"))
-    known = known.join(linked, F.col("component") == F.col("linked"), "left")
+    known = known.join(sized(linked, linked.count()), F.col("component") == F.col("linked"), "left")
     name = F.when(F.col("component").isNull(), F.col("own")).otherwise(F.col("least"))
     known = known.select("digest", F.coalesce(name, "component", "node").alias("class_id"), name.isNotNull().alias("named"))
     return rows.select("doc_id", "row_key", "digest").join(known, "digest").select("doc_id", "row_key", "class_id", "named")

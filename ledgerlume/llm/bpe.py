@@ -7,8 +7,9 @@ prefix. Appending bytes only adds entries, encodings are read off backwards, and
 table is rebuilt only until it agrees with the old one over the longest token's length.
 
 A text is split by the vocabulary's pattern and every match is a piece. A piece that is a token as a
-whole is that token, as in the public encoder. Per-task piece caches are bounded; new pieces of a
-batch are encoded in sorted order so that shared prefixes are computed once.
+whole is that token, as in the public encoder. The new pieces of a part go through the same programme
+together (`prefixes`), pieces of over LONG bytes through a `PrefixTable` of their own. What a task
+remembers of pieces is bounded.
 
 Defined results: a null or empty text has no ids and decodes to the empty string; whole texts are
 encoded at any length; repeated rows give repeated results; an empty table an empty one; columns
@@ -29,14 +30,15 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .prefixes import Pieces, Tables, gather
 from .storage import bounded_batches
 from .workers import claim
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Entries that one task's piece cache and pair cache may hold in each of two generations.
-CACHED_PIECES, CACHED_PAIRS = 200_000, 300_000
+#: Pieces whose ids one worker holds, pairs that one `Vocabulary` holds, bytes of a piece that advances with others.
+CACHED_PIECES, CACHED_PAIRS, LONG = 60_000, 50_000, 96
 #: Rows and characters after which a part of a batch is closed.
-ROWS_OUT, CHARS_OUT = 2048, 4 << 20
+ROWS_OUT, CHARS_OUT = 1024, 1 << 20
 
 
 def read_ranks(raw: bytes) -> dict[bytes, int]:
@@ -173,36 +175,61 @@ class PrefixTable:
 
 
 class Encoder:
-    """Encodes texts of one task; holds the two generations of cached pieces."""
-
-    def __init__(self, vocabulary: Vocabulary, pattern: str = public_tokenizers.PATTERN):
-        self.vocabulary, self.split = vocabulary, regex.compile(pattern)
-        self.new: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
-
-    def _learn(self, pieces: Iterable[str]) -> None:
-        table = PrefixTable(self.vocabulary)
-        for piece in sorted(pieces):
-            found = self.old.get(piece)
-            if found is None:
-                data = piece.encode("utf-8", "surrogatepass")
-                shared, most = 0, min(len(data), len(table.data))
-                while shared < most and data[shared] == table.data[shared]:
-                    shared += 1
-                table.truncate(shared)
-                table.append(data[shared:])
-                found = tuple(table.tokens())
-            self.new[piece] = found
+    """Encodes texts of one task; holds the ids of the pieces it has met, up to CACHED_PIECES and a part's."""
+
+    def __init__(self, vocabulary: Vocabulary | bytes, tables: Tables | None = None, pattern: str = public_tokenizers.PATTERN):
+        self._vocabulary, self.split = vocabulary, regex.compile(pattern)
+        self.pieces = Pieces(tables or Tables(self.vocabulary))
+        self.forget()
+
+    @property
+    def vocabulary(self) -> Vocabulary:
+        """Only long pieces need it in a task, so it is read from the rank file when the first one comes."""
+        if isinstance(self._vocabulary, bytes):
+            self._vocabulary = Vocabulary(read_ranks(self._vocabulary))
+        return self._vocabulary
+
+    def forget(self) -> None:
+        self.number, self.count, self.ids = Numbers(), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def _learn(self, new: list[str]) -> None:
+        """Append the ids of pieces that were numbered last."""
+        raw = [piece.encode("utf-8", "surrogatepass") for piece in new]
+        long = [i for i, piece in enumerate(raw) if len(piece) > LONG]
+        flat, count = self.pieces.encode([b"" if len(piece) > LONG else piece for piece in raw])
+        for i in reversed(long):
+            ids = PrefixTable(self.vocabulary, raw[i]).tokens()
+            at = int(count[:i].sum())
+            flat = np.concatenate([flat[:at], np.array(ids, np.int32), flat[at:]])
+            count[i] = len(ids)
+        self.ids, self.count = np.concatenate([self.ids, flat]), np.concatenate([self.count, count])
 
     def encode_all(self, texts: Iterable[str | None]) -> list[np.ndarray]:
         """Ids of every text; what the texts share is learned once."""
+        if len(self.number) > CACHED_PIECES:
+            self.forget()
         split = [self.split.findall(text) if text else [] for text in texts]
-        needed = set(chain.from_iterable(split))
-        missing = needed.difference(self.new)
-        if len(self.new) + len(missing) > CACHED_PIECES:
-            self.old, self.new, missing = self.new, {}, needed
-        self._learn(missing)
-        return [np.fromiter(chain.from_iterable(map(self.new.__getitem__, pieces)), np.int32) for pieces in split]
+        numbers = np.fromiter(map(self.number.__getitem__, chain.from_iterable(split)), np.int64)
+        if self.number.new:
+            self._learn(self.number.new)
+            self.number.new = []
+        count = self.count[numbers]
+        flat = gather(self.ids, (np.cumsum(self.count) - self.count)[numbers], count)
+        pieces = np.cumsum([len(x) for x in split])
+        return np.split(flat, np.concatenate([[0], np.cumsum(count)])[pieces])[:-1]
+
+
+class Numbers(dict):
+    """Piece to its number, by first appearance; `new` lists those that nobody has learned yet."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = found = len(self)
+        self.new.append(piece)
+        return found
 
 
 class Decoder:
@@ -225,15 +252,32 @@ class Decoder:
         return self.bytes[place].tobytes()
 
 
-def _once(kind, raw: bytes):
-    """One encoder or decoder per worker process and rank file."""
-    held, key = claim("bpe"), (kind.__name__, hash(raw))
+def worker_encoder(raw: bytes, tables: Tables) -> Encoder:
+    """One encoder per worker process and rank file."""
+    held, key = claim("bpe"), ("encoder", hash(raw))
+    if key not in held:
+        held[key] = Encoder(raw, tables)
+    return held[key]
+
+
+def worker_decoder(raw: bytes) -> Decoder:
+    held, key = claim("bpe"), ("decoder", hash(raw))
     if key not in held:
-        ranks = read_ranks(raw)
-        held[key] = kind(Vocabulary(ranks)) if kind is Encoder else kind(ranks)
+        held[key] = Decoder(read_ranks(raw))
     return held[key]
 
 
+_tables: dict[bytes, Tables] = {}
+
+
+def tables_of(raw: bytes) -> Tables:
+    """The rank file's tables, made once on the driver: 30 MB for 50,000 tokens, whatever the corpus."""
+    if raw not in _tables:
+        _tables.clear()
+        _tables[raw] = Tables(Vocabulary(read_ranks(raw)))
+    return _tables[raw]
+
+
 def rank_file(name: str = VOCABULARY) -> bytes:
     with open(public_tokenizers.path(name), "rb") as f:
         return f.read()
@@ -241,7 +285,8 @@ def rank_file(name: str = VOCABULARY) -> bytes:
 
 def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Slices of a batch, closed by rows or by the size of the second column (at least one row each)."""
-    size = pc.fill_null(pc.binary_length(batch.column(1)) if pa.types.is_string(batch.column(1).type) else pc.list_value_length(batch.column(1)), 0)
+    column = batch.column(1)
+    size = pc.fill_null(pc.list_value_length(column) if pa.types.is_list(column.type) or pa.types.is_large_list(column.type) else pc.binary_length(column), 0)
     stop = np.cumsum(size.to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < batch.num_rows:
@@ -259,10 +304,10 @@ def id_lists(ids: list[np.ndarray]) -> pa.ListArray:
 def encode(docs: DataFrame, ranks: bytes) -> DataFrame:
     """doc_id and ids (array<int>) of every row; the rank file's bytes are broadcast, as their size is fixed."""
     bounded_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+    shared = docs.sparkSession.sparkContext.broadcast((ranks, tables_of(ranks)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _once(Encoder, shared.value)
+        encoder = worker_encoder(*shared.value)
         for batch in batches:
             for part in parts(batch):
                 ids = encoder.encode_all(part.column(1).to_pylist())
@@ -276,7 +321,7 @@ def decode(encoded: DataFrame, ranks: bytes) -> DataFrame:
     shared = encoded.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = _once(Decoder, shared.value)
+        decoder = worker_decoder(shared.value)
         for batch in batches:
             for part in parts(batch):
                 ids = part.column(1)
@@ -290,10 +335,10 @@ def decode(encoded: DataFrame, ranks: bytes) -> DataFrame:
 def round_trip(docs: DataFrame, ranks: bytes) -> DataFrame:
     """doc_id, ids and decoded of every row, in one pass: ids are decoded where they were made."""
     bounded_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+    shared = docs.sparkSession.sparkContext.broadcast((ranks, tables_of(ranks)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, decoder = _once(Encoder, shared.value), _once(Decoder, shared.value)
+        encoder, decoder = worker_encoder(*shared.value), worker_decoder(shared.value[0])
         for batch in batches:
             for part in parts(batch):
                 ids = encoder.encode_all(part.column(1).to_pylist())

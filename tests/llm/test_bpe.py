@@ -33,6 +33,18 @@ def test_small_caches_give_the_same_ids(vocabulary, reference, monkeypatch):
     assert [encoder.encode_all([t])[0].tolist() for t in texts] == [reference.encode_ordinary(t) for t in texts]
 
 
+def test_pieces_together_agree_with_prefix_tables(vocabulary, monkeypatch):
+    from ledgerlume.llm import prefixes
+
+    monkeypatch.setattr(prefixes, "TOGETHER", 64)
+    monkeypatch.setattr(prefixes, "PAIRS", 16)
+    rng, some = random.Random(4), prefixes.Pieces(prefixes.Tables(vocabulary))
+    pieces = [bytes(rng.choices([b"ab", b"thequick ", bytes(range(256))][i % 3], k=rng.randrange(1, 40))) for i in range(900)]
+    ids, count = some.encode(pieces)
+    assert [list(x) for x in B.np.split(ids, count.cumsum()[:-1])] == [B.PrefixTable(vocabulary, p).tokens() for p in pieces]
+    assert some.encode([])[0].size == 0 and some.encode([b"", b"a"])[1].tolist() == [0, 1]
+
+
 def test_appends_and_edits_agree_with_a_fresh_table(vocabulary):
     rng = random.Random(2)
     for _ in range(300):

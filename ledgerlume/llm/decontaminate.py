@@ -1,10 +1,13 @@
 """Benchmark decontamination by latent semantic retrieval and longest common subsequences.
 
-1. Words of all documents become 32-bit hashes, written once as a token table.
+1. Words of all documents become 32-bit hashes, written once as a token table, in segments of SEGMENT
+   words that overlap by the room of the longest item, so that a long text is many rows.
 2. TF-IDF over passages of WINDOW words, hashed into FEATURES; document frequencies cover all passages.
-3. A randomised SVD of the passages: a sparse sign sketch of the matrix (every passage is added with a
-   random sign to one of RANK columns) is summed by Spark; with the benchmark's own passages, weighed
-   by BENCHMARK_WEIGHT, it spans the latent space. Its size is FEATURES x RANK whatever the corpus.
+3. A randomised SVD of the passages, in two sums over all of them made by Spark: a sparse sign sketch of
+   the matrix A gives a first basis Q, and the product of A'A with Q the singular vectors, as those of
+   its Nystroem approximation. The benchmark's passages are rows of A too, with BENCHMARK_SHARE of its
+   sum of squares between them, whatever their number. The space is FEATURES x RANK for any corpus and
+   one for all items.
 4. Windows at every BLOCK words are projected and compared with the benchmark's passages by cosine in
    that space; LEAST_COSINE, and LEAST_SHARE of the benchmark passage's projected length within the
    window's whole length, make a candidate.
@@ -13,13 +16,15 @@
    of them and, as its answer check, ANSWER_SHARE of the answer's words in order. The answer is the
    column `answer` if the benchmark has one, else the item's last ANSWER_WORDS words.
 
-Benchmark items are taken in blocks of ITEM_BLOCK, each broadcast by itself, so any number is handled.
-Items of fewer than LEAST_ITEM words are found as exact runs of words instead.
+Items are searched for in blocks of ITEM_BLOCK, each broadcast by itself, so any number is handled; blocks
+share the space, so they don't change what is found. Items of fewer than LEAST_ITEM words are found as
+exact runs of words instead.
 
 Defined results: a null or empty text or item matches nothing; case and the kind of white space don't
 matter; whole texts are searched; several matches of a document and item give one row, the first best;
 `at` is the word where the best window lets the item begin, give or take a window; rows that repeat an
-id are one document; repeated items count once; other columns are ignored.
+id (null among them) are one document; `keep_clean` decides by row, not by id; repeated items count once;
+other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,57 +33,55 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .joins import row_key, without_rows
 from .storage import bounded_batches, materialise
+from .words import word_hashes
 from .workers import claim
 
-FEATURES, RANK, SEED = 1 << 15, 64, 17
+FEATURES, RANK, EXTRA, SEED = 1 << 15, 64, 8, 17
 BLOCK, WINDOW, SHORT_WINDOW = 8, 32, 16
-BENCHMARK_WEIGHT = 3.0
+BENCHMARK_SHARE = 30.0
 LEAST_COSINE, LEAST_SHARE = 0.45, 0.3
 COPY, PARAPHRASE, ANSWER_WORDS, ANSWER_SHARE = 0.8, 0.6, 6, 0.8
-LEAST_ITEM, ITEM_BLOCK = 8, 1024
-CACHED_WORDS = 100_000
-#: Words that one step of a task works on at once, and features in one row of the summed sketch.
-PART, CHUNK = 1 << 17, 512
+LEAST_ITEM, ITEM_BLOCK = 8, 4096
+#: Words of a segment without its overlap: whole windows.
+SEGMENT = 1 << 15
+#: Words that one step of a task works on at once, of a product, and features in one row of a sum.
+PART, STEP, CHUNK = 1 << 16, 1 << 11, 512
 
 
-class WordHashes(dict):
-    """Word to 32-bit hash, cleared when full."""
+def room(size: int) -> int:
+    """Words around a window's guess in which an item of `size` words is verified, on either side."""
+    return 2 * BLOCK + size // 4
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) & 0xFFFFFFFF
-        return found
 
-
-def word_hashes(text: str | None, hashes: WordHashes) -> np.ndarray:
-    return np.fromiter(map(hashes.__getitem__, text.lower().split()), np.uint32) if text else np.zeros(0, np.uint32)
-
-
-def token_table(docs: DataFrame) -> DataFrame:
-    """doc_id, words (32-bit hashes as bytes) of every row that has words; doc_id may be of any type."""
+def token_table(docs: DataFrame, overlap: int) -> DataFrame:
+    """doc_id, offset, words (32-bit hashes as bytes): the segments of every row that has words; doc_id may be of any type."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("decontaminate")
-        hashes = WordHashes()
         for batch in batches:
-            words = [word_hashes(text, hashes).tobytes() for text in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary())], names=["doc_id", "words"])
+            of, offsets, words = [], [], []
+            for n, w in enumerate(word_hashes(batch.column(1).to_pylist())):
+                for at in range(0, len(w), SEGMENT):
+                    of.append(n)
+                    offsets.append(at)
+                    words.append(w[at : at + SEGMENT + overlap].astype(np.uint32).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(of, pa.int64())), pa.array(offsets, pa.int64()), pa.array(words, pa.binary())], names=["doc_id", "offset", "words"]
+            )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, words binary").filter("octet_length(words) > 0")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, offset long, words binary")
 
 
-def padded_parts(batches: Iterator[pa.RecordBatch], unit: int, at_least: int = 1) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(ids, words, features, starts, lengths): documents padded to whole units, about PART words at a time.
+def padded_parts(batches: Iterator[pa.RecordBatch], unit: int, at_least: int = 1, most: int | None = None) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids with offsets, words, features, starts, lengths): segments padded to whole units, about PART words at a time.
 
-    `starts` counts units, lengths count words; padding has the feature FEATURES. A document is never cut.
+    `starts` counts units, lengths count words; padding has the feature FEATURES. Of a segment the first `most` words count.
     """
     ids, parts, size = [], [], 0
 
@@ -93,9 +96,9 @@ def padded_parts(batches: Iterator[pa.RecordBatch], unit: int, at_least: int = 1
         return ids, words, features, starts, length
 
     for batch in batches:
-        for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            ids.append(doc)
-            parts.append(np.frombuffer(raw.as_buffer(), np.uint32))
+        for doc, offset, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            ids.append((doc, offset))
+            parts.append(np.frombuffer(raw.as_buffer(), np.uint32)[:most])
             size += len(parts[-1])
             if size >= PART:
                 yield joined()
@@ -109,7 +112,7 @@ def passage_counts(tokens: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(FEATURES + 1, np.int64)
-        for _, _, features, _, _ in padded_parts(batches, WINDOW):
+        for _, _, features, _, _ in padded_parts(batches, WINDOW, most=SEGMENT):
             rows = np.sort(features.reshape(-1, WINDOW), axis=1)
             new = np.ones(rows.shape, bool)
             new[:, 1:] = rows[:, 1:] != rows[:, :-1]
@@ -119,7 +122,7 @@ def passage_counts(tokens: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], names=["feature", "n"])
 
     out = np.zeros(FEATURES + 1, np.int64)
-    for r in tokens.select("doc_id", "words").mapInArrow(run, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect():
+    for r in tokens.mapInArrow(run, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect():
         out[r.feature] = r.n  # at most FEATURES + 1 rows
     return out
 
@@ -131,22 +134,22 @@ def inverse_frequency(counts: np.ndarray) -> np.ndarray:
     return idf
 
 
-def corpus_sketch(tokens: DataFrame, idf: np.ndarray) -> np.ndarray:
-    """FEATURES + 1 x RANK: the signed sum of all passages, each of length one."""
-    shared = tokens.sparkSession.sparkContext.broadcast(idf)
-
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, total = shared.value, np.zeros((FEATURES + 1) * RANK)
-        for _, words, features, _, _ in padded_parts(batches, WINDOW):
-            f, v = features.reshape(-1, WINDOW), weight[features].reshape(-1, WINDOW)
-            length = np.sqrt((v * v).sum(1))
-            # column and sign come from the passage's own words: the same in any partitioning of the table
-            h = (words.reshape(-1, WINDOW).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).sum(1) ^ np.uint64(SEED)
-            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            column, sign = ((h >> np.uint64(32)) % np.uint64(RANK)).astype(np.int64), np.where(h >> np.uint64(63), 1.0, -1.0)
-            scale = np.where(length > 0, sign / np.maximum(length, 1e-9), 0)
-            total += np.bincount((f.astype(np.int64) * RANK + column[:, None]).ravel(), weights=(v * scale[:, None]).ravel(), minlength=len(total))
-        total = total.reshape(-1, RANK).astype(np.float32)
+def passages(batches: Iterator[pa.RecordBatch], idf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """words, features and weights of passages, each of length one, a row a passage."""
+    for _, words, features, _, _ in padded_parts(batches, WINDOW, most=SEGMENT):
+        f = features.reshape(-1, WINDOW)
+        v = idf[f]
+        yield words.reshape(-1, WINDOW), f, v / np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), 1e-9)
+
+
+def summed(tokens: DataFrame, part, shared) -> np.ndarray:
+    """FEATURES + 1 x RANK + EXTRA: the sum of `part(batches, shared value)` over all tasks, in chunks of features."""
+    width = RANK + EXTRA
+    told = tokens.sparkSession.sparkContext.broadcast(shared)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("decontaminate")
+        total = part(batches, told.value).astype(np.float32)
         chunks = [(i, total[i : i + CHUNK]) for i in range(0, FEATURES, CHUNK)]
         chunks = [(i, c.tobytes()) for i, c in chunks if c.any()]
         yield pa.RecordBatch.from_arrays([pa.array([c[0] for c in chunks], pa.int32()), pa.array([c[1] for c in chunks], pa.binary())], names=["chunk", "part"])
@@ -155,14 +158,72 @@ def corpus_sketch(tokens: DataFrame, idf: np.ndarray) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                into = sums.setdefault(i, np.zeros(CHUNK * RANK))
+                into = sums.setdefault(i, np.zeros(CHUNK * width))
                 into += np.frombuffer(raw.as_buffer(), np.float32)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["chunk", "part"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.astype(np.float32).tobytes() for s in sums.values()], pa.binary())], names=["chunk", "part"])
+
+    out = np.zeros((FEATURES + 1, width), np.float32)
+    parts = tokens.mapInArrow(run, "chunk int, part binary")
+    for r in parts.repartition("chunk").mapInArrow(add, "chunk int, part binary").collect():  # FEATURES x (RANK + EXTRA) numbers in all
+        out[r.chunk : r.chunk + CHUNK] = np.frombuffer(r.part, np.float32).reshape(CHUNK, width)
+    return out
 
-    parts = tokens.select("doc_id", "words").mapInArrow(sketch, "chunk int, part binary")
-    out = np.zeros((FEATURES + 1, RANK))
-    for r in parts.repartition("chunk").mapInArrow(add, "chunk int, part binary").collect():  # FEATURES x RANK numbers in all
-        out[r.chunk : r.chunk + CHUNK] = np.frombuffer(r.part).reshape(CHUNK, RANK)
+
+def sign_sketch(batches: Iterator[pa.RecordBatch], idf: np.ndarray) -> np.ndarray:
+    """A'S: every passage is added with a random sign to one column, both told by its words, in any partitioning."""
+    width = RANK + EXTRA
+    total = np.zeros((FEATURES + 1) * width, np.float32)
+    for words, f, v in passages(batches, idf):
+        h = (words.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).sum(1) ^ np.uint64(SEED)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        column, sign = ((h >> np.uint64(32)) % np.uint64(width)).astype(np.int64), np.where(h >> np.uint64(63), np.float32(1), np.float32(-1))
+        np.add.at(total, (f.astype(np.int64) * width + column[:, None]).ravel(), (v * sign[:, None]).ravel())
+    return total.reshape(-1, width)
+
+
+def covariance_product(batches: Iterator[pa.RecordBatch], shared: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """A'(AQ), some passages at a time as a matrix over the features that they hold."""
+    idf, basis = shared
+    total = np.zeros(basis.shape, np.float32)
+    for _, features, values in passages(batches, idf):
+        for low in range(0, len(features), STEP // WINDOW):
+            f, v = features[low : low + STEP // WINDOW], values[low : low + STEP // WINDOW]
+            known, column = np.unique(f, return_inverse=True)
+            at = np.arange(len(f))[:, None] * len(known) + column.reshape(f.shape)
+            rows = np.bincount(at.ravel(), weights=v.ravel(), minlength=len(f) * len(known)).reshape(len(f), -1).astype(np.float32)
+            total[known] += rows.T @ (rows @ basis[known])
+    return total
+
+
+def latent_space(tokens: DataFrame, items: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """idf, and the FEATURES + 1 x RANK first right singular vectors of the passages of both token tables."""
+    counts, own = passage_counts(tokens), passage_counts(items)
+    idf = inverse_frequency(counts)
+    weight = BENCHMARK_SHARE * max(1, counts[-1]) / max(1, own[-1])  # of a benchmark passage's square
+    basis = summed(tokens, sign_sketch, idf)
+    basis += np.float32(np.sqrt(weight)) * summed(items, sign_sketch, idf)
+    basis = orthonormal(basis)
+    basis = np.pad(basis, ((0, 0), (0, RANK + EXTRA - basis.shape[1])))  # few passages span fewer columns
+    product = summed(tokens, covariance_product, (idf, basis))
+    product += np.float32(weight) * summed(items, covariance_product, (idf, basis))
+    return idf, singular_vectors(basis, product)
+
+
+def orthonormal(x: np.ndarray, rank: int | None = None) -> np.ndarray:
+    """An orthonormal basis of the columns' space, in the order of their weight, by the small Gram matrix."""
+    squares, turn = np.linalg.eigh((x.T @ x).astype(float))
+    best = np.argsort(-squares)[:rank]
+    best = best[squares[best] > 1e-6 * max(squares.max(initial=0), 1e-12)]
+    return x @ (turn[:, best] / np.sqrt(squares[best])).astype(np.float32)
+
+
+def singular_vectors(basis: np.ndarray, product: np.ndarray, rank: int = RANK) -> np.ndarray:
+    """Singular vectors of A from Q and A'AQ, by the Nystroem approximation A'AQ (Q'A'AQ)^-1 (A'AQ)'."""
+    core = (basis.T @ product).astype(float)
+    values, vectors = np.linalg.eigh((core + core.T) / 2)
+    kept = values > 1e-6 * max(values.max(initial=0), 1e-12)
+    out = orthonormal(product @ (vectors[:, kept] / np.sqrt(values[kept])).astype(np.float32), rank)
+    out[FEATURES] = 0
     return out
 
 
@@ -193,7 +254,7 @@ def common_subsequence(bits: dict[int, int], size: int, text: list[int]) -> int:
 class Index:
     """A block of benchmark items in latent space."""
 
-    def __init__(self, items: list[Item], idf: np.ndarray, sketch: np.ndarray, passages: int):
+    def __init__(self, items: list[Item], idf: np.ndarray, basis: np.ndarray):
         self.short = [i for i in items if len(i.words) < LEAST_ITEM]
         self.items = [i for i in items if len(i.words) >= LEAST_ITEM]
         self.bits = [Item.bits(i.words) for i in self.items]
@@ -204,33 +265,29 @@ class Index:
             width = SHORT_WINDOW if size <= SHORT_WINDOW else WINDOW
             last = max(0, size - width)
             self.chunks[width] += [(n, s) for s in sorted({*range(0, last, width // 2), last})]
-        rows = [(w, n, s) for w, c in self.chunks.items() for n, s in c]
-        tfidf = np.zeros((len(rows), FEATURES + 1), np.float32)
-        for r, (w, n, s) in enumerate(rows):
-            f = (self.items[n].words[s : s + w] % np.uint32(FEATURES)).astype(np.int64)
-            np.add.at(tfidf[r], f, idf[f])
-        tfidf /= np.maximum(np.linalg.norm(tfidf, axis=1, keepdims=True), 1e-9)
-        probes = np.random.default_rng(SEED).standard_normal((len(rows), RANK)).astype(np.float32)
-        range_of = sketch / np.sqrt(max(1, passages)) + BENCHMARK_WEIGHT * (tfidf.T @ probes) / np.sqrt(max(1, len(rows)))
-        values, vectors = np.linalg.eigh(range_of.T @ range_of)  # its left singular vectors, by the small Gram matrix
-        kept = values > 1e-9 * max(values.max(initial=0), 1e-12)
-        self.basis = (range_of @ (vectors[:, kept] / np.sqrt(values[kept]))).astype(np.float32)
-        self.basis[FEATURES] = 0
-        latent = tfidf @ self.basis
-        self.length, at = {}, 0
-        self.latent = {}
-        for w, c in self.chunks.items():
-            part = latent[at : at + len(c)]
+        self.weighted = np.ascontiguousarray(basis * idf[:, None])
+        self.squares = idf**2
+        self.length, self.latent = {}, {}
+        for w, chunks in self.chunks.items():
+            part = np.zeros((len(chunks), basis.shape[1]), np.float32)
+            for r, (n, s) in enumerate(chunks):
+                f = (self.items[n].words[s : s + w] % np.uint32(FEATURES)).astype(np.int64)
+                seen, times = np.unique(f, return_counts=True)
+                part[r] = self.weighted[f].sum(0) / np.maximum(np.sqrt((self.squares[seen] * times * times).sum()), 1e-9)
             self.length[w] = np.maximum(np.linalg.norm(part, axis=1), 1e-9)
             self.latent[w] = (part / self.length[w][:, None]).T.copy()
-            at += len(c)
-        self.weighted = self.basis * idf[:, None]
-        self.squares = idf.astype(np.float64) ** 2
+
+    def projected(self, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The sum of each block's words in latent space, and of their squares."""
+        blocks = np.empty((len(features) // BLOCK, self.weighted.shape[1]), np.float32)
+        for low in range(0, len(blocks), STEP // BLOCK):
+            f = features[low * BLOCK : low * BLOCK + STEP]
+            blocks[low : low + STEP // BLOCK] = self.weighted[f].reshape(-1, BLOCK, self.weighted.shape[1]).sum(1)
+        return blocks, self.squares[features].reshape(-1, BLOCK).sum(1)
 
     def candidates(self, features: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
-        """(document, item, first word of the item as the window suggests it, cosine)."""
-        blocks = self.weighted[features].reshape(-1, BLOCK, self.weighted.shape[1]).sum(1)
-        squares = self.squares[features].reshape(-1, BLOCK).sum(1)
+        """(segment, item, first word of the item as the window suggests it, cosine)."""
+        blocks, squares = self.projected(features)
         owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
         for width, chunks in self.chunks.items():
             n = width // BLOCK
@@ -241,12 +298,13 @@ class Index:
             for i in range(1, n):
                 sums += blocks[i : i + top]
                 lengths += squares[i : i + top]
-            size = np.sqrt((sums * sums).sum(1))
+            size = np.sqrt(np.einsum("ij,ij->i", sums, sums))
             share = size / np.sqrt(np.maximum(lengths, 1e-9))
             # a cosine is at most 1: a window with less of its length in the space can't reach LEAST_SHARE
             at = np.flatnonzero((owner[:top] == owner[n - 1 :]) & (share >= LEAST_SHARE * self.length[width].min()) & (size > 0))
-            for low in range(0, len(at), 8192):
-                some = at[low : low + 8192]
+            step = max(1, (1 << 22) // len(chunks))
+            for low in range(0, len(at), step):
+                some = at[low : low + step]
                 cosine = (sums[some] / size[some][:, None]) @ self.latent[width]
                 r, c = np.nonzero(cosine >= LEAST_COSINE)
                 good = cosine[r, c] * share[some[r]] >= LEAST_SHARE * self.length[width][c]
@@ -258,8 +316,10 @@ class Index:
     def verify(self, item: int, text: np.ndarray, at: int) -> tuple[float, float]:
         """Shares of the item's and of the answer's words that stand in order around word `at` of a text."""
         words, answer = self.items[item].words, self.items[item].answer
-        slack = 2 * BLOCK + len(words) // 4
+        slack = room(len(words))
         near = text[max(0, at - slack) : max(0, at + len(words) + slack)].tolist()
+        if sum(map(self.bits[item].__contains__, near)) < PARAPHRASE * len(words):  # a subsequence takes a word of the text for each of its own
+            return 0.0, 0.0
         share = common_subsequence(self.bits[item], len(words), near) / len(words)
         if share < PARAPHRASE or not len(answer):
             return share, 0.0
@@ -306,35 +366,39 @@ def search(tokens: DataFrame, index: Index) -> DataFrame:
             for doc in range(len(ids)) if ix.short else ():
                 for item_id, at in ix.runs(text(doc)):
                     found[doc, item_id] = (1.0, 1.0, 1.0, at)
-            rows = [(ids[d], i, *x) for (d, i), x in found.items()]
+            rows = [(ids[d][0], i, cosine, share, answer, at + ids[d][1]) for (d, i), (cosine, share, answer, at) in found.items()]
             kinds = [id_kind, pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["doc_id", "item_id", "cosine", "lcs", "answer", "at"])
 
-    return tokens.select("doc_id", "words").mapInArrow(run, match_schema(tokens))
+    return tokens.mapInArrow(run, match_schema(tokens))
+
+
+def benchmark_items(benchmark: DataFrame) -> DataFrame:
+    """item_id, text, answer of every distinct item with an id and a text."""
+    answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text", answer.alias("answer"))
+    return items.filter("text IS NOT NULL AND item_id IS NOT NULL").distinct()
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, cosine, lcs, answer, at of every contaminated document and item."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text", answer.alias("answer"))
-    items = materialise(items.filter("text IS NOT NULL").distinct(), "benchmark")
-    tokens = materialise(token_table(docs), "tokens")
-    counts = passage_counts(tokens)
-    idf = inverse_frequency(counts)
-    sketch = corpus_sketch(tokens, idf)
-    blocks = max(1, -(-items.count() // ITEM_BLOCK))
+    items = materialise(benchmark_items(benchmark), "benchmark")
+    own = materialise(token_table(items.select(F.col("item_id").alias("doc_id"), "text"), 0), "benchmark-tokens")
+    longest = own.agg(F.max(F.col("offset") + F.octet_length("words") / 4)).first()[0]
+    if longest is None:
+        return spark.createDataFrame([], match_schema(docs))
+    tokens = materialise(token_table(docs, int(longest) + 2 * room(int(longest)) + WINDOW), "tokens")
+    idf, basis = latent_space(tokens, own)
+    blocks = -(-items.count() // ITEM_BLOCK)
     found = spark.createDataFrame([], match_schema(tokens))
-    hashes = WordHashes()
     for b in range(blocks):
-        some = []
-        for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect():  # about ITEM_BLOCK rows
-            words = word_hashes(r.text, hashes)
-            some.append(Item(r.item_id, words, word_hashes(r.answer, hashes) if r.answer is not None else words[-ANSWER_WORDS:]))
-        some = [i for i in some if len(i.words) and i.item_id is not None]
+        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()  # about ITEM_BLOCK rows
+        words, answers = ([w.astype(np.uint32) for w in word_hashes([r[name] for r in rows])] for name in ("text", "answer"))
+        some = [Item(r.item_id, w, a if r.answer is not None else w[-ANSWER_WORDS:]) for r, w, a in zip(rows, words, answers, strict=True) if len(w)]
         if some:
-            found = found.unionByName(search(tokens, Index(some, idf, sketch, int(counts[-1]))))
+            found = found.unionByName(search(tokens, Index(some, idf, basis)))
     found = materialise(found, "matches")
     best = F.max_by(F.struct("cosine", "lcs", "answer", "at"), F.struct("lcs", "cosine", -F.col("at"))).alias("best")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")

@@ -9,12 +9,16 @@ Events of one conversation are partitioned by `conv_id`, sorted by `seq` and fol
     delete      drops it
 
 The final messages are rendered with turn markers. `#`, `<` and the escape sign itself are written
-as escape pairs inside texts and roles, so no text can hold a marker and rendering is reversible.
-A loss mask covers the texts of assistant turns as code-point spans.
+as escape pairs inside texts and roles, and `:` inside roles, so no text can hold a marker, no role ends
+before its end, and rendering is reversible. A loss mask covers the texts of assistant turns as
+code-point spans. A conversation is folded in one task, as its order is the result; others run beside it.
 
 Defined results: a null text is empty, a null role is the role `unknown`, events with a null `turn`
 are dropped, events with equal `seq` are folded by kind, then text, and exact repeats of an event
-count once; two `message` events of one turn count as a replacement. An empty log renders nothing. Columns beyond those named are ignored.
+count once; two `message` events of one turn count as a replacement. A table of turns becomes a log in
+which every row is a message of its own: rows that repeat a turn stay, by role and then text, and rows
+without a turn come last. A null `conv_id` is a conversation. An empty log renders nothing. Columns
+beyond those named are ignored.
 """
 
 from __future__ import annotations
@@ -26,17 +30,18 @@ EVENTS = "conv_id long, seq long, turn long, kind string, role string, text stri
 HEAD, SPLIT, TAIL = "### ", ":\n", "</turn>\n"
 #: Escape pairs; the escape sign comes first when writing and last when reading.
 PAIRS = (("\\", "\\b"), ("#", "\\h"), ("<", "\\l"))
+ROLE_PAIRS = (*PAIRS, (":", "\\c"))
 LOSS_ROLE = "assistant"
 
 
-def escape(text: Column) -> Column:
-    for raw, safe in PAIRS:
+def escape(text: Column, pairs=PAIRS) -> Column:
+    for raw, safe in pairs:
         text = F.replace(text, F.lit(raw), F.lit(safe))
     return text
 
 
-def unescape(text: Column) -> Column:
-    for raw, safe in reversed(PAIRS):
+def unescape(text: Column, pairs=PAIRS) -> Column:
+    for raw, safe in reversed(pairs):
         text = F.replace(text, F.lit(safe), F.lit(raw))
     return text
 
@@ -85,7 +90,7 @@ def render(messages: DataFrame) -> DataFrame:
     `segments` lists every turn in order with the code-point span of its escaped text in
     `formatted` and whether the loss covers it.
     """
-    head = F.concat(F.lit(HEAD), escape(F.col("role")), F.lit(SPLIT))
+    head = F.concat(F.lit(HEAD), escape(F.col("role"), ROLE_PAIRS), F.lit(SPLIT))
     body = escape(F.col("text"))
     turns = messages.select("conv_id", "turn", "role", head.alias("head"), body.alias("body"))
     size = F.char_length("head") + F.char_length("body") + F.lit(len(TAIL))
@@ -117,7 +122,7 @@ def parse(rendered: DataFrame) -> DataFrame:
     pieces = F.split(F.col("formatted"), F.lit("</turn>\\n"), -1)
     pieces = F.slice(pieces, 1, F.size(pieces) - 1)
     numbered = F.arrays_zip(pieces.alias("piece"), F.col("segments").alias("segment"))
-    role = lambda p: unescape(F.substring(F.substring_index(p, SPLIT, 1), len(HEAD) + 1, 1 << 30))
+    role = lambda p: unescape(F.substring(F.substring_index(p, SPLIT, 1), len(HEAD) + 1, 1 << 30), ROLE_PAIRS)
     text = lambda p: unescape(F.substr(p, F.char_length(F.substring_index(p, SPLIT, 1)) + F.lit(len(SPLIT) + 1)))
     marked = F.filter("numbered", lambda x: x["segment"]["loss"])
     under = lambda x: unescape(
@@ -136,8 +141,13 @@ def parse(rendered: DataFrame) -> DataFrame:
 
 
 def as_events(conversations: DataFrame) -> DataFrame:
-    """A table of turns as an event log: every turn streams in as an opening and one delta."""
-    row = conversations.select("conv_id", "turn", "role", "text")
+    """A table of turns as an event log: every row streams in as an opening and one delta of a message of its own.
+
+    Messages are numbered within the conversation in the order of turn, role and text.
+    """
+    role, text = F.coalesce("role", F.lit("unknown")), F.coalesce("text", F.lit(""))
+    place = Window.partitionBy("conv_id").orderBy(F.asc_nulls_last("turn"), "role", "text")
+    row = conversations.select("conv_id", "turn", role.alias("role"), text.alias("text")).select("conv_id", F.row_number().over(place).cast("long").alias("turn"), "role", "text")
     return row.select(
         "conv_id",
         "turn",
@@ -178,15 +188,15 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP9_SQL = r"""
 WITH t AS (
-  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
   UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
 )
 SELECT conv_id, count(*) AS n_turns,
-       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
-       sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
-       sum(14 + length(role) + length(text)
-           + length(text) - length(replace(replace(replace(text, '\', ''), '#', ''), '<', '')))::BIGINT AS formatted_chars
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(14 + length(role) + length(role) - length(replace(replace(replace(replace(role, '\', ''), '#', ''), '<', ''), ':', ''))
+           + length(text) + length(text) - length(replace(replace(replace(text, '\', ''), '#', ''), '<', '')))::BIGINT AS formatted_chars
 FROM t GROUP BY conv_id
 """

@@ -48,6 +48,33 @@ def test_render_and_parse_round_trip(spark):
     assert [r.formatted[s.start : s.stop] for s in segments if s.loss] == [t.replace("\\", "\\b").replace("#", "\\h").replace("<", "\\l") for t in texts]
 
 
+def test_roles_that_hold_the_separator(spark):
+    messages = [(1, 0, "a:\nb", "x:\ny"), (1, 1, ":", ""), (1, 2, "\\c:\n", ":\n"), (1, 3, "assistant", ":\n")]
+    r = C.parse(C.render(spark.createDataFrame(messages, "conv_id long, turn long, role string, text string"))).collect()[0]
+    assert [(t.role, t.text) for t in r.turns] == [m[2:] for m in messages] and r.loss_texts == [":\n"]
+
+
+def test_query_agrees_with_its_sql_on_ties_repeats_and_nulls(spark, tmp_path):
+    import duckdb
+
+    rng = random.Random(8)
+    pick = lambda *x: rng.choice(x)
+    rows = [(pick(1, 2, 3, 4, None), pick(0, 1, 2, None), pick("user", "assistant", "a:\nb", "r#<", None), pick("hi", "yo", "", None, "<\\#", "é😀")) for _ in range(120)]
+    rows += [(5, 0, "user", "hi"), (5, 0, "user", "yo"), (6, 1, "assistant", "same"), (6, 1, "assistant", "same"), (7, None, None, None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = C.op9_chat_format(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.execute(C.OP9_SQL).fetchall()
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert {r.conv_id: r.n_turns for r in got.collect()}[6] == 2
+
+
+def test_main_path_is_native(spark):
+    plan = C.op9_chat_format(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 def test_nulls_empty_log_and_repeats(spark):
     log = spark.createDataFrame(
         [(1, 0, 0, "message", None, None), (1, 1, 0, "delta", None, "hi"), (1, 1, 0, "delta", None, "hi"), (1, 2, None, "delta", "user", "x")], C.EVENTS

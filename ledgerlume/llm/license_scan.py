@@ -9,8 +9,8 @@ left out without loss; the marker words are computed from the templates, not cho
 With BANDS bands of one row each, a window and a template with Jaccard similarity s meet with
 probability 1 - (1 - s) ** BANDS: above 1 - 1e-14 at s = 0.8.
 
-A match needs THRESHOLD of a template's shingles within the window. For a document and template the
-best window is reported, of equal ones the first.
+A match needs THRESHOLD of a piece's shingles within the window, and THRESHOLD of a template's pieces. For a
+document and template the best windows count, of equal ones the first.
 
 Defined results: words are lower-case runs of letters and digits (dots between digits stay), so case
 and punctuation don't matter; null and empty texts have no matches; texts shorter than a template
@@ -26,24 +26,11 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .licenses import TEMPLATES
+
 WORDS, THRESHOLD, BANDS = 5, 0.8, 20
-LONGEST_WINDOW = 48
-
-# Notices of public licences.
-TEMPLATES = {
-    "mit-notice": "Released under the MIT License.",
-    "apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
-    "gpl-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
-    "cc-by-nc-4.0-notice": "Licensed under CC BY-NC 4.0.",
-    "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
-    "apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
-    "gpl-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "bsd-redistribution": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
-    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-}
+#: Templates of more words than LONGEST_WINDOW are cut into pieces of PIECE words, so few lengths of windows are needed.
+LONGEST_WINDOW, PIECE = 48, 32
 
 # Frequent English words, the last choice as marker words.
 COMMON = set("a an and any are as at be by can do for from if in is it may no not of on one or so that the this to was which with you".split())
@@ -58,15 +45,14 @@ def python_words(text: str) -> list[str]:
 
 
 def template_pieces(templates: dict[str, str]) -> list[tuple[str, int, list[str]]]:
-    """(template, piece number, words): long templates are cut so that windows stay short."""
+    """(template, piece number, words): long templates are cut so that windows stay short; the last piece ends with its template."""
     out = []
     for name, text in sorted(templates.items()):
         words = python_words(text)
         if len(words) < WORDS:
             raise ValueError(f"{name} has fewer than {WORDS} words")
-        n = -(-len(words) // LONGEST_WINDOW)
-        size = -(-len(words) // n)
-        out += [(name, i, words[i * size : (i + 1) * size]) for i in range(n)]
+        starts = [0] if len(words) <= LONGEST_WINDOW else [*range(0, len(words) - PIECE, PIECE), len(words) - PIECE]
+        out += [(name, i, words[a : a + (PIECE if len(starts) > 1 else len(words))]) for i, a in enumerate(starts)]
     return out
 
 
@@ -116,7 +102,7 @@ def windows(docs: DataFrame, templates: dict[str, str]) -> DataFrame:
     lengths = sorted({len(words) for _, _, words in pieces})
     markers = marker_words(pieces)
     near = r"(?i)(?<![\p{L}\p{N}])(?:" + "|".join(map(re.escape, markers)) + r")(?![\p{L}\p{N}])"
-    rows = docs.select("doc_id", "text").filter(F.col("text").rlike(near)).dropDuplicates()
+    rows = docs.select("doc_id", "text").filter(F.col("text").rlike(near))
     rows = rows.select("doc_id", words_of(F.col("text")).alias("words"))
     marked = F.filter(
         F.transform("words", lambda w, i: F.when(w.isin(*markers), i)), lambda i: i.isNotNull()
@@ -154,7 +140,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
         F.count(F.lit(1)).alias("found"), F.min("best.at").alias("at"), F.sum("best.share").alias("shares")
     )
     done = whole.filter(F.col("found") >= F.ceil(THRESHOLD * F.col("pieces")))
-    return done.select("doc_id", "template", "at", F.least(F.lit(1.0), F.col("shares") / F.col("pieces")).alias("containment"))
+    return done.select("doc_id", "template", "at", F.round(F.least(F.lit(1.0), F.col("shares") / F.col("pieces")), 9).alias("containment"))
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ def brute(text):
     for name, bests in found.items():
         good = [b for b in bests if b[0] >= S.THRESHOLD]
         if len(good) >= S.THRESHOLD * len(bests):
-            out[name] = (min(-b[1] for b in good), sum(b[0] for b in good) / len(bests))
+            out[name] = (min(-b[1] for b in good), round(sum(b[0] for b in good) / len(bests), 9))
     return out
 
 

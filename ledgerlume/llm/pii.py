@@ -6,8 +6,11 @@ boundary of an address, number or account and validates it. Parsers never look b
 their own kind has already taken, so every kind yields leftmost, non-overlapping spans and the cost
 stays in proportion to the text.
 
-Kinds: email, ip, card, phone (the base kinds), then url (`scheme://` or `mailto:`) and account
-(an identifier cue such as `iban` or `account`, then 6 to 34 letters and digits with a digit).
+Kinds: email, ip, card, phone (the base kinds), then url (`scheme://` or `mailto:`), account (what an
+identifier cue announces, checked for its kind: an IBAN by its remainder modulo 97, a social security
+number by its nine digits, other numbers by 6 to 34 letters and digits, half of them digits) and secret
+(a key, token or password that is assigned: 16 signs or more, letters and digits mixed). Longer runs are
+no identifiers; cues and schemes count in lower case, capitals, or with a capital.
 Offsets are code points, the end exclusive. Base kinds are ASCII only.
 
 Defined results: a null or empty text has no spans; whole texts are searched at any length; repeated
@@ -25,18 +28,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-KINDS = ("email", "ip", "card", "phone", "url", "account")
+from .storage import bounded_batches
+
+KINDS = ("email", "ip", "card", "phone", "url", "account", "secret")
 BASE = KINDS[:4]
 RANK = {k: i for i, k in enumerate(KINDS)}
 
 # Anchors of the added kinds.
 SCHEMES = ("http://", "https://", "ftp://", "sftp://", "ws://", "wss://", "mailto:")
-CUES = ("iban", "account", "acct", "a/c", "konto", "compte", "cuenta", "ssn", "passport", "passeport", "pasaporte", "reisepass")
+IBAN_CUES, SSN_CUES, PASSPORT_CUES = ("iban",), ("ssn",), ("passport", "passeport", "pasaporte", "reisepass")
+ACCOUNT_CUES = ("account", "acct", "a/c", "konto", "compte", "cuenta")
+SECRET_CUES = ("token", "secret", "password", "passwd", "api_key", "api-key", "apikey", "access_key", "private_key", "bearer")
+NUMBER_WORDS = frozenset("number no nr num is numero número nummer".split())
+#: Fewest and most signs of an identifier by the kind of its cue, and of a secret.
+SIZES = {"iban": (15, 34), "ssn": (9, 9), "passport": (6, 9), "account": (6, 34)}
+LEAST_SECRET, MOST_SECRET = 16, 512
 
 DIGITS = frozenset("0123456789")
 LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 LOCAL = LETTERS | DIGITS | frozenset("._%+-")
-LABEL = LETTERS | DIGITS | frozenset("-")
+LABEL, SIGNS = LETTERS | DIGITS | frozenset("-"), LETTERS | DIGITS
+KEY = SIGNS | frozenset("_+/=.-")
 DIAL = DIGITS | frozenset(" ().-")
 URL_STOP = frozenset(" \t\r\n\v\f<>\"'`|\\^{}")
 
@@ -47,11 +59,14 @@ def build_automaton() -> ahocorasick.Automaton:
         found.add_word(c, ("digit", 1))
     found.add_word("@", ("at", 1))
     found.add_word("+", ("plus", 1))
+    forms = lambda word: {word, word.upper(), word.capitalize()}
     for word in SCHEMES:
-        found.add_word(word, ("scheme", len(word)))
-    for cue in CUES:
-        for form in {cue, cue.upper(), cue.capitalize()}:
-            found.add_word(form, ("cue", len(form)))
+        for form in forms(word):
+            found.add_word(form, ("scheme", len(form)))
+    for kind, words in (("iban", IBAN_CUES), ("ssn", SSN_CUES), ("passport", PASSPORT_CUES), ("account", ACCOUNT_CUES), ("secret", SECRET_CUES)):
+        for word in words:
+            for form in forms(word):
+                found.add_word(form, (kind, len(form)))
     found.make_automaton()
     return found
 
@@ -142,21 +157,77 @@ def parse_url(s: str, start: int, body: int) -> tuple[int, int] | None:
     return (start, end) if end - body > 3 and "." in s[body:end] else None
 
 
-def parse_account(s: str, after: int) -> tuple[int, int] | None:
-    """The identifier that follows a cue: at most four signs of joining, then grouped characters."""
-    n, i = len(s), after
-    while i < n and i - after < 4 and s[i] in " :#.=":
-        i += 1
+def valid_iban(signs: str) -> bool:
+    """Two letters, two check digits, and the remainder 1 modulo 97 with these moved to the end."""
+    if not (signs[:2].isalpha() and signs[2:4].isdigit()):
+        return False
+    return int("".join(str(int(c, 36)) for c in signs[4:] + signs[:4])) % 97 == 1
+
+
+def joined(s: str, i: int) -> int:
+    """Where at most four signs of joining end."""
+    end = i
+    while end < len(s) and end - i < 4 and s[end] in " :#.=":
+        end += 1
+    return end
+
+
+def parse_account(s: str, after: int, kind: str) -> tuple[int, int] | None:
+    """The identifier that follows a cue, past joining signs and words like `number`: groups of letters and digits.
+
+    Groups after the first hold a digit each and stand one space or hyphen apart. An IBAN ends with the
+    last group that makes it valid.
+    """
+    i = joined(s, after)
     if i == after:
         return None
-    start, end, size, numeric = i, i, 0, 0
-    while i < n and size < 34:
-        if s[i] in DIGITS or ("A" <= s[i] <= "Z"):
-            size, numeric, end = size + 1, numeric + (s[i] in DIGITS), i + 1
-        elif not (s[i] in " -" and i + 1 < n and (s[i + 1] in DIGITS or "A" <= s[i + 1] <= "Z") and size):
+    for _ in range(2):
+        word = i
+        while word < len(s) and s[word].isalpha():
+            word += 1
+        if s[i:word].lower() not in NUMBER_WORDS or (step := joined(s, word)) == word:
             break
-        i += 1
-    return (start, end) if size >= 6 and numeric * 2 >= size else None
+        i = step
+    least, most = SIZES[kind]
+    start, ends, signs, digits = i, [], "", 0
+    while len(signs) <= most:
+        end = i
+        while end < len(s) and s[end] in SIGNS and end - i <= most:
+            end += 1
+        group = s[i:end]
+        if not group or (ends and not any(c in DIGITS for c in group)):
+            break
+        signs, digits = signs + group, digits + sum(c in DIGITS for c in group)
+        ends.append((end, len(signs)))
+        if end + 1 < len(s) and s[end] in " -" and s[end + 1] in SIGNS:
+            i = end + 1
+        else:
+            break
+    if kind == "iban":
+        for end, size in reversed(ends):
+            if least <= size <= most and valid_iban(signs[:size].upper()):
+                return start, end
+        return None
+    if not ends or not least <= len(signs) <= most or digits * 2 < len(signs) or (kind == "ssn" and digits < 9):
+        return None
+    return start, ends[-1][0]
+
+
+def parse_secret(s: str, after: int, cue: str) -> tuple[int, int] | None:
+    """The value that is assigned to a key's name, without its quotes."""
+    n, i, told = len(s), after, cue == "bearer"
+    while i < n and i - after < 6 and s[i] in " \t\"':=>":
+        told, i = told or s[i] in ":=", i + 1
+    if i == after or not told:
+        return None
+    end = i
+    while end < n and s[end] in KEY and end - i <= MOST_SECRET:
+        end += 1
+    while end > i and s[end - 1] in ".-":
+        end -= 1
+    value = s[i:end]
+    mixed = any(c in DIGITS for c in value) and any(c in LETTERS for c in value) and len(set(value)) >= 8
+    return (i, end) if LEAST_SECRET <= len(value) <= MOST_SECRET and mixed else None
 
 
 def find_spans(s: str, automaton: ahocorasick.Automaton) -> list[tuple[int, str, int]]:
@@ -190,10 +261,12 @@ def find_spans(s: str, automaton: ahocorasick.Automaton) -> list[tuple[int, str,
                 out.append((start, "url", span[1]))
                 taken["url"] = span[1]
         else:
-            start = last + 1 - size
-            if (start == 0 or not s[start - 1].isalnum()) and last + 1 >= taken["account"] and (span := parse_account(s, last + 1)):
-                out.append((span[0], "account", span[1]))
-                taken["account"] = span[1]
+            start, kind = last + 1 - size, "secret" if anchor == "secret" else "account"
+            if (start == 0 or not s[start - 1].isalnum()) and last + 1 >= taken[kind]:
+                span = parse_secret(s, last + 1, s[start : last + 1].lower()) if kind == "secret" else parse_account(s, last + 1, anchor)
+                if span:
+                    out.append((span[0], kind, span[1]))
+                    taken[kind] = span[1]
     out.sort(key=lambda x: (x[0], RANK[x[1]]))
     return out
 
@@ -212,6 +285,8 @@ SPANS = T.StructType(
 def detect(docs: DataFrame) -> DataFrame:
     """doc_id and spans (kind, start, stop) of every row."""
 
+    bounded_batches(docs.sparkSession)
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = build_automaton()
         kind_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int64())]))

@@ -38,6 +38,25 @@ def test_planted_forms():
     assert [k for _, k, _ in more if k not in P.BASE] == ["url", "account", "account"]
 
 
+def found(s):
+    return [(k, s[a:b]) for a, k, b in P.find_spans(s, P.build_automaton()) if k not in P.BASE]
+
+
+def test_identifiers_are_checked_by_their_kind():
+    assert found("IBAN: de89 3704 0044 0532 0130 00 und 4 mehr") == [("account", "de89 3704 0044 0532 0130 00")]
+    assert found("iban DE88 3704 0044 0532 0130 00") == [] and found("IBAN GB82WEST12345698765432 4 x") == [("account", "GB82WEST12345698765432")]
+    assert found("Account number 12345678, passport no. X1234567; SSN is 123-45-6789") == [("account", "12345678"), ("account", "X1234567"), ("account", "123-45-6789")]
+    assert found("account 12345") == [] and found("account " + "1" * 35) == [] and found("ssn 12-34") == [] and found("accounting 12345678") == [] and found("account closed 2019") == []
+    assert found("HTTPS://A.example/x now") == [("url", "HTTPS://A.example/x")]
+
+
+def test_secrets_that_are_assigned():
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    assert found(f'token = "{key}"!!') == [("secret", key)] and found(f"API_KEY: '{key}'") == [("secret", key)] and found(f"Bearer {key}.") == [("secret", key)]
+    assert found(f"token {key}") == [] and found("token = short1") == [] and found("password: aaaaaaaaaaaaaaaaaaaaaaaa1") == [] and found("tokens = " + key) == []
+    assert found("token = " + "a1b2c3d4" * 100) == []
+
+
 def test_nulls_long_texts_repeats_and_extra_columns(spark):
     long = "word " * 100_000 + "a@b.co"
     docs = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, long, "x"), (3, long, "x"), (None, "a@b.co", "x")], "doc_id long, text string, spans string")

@@ -3,7 +3,7 @@
 Texts become lower-case letters with single spaces for all else; n-grams of one to three characters
 are hashed into a fixed number of buckets. Training counts are summed by Spark, one row per language
 and bucket, and become a log-probability matrix of fixed size (buckets x languages), which is
-broadcast. Scoring is a sparse gather and sum in numpy, batch by batch.
+broadcast. Scoring multiplies a batch's sparse gram counts with it in numpy.
 
 Defined results: a null text or one without a letter is `und` with score 0; whole texts are read at
 any length; ties go to the language that sorts first; rows without a language never train; with no
@@ -20,8 +20,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .storage import bounded_batches
+
 BUCKETS, ORDERS, SMOOTHING = 1 << 14, (1, 2, 3), 0.5
 MAX_LANGUAGES = 512
+#: Grams that one step of the product gathers.
+STEP = 1 << 15
 UNKNOWN = "und"
 
 _folded: list[np.ndarray] = []
@@ -120,30 +124,33 @@ class Model:
                 matrix[i, bucket] = n
         return cls([r.lang for r in rows], matrix)
 
-    def score(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.languages:
-            return UNKNOWN, 0.0
-        ids, any_letter = grams(text)
-        if not any_letter:
-            return UNKNOWN, 0.0
-        if len(ids) > BUCKETS // 8:
-            total = np.bincount(ids, minlength=BUCKETS) @ self.log_p
-        else:
-            total = self.log_p[ids].sum(0)
-        best = int(total.argmax())
-        return self.languages[best], float(1.0 / np.exp(total - total[best]).sum())
+    def score(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """Best language and its probability of every text: the batch's gram counts times the log-probabilities, as a sparse product."""
+        found = [grams(text)[0] if text and self.languages else np.zeros(0, np.int64) for text in texts]
+        size = np.array([len(ids) for ids in found], np.int64)
+        flat, owner = np.concatenate([np.zeros(0, np.int64), *found]), np.repeat(np.arange(len(texts)), size)
+        total = np.zeros((len(texts), len(self.languages)))
+        for low in range(0, len(flat), STEP):
+            of = owner[low : low + STEP]
+            first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+            total[of[first]] += np.add.reduceat(self.log_p[flat[low : low + STEP]], first, axis=0)
+        known = size > 0
+        best = total.argmax(1) if self.languages else np.zeros(len(texts), int)
+        share = 1.0 / np.exp(total - total.max(1, keepdims=True)).sum(1) if self.languages else np.zeros(len(texts))
+        return [self.languages[i] if k else UNKNOWN for i, k in zip(best, known, strict=True)], [float(x) if k else 0.0 for x, k in zip(share, known, strict=True)]
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score of every row."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            got = [m.score(text) for text in batch.column(1).to_pylist()]
+            lang, share = m.score(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())],
+                [batch.column(0), pa.array(lang, pa.string()), pa.array(share, pa.float64())],
                 names=["doc_id", "lang_pred", "score"],
             )
 

@@ -26,7 +26,8 @@ def test_scores_match_a_plain_calculation(spark):
     total = {k: sum(v.values()) + L.SMOOTHING * L.BUCKETS for k, v in counts.items()}
     ids = L.grams("abz")[0].tolist()
     sums = {k: sum(log((counts[k][i] + L.SMOOTHING) / total[k]) for i in ids) for k in counts}
-    lang, score = model.score("abz")
+    (lang, _, other), (score, _, third) = model.score(["abz", None, "xyz " * 40_000])
+    assert other == "y" and third > 0.99
     best = max(sums, key=sums.get)
     assert lang == best and abs(score - 1 / sum(exp(v - sums[best]) for v in sums.values())) < 1e-4
 

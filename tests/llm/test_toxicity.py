@@ -48,6 +48,69 @@ def test_severity_grows_with_the_share_of_toxic_words(spark):
     assert by_id[None].toxic and X.score(frame.limit(0), X.Model.fit(frame, labels)).count() == 0
 
 
+def plain_features(word):
+    import xxhash
+
+    forms = [b"w" + word.encode()] + [b"p" + word[:n].encode() for n in (3, 4, 5, 6) if len(word) >= n]
+    return [xxhash.xxh3_64_intdigest(f) % X.BUCKETS for f in forms]
+
+
+def small_world():
+    import random
+
+    rng, words = random.Random(9), [f"wort{i}" for i in range(60)] + ["vile", "viler", "foul"]
+    texts, labels = {}, {}
+    for i in range(300):
+        body = rng.choices(words[:60], k=rng.randrange(3, 260))
+        labels[i] = int(rng.random() < 0.3)
+        if labels[i]:
+            at = rng.randrange(len(body))
+            body[at:at] = rng.choices(words[60:], k=rng.randrange(2, 9))
+        texts[i] = " ".join(body)
+    return texts, labels
+
+
+def test_statistics_of_the_features_match_a_plain_calculation(spark):
+    texts, labels = small_world()
+    train = spark.createDataFrame([(texts[i], labels[i]) for i in texts], "text string, label int")
+    got = {r.feature: r.z for r in X.telling_features(train).collect()}
+    held = {0: {}, 1: {}}
+    for i, text in texts.items():
+        for f in {f for w in set(text.split()) for f in plain_features(w)}:
+            held[labels[i]][f] = held[labels[i]].get(f, 0) + 1
+    clean, toxic = sum(v == 0 for v in labels.values()), sum(labels.values())
+    want = {}
+    for f in set(held[0]) | set(held[1]):
+        a, b = held[0].get(f, 0), held[1].get(f, 0)
+        share = (a + b) / (clean + toxic)
+        z = (b / toxic - a / clean) / max(share * (1 - share), 1e-9) ** 0.5 / (1 / clean + 1 / toxic) ** 0.5
+        if a + b >= X.LEAST_DOCS and z >= X.LEAST_Z:
+            want[f] = z
+    assert set(got) == set(want) and want and all(abs(got[f] - want[f]) < 1e-9 for f in want)
+
+
+def test_query_matches_a_plain_calculation(spark, tmp_path):
+    """The model as fitted, every window of every text by loops."""
+    texts, labels = small_world()
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    known = spark.createDataFrame([(i, 1, t) for i, t in labels.items()], "doc_id long, quality int, toxic int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    known.write.parquet(f"{tmp_path}/labels.parquet")
+    model = X.Model.fit(docs, known)
+    got = {r.doc_id: r for r in X.op7_toxicity(spark, str(tmp_path)).collect()}
+    for i, text in texts.items():
+        words = text.split()
+        starts = sorted({min(s, max(0, len(words) - X.WINDOW)) for s in range(0, max(1, len(words) - X.WINDOW + X.STRIDE), X.STRIDE)})
+        best = -np.inf
+        for s in starts:
+            seen = [model.column_of[f] for w in words[s : s + X.WINDOW] for f in plain_features(w) if f in model.column_of]
+            scale = X.SCALE / min(X.WINDOW, len(words))
+            best = max(best, sum(min(1.0, seen.count(c) * scale) * model.ordinal.weights[c] for c in set(seen)))
+        p = 1 / (1 + np.exp(model.ordinal.thresholds - best))
+        assert abs(got[i].severity - p.sum()) < 1e-6 and got[i].toxic == (p[0] >= 0.5)
+    assert np.mean([got[i].toxic == bool(labels[i]) for i in texts]) > 0.95
+
+
 def test_one_kind_of_label_only(spark):
     frame = spark.createDataFrame([(1, "a b c d", 0)], "doc_id long, text string, toxic int")
     for rows in ([], [(1, 1, 0)]):

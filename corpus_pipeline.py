@@ -1,8 +1,12 @@
 """The corpus preparation pipeline: filter, deduplicate, decontaminate, tokenise.
 
 Every stage takes (spark, docs, sf_dir) and works on all documents its predecessor kept; `run` writes
-each stage's rows to the shared folder before the next one reads them. All stages but the last return
-the columns of `documents`; the last returns doc_id, n_tokens, ids_sha256, decoded_sha256.
+each stage's rows to the shared folder before the next one reads them, and then deletes what the stage
+itself had written there. All stages but the last return the columns of `documents`, extra ones too; the
+last returns doc_id, n_tokens, ids_sha256, decoded_sha256.
+
+Rows are told apart by id and text: null ids and ids that stand for several texts lose no document. A null
+text is the empty text. Empty tables pass through every stage.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlume.llm import bpe, decontaminate, exact_dedup, minhash, quality
-from ledgerlume.llm.storage import materialise
+from ledgerlume.llm.storage import fresh_path, scratch
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,5 +58,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = fresh_path(spark, f"pipeline-{name}")
+        with scratch(spark):
+            kept = stage(spark, docs, sf_dir)
+            kept.write.parquet(path)
+        docs = spark.read.schema(kept.schema).parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -12,10 +12,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Corrections that lift a field to the next level, and how confidence moves.
-LEVELS, DELTA_LIMIT, LOSS, GAIN = ((7, 4), (5, 3), (3, 2)), 20, 8, 5
-
-
 def ordered_fold(df: DataFrame, key: str, order: list[str], columns: list[str], start: Callable, step: Callable, out: str) -> DataFrame:
     """Rows (key, *order, *columns) through `step(state, row) -> (state, outputs)`, a fresh state per key.
 
@@ -43,29 +39,6 @@ def ordered_fold(df: DataFrame, key: str, order: list[str], columns: list[str],
     return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, f"{kept}, {out}")
 
 
-def learning(corrections: DataFrame) -> DataFrame:
-    """Per field: corrections so far, level, and the clamped change of confidence, after each correction.
-
-    A correction that confirms the value (`confirms`) gives GAIN, another takes LOSS once level 2 is reached.
-    """
-
-    def step(state, row):
-        count, delta = state
-        confirms = row[2]
-        count += 0 if confirms else 1
-        level = next((to for least, to in LEVELS if count >= least), 1)
-        change = GAIN if confirms else -LOSS if level >= 2 else 0
-        delta = max(-DELTA_LIMIT, min(DELTA_LIMIT, delta + change))
-        return (count, delta), (count, level, delta)
-
-    return ordered_fold(corrections, "field", ["seq"], ["confirms"], lambda: (0, 0), step, "corrections long, level long, delta long")
-
-
-def frozen_fields(corrections: DataFrame) -> DataFrame:
-    """Fields whose validated corrections contradict one another."""
-    return corrections.filter("NOT confirms").groupBy("document", "field").agg(F.count_distinct("entry").alias("values")).filter("values >= 2")
-
-
 def rate_limited(events: DataFrame, most: int, seconds: int) -> DataFrame:
     """Whether each event of a caller is let through: at most `most` in windows that open with a caller's first event."""
 

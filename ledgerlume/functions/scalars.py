@@ -154,7 +154,8 @@ def parse_date(text: Column) -> Column:
 
 
 def fixed(value: Column, places: int) -> Column:
-    return F.format_string(f"%.{places}f", value)
+    """A number with so many decimals; null for null."""
+    return F.when(value.isNotNull(), F.format_string(f"%.{places}f", value))
 
 
 def normal_money(text: Column) -> Column:
@@ -187,17 +188,21 @@ def normal_boolean(text: Column) -> Column:
     return F.when(t.isin("true", "sim", "1", "retido"), "true").when(t.isin("false", "nao", "não", "0"), "false").otherwise(t)
 
 
+#: Normal forms by the kind of a value; any other kind is trimmed.
+NORMAL = {"money": normal_money, "cnpj": normal_tax_id, "cpf": normal_tax_id, "date": normal_date, "percent": normal_percent, "text": normal_text, "boolean": normal_boolean}
+
+
+def normal_form(text: Column, kind: str) -> Column:
+    """The normal form of a value whose kind is known beforehand."""
+    return NORMAL.get(kind, F.trim)(text)
+
+
 def normalise(text: Column, kind: Column) -> Column:
-    """By kind: money, cnpj, cpf, date, percent, text, boolean; anything else is trimmed."""
-    return (
-        F.when(kind == "money", normal_money(text))
-        .when(kind.isin("cnpj", "cpf"), normal_tax_id(text))
-        .when(kind == "date", normal_date(text))
-        .when(kind == "percent", normal_percent(text))
-        .when(kind == "text", normal_text(text))
-        .when(kind == "boolean", normal_boolean(text))
-        .otherwise(F.trim(text))
-    )
+    """The normal form of a value by its row's kind."""
+    out = F.when(F.lit(False), text)
+    for name, form in NORMAL.items():
+        out = out.when(kind == name, form(text))
+    return out.otherwise(F.trim(text))
 
 
 def bigrams(text: Column) -> Column:
@@ -218,15 +223,15 @@ def dice(a: Column, b: Column) -> Column:
 
 def concordance(raw_a: Column, raw_b: Column, a: Column, b: Column) -> Column:
     """How two readings of a field and their normalised forms agree; never null."""
-    likeness = dice(a, b)
+    unlike = let(  # worked out once, and only where the other cases leave it open
+        dice(a, b), lambda d: F.when(d >= 0.95, "DIVERGENCIA_LEVE").when(d >= 0.75, "DIVERGENCIA_MODERADA").otherwise("DIVERGENCIA_CRITICA")
+    )
     return (
         F.when(a.isNull() & b.isNull(), "CONCORDANCIA_TOTAL")
         .when(a.isNull() | b.isNull(), "DIVERGENCIA_MODERADA")
         .when((a == b) & (F.coalesce(raw_a, F.lit("")) == F.coalesce(raw_b, F.lit(""))), "CONCORDANCIA_TOTAL")
         .when(a == b, "CONCORDANCIA_FUNCIONAL")
-        .when(likeness >= 0.95, "DIVERGENCIA_LEVE")
-        .when(likeness >= 0.75, "DIVERGENCIA_MODERADA")
-        .otherwise("DIVERGENCIA_CRITICA")
+        .otherwise(unlike)
     )
 
 
@@ -236,20 +241,12 @@ def repair_digits(text: Column) -> Column:
 
 
 def _repair(text: Column) -> Column:
-    near = r"[\d./\-]"
-    places = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
-    out = F.transform(
-        places,
-        lambda i: _repaired(F.substring(text, i, F.lit(1)), (F.when(i > 1, F.substring(text, i - 1, F.lit(1))).otherwise("")).rlike(near) | F.substring(text, i + 1, F.lit(1)).rlike(near)),
-    )
-    return F.when(F.length(text) == 0, text).otherwise(F.array_join(out, ""))
-
-
-def _repaired(c: Column, numeric: Column) -> Column:
-    out = F.when(F.lit(False), c)
+    """Letters to repair are marked in one pass over the text as read, then replaced one kind after the other."""
+    letters, near, mark = "".join(letter for letter, _ in OCR_DIGITS), r"[\d./\-]", "\ue000"
+    text = F.regexp_replace(text, rf"(?<={near})([{letters}])|([{letters}])(?={near})", f"{mark}$1$2")
     for letter, digit in OCR_DIGITS:
-        out = out.when(numeric & (c == letter), digit)
-    return out.otherwise(c)
+        text = F.replace(text, F.lit(mark + letter), F.lit(digit))
+    return text
 
 
 def djb2(text: Column) -> Column:

@@ -46,11 +46,28 @@ def latest_values(audit: DataFrame) -> DataFrame:
     return audit.groupBy("document", "field").agg(F.max_by("entry", "seq").alias("entry"), F.max("seq").alias("seq"))
 
 
-def snapshot_diff(audit: DataFrame, at: int) -> DataFrame:
-    """Fields that differ between the state at a sequence number and the latest one, nulls included."""
-    old = latest_values(audit.filter(F.col("seq") <= at)).select("document", "field", F.col("entry").alias("old"))
-    new = latest_values(audit.filter(F.col("seq") > at // 2)).select("document", "field", F.col("entry").alias("new"))
-    return old.join(new, ["document", "field"], "full_outer").filter(~F.col("old").eqNullSafe(F.col("new")))
+def snapshot_diff(audit: DataFrame, at: int, later: int) -> DataFrame:
+    """Fields that differ between the whole states at two sequence numbers, nulls included."""
+    state = lambda seq, name: latest_values(audit.filter(F.col("seq") <= seq)).select("document", "field", F.col("entry").alias(name))
+    return state(at, "old").join(state(later, "new"), ["document", "field"], "full_outer").filter(~F.col("old").eqNullSafe(F.col("new")))
+
+
+def version_changes(audit: DataFrame) -> DataFrame:
+    """Every version of a document against the one before: how many fields it adds and changes.
+
+    A version is one event; the state before it is what each field held, so a field's own previous entry tells.
+    """
+    w = _history(["document", "field"])
+    before = F.lag(F.struct("entry")).over(w)
+    rows = audit.select("document", "seq", "entry", before.alias("before"))
+    kind = F.when(F.col("before").isNull(), "NOVO").when(~F.col("entry").eqNullSafe(F.col("before.entry")), "ALTERADO").otherwise("IGUAL")
+    return rows.select("document", F.row_number().over(Window.partitionBy("document").orderBy("seq")).alias("version"), "seq", kind.alias("change"), F.col("before.entry").alias("old"), F.col("entry").alias("new"))
+
+
+def latest_with_label(audit: DataFrame, severity: str) -> DataFrame:
+    """The latest version of every document that bears a label."""
+    rows = audit.filter(F.col("severity") == severity)
+    return rows.groupBy("document").agg(F.max_by(F.struct("seq", "field", "entry"), "seq").alias("x")).select("document", "x.*")
 
 
 def version_span(audit: DataFrame) -> DataFrame:
@@ -58,13 +75,13 @@ def version_span(audit: DataFrame) -> DataFrame:
 
 
 def canonical(*columns: str) -> Column:
-    """A row's columns as text, in a fixed order, for sealing."""
-    return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in sorted(columns)])
+    """A row's columns as JSON with sorted keys, nulls included, for sealing: different rows have different texts."""
+    return F.to_json(F.struct(*[F.col(c) for c in sorted(columns)]), {"ignoreNullFields": "false"})
 
 
 def sealed(audit: DataFrame) -> DataFrame:
     """Events with their seal."""
-    return audit.select("event_id", S.djb2(canonical("document", "field", "seq", "entry")).alias("seal"))
+    return audit.select("event_id", S.djb2(canonical("actor", "document", "entry", "event_id", "field", "seq", "severity")).alias("seal"))
 
 
 def integrity(audit: DataFrame, seals: DataFrame) -> DataFrame:
@@ -77,13 +94,24 @@ def integrity(audit: DataFrame, seals: DataFrame) -> DataFrame:
     )
 
 
-def search(audit: DataFrame, offset: int, most: int, **wanted) -> DataFrame:
-    """Equality filters and a page in order of arrival."""
+def search(audit: DataFrame, offset: int, most: int, since: str | None = None, until: str | None = None, **wanted) -> DataFrame:
+    """Equality filters, a range of time and a page in order of arrival."""
     for name, value in wanted.items():
         audit = audit.filter(F.col(name) == value)
+    if since:
+        audit = audit.filter(F.col("at") >= F.lit(since).cast("timestamp"))
+    if until:
+        audit = audit.filter(F.col("at") <= F.lit(until).cast("timestamp"))
     return audit.orderBy("seq").offset(offset).limit(most)
 
 
+def traces(audit: DataFrame) -> DataFrame:
+    """Every field's entries in order as one text: 'seq=entry -> ...'."""
+    steps = F.sort_array(F.collect_list(F.struct("seq", "entry")))
+    told = F.transform(steps, lambda x: F.concat(x["seq"].cast("string"), F.lit("="), x["entry"]))
+    return audit.groupBy("document", "field").agg(F.array_join(told, " -> ").alias("trace"))
+
+
 def sensitivity(category: Column, subcategory: Column, field: Column) -> Column:
     """How sensitive an event is; the first rule that holds decides."""
     return (

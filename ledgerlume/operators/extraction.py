@@ -90,17 +90,16 @@ def lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(S.segments(F.col("text"))).alias("pos", "line"))
 
 
-def after_label(found: Column, label: str) -> Column:
-    """The line after the first line that matches `label`, null without one."""
-    at = F.array_position(F.transform(found, lambda s: s.rlike(label)), True)
-    return F.when(at > 0, F.try_element_at(found, (at + 1).cast("int")))
-
-
 def grab(text: Column, pattern: str) -> Column:
     found = F.regexp_extract(text, pattern, 1)
     return F.when(found != "", found)
 
 
+def below(text: Column, label: str, lines: int = 1) -> Column:
+    """The line so many lines below the first one that begins with `label`; lines of `text` are trimmed and not empty."""
+    return grab(text, rf"(?m)^(?:{label})[^\n]*\n" + r"[^\n]*\n" * (lines - 1) + r"([^\n]+)")
+
+
 MONEY = r"R\$\s*([\d.]+,\d{2})"
 TAX_ID = r"([\dOlISBGZq]{2}\.[\dOlISBGZq]{3}\.[\dOlISBGZq]{3}/[\dOlISBGZq]{4}-[\dOlISBGZq]{2})"
 
@@ -122,84 +121,180 @@ PARTY_FIELDS = (("email", "E-mail"), ("telefone", "Telefone"), ("endereco", "End
 SECTION_WEIGHTS = (("cabecalho", 25), ("prestador", 20), ("tomador", 20), ("servicos", 15), ("financeiro", 15), ("fiscal", 5))
 
 
-def _long(rows: DataFrame, method: str, fields: dict[str, tuple[Column, Column, Column]]) -> DataFrame:
-    made = [
-        F.struct(F.lit(f).alias("field"), v.alias("value"), F.when(v.isNull(), 0.0).otherwise(c.cast("double")).alias("confidence"), F.when(v.isNull(), "campo_ausente").otherwise(h).alias("how"))
-        for f, (v, c, h) in fields.items()
-    ]
-    return rows.select("doc_id", F.lit(method).alias("method"), F.explode(F.array(*made)).alias("x")).select("doc_id", "method", "x.*")
+#: A field's value, how sure its reader is of it, and by which method it was read.
+Reading = dict[str, tuple[Column, Column, Column]]
 
 
-def by_labels(docs: DataFrame) -> DataFrame:
-    """First extraction: lines after labels, digits repaired where a scan took letters for them."""
-    rows = docs.select("doc_id", S.segments(F.col("text")).alias("s"))
-    s = F.col("s")
-    place = lambda label: F.array_position(F.transform(s, lambda x: x.rlike(label)), True).cast("int")
-    near = lambda label, step: F.when(place(label) > 0, F.try_element_at(s, place(label) + step))
-    joined = F.array_join(s, "\n")
-    money = lambda label: grab(joined, rf"(?m)^{label} = {MONEY}")
+def _told(reading: tuple[Column, Column, Column]) -> tuple[Column, Column, Column]:
+    """A reading in which what wasn't found has no confidence."""
+    value, confidence, how = reading
+    return value, F.when(value.isNull(), 0.0).otherwise(confidence.cast("double")), F.when(value.isNull(), "campo_ausente").otherwise(how)
+
+
+def _long(rows: DataFrame, method: str, fields: Reading) -> DataFrame:
+    made = [F.struct(F.lit(f).alias("field"), *[c.alias(n) for c, n in zip(_told(r), ("value", "confidence", "how"), strict=True)]) for f, r in fields.items()]
+    return rows.select("doc_id", F.lit(method).alias("method"), F.inline(F.array(*made)))
+
+
+def values(rows: DataFrame, fields: Reading) -> DataFrame:
+    """One row per document, a column per field; a reading is wide from the start and is never pivoted."""
+    return rows.select("doc_id", *[value.alias(f) for f, (value, _, _) in fields.items()])
+
+
+def paired(rows: DataFrame, first: Reading, second: Reading) -> DataFrame:
+    """Both readings of every field side by side with their normal forms, from one pass over the texts: no join.
+
+    A field's kind is known here, so each value goes through its own normal form only, before rows are made of them.
+    """
+    settings = {f: (section, critical, norm, weight) for f, section, critical, norm, weight in FIELDS}
+    kind = {f: settings.get(f, (None, False, "text", None))[2] for f in first}
+    told = {(t, f): _told(reading[f]) for t, reading in (("a", first), ("b", second)) for f in first}
+    rows = rows.select("doc_id", *[c.alias(f"{t}_{n}_{f}") for (t, f), reading in told.items() for c, n in zip(reading, ("value", "conf", "how"), strict=True)])
+    rows = rows.select("*", *[S.normal_form(F.col(f"{t}_value_{f}"), kind[f]).alias(f"{t}_norm_{f}") for t, f in told])
+
+    def row(f: str) -> Column:
+        section, critical, _, weight = settings.get(f, (None, False, "text", None))
+        fixed = [F.lit(f).alias("field"), F.lit(section).cast("string").alias("section"), F.lit(critical).alias("critical"), F.lit(weight).cast("int").alias("weight")]
+        return F.struct(*fixed, *[F.col(f"{t}_{n}_{f}").alias(f"{n}_{t}") for t in "ab" for n in ("value", "conf", "how", "norm")])
+
+    return rows.select("doc_id", F.inline(F.array(*[row(f) for f in first])))
+
+
+def trimmed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, lines: the text, and its trimmed lines that are not empty as one text."""
+    return docs.select("doc_id", "text", F.array_join(S.segments(F.col("text")), "\n").alias("lines"))
+
+
+#: Labels of the amounts in a text, by field.
+AMOUNTS = (
+    ("base_calculo", "Base de c[áa]lculo"), ("valor_iss", "Valor ISS"), ("valor_bruto", "Valor bruto"), ("valor_liquido", "Valor l[íi]quido"),
+    ("ir", "IR"), ("pis_pasep", "PIS/PASEP"), ("cofins", "COFINS"), ("inss", "INSS"), ("csll", "CSLL"), ("outras_retencoes", "OUTRAS RETENÇÕES"),
+)
+WITHHELD = ("ir", "pis_pasep", "cofins", "inss", "csll", "outras_retencoes")
+
+
+def label_reading(rows: DataFrame) -> tuple[DataFrame, Reading]:
+    """First extraction: what stands after labels, digits repaired where a scan took letters for them. One search of the lines per field."""
+    t = F.col("lines")
+    money = lambda label: grab(t, rf"(?m)^{label} = {MONEY}")
     anchored, read = F.lit("pattern_com_ancora"), F.lit("ocr_reparado")
-    labels = {"provider": "^(PRESTADOR|IDENTIFICAÇÃO DO EMITENTE)", "customer": "^(TOMADOR|DESTINATÁRIO)"}
+    labels = {"provider": "PRESTADOR|IDENTIFICAÇÃO DO EMITENTE", "customer": "TOMADOR|DESTINATÁRIO"}
     # each step is a column of its own: a repaired number is used many times by its check digits
-    rows = rows.withColumns({f"{p}_read": grab(near(label, 2), TAX_ID) for p, label in labels.items()})
+    rows = rows.withColumns({f"{p}_read": grab(below(t, label, 2), TAX_ID) for p, label in labels.items()})
     rows = rows.withColumns({f"{p}_id": S.repair_digits(F.col(f"{p}_read")) for p in labels})
     rows = rows.withColumns({f"{p}_ok": S.valid_cnpj(F.col(f"{p}_id")) for p in labels})
     conf = lambda p: F.lit(75) + F.when(F.col(f"{p}_ok"), 25).otherwise(0)
     how = lambda p: F.when(F.col(f"{p}_read") == F.col(f"{p}_id"), anchored).otherwise(read)
-    day = after_label(s, "^(Data do Fato Gerador|Emissão|Competência da NFS-e)")
-    return _long(
-        rows, "A",
-        {
-            "numero": (grab(after_label(s, "^Número da Nota"), r"^(\d{1,10})$"), F.lit(95), anchored),
-            "data_emissao": (grab(day, r"^(\d{2}/\d{2}/\d{4})"), F.lit(100), anchored),
-            "prestador_cnpj": (F.col("provider_id"), conf("provider"), how("provider")),
-            "tomador_cnpj": (F.col("customer_id"), conf("customer"), how("customer")),
-            "tomador_email": (F.lower(grab(joined, r"E-mail: (\S+@\S+)")), F.lit(100), anchored),
-            "base_calculo": (money("Base de cálculo"), F.lit(90), anchored),
-            "aliquota": (grab(joined, r"(?m)^Alíquota = ([\d,]+)%"), F.lit(88), anchored),
-            "valor_iss": (money("Valor ISS"), F.lit(88), anchored),
-            "valor_bruto": (money("Valor bruto"), F.lit(95), anchored),
-            "valor_liquido": (money("Valor líquido"), F.lit(95), anchored),
-        },
-    )
+    sure = {"base_calculo": 90, "valor_iss": 88, "valor_bruto": 95, "valor_liquido": 95}
+    amounts = {f: (money(label), F.lit(sure[f]), anchored) for f, label in AMOUNTS if f in sure}
+    return rows, {
+        "numero": (grab(below(t, "Número da Nota"), r"^(\d{1,10})$"), F.lit(95), anchored),
+        "data_emissao": (grab(below(t, "Data do Fato Gerador|Emissão|Competência da NFS-e"), r"^(\d{2}/\d{2}/\d{4})"), F.lit(100), anchored),
+        "prestador_cnpj": (F.col("provider_id"), conf("provider"), how("provider")),
+        "tomador_cnpj": (F.col("customer_id"), conf("customer"), how("customer")),
+        "tomador_email": (F.lower(grab(t, r"E-mail: (\S+@\S+)")), F.lit(100), anchored),
+        "base_calculo": amounts["base_calculo"],
+        "aliquota": (grab(t, r"(?m)^Alíquota = ([\d,]+)%"), F.lit(88), anchored),
+        "valor_iss": amounts["valor_iss"],
+        "valor_bruto": amounts["valor_bruto"],
+        "valor_liquido": amounts["valor_liquido"],
+    }
 
 
-def by_search(docs: DataFrame) -> DataFrame:
+def search_reading(rows: DataFrame) -> tuple[DataFrame, Reading]:
     """Second extraction: patterns over the whole text; the rate is worked out from the tax and its base."""
     t = F.col("text")
-    ids = F.regexp_extract_all(t, F.lit(r"(\d{2}\.\d{3}\.\d{3}/\d{4}-\d{2})"), 1)
+    rows = rows.withColumn("ids", F.regexp_extract_all(t, F.lit(r"(\d{2}\.\d{3}\.\d{3}/\d{4}-\d{2})"), 1))
     money = lambda label: grab(t, rf"(?i){label}\s*=?\s*{MONEY}")
-    iss, base = money("Valor ISS"), money("Base de c[áa]lculo")
+    rows = rows.withColumns({"b_iss": money("Valor ISS"), "b_base": money("Base de c[áa]lculo")})
+    iss, base, ids = F.col("b_iss"), F.col("b_base"), F.col("ids")
     rate = S.js_round(S.parse_number(iss) / F.nullif(S.parse_number(base), F.lit(0.0)) * 100, 0)
     seen = F.lit("regex_global")
-    return _long(
-        docs.select("doc_id", "text"), "B",
-        {
-            "numero": (grab(t, r"(?i)n[úu]mero da nota\s*\n\s*(\d+)"), F.lit(85), seen),
-            "data_emissao": (grab(t, r"(\d{2}/\d{2}/\d{4})"), F.lit(80), seen),
-            "prestador_cnpj": (F.try_element_at(ids, F.lit(1)), F.lit(80), seen),
-            "tomador_cnpj": (F.try_element_at(ids, F.lit(2)), F.lit(75), seen),
-            "tomador_email": (F.lower(grab(t, r"([\w.+-]+@[\w-]+\.[\w.-]+)")), F.lit(80), seen),
-            "base_calculo": (base, F.lit(80), seen),
-            "aliquota": (F.translate(F.format_string("%.2f", rate), ".", ","), F.lit(70), F.lit("derivado_calculo")),
-            "valor_iss": (iss, F.lit(80), seen),
-            "valor_bruto": (money("Valor bruto"), F.lit(85), seen),
-            "valor_liquido": (money("Valor l[íi]quido"), F.lit(85), seen),
-        },
-    )
+    return rows, {
+        "numero": (grab(t, r"(?i)n[úu]mero da nota\s*\n\s*(\d+)"), F.lit(85), seen),
+        "data_emissao": (grab(t, r"(\d{2}/\d{2}/\d{4})"), F.lit(80), seen),
+        "prestador_cnpj": (F.try_element_at(ids, F.lit(1)), F.lit(80), seen),
+        "tomador_cnpj": (F.try_element_at(ids, F.lit(2)), F.lit(75), seen),
+        "tomador_email": (F.lower(grab(t, r"([\w.+-]+@[\w-]+\.[\w.-]+)")), F.lit(80), seen),
+        "base_calculo": (base, F.lit(80), seen),
+        "aliquota": (F.translate(F.format_string("%.2f", rate), ".", ","), F.lit(70), F.lit("derivado_calculo")),
+        "valor_iss": (iss, F.lit(80), seen),
+        "valor_bruto": (money("Valor bruto"), F.lit(85), seen),
+        "valor_liquido": (money("Valor l[íi]quido"), F.lit(85), seen),
+    }
 
 
-def parties_by_labels(docs: DataFrame) -> DataFrame:
-    """First extraction of the parties' exclusive fields: labels within each party's own section."""
-    sections = {"prestador": r"(?s)PRESTADOR DE SERVIÇOS\n(.*?)TOMADOR DE SERVIÇOS\n", "tomador": r"(?s)TOMADOR DE SERVIÇOS\n(.*?)DISCRIMINAÇÃO"}
-    rows = docs.select("doc_id", *[F.regexp_extract("text", pattern, 1).alias(side) for side, pattern in sections.items()])
-    return _long(rows, "A", {f"{side}_{f}": (grab(F.col(side), rf"(?m)^{label}: (.+)$"), F.lit(100), F.lit("pattern_com_ancora")) for side in sections for f, label in PARTY_FIELDS})
+def by_labels(docs: DataFrame) -> DataFrame:
+    """The first extraction as long rows (doc_id, method, field, value, confidence, how)."""
+    rows, fields = label_reading(trimmed(docs))
+    return _long(rows, "A", fields)
+
+
+def by_search(docs: DataFrame) -> DataFrame:
+    """The second extraction as long rows."""
+    rows, fields = search_reading(docs.select("doc_id", "text"))
+    return _long(rows, "B", fields)
 
 
-def parties_by_search(docs: DataFrame) -> DataFrame:
-    """Second extraction: the whole text's first value goes to the provider and its last to the customer, without regard to sections."""
+def both(docs: DataFrame) -> DataFrame:
+    """Both extractions of every document and field."""
+    rows, first = label_reading(trimmed(docs))
+    rows, second = search_reading(rows)
+    return paired(rows, first, second)
+
+
+def fiscal_facts(docs: DataFrame) -> DataFrame:
+    """One row per document: the first extraction's values, withholdings, service code, classification and approximate taxes.
+
+    Everything comes from one pass over the lines. The classification reads what follows OUTRAS INFORMAÇÕES
+    (the whole text without it), the last line of a kind; approximate taxes the first such line and the two below it.
+    """
+    rows, fields = label_reading(trimmed(docs))
+    t = F.col("lines")
+    info = F.regexp_extract(t, r"(?is)([^\n]*outras\s+informa[çc][oõ]es.*)", 1)
+    approximate = F.regexp_extract(t, r"(?i)([^\n]*Valor\s+aproximado\s+do\s+tributo[^\n]*(?:\n[^\n]*){0,2})", 1)
+    money = lambda label: grab(t, rf"(?m)^{label} = {MONEY}")
+    rows = rows.withColumns({"info": F.when(info == "", t).otherwise(info), "approximate": F.replace(approximate, F.lit("\n"), F.lit(" "))})
+    last = lambda label: F.trim(F.try_element_at(F.regexp_extract_all("info", F.lit(rf"(?i){label}:\s*([^\n]+)"), 1), F.lit(-1)))
+    says = lambda pattern: F.col("info").rlike(f"(?i){pattern}")
+    part = lambda level, percent: grab(F.col("approximate"), rf"(?i){level}\s*[-–]\s*R\$\s*" + (r"[\d.,]+\s*\((\d+(?:,\d+)?)%\)" if percent else r"([\d.,]+)"))
+    more = {
+        **{f: money(label) for f, label in AMOUNTS if f in WITHHELD},
+        "codigo_servico": grab(t, r"(?m)^Código do Serviço = (\S+)"),
+        "natureza_operacao": last("Natureza da opera[çc][aã]o"),
+        "situacao_issqn": last("Situa[çc][aã]o tribut[aá]ria do ISSQN"),
+        "local_prestacao": last("Local da presta[çc][aã]o do servi[çc]o"),
+        "situacao_nfse": last("Situa[çc][aã]o desta NFS-e"),
+        "simples_nacional": says("optante pelo Simples Nacional"),
+        "me_epp": says(r"ME\s+ou\s+EPP"),
+        "mei": says(r"Microempreendedor\s+Individual|optante\s+pelo\s+MEI"),
+        **{f"{level}_{kind}": part(level, kind == "pct") for level in ("federal", "estadual", "municipal") for kind in ("val", "pct")},
+    }
+    return rows.select("doc_id", *[value.alias(f) for f, (value, _, _) in fields.items()], *[c.alias(n) for n, c in more.items()])
+
+
+def classification(facts: DataFrame) -> DataFrame:
+    """doc_id, tax regime, kind of provider, whether the tax is withheld and who owes it."""
+    withheld = F.coalesce(F.col("situacao_issqn").rlike("(?i)reten[çc][aã]o"), F.lit(False)) | F.coalesce(F.col("situacao_nfse").rlike("(?i)retida"), F.lit(False))
+    return facts.select(
+        "doc_id",
+        F.when(F.col("mei"), "MEI").when(F.col("simples_nacional"), "SIMPLES_NACIONAL").otherwise("DESCONHECIDO").alias("regime_tributario"),
+        F.when(F.col("mei"), "MEI").when(F.col("me_epp"), "ME_EPP").when(F.col("simples_nacional"), "EMPRESA_GERAL").otherwise("DESCONHECIDO").alias("tipo_prestador"),
+        withheld.alias("iss_retido"),
+        F.when(withheld, "TOMADOR").otherwise("PRESTADOR").alias("responsavel_iss"),
+        "natureza_operacao", "situacao_issqn", "situacao_nfse", "local_prestacao", "simples_nacional",
+    )
+
+
+def party_readings(docs: DataFrame) -> tuple[DataFrame, Reading, Reading]:
+    """The parties' exclusive fields, read twice: by labels within each party's own section; and by search, which gives the
+    whole text's first value to the provider and its last to the customer, without regard to sections."""
+    sections = {"prestador": r"(?s)PRESTADOR DE SERVIÇOS\n(.*?)TOMADOR DE SERVIÇOS\n", "tomador": r"(?s)TOMADOR DE SERVIÇOS\n(.*?)DISCRIMINAÇÃO"}
+    rows = docs.select("doc_id", "text", *[F.regexp_extract("text", pattern, 1).alias(side) for side, pattern in sections.items()])
     found = lambda label, at: F.try_element_at(F.regexp_extract_all("text", F.lit(rf"(?m)^{label}: (.+)$"), 1), F.lit(at))
-    return _long(docs.select("doc_id", "text"), "B", {f"{side}_{f}": (found(label, at), F.lit(80), F.lit("regex_global")) for side, at in (("prestador", 1), ("tomador", -1)) for f, label in PARTY_FIELDS})
+    first = {f"{side}_{f}": (grab(F.col(side), rf"(?m)^{label}: (.+)$"), F.lit(100), F.lit("pattern_com_ancora")) for side in sections for f, label in PARTY_FIELDS}
+    second = {f"{side}_{f}": (found(label, at), F.lit(80), F.lit("regex_global")) for side, at in (("prestador", 1), ("tomador", -1)) for f, label in PARTY_FIELDS}
+    return rows, first, second
 
 
 def merged(base: DataFrame, extra: DataFrame) -> DataFrame:

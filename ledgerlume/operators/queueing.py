@@ -50,14 +50,14 @@ def next_job(jobs: DataFrame) -> DataFrame:
 
 def dependencies(jobs: DataFrame) -> DataFrame:
     """(job, needed job) pairs of pending jobs whose needed job isn't done; null state: it doesn't exist."""
-    needs = jobs.filter("status = 'PENDENTE' AND after_id IS NOT NULL").select("job_id", "after_id")
+    needs = jobs.filter("status = 'PENDENTE'").select("job_id", F.explode("after_ids").alias("after_id"))
     other = jobs.select(F.col("job_id").alias("other_id"), F.col("status").alias("other_status"))
     met = needs.join(other, needs["after_id"] == other["other_id"], "left")
     return met.filter("other_status IS NULL OR other_status <> 'CONCLUIDO'").select("job_id", "after_id", "other_status")
 
 
 def ready(jobs: DataFrame) -> DataFrame:
-    """Pending jobs with nothing left to wait for."""
+    """Pending jobs all of whose needed jobs exist and are done."""
     return jobs.filter("status = 'PENDENTE'").join(dependencies(jobs).select("job_id"), "job_id", "left_anti")
 
 
@@ -93,8 +93,9 @@ def status_by_kind(jobs: DataFrame) -> DataFrame:
 def queue_report(jobs: DataFrame, now: str) -> DataFrame:
     """One pass over the jobs: states, error rate and throughput of the last hour, latency, live workers."""
     at = F.lit(now).cast("timestamp")
-    recent = F.col("finished") >= at - F.expr("INTERVAL 1 HOUR")
-    done, lost = recent & (F.col("status") == "CONCLUIDO"), recent & F.col("status").isin("FALHA", "DEAD_LETTER")
+    hour = at - F.expr("INTERVAL 1 HOUR")
+    done = (F.col("finished") >= hour) & (F.col("status") == "CONCLUIDO")
+    lost = (F.col("updated") >= hour) & F.col("status").isin("FALHA", "DEAD_LETTER")
     row = jobs.agg(
         F.count_if(F.col("status") == "PENDENTE").alias("pending"),
         F.count_if(F.col("status") == "DEAD_LETTER").alias("dead_letter"),
@@ -129,16 +130,45 @@ def alert_changes(active: DataFrame, open_alerts: DataFrame) -> DataFrame:
 
 
 def repeated_uploads(jobs: DataFrame, hours: int = 24) -> DataFrame:
-    """Jobs whose file was sent before within the window, with the job before."""
-    before = Window.partitionBy("file_hash").orderBy("created", "job_id")
-    rows = jobs.select("job_id", "file_hash", "created", F.lag("job_id").over(before).alias("first_id"), F.lag("created").over(before).alias("sent"))
-    return rows.filter(F.col("created") < F.col("sent") + F.make_interval(hours=F.lit(hours))).select("job_id", "first_id", "file_hash")
+    """Jobs whose file was sent before within the window, with the newest such job that wasn't cancelled or given up."""
+    before = Window.partitionBy("file_hash").orderBy("created", "job_id").rowsBetween(Window.unboundedPreceding, -1)
+    live = ~F.col("status").isin("CANCELADO", "DEAD_LETTER")
+    newest = F.last(F.when(live, F.struct("job_id", "created")), ignorenulls=True).over(before)
+    rows = jobs.select("job_id", "file_hash", "created", newest.alias("sent"))
+    return rows.filter(F.col("sent.created") >= F.col("created") - F.make_interval(hours=F.lit(hours))).select("job_id", F.col("sent.job_id").alias("first_id"), "file_hash")
 
 
 def in_flight(jobs: DataFrame) -> DataFrame:
-    """Files with a job under way, and the newest such job."""
+    """Job types and files with a job under way, and the newest such job."""
     live = jobs.filter(F.col("status").isin("PENDENTE", "PROCESSANDO"))
-    return live.groupBy("file_hash").agg(F.count(F.lit(1)).alias("live"), F.max_by("job_id", F.struct("created", "job_id")).alias("newest"))
+    return live.groupBy("kind", "file_hash").agg(F.count(F.lit(1)).alias("live"), F.max_by("job_id", F.struct("created", "job_id")).alias("newest"))
+
+
+def file_states(jobs: DataFrame) -> DataFrame:
+    """Per file: its newest job that wasn't cancelled or given up, and whether its audit is done."""
+    live = ~F.col("status").isin("CANCELADO", "DEAD_LETTER")
+    newest = F.max(F.when(live, F.struct("created", "job_id", "status"))).alias("x")
+    done = F.max((F.col("kind") == "AUDITORIA") & (F.col("status") == "CONCLUIDO")).alias("audited")
+    return jobs.groupBy("file_hash").agg(newest, done).select("file_hash", F.col("x.job_id").alias("newest"), F.col("x.status").alias("status"), "audited")
+
+
+def recovery_summary(jobs: DataFrame, now: str) -> DataFrame:
+    """What recovery would do with stuck jobs, by job type."""
+    kinds = jobs.select("job_id", "kind")
+    return stuck(jobs, now).join(kinds, "job_id").groupBy("kind", "action").agg(F.count(F.lit(1)).alias("jobs"), F.max("idle_s").alias("longest_s"))
+
+
+def alert_history(jobs: DataFrame, most: int) -> DataFrame:
+    """The latest failures of each type, as many as asked for: (kind, job_id, failure, rank)."""
+    latest = Window.partitionBy("kind").orderBy(F.desc("updated"), "job_id")
+    rows = jobs.filter(F.col("status").isin("FALHA", "DEAD_LETTER")).withColumn("rank", F.row_number().over(latest)).filter(F.col("rank") <= most)
+    return rows.select("kind", "job_id", S.failure_kind(F.col("message")).alias("failure"), "rank")
+
+
+def severity_counts(alerts: DataFrame) -> DataFrame:
+    """Alerts of each severity, 0 where there is none."""
+    known = alerts.sparkSession.createDataFrame([("AVISO",), ("CRITICO",), ("EMERGENCIA",)], "severity string")
+    return known.join(alerts.groupBy("severity").agg(F.count(F.lit(1)).alias("n")), "severity", "left").select("severity", F.coalesce("n", F.lit(0)).cast("long").alias("alerts"))
 
 
 def purged(rows: DataFrame, at: str, now: str, days: int, states: tuple[str, ...] = ()) -> DataFrame:

@@ -59,7 +59,8 @@ def with_customer(invoices: DataFrame, parties: DataFrame) -> DataFrame:
 
 def report_totals(invoices: DataFrame) -> DataFrame:
     return invoices.agg(
-        F.count(F.lit(1)).alias("invoices"), money_sum("gross").alias("gross"), money_sum("net").alias("net"), money_sum("iss").alias("iss")
+        F.count(F.lit(1)).alias("invoices"), money_sum("gross").alias("gross"), money_sum("net").alias("net"), money_sum("iss").alias("iss"),
+        money_sum("withheld").alias("withheld"), money_sum("anticipated").alias("anticipated"),
     )
 
 
@@ -129,19 +130,47 @@ def monthly_evolution(invoices: DataFrame, expenses: DataFrame, first: str, mont
     )
 
 
-def invoice_detail(invoices: DataFrame, taxes: DataFrame, most: int) -> DataFrame:
-    """Every invoice with its latest taxes as a nested list.
+def invoice_detail(invoices: DataFrame, taxes: DataFrame, history: DataFrame, most: int = 50) -> DataFrame:
+    """Every invoice with all its taxes, and its latest `most` history entries, as nested lists.
 
-    Taxes are cut to the latest per invoice by rank before they are gathered, so a list is bounded.
+    History is cut by rank before it is gathered; an invoice's taxes are as many as it has.
     """
-    latest = Window.partitionBy("invoice_id").orderBy(F.col("due").desc_nulls_last(), "tax_id", "amount")
-    some = taxes.withColumn("n", F.row_number().over(latest)).filter(F.col("n") <= most)
-    nested = some.groupBy("invoice_id").agg(F.sort_array(F.collect_list(F.struct("n", "kind", "amount"))).alias("taxes"))
-    return invoices.join(nested, invoices["id"] == nested["invoice_id"], "left").select(
-        "id", "number", F.coalesce(F.array_join(F.transform("taxes", lambda t: F.concat_ws(":", t["kind"], t["amount"].cast("decimal(18,2)"))), ","), F.lit("")).alias("taxes")
+    listed = F.sort_array(F.collect_list(F.struct("tax_id", "kind", "amount")))
+    all_taxes = taxes.groupBy("invoice_id").agg(listed.alias("taxes"))
+    latest = Window.partitionBy("invoice_id").orderBy(F.desc("seq"))
+    some = history.withColumn("n", F.row_number().over(latest)).filter(F.col("n") <= most)
+    entries = some.groupBy("invoice_id").agg(F.sort_array(F.collect_list(F.struct("n", "seq"))).alias("entries"))
+    rows = invoices.join(all_taxes, invoices["id"] == all_taxes["invoice_id"], "left").drop("invoice_id").join(entries, F.col("id") == entries["invoice_id"], "left")
+    shown = lambda c, one: F.coalesce(F.array_join(F.transform(c, one), ","), F.lit(""))
+    return rows.select(
+        "id", "number", shown("taxes", lambda t: F.concat_ws(":", t["kind"], t["amount"].cast("decimal(18,2)"))).alias("taxes"), shown("entries", lambda e: e["seq"].cast("string")).alias("history")
     )
 
 
+#: Columns that a listing may be sorted by; any other asks for the first.
+SORTABLE = ("created", "issued", "gross", "net", "number", "status")
+
+
+def sorted_listing(df: DataFrame, column: str, descending: bool, key: str = "id") -> list[Column]:
+    """A total order by a column of the allow-list, unknown ones falling back to its first."""
+    name = column if column in SORTABLE else SORTABLE[0]
+    return [F.col(name).desc_nulls_last() if descending else F.col(name).asc_nulls_last(), F.col(key)]
+
+
+def searched(df: DataFrame, term: str, columns: list[str]) -> DataFrame:
+    """Rows that hold the term, in any case, in at least one of the columns: one filter over one scan."""
+    found = F.lit(False)
+    for c in columns:
+        found = found | F.coalesce(F.contains(F.lower(F.col(c)), F.lit(term.lower())), F.lit(False))
+    return df.filter(found)
+
+
+def shown(text: Column, most: int) -> Column:
+    """A text cut for display, a dash for none."""
+    cut = F.when(F.char_length(text) > most, F.concat(F.substring(text, 1, most), F.lit("…"))).otherwise(text)
+    return F.coalesce(F.nullif(cut, F.lit("")), F.lit("—"))
+
+
 def substitutions(invoices: DataFrame) -> DataFrame:
     """Invoices with the one they replace."""
     old = invoices.select(F.col("id").alias("old_id"), F.col("gross").alias("old_gross"))
@@ -176,13 +205,34 @@ def recent_activity(sources: list[tuple[str, DataFrame, str, str]], most: int) -
 
 
 def early_payment(invoices: DataFrame, rate: float, now: str) -> DataFrame:
-    """Fee and net of an early payment at a monthly rate; days from the due date, at least one."""
+    """Fee and net of an early payment at a monthly rate; days from the due date, at least one, 30 without one."""
     base = F.coalesce("net", "gross", F.lit(0.0))
-    days = F.coalesce(F.greatest(F.lit(1), F.datediff(F.to_date("issued"), F.to_date(F.lit(now)))), F.lit(30))
+    days = F.coalesce(F.greatest(F.lit(1), F.datediff(F.to_date("due"), F.to_date(F.lit(now)))), F.lit(30))
     fee = base * F.lit(rate) / 100 * days / 30
     return invoices.select("id", days.alias("days"), S.js_round(fee, 2).alias("fee"), S.js_round(F.greatest(F.lit(0.0), base - fee), 2).alias("paid_out"))
 
 
+def early_payment_for(invoices: DataFrame, fee: Column) -> DataFrame:
+    """The same for a fee stated directly: what is paid out, and the share of the net value that the fee is."""
+    base = F.coalesce("net", "gross", F.lit(0.0))
+    share = F.when(base > 0, S.js_round(fee / base * 100, 2)).otherwise(0.0)
+    return invoices.select("id", S.js_round(F.greatest(F.lit(0.0), base - fee), 2).alias("paid_out"), share.alias("fee_percent"))
+
+
+def period_of(name: str, now: str) -> Column:
+    """First day of a named period up to `now`: month, quarter, year, or everything."""
+    at = F.lit(now).cast("timestamp")
+    unit = {"mes": "month", "trimestre": "quarter", "ano": "year"}.get(name)
+    return F.date_trunc(unit, at) if unit else F.lit("1900-01-01").cast("timestamp")
+
+
+def worker_summary(docs: DataFrame, workers: DataFrame, now: str, near: int = 30) -> DataFrame:
+    """Workers by their worst document: up to date, close to an expiry, overdue."""
+    state = worker_status(docs, workers, now, near)
+    kind = F.when(F.col("overdue") > 0, "VENCIDO").when(F.col("near") > 0, "PROXIMO").otherwise("EM_DIA")
+    return state.groupBy(kind.alias("state")).agg(F.count(F.lit(1)).alias("workers"))
+
+
 def change_log(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """(key, field, old, new) of tracked columns that differ, both sides as text."""
     text = lambda df, tag: df.select(key, *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"{tag}_{c}") for c in columns])
@@ -191,9 +241,22 @@ def change_log(old: DataFrame, new: DataFrame, key: str, columns: list[str]) ->
     return both.select(key, rows.alias("c")).select(key, "c.*").filter("old <> new")
 
 
-def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys that occur more than once, and how often."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+def duplicates(df: DataFrame, keys: list[str], row: str) -> DataFrame:
+    """Rows whose whole key, without nulls, an earlier row has: (row, duplicate_of)."""
+    known = df.dropna(subset=keys)
+    first = known.groupBy(*keys).agg(F.min(row).alias("duplicate_of"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    return known.join(first, keys).filter(F.col(row) > F.col("duplicate_of")).select(row, "duplicate_of")
+
+
+def allowed(df: DataFrame, wanted: list[str], columns: list[str]) -> DataFrame:
+    """The wanted columns that are on the list, in the order asked for; all of the list if none is."""
+    kept = [c for c in wanted if c in columns]
+    return df.select(*(kept or columns))
+
+
+def without_heavy(df: DataFrame, heavy: str, flag: str) -> DataFrame:
+    """All rows without a heavy column, and whether it held anything."""
+    return df.withColumn(flag, F.coalesce(F.length(heavy) > 0, F.lit(False))).drop(heavy)
 
 
 def zero_filled(counts: DataFrame, column: str, domain: list[str]) -> DataFrame:

@@ -6,16 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from .extraction import FIELDS, PARTY_FIELDS, SECTION_WEIGHTS
+from .extraction import PARTY_FIELDS, SECTION_WEIGHTS, WITHHELD
 
 RATE_LOW, RATE_HIGH, TOLERANCE = 2.0, 5.0, 0.05
 
 
-def field_table(like: DataFrame) -> DataFrame:
-    """The fields' settings: a fixed, small dimension."""
-    return like.sparkSession.createDataFrame(list(FIELDS), "field string, section string, critical boolean, norm string, weight int")
-
-
+# Method names that tell where a value comes from.
 def origin_of(how: Column) -> Column:
     """Where a value comes from, by the name of the method that read it."""
     m = F.lower(how)
@@ -25,19 +21,10 @@ def origin_of(how: Column) -> Column:
     )
 
 
-def compare(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Both readings of every document and field side by side, with how they agree.
-
-    One equi-join on (doc_id, field); the fields' settings are broadcast.
-    """
-    side = lambda df, t: df.select("doc_id", "field", F.col("value").alias(f"value_{t}"), F.col("confidence").alias(f"conf_{t}"), origin_of(F.col("how")).alias(f"origin_{t}"), F.col("how").alias(f"how_{t}"))
-    rows = side(a, "a").join(side(b, "b"), ["doc_id", "field"]).join(F.broadcast(field_table(a)), "field", "left")
-    kind = F.coalesce("norm", F.lit("text"))
-    # normalised forms are columns of their own, so that the likeness doesn't work them out for every bigram
-    rows = rows.withColumns({"norm_a": S.normalise(F.col("value_a"), kind), "norm_b": S.normalise(F.col("value_b"), kind)})
-    return rows.withColumns(
-        {"agreement": S.concordance(F.col("value_a"), F.col("value_b"), F.col("norm_a"), F.col("norm_b")), "critical": F.coalesce("critical", F.lit(False))}
-    )
+def compare(pairs: DataFrame) -> DataFrame:
+    """Both readings of every document and field with how they agree, row by row (see `extraction.paired`)."""
+    rows = pairs.withColumns({f"origin_{t}": origin_of(F.col(f"how_{t}")) for t in "ab"})
+    return rows.withColumn("agreement", S.concordance(F.col("value_a"), F.col("value_b"), F.col("norm_a"), F.col("norm_b")))
 
 
 def resolve(compared: DataFrame) -> DataFrame:
@@ -98,6 +85,7 @@ def own_fields(resolved: DataFrame) -> DataFrame:
     return rows.select(*[F.when(F.col("leak"), empty[c]).otherwise(F.col(c)).alias(c) if c in empty else F.col(c) for c in resolved.columns])
 
 
+# Method names by how a reading came about.
 def reading_origin(how: Column) -> Column:
     m = F.lower(how)
     return (
@@ -131,55 +119,100 @@ def field_confidence(fields: DataFrame, failures: DataFrame) -> DataFrame:
 
 
 def section_scores(scored: DataFrame) -> DataFrame:
-    """Weighted mean per document and section."""
-    score = S.js_round(F.sum(F.col("score") * F.col("weight")) / F.sum("weight"), 1)
-    rows = scored.groupBy("doc_id", "section").agg(score.alias("score"), F.count_if(F.col("critical") & (F.col("score") < 70)).alias("weak"), F.count_if("review").alias("problems"))
-    return rows.select("doc_id", "section", "score", "problems", ((F.col("weak") > 0) | (F.col("score") < 70)).alias("review"))
+    """Weighted mean per document and section, whether a person must look, and the fields that call for it."""
+    mean = F.sum(F.col("score") * F.col("weight")) / F.sum("weight")
+    bad = F.col("review") | (F.col("score") < 70)
+    rows = scored.groupBy("doc_id", "section").agg(
+        mean.alias("mean"), F.count_if(F.col("critical") & (F.col("score") < 70)).alias("weak"), F.sort_array(F.collect_list(F.when(bad, F.col("field")))).alias("fields")
+    )
+    return rows.select(
+        "doc_id", "section", S.js_round(F.col("mean"), 1).alias("score"), F.size("fields").alias("problems"), F.array_join("fields", ",").alias("problem_fields"),
+        ((F.col("weak") > 0) | (F.col("mean") < 70)).alias("review"),
+    )
 
 
-def document_scores(scored: DataFrame) -> DataFrame:
-    """Weighted mean of the sections, and the first reason to block."""
-    weights = scored.sparkSession.createDataFrame(list(SECTION_WEIGHTS), "section string, section_weight int")
-    total = section_scores(scored).join(F.broadcast(weights), "section").groupBy("doc_id").agg(
-        S.js_round(F.sum(F.col("score") * F.col("section_weight")) / F.sum("section_weight"), 1).alias("confidence")
-    )
+def ocr_score(scored: DataFrame) -> DataFrame:
+    """100 less the weighted penalties of fields that aren't direct text."""
+    cut = F.when(F.col("origin") == "OCR", 15).when(F.col("origin") == "FALLBACK_HEURISTICO", 8).when((F.col("origin") == "INFERENCIA") & F.col("value").isNotNull(), 5).otherwise(0)
+    return scored.groupBy("doc_id").agg(S.clamp(S.js_round(100 - F.sum(cut * F.col("weight")) / F.sum("weight"), 1), 0.0, 100.0).alias("ocr_score"))
+
+
+def structural_score(facts: DataFrame) -> DataFrame:
+    """Twenty points for each of the four blocks that was found, and five for each fact of the fiscal block."""
+    found = lambda *fields: F.when(F.coalesce(*fields).isNotNull(), 20).otherwise(0)
+    fiscal = sum((F.when(F.col(f).isNotNull(), 1).otherwise(0) for f in ("natureza_operacao", "situacao_issqn", "situacao_nfse", "local_prestacao")), F.lit(0))
+    blocks = found("prestador_cnpj") + found("tomador_cnpj", "tomador_email") + found("codigo_servico") + found(*WITHHELD)
+    return facts.select("doc_id", (blocks + S.js_round(fiscal / 4 * 20)).cast("long").alias("structural_score"))
+
+
+def document_scores(scored: DataFrame, failures: DataFrame) -> DataFrame:
+    """Mean of the six sections by their weights, a section without fields as 0, and the first reason to block.
+
+    `failures` (doc_id, fatal) counts critical fiscal rules that failed.
+    """
+    share = sum((F.when(F.col("section") == name, w).otherwise(0) for name, w in SECTION_WEIGHTS), F.lit(0))
+    total = section_scores(scored).groupBy("doc_id").agg((F.sum(F.col("score") * share) / sum(w for _, w in SECTION_WEIGHTS)).alias("mean"))
     worst = scored.groupBy("doc_id").agg(F.count_if(F.col("critical") & (F.col("risk") == "CRITICO")).alias("b1"), F.count_if(F.col("critical") & (F.col("score") < 50)).alias("b2"))
-    block = F.when(F.col("b1") > 0, "B1").when(F.col("b2") > 0, "B2").when(F.col("confidence") < 60, "B4")
-    return total.join(worst, "doc_id").select("doc_id", "confidence", S.global_level(F.col("confidence")).alias("level"), block.alias("block"))
+    block = F.when(F.col("b1") > 0, "B1").when(F.col("b2") > 0, "B2").when(F.coalesce("fatal", F.lit(0)) > 0, "B3").when(F.col("mean") < 60, "B4")
+    rows = total.join(worst, "doc_id").join(failures, "doc_id", "left")
+    return rows.select("doc_id", S.js_round(F.col("mean"), 1).alias("confidence"), S.global_level(F.col("mean")).alias("level"), block.alias("block"))
 
 
-def wide(resolved: DataFrame) -> DataFrame:
-    """One row per document, a column per field."""
-    return resolved.groupBy("doc_id").agg(*[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f, *_ in FIELDS])
+APPROVED, FAILED, WARNED, NOT_APPLICABLE = "APROVADO", "REPROVADO", "AVISO", "NAO_APLICAVEL"
 
 
-def fiscal_rules(documents: DataFrame) -> DataFrame:
-    """doc_id, rule, outcome, severity: rate limits, tax = base x rate, net = gross - tax, presence of parties.
+def fiscal_rules(facts: DataFrame) -> DataFrame:
+    """doc_id, rule, outcome, severity of the fifteen rules over `extraction.fiscal_facts`.
 
-    The rows of a document come from one array, so no rule reads the table again.
+    The rows of a document come from one array, so no rule reads the table again and nothing is shuffled.
     """
-    n = lambda c: S.parse_number(F.col(c))
-    rate = n("aliquota")
-    some = lambda *c: F.array_contains(F.array(*[F.col(x).isNull() for x in c]), True)
+    numbers = facts.withColumns({f"n_{c}": S.parse_number(F.col(c)) for c in facts.columns if c in (*WITHHELD, "base_calculo", "aliquota", "valor_iss", "valor_bruto", "valor_liquido") or c.endswith(("_val", "_pct"))})
+    n = lambda c: F.col(f"n_{c}")
+    zero = lambda c: F.coalesce(n(c), F.lit(0.0))
+    gone = lambda *c: F.coalesce(*[F.when(F.col(x).isNull(), True) for x in c], F.lit(False))
     near = lambda a, b: F.abs(a - b) <= TOLERANCE
+    told = lambda c, pattern: F.coalesce(F.col(c).rlike(pattern), F.lit(False))
     row = lambda code, outcome, severity: F.struct(F.lit(code).alias("rule"), outcome.alias("outcome"), severity.alias("severity"))
-    verdict = lambda ok: F.when(ok, "APROVADO").otherwise("REPROVADO")
-    critical = F.lit("CRITICO")
-    r1 = F.when(F.col("aliquota").isNull(), "REPROVADO").when(rate == 0, "AVISO").when((rate >= 1) & (rate < RATE_LOW), "AVISO").when(rate.between(RATE_LOW, RATE_HIGH), "APROVADO").otherwise("REPROVADO")
-    r2 = F.when(some("base_calculo", "aliquota", "valor_iss"), "REPROVADO").otherwise(verdict(near(n("base_calculo") * rate / 100, n("valor_iss"))))
-    r3 = F.when(some("valor_bruto", "valor_iss", "valor_liquido"), "REPROVADO").otherwise(verdict(near(n("valor_bruto") - n("valor_iss"), n("valor_liquido"))))
-    r14 = verdict(F.coalesce(F.col("numero").rlike(r"^\d{1,10}$"), F.lit(False)))
-    ids = verdict(S.valid_tax_id(F.col("prestador_cnpj")) & S.valid_tax_id(F.col("tomador_cnpj")))
+    verdict = lambda ok: F.when(ok, APPROVED).otherwise(FAILED)
+    critical, medium, low = F.lit("CRITICO"), F.lit("MEDIO"), F.lit("BAIXO")
+
+    rate, base = n("aliquota"), n("base_calculo")
+    excused = told("situacao_issqn", "(?i)expor|isent|imun|suspens") | told("natureza_operacao", "(?i)expor|isent|imun|suspens")
+    r1 = (
+        F.when(F.col("aliquota").isNull(), FAILED).when((rate == 0) & excused, APPROVED).when(rate == 0, WARNED).when((rate >= 1) & (rate < RATE_LOW), WARNED)
+        .when(rate.between(RATE_LOW, RATE_HIGH), APPROVED).otherwise(FAILED)
+    )
+    r2 = F.when(gone("base_calculo", "aliquota", "valor_iss"), FAILED).otherwise(verdict(near(base * rate / 100, n("valor_iss"))))
+    federal = sum((zero(c) for c in WITHHELD), F.lit(0.0))
+    r3 = F.when(gone("valor_bruto", "valor_iss", "valor_liquido"), FAILED).otherwise(verdict(near(n("valor_bruto") - n("valor_iss") - federal, n("valor_liquido"))))
+    by_state, by_invoice = told("situacao_issqn", "(?i)reten[çc][aã]o"), told("situacao_nfse", "(?i)retida")
+    r4 = verdict((by_state == by_invoice) & (by_state == (by_state | by_invoice)))
+    simple = lambda c: F.when(~F.col("simples_nacional"), NOT_APPLICABLE).otherwise(verdict(zero(c) < TOLERANCE))
+    fits = lambda level: near(n(f"{level}_pct") / 100 * base, n(f"{level}_val"))
+    r11 = (
+        F.when(gone("municipal_pct", "municipal_val", "base_calculo"), WARNED).when(~fits("municipal"), FAILED)
+        .when(near(n("municipal_val"), zero("valor_iss")), APPROVED).otherwise(WARNED)
+    )
+    r12 = F.when(gone("estadual_val"), WARNED).when(n("estadual_val") < TOLERANCE, APPROVED).otherwise(WARNED)
+    r13 = F.when(gone("federal_pct", "federal_val", "base_calculo"), WARNED).otherwise(verdict(fits("federal")))
+    r14 = F.when(gone("codigo_servico"), NOT_APPLICABLE).otherwise(verdict(told("codigo_servico", r"^\d{1,2}\.\d{2,4}$")))
     rows = F.array(
-        row("R001", r1, F.when(F.col("aliquota").isNull(), "MEDIO").when(r1 == "AVISO", "BAIXO").otherwise("CRITICO")), row("R002", r2, critical), row("R003", r3, critical),
-        row("R014", r14, F.lit("MEDIO")), row("R016", ids, F.lit("MEDIO")),
+        row("R001", r1, F.when(F.col("aliquota").isNull(), "MEDIO").when(r1 == WARNED, "BAIXO").otherwise("CRITICO")), row("R002", r2, critical), row("R003", r3, critical), row("R004", r4, medium),
+        *[row(code, simple(c), F.when(F.col("simples_nacional"), medium).otherwise(low)) for code, c in (("R005", "ir"), ("R006", "pis_pasep"), ("R007", "cofins"), ("R008", "csll"))],
+        row("R009", F.when(F.col("simples_nacional"), WARNED).otherwise(NOT_APPLICABLE), low), row("R010", F.lit(APPROVED), medium),
+        row("R011", r11, low), row("R012", r12, low), row("R013", r13, low), row("R014", r14, low), row("R015", verdict(~gone("natureza_operacao")), low),
     )
-    return documents.select("doc_id", F.explode(rows).alias("r")).select("doc_id", "r.*")
+    return numbers.select("doc_id", F.inline(rows))
+
+
+def fiscal_alerts(rules: DataFrame) -> DataFrame:
+    """Failed rules."""
+    return rules.filter(F.col("outcome") == FAILED).select("doc_id", F.col("rule").alias("alert"), "severity")
 
 
 def fiscal_confidence(rules: DataFrame) -> DataFrame:
     """100 less the penalties of failed rules and warnings, and the audit level."""
-    cut = F.when(F.col("outcome") == "AVISO", 2).when(F.col("outcome") != "REPROVADO", 0).when(F.col("severity") == "CRITICO", 30).when(F.col("severity") == "MEDIO", 15).otherwise(5)
-    rows = rules.groupBy("doc_id").agg(F.greatest(F.lit(0), 100 - F.sum(cut)).cast("long").alias("score"), F.count_if(F.col("outcome") == "REPROVADO").alias("failed"))
+    cut = F.when(F.col("outcome") == WARNED, 2).when(F.col("outcome") != FAILED, 0).when(F.col("severity") == "CRITICO", 30).when(F.col("severity") == "MEDIO", 15).otherwise(5)
+    rows = rules.groupBy("doc_id").agg(F.greatest(F.lit(0), 100 - F.sum(cut)).cast("long").alias("score"), F.count_if(F.col("outcome") == FAILED).alias("failed"))
     level = F.when(F.col("score") >= 90, "APROVADO").when(F.col("score") >= 75, "ALERTA_BAIXO").when(F.col("score") >= 50, "ALERTA_MEDIO").when(F.col("score") >= 25, "ALERTA_CRITICO").otherwise("IRREGULAR")
     return rows.select("doc_id", "score", "failed", level.alias("level"))

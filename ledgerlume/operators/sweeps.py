@@ -43,6 +43,10 @@ def active(now: Column) -> Column:
     return F.coalesce(F.col("trial_end") > now, F.lit(False)) | F.coalesce(F.col("period_end") > now, F.lit(False))
 
 
+# The plan that new charges are for.
+PLAN_CURRENCY, PRICE_TOLERANCE = "BRL", 0.01
+
+
 def subscription_states(subs: DataFrame, now: str) -> DataFrame:
     at = F.lit(now).cast("timestamp")
     state = (
@@ -53,6 +57,22 @@ def subscription_states(subs: DataFrame, now: str) -> DataFrame:
     return subs.select("sub_id", active(at).alias("active"), state.alias("state"), extended.alias("extended"))
 
 
+def cancel_decision(subs: DataFrame, now: str) -> DataFrame:
+    """Whether a subscription can be cancelled, the first reason against it, and until when access stays."""
+    at = F.lit(now).cast("timestamp")
+    reason = (
+        F.when(F.col("cancelled").isNotNull(), "ja_cancelada").when(~F.coalesce(F.col("period_end") > at, F.lit(False)), "sem_periodo_vigente")
+        .when(F.col("contract").isNull(), "sem_assinatura_recorrente")
+    )
+    return subs.select("sub_id", reason.isNull().alias("can_cancel"), reason.alias("reason"), F.when(reason.isNull() | (reason == "ja_cancelada"), F.col("period_end")).alias("access_until"))
+
+
+def missing_charges(invoices: DataFrame, subs: DataFrame, charges: DataFrame) -> DataFrame:
+    """Charges to insert for recurring invoices of known contracts that have none yet, at the contract's own price."""
+    known = invoices.join(subs.select("contract", "sub_id", "price"), "contract").join(charges.select("charge_id"), "charge_id", "left_anti")
+    return known.select("charge_id", "sub_id", F.col("price").alias("amount"), F.lit(PLAN_CURRENCY).alias("currency"), F.lit("PROCESSANDO").alias("charge_status"), F.concat(F.lit("fatura:"), F.col("charge_id")).alias("once_key")).dropDuplicates(["charge_id"])
+
+
 def renewal_reminders(subs: DataFrame, now: str) -> DataFrame:
     """Periods that end within the lead and were not reminded of."""
     at = F.lit(now).cast("timestamp")
@@ -65,13 +85,20 @@ def latest_charge(charges: DataFrame) -> DataFrame:
     return charges.filter("charge_status = 'APROVADA'").groupBy("sub_id").agg(F.max_by("charge_id", F.struct("handled", "charge_id")).alias("charge_id"), F.max("handled").alias("handled"))
 
 
-def charge_decision(charges: DataFrame, expected: float) -> DataFrame:
-    """First reason that speaks against applying a charge, else APLICAR."""
-    ranked = (
-        F.when(F.col("charge_status") == "PROCESSANDO", "PENDENTE").when(F.col("charge_status") == "RECUSADA", "RECUSADA")
-        .when(F.col("amount") < expected, "VALOR_DIVERGENTE").otherwise("APLICAR")
+def charge_decision(payments: DataFrame, charges: DataFrame, production: bool = True) -> DataFrame:
+    """First reason that speaks against applying a payment to its charge, else APLICAR.
+
+    The amount may be larger than charged, not smaller by more than PRICE_TOLERANCE; the currency is the
+    charge's own; a charge that is settled isn't applied again. Losing a race is the store's matter, not a query's.
+    """
+    charge = charges.select("charge_id", F.col("amount").alias("charged"), F.col("currency").alias("charged_in"), "charge_status")
+    rows = payments.join(charge, "charge_id", "left")
+    reason = (
+        F.when(~F.col("status").eqNullSafe("approved"), "status_nao_aprovado").when(F.lit(production) & ~F.coalesce("live", F.lit(False)), "ambiente_divergente")
+        .when(F.col("charge_status").isNull(), "cobranca_nao_encontrada").when(F.col("amount") < F.col("charged") - PRICE_TOLERANCE, "valor_divergente")
+        .when(~F.col("currency").eqNullSafe(F.col("charged_in")), "moeda_divergente").when(~F.col("charge_status").isin("PENDENTE", "PROCESSANDO"), "ja_processada").otherwise("APLICAR")
     )
-    return charges.select("charge_id", ranked.alias("decision"))
+    return rows.select("payment_id", reason.alias("decision"))
 
 
 def in_flight_guard(charges: DataFrame, now: str, minutes: int) -> DataFrame:

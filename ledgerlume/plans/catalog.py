@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import audit, extraction, folds, queueing, reports, rules, sweeps
+from ..operators import audit, extraction, folds, learning, queueing, reports, rules, sweeps
 from ..sources import documents
 from ..sources.business import frame, with_tables
+from . import invoice_sql as sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -23,7 +24,7 @@ NOW, EVENT_NOW = "1998-01-01 00:00:00", "2024-01-30 00:00:00"
 FROM, UNTIL = "1996-01-01", "1997-12-31"
 
 
-def query(name: str, sql: str | None = None, tables: str = ""):
+def query(name: str, oracle: str | None = None, tables: str = ""):
     """Register a query that takes (get, spark, sf_dir), where get(name) is a business or driver table."""
 
     def add(build):
@@ -36,8 +37,8 @@ def query(name: str, sql: str | None = None, tables: str = ""):
             return build(get, spark, sf_dir)
 
         QUERIES[name] = run
-        if sql:
-            ORACLE_SQL[name] = with_tables(sql, *tables.split()) if tables else sql
+        if oracle:
+            ORACLE_SQL[name] = with_tables(oracle, *tables.split()) if tables else oracle
         return build
 
     return add
@@ -61,7 +62,7 @@ def period(invoices: DataFrame) -> DataFrame:
 # Reports
 
 
-@query("a01_report_totals", f"SELECT count(*) AS invoices, {money('gross')} AS gross, {money('net')} AS net, {money('iss')} AS iss FROM invoices WHERE {IN_PERIOD}", "invoices")
+@query("a01_report_totals", f"SELECT count(*) AS invoices, {money('gross')} AS gross, {money('net')} AS net, {money('iss')} AS iss, {money('withheld')} AS withheld, {money('anticipated')} AS anticipated FROM invoices WHERE {IN_PERIOD}", "invoices")
 def _(get, spark, d):
     return reports.report_totals(period(get("invoices")))
 
@@ -176,15 +177,55 @@ def _(get, spark, d):
     return get("expenses").filter(reports.in_period("1996-03-01", "1996-03-31", "spent_on")).select("expense_id", "spent")
 
 
-@query("f04_search", "SELECT id, legal_name FROM invoices LEFT JOIN parties ON party_id = customer_id WHERE contains(number, '77') OR contains(coalesce(trade_name, ''), 'Loja 7')", "invoices parties")
+_SEARCHED = ["number", "status", "description", "legal_name", "trade_name", "tax_id", "segment", "series_number"]
+
+
+@query("f04_search", "SELECT id, legal_name FROM invoices LEFT JOIN parties ON party_id = customer_id WHERE " + " OR ".join(f"contains(lower(coalesce({c}, '')), 'loja 7')" for c in _SEARCHED), "invoices parties")
+def _(get, spark, d):
+    return reports.searched(reports.with_customer(get("invoices"), get("parties")), "Loja 7", _SEARCHED).select("id", "legal_name")
+
+
+@query("f05_expense_search", "SELECT expense_id, description FROM expenses WHERE " + " OR ".join(f"contains(lower({c}), 'pedido 12')" for c in ("description", "supplier", "category", "CAST(service_id AS VARCHAR)")), "expenses")
+def _(get, spark, d):
+    rows = get("expenses").withColumn("service", F.col("service_id").cast("string"))
+    return reports.searched(rows, "pedido 12", ["description", "supplier", "category", "service"]).select("expense_id", "description")
+
+
+@query("f10_allowed_columns", "SELECT id, number, gross FROM invoices WHERE status = 'PAGA'", "invoices")
+def _(get, spark, d):
+    return reports.allowed(get("invoices").filter("status = 'PAGA'"), ["id", "number", "gross", "tenant", "secret"], ["id", "number", "gross", "net"])
+
+
+@query("f11_light_rows", "SELECT doc_id, lang, text IS NOT NULL AND length(text) > 0 AS has_text FROM documents")
 def _(get, spark, d):
-    rows = reports.with_customer(get("invoices"), get("parties"))
-    return reports.containing(rows, "77", "number").select("id", "legal_name").union(reports.containing(rows, "Loja 7", "trade_name").select("id", "legal_name")).distinct()
+    return reports.without_heavy(get("documents"), "text", "has_text").select("doc_id", "lang", "has_text")
 
 
-@query("f05_expense_search", "SELECT expense_id, description FROM expenses WHERE contains(description, 'pedido 12') OR contains(supplier, 'Fornecedor 9')", "expenses")
+@query("f13_display_texts", "SELECT id, CASE WHEN length(description) > 10 THEN substr(description, 1, 10) || '…' ELSE description END AS shown, coalesce(strftime(due, '%d/%m/%Y'), '—') AS due_shown FROM invoices", "invoices")
 def _(get, spark, d):
-    return reports.containing(get("expenses"), "pedido 12", "description").unionByName(reports.containing(get("expenses"), "Fornecedor 9", "supplier")).distinct().select("expense_id", "description")
+    return get("invoices").select("id", reports.shown(F.col("description"), 10).alias("shown"), S.format_date(F.col("due")).alias("due_shown"))
+
+
+@query("s02_point_lookup", "SELECT id, number, gross, status FROM invoices WHERE id = 77", "invoices")
+def _(get, spark, d):
+    return reports.matching(get("invoices"), id=77).select("id", "number", "gross", "status")
+
+
+@query("o01_sorted_page", "SELECT id, gross FROM invoices ORDER BY gross DESC NULLS LAST, id LIMIT 20", "invoices")
+def _(get, spark, d):
+    rows = get("invoices")
+    return reports.page(rows, reports.sorted_listing(rows, "gross", True), 1, 20).select("id", "gross")
+
+
+@query("o01_unknown_sort_column", "SELECT id, created FROM invoices ORDER BY created ASC NULLS LAST, id LIMIT 20", "invoices")
+def _(get, spark, d):
+    rows = get("invoices")
+    return reports.page(rows, reports.sorted_listing(rows, "password", False), 1, 20).select("id", "created")
+
+
+@query("o04_job_page", "SELECT job_id, kind, status FROM jobs WHERE status = 'FALHA' ORDER BY created DESC, job_id LIMIT 20 OFFSET 20", "jobs")
+def _(get, spark, d):
+    return reports.page(reports.matching(get("jobs"), status="FALHA"), [F.desc("created"), F.col("job_id")], 2, 20).select("job_id", "kind", "status")
 
 
 @query("f08_null_filter", "SELECT sub_id FROM subscriptions WHERE reminded IS NULL AND cancelled IS NOT NULL", "subscriptions")
@@ -192,9 +233,9 @@ def _(get, spark, d):
     return get("subscriptions").filter("reminded IS NULL AND cancelled IS NOT NULL").select("sub_id")
 
 
-@query("f09_audit_search", "SELECT event_id, document, field FROM audit WHERE severity = 'CRITICO' AND actor = 'HUMANO' ORDER BY seq LIMIT 50 OFFSET 100", "audit")
+@query("f09_audit_search", """SELECT event_id, document, field FROM audit WHERE severity = 'CRITICO' AND actor = 'HUMANO' AND "at" >= TIMESTAMP '2024-01-02' AND "at" <= TIMESTAMP '2024-01-28' ORDER BY seq LIMIT 50 OFFSET 10""", "audit")
 def _(get, spark, d):
-    return audit.search(get("audit"), 100, 50, severity="CRITICO", actor="HUMANO").select("event_id", "document", "field")
+    return audit.search(get("audit"), 10, 50, since="2024-01-02", until="2024-01-28", severity="CRITICO", actor="HUMANO").select("event_id", "document", "field")
 
 
 @query("f12_number_forms", "SELECT id, TRY_CAST(CAST(gross AS DECIMAL(18,2)) AS DOUBLE) AS typed, CAST(replace(CAST(CAST(gross AS DECIMAL(18,2)) AS VARCHAR), '.', '') AS DOUBLE) AS local_form FROM invoices", "invoices")
@@ -221,13 +262,13 @@ def _(get, spark, d):
 
 @query(
     "j03_nested_taxes",
-    """x AS (SELECT invoice_id, kind, amount, row_number() OVER (PARTITION BY invoice_id ORDER BY due DESC NULLS LAST, tax_id, amount) AS n FROM taxes),
-    y AS (SELECT invoice_id, string_agg(kind || ':' || CAST(CAST(amount AS DECIMAL(18,2)) AS VARCHAR), ',' ORDER BY n) AS taxes FROM x WHERE n <= 3 GROUP BY 1)
-    SELECT id, number, coalesce(y.taxes, '') AS taxes FROM invoices LEFT JOIN y ON y.invoice_id = id""",
-    "taxes invoices",
+    """y AS (SELECT invoice_id, string_agg(kind || ':' || CAST(CAST(amount AS DECIMAL(18,2)) AS VARCHAR), ',' ORDER BY tax_id, kind, amount) AS taxes FROM taxes GROUP BY 1),
+    h AS (SELECT CAST(document AS BIGINT) AS invoice_id, seq, row_number() OVER (PARTITION BY document ORDER BY seq DESC) AS n FROM audit), z AS (SELECT invoice_id, string_agg(CAST(seq AS VARCHAR), ',' ORDER BY n) AS history FROM h WHERE n <= 50 GROUP BY 1)
+    SELECT id, number, coalesce(y.taxes, '') AS taxes, coalesce(z.history, '') AS history FROM invoices LEFT JOIN y ON y.invoice_id = id LEFT JOIN z ON z.invoice_id = id""",
+    "taxes invoices audit",
 )
 def _(get, spark, d):
-    return reports.invoice_detail(get("invoices"), get("taxes"), 3)
+    return reports.invoice_detail(get("invoices"), get("taxes"), get("audit").select(F.col("document").cast("long").alias("invoice_id"), "seq"))
 
 
 @query("j04_substitutions", "SELECT a.id, a.substitute_id, a.gross, b.gross AS old_gross FROM invoices a LEFT JOIN invoices b ON b.id = a.substitute_id WHERE a.substitute_id IS NOT NULL", "invoices")
@@ -282,14 +323,15 @@ def _(get, spark, d):
     return get("invoices").select(F.col("customer_id").alias("party")).union(get("parties").select("party_id")).distinct()
 
 
-@query("u03_parties_without_invoice", "SELECT party_id FROM parties EXCEPT SELECT customer_id FROM invoices", "invoices parties")
+@query("u03_parties_without_invoice", "SELECT party_id FROM parties EXCEPT SELECT customer_id FROM invoices WHERE status = 'CANCELADA'", "invoices parties")
 def _(get, spark, d):
-    return get("parties").select("party_id").join(get("invoices").select(F.col("customer_id").alias("party_id")), "party_id", "left_anti")
+    cancelled = get("invoices").filter("status = 'CANCELADA'").select(F.col("customer_id").alias("party_id"))
+    return get("parties").select("party_id").join(cancelled, "party_id", "left_anti")
 
 
 @query(
     "r01_early_payment",
-    f"""x AS (SELECT id, coalesce(net, gross, 0) AS base, coalesce(greatest(1, date_diff('day', TIMESTAMP '{NOW}', date_trunc('day', issued))), 30) AS days FROM invoices)
+    f"""x AS (SELECT id, coalesce(net, gross, 0) AS base, coalesce(greatest(1, date_diff('day', TIMESTAMP '{NOW}', date_trunc('day', due))), 30) AS days FROM invoices)
     SELECT id, days, floor(base * 2.5 / 100 * days / 30 * 100 + 0.5) / 100 AS fee, floor(greatest(0, base - base * 2.5 / 100 * days / 30) * 100 + 0.5) / 100 AS paid_out FROM x""",
     "invoices",
 )
@@ -308,6 +350,33 @@ def _(get, spark, d):
     return reports.worker_status(get("worker_docs"), get("workers"), NOW)
 
 
+@query("r02_early_payment_direct", "SELECT id, floor(greatest(0, coalesce(net, gross, 0) - 15.5) * 100 + 0.5) / 100 AS paid_out, CASE WHEN coalesce(net, gross, 0) > 0 THEN floor(15.5 / coalesce(net, gross, 0) * 100 * 100 + 0.5) / 100 ELSE 0 END AS fee_percent FROM invoices", "invoices")
+def _(get, spark, d):
+    return reports.early_payment_for(get("invoices"), F.lit(15.5))
+
+
+@query(
+    "r10_periods",
+    f"SELECT 'mes' AS period, count(*) FILTER (created >= TIMESTAMP '1997-08-01') AS invoices FROM invoices WHERE created <= TIMESTAMP '1997-08-20' UNION ALL SELECT 'trimestre', count(*) FILTER (created >= TIMESTAMP '1997-07-01') FROM invoices WHERE created <= TIMESTAMP '1997-08-20' UNION ALL SELECT 'ano', count(*) FILTER (created >= TIMESTAMP '1997-01-01') FROM invoices WHERE created <= TIMESTAMP '1997-08-20' UNION ALL SELECT 'tudo', count(*) FROM invoices WHERE created <= TIMESTAMP '1997-08-20'",
+    "invoices",
+)
+def _(get, spark, d):
+    now, names = "1997-08-20 00:00:00", ("mes", "trimestre", "ano", "tudo")
+    rows = get("invoices").filter(F.col("created") <= F.lit(now).cast("timestamp"))
+    counted = rows.agg(*[F.count_if(F.col("created") >= reports.period_of(n, now)).alias(n) for n in names])
+    return counted.unpivot([], list(names), "period", "invoices")
+
+
+@query(
+    "a36_worker_summary",
+    f"""x AS (SELECT worker_id, date_diff('day', TIMESTAMP '{NOW}', date_trunc('day', expires)) AS days FROM worker_docs), s AS (SELECT worker_id, count(*) FILTER (days < 0) AS o, count(*) FILTER (days BETWEEN 0 AND 30) AS n FROM x GROUP BY 1)
+    SELECT CASE WHEN o > 0 THEN 'VENCIDO' WHEN n > 0 THEN 'PROXIMO' ELSE 'EM_DIA' END AS state, count(*) AS workers FROM workers w LEFT JOIN s ON s.worker_id = w.worker_id GROUP BY 1""",
+    "workers worker_docs",
+)
+def _(get, spark, d):
+    return reports.worker_summary(get("worker_docs"), get("workers"), NOW)
+
+
 @query("r05_due_months", "SELECT tax_id, CAST(CAST(due AS DATE) + INTERVAL 1 MONTH AS DATE) AS next_due FROM taxes", "taxes")
 def _(get, spark, d):
     return get("taxes").select("tax_id", S.add_months(F.to_date("due"), 1).alias("next_due"))
@@ -325,9 +394,13 @@ def _(get, spark, d):
     return reports.change_log(old, new, "id", ["status", "tenant"])
 
 
-@query("q13_duplicate_invoices", "SELECT supplier_id, customer_id, count(*) AS times FROM invoices GROUP BY 1, 2 HAVING count(*) > 1", "invoices")
+@query(
+    "q13_duplicate_invoices",
+    "x AS (SELECT id, min(id) OVER (PARTITION BY series_number, supplier_id, issued) AS duplicate_of FROM invoices WHERE series_number IS NOT NULL AND supplier_id IS NOT NULL AND issued IS NOT NULL) SELECT id, duplicate_of FROM x WHERE id > duplicate_of",
+    "invoices",
+)
 def _(get, spark, d):
-    return reports.duplicates(get("invoices"), ["supplier_id", "customer_id"])
+    return reports.duplicates(get("invoices"), ["series_number", "supplier_id", "issued"], "id")
 
 
 # Scalars over whole columns
@@ -380,7 +453,10 @@ def _(get, spark, d):
     return get("parties").filter("trade_name IS NOT NULL").select("party_id", F.levenshtein("legal_name", "trade_name").cast("long").alias("distance"))
 
 
-@query("x21_row_hashes")
+_SEALED = """'{"actor":"' || actor || '","document":"' || document || '","entry":"' || entry || '","event_id":' || event_id || ',"field":"' || field || '","seq":' || seq || ',"severity":"' || severity || '"}'"""
+
+
+@query("x21_row_hashes", f"SELECT event_id, printf('%08x', list_reduce(list_prepend(5381::BIGINT, list_transform(string_split({_SEALED}, ''), lambda c: ord(c)::BIGINT)), lambda h, c: xor((h * 33) & 4294967295, c))) AS seal FROM audit", "audit")
 def _(get, spark, d):
     return audit.sealed(get("audit"))
 
@@ -472,12 +548,44 @@ def _(get, spark, d):
 
 @query(
     "j12_snapshot_diff",
-    """o AS (SELECT document, field, arg_max(entry, seq) AS old FROM audit WHERE seq <= 4000 GROUP BY 1, 2), n AS (SELECT document, field, arg_max(entry, seq) AS new FROM audit WHERE seq > 2000 GROUP BY 1, 2)
+    """o AS (SELECT document, field, arg_max(entry, seq) AS old FROM audit WHERE seq <= 400 GROUP BY 1, 2), n AS (SELECT document, field, arg_max(entry, seq) AS new FROM audit WHERE seq <= 900 GROUP BY 1, 2)
     SELECT coalesce(o.document, n.document) AS document, coalesce(o.field, n.field) AS field, old, new FROM o FULL JOIN n ON o.document = n.document AND o.field = n.field WHERE old IS DISTINCT FROM new""",
     "audit",
 )
 def _(get, spark, d):
-    return audit.snapshot_diff(get("audit"), 4000)
+    return audit.snapshot_diff(get("audit"), 400, 900)
+
+
+@query(
+    "w06_version_changes",
+    """x AS (SELECT document, seq, entry, row_number() OVER (PARTITION BY document ORDER BY seq) AS version, lag(entry) OVER w AS old, lag(seq) OVER w AS before FROM audit WINDOW w AS (PARTITION BY document, field ORDER BY seq))
+    SELECT document, version, seq, CASE WHEN before IS NULL THEN 'NOVO' WHEN entry IS DISTINCT FROM old THEN 'ALTERADO' ELSE 'IGUAL' END AS change, old, entry AS new FROM x""",
+    "audit",
+)
+def _(get, spark, d):
+    return audit.version_changes(get("audit"))
+
+
+@query("w05_latest_with_label", "SELECT document, max(seq) AS seq, arg_max(field, seq) AS field, arg_max(entry, seq) AS entry FROM audit WHERE severity = 'AVISO' GROUP BY 1", "audit")
+def _(get, spark, d):
+    return audit.latest_with_label(get("audit"), "AVISO")
+
+
+@query("h08_field_traces", "SELECT document, field, string_agg(seq || '=' || entry, ' -> ' ORDER BY seq) AS trace FROM audit WHERE actor = 'HUMANO' GROUP BY 1, 2", "audit")
+def _(get, spark, d):
+    return audit.traces(get("audit").filter("actor = 'HUMANO'"))
+
+
+@query(
+    "x28_sensitivity",
+    """SELECT CASE WHEN kind = 'EXPORTACAO' OR field = 'view' THEN 'critica' WHEN kind = 'LOGIN' THEN 'alta' WHEN kind = 'CONFIGURACAO' THEN 'alta' WHEN kind = 'CORRECAO' THEN CASE WHEN field = 'click' THEN 'critica' ELSE 'alta' END WHEN kind = 'VALIDACAO' THEN 'media' ELSE 'baixa' END AS level, count(*) AS events
+    FROM (SELECT CASE event_id % 6 WHEN 0 THEN 'EXPORTACAO' WHEN 1 THEN 'LOGIN' WHEN 2 THEN 'CONFIGURACAO' WHEN 3 THEN 'CORRECAO' WHEN 4 THEN 'VALIDACAO' ELSE 'OUTRO' END AS kind, field FROM audit) GROUP BY 1""",
+    "audit",
+)
+def _(get, spark, d):
+    kind = F.expr("CASE event_id % 6 WHEN 0 THEN 'EXPORTACAO' WHEN 1 THEN 'LOGIN' WHEN 2 THEN 'CONFIGURACAO' WHEN 3 THEN 'CORRECAO' WHEN 4 THEN 'VALIDACAO' ELSE 'OUTRO' END")
+    rows = get("audit").select(kind.alias("kind"), F.when(F.col("field") == "view", "VISUALIZACAO_SENSIVEL").otherwise(kind).alias("sub"), F.when(F.col("field") == "click", "cpf_cnpj").otherwise(F.col("field")).alias("name"))
+    return rows.groupBy(audit.sensitivity(F.col("kind"), F.col("sub"), F.col("name")).alias("level")).agg(F.count(F.lit(1)).alias("events"))
 
 
 @query("h04_integrity", "SELECT count(*) AS total, count(*) FILTER (event_id % 3 <> 0 AND event_id % 97 <> 0) AS intact, count(*) FILTER (event_id % 3 <> 0 AND event_id % 97 = 0) AS broken, count(*) FILTER (event_id % 3 = 0) AS unsealed FROM audit", "audit")
@@ -501,7 +609,7 @@ def _(get, spark, d):
 
 _REPORT = f"""q AS (SELECT count(*) FILTER (status = 'PENDENTE') AS pending, count(*) FILTER (status = 'DEAD_LETTER') AS dead_letter,
     count(*) FILTER (status = 'CONCLUIDO' AND finished >= TIMESTAMP '{EVENT_NOW}' - INTERVAL 1 HOUR) AS throughput,
-    count(*) FILTER (status IN ('FALHA', 'DEAD_LETTER') AND finished >= TIMESTAMP '{EVENT_NOW}' - INTERVAL 1 HOUR) AS lost,
+    count(*) FILTER (status IN ('FALHA', 'DEAD_LETTER') AND updated >= TIMESTAMP '{EVENT_NOW}' - INTERVAL 1 HOUR) AS lost,
     count(DISTINCT worker) FILTER (started >= TIMESTAMP '{EVENT_NOW}' - INTERVAL 60 SECOND) AS workers,
     avg(CASE WHEN status = 'CONCLUIDO' THEN CAST(epoch_ms(finished) - epoch_ms(started) AS DOUBLE) END) AS mean FROM jobs),
     r AS (SELECT pending, dead_letter, throughput, workers, CASE WHEN throughput + lost > 0 THEN floor(lost / (throughput + lost) * 100 * 10 + 0.5) / 10 ELSE 0.0::DOUBLE END AS error_rate, coalesce(floor(mean + 0.5), 0.0)::DOUBLE AS latency_ms FROM q)"""
@@ -539,16 +647,25 @@ def _(get, spark, d):
     return queueing.next_job(get("jobs")).select("job_id", "kind")
 
 
-@query("j10_blocked_jobs", "SELECT a.job_id, a.after_id, b.status AS other_status FROM jobs a LEFT JOIN jobs b ON b.job_id = a.after_id WHERE a.status = 'PENDENTE' AND a.after_id IS NOT NULL AND (b.status IS NULL OR b.status <> 'CONCLUIDO')", "jobs")
+@query("j10_blocked_jobs", "x AS (SELECT job_id, unnest(after_ids) AS after_id FROM jobs WHERE status = 'PENDENTE') SELECT x.job_id, x.after_id, b.status AS other_status FROM x LEFT JOIN jobs b ON b.job_id = x.after_id WHERE b.status IS NULL OR b.status <> 'CONCLUIDO'", "jobs")
 def _(get, spark, d):
     return queueing.dependencies(get("jobs"))
 
 
-@query("j11_ready_jobs", "SELECT a.job_id FROM jobs a LEFT JOIN jobs b ON b.job_id = a.after_id WHERE a.status = 'PENDENTE' AND (a.after_id IS NULL OR b.status = 'CONCLUIDO')", "jobs")
+@query(
+    "j11_ready_jobs",
+    "x AS (SELECT job_id, unnest(after_ids) AS after_id FROM jobs WHERE status = 'PENDENTE'), y AS (SELECT x.job_id, count(*) FILTER (b.status = 'CONCLUIDO') AS done FROM x LEFT JOIN jobs b ON b.job_id = x.after_id GROUP BY 1) SELECT a.job_id FROM jobs a LEFT JOIN y ON y.job_id = a.job_id WHERE a.status = 'PENDENTE' AND coalesce(len(a.after_ids), 0) = coalesce(y.done, 0)",
+    "jobs",
+)
 def _(get, spark, d):
     return queueing.ready(get("jobs")).select("job_id")
 
 
+@query("a17_alerts_by_severity", f"{_REPORT}, a AS (" + " UNION ALL ".join(f"SELECT '{s}' AS severity FROM r WHERE {rule}" for n, s, rule in queueing.ALERT_RULES) + ") SELECT v.severity, count(a.severity) AS alerts FROM (VALUES ('AVISO'), ('CRITICO'), ('EMERGENCIA')) AS v(severity) LEFT JOIN a ON a.severity = v.severity GROUP BY 1", "jobs")
+def _(get, spark, d):
+    return queueing.severity_counts(queueing.active_alerts(queueing.queue_report(get("jobs"), EVENT_NOW)))
+
+
 _CONFIG = "c AS (SELECT * FROM (VALUES " + ", ".join(str(c) for c in queueing.JOB_CONFIG) + ") AS v(kind, timeout_s, max_attempts, base_s, cap_s))"
 
 
@@ -574,19 +691,47 @@ def _(get, spark, d):
 
 @query(
     "q11_repeated_uploads",
-    """x AS (SELECT job_id, file_hash, created, lag(job_id) OVER w AS first_id, lag(created) OVER w AS sent FROM jobs WINDOW w AS (PARTITION BY file_hash ORDER BY created, job_id))
-    SELECT job_id, first_id, file_hash FROM x WHERE created < sent + INTERVAL 24 HOUR""",
+    """SELECT a.job_id, arg_max(b.job_id, (b.created, b.job_id)) AS first_id, a.file_hash FROM jobs a JOIN jobs b ON b.file_hash = a.file_hash AND b.status NOT IN ('CANCELADO', 'DEAD_LETTER')
+    AND b.created >= a.created - INTERVAL 24 HOUR AND (b.created < a.created OR (b.created = a.created AND b.job_id < a.job_id)) GROUP BY a.job_id, a.file_hash""",
     "jobs",
 )
 def _(get, spark, d):
     return queueing.repeated_uploads(get("jobs"))
 
 
-@query("q12_in_flight", "SELECT file_hash, count(*) AS live, arg_max(job_id, (created, job_id)) AS newest FROM jobs WHERE status IN ('PENDENTE', 'PROCESSANDO') GROUP BY 1", "jobs")
+@query("q12_in_flight", "SELECT kind, file_hash, count(*) AS live, arg_max(job_id, (created, job_id)) AS newest FROM jobs WHERE status IN ('PENDENTE', 'PROCESSANDO') GROUP BY 1, 2", "jobs")
 def _(get, spark, d):
     return queueing.in_flight(get("jobs"))
 
 
+@query(
+    "q12_file_states",
+    "SELECT file_hash, arg_max(job_id, (created, job_id)) FILTER (status NOT IN ('CANCELADO', 'DEAD_LETTER')) AS newest, arg_max(status, (created, job_id)) FILTER (status NOT IN ('CANCELADO', 'DEAD_LETTER')) AS status, bool_or(kind = 'AUDITORIA' AND status = 'CONCLUIDO') AS audited FROM jobs GROUP BY 1",
+    "jobs",
+)
+def _(get, spark, d):
+    return queueing.file_states(get("jobs"))
+
+
+@query(
+    "q05_recovery_summary",
+    f"""{_CONFIG}, x AS (SELECT jobs.kind, epoch(TIMESTAMP '{EVENT_NOW}')::BIGINT - epoch(date_trunc('second', started))::BIGINT AS idle_s, CASE WHEN attempts < max_attempts THEN 'REENFILEIRAR' ELSE 'DEAD_LETTER' END AS action, timeout_s FROM jobs JOIN c ON c.kind = jobs.kind WHERE status = 'PROCESSANDO')
+    SELECT kind, action, count(*) AS jobs, max(idle_s) AS longest_s FROM x WHERE idle_s > 2 * timeout_s GROUP BY 1, 2""",
+    "jobs",
+)
+def _(get, spark, d):
+    return queueing.recovery_summary(get("jobs"), EVENT_NOW)
+
+
+@query(
+    "o08_latest_failures",
+    f"x AS (SELECT kind, job_id, {_FAIL} AS failure, row_number() OVER (PARTITION BY kind ORDER BY updated DESC, job_id) AS rank FROM jobs WHERE status IN ('FALHA', 'DEAD_LETTER')) SELECT * FROM x WHERE rank <= 10",
+    "jobs",
+)
+def _(get, spark, d):
+    return queueing.alert_history(get("jobs"), 10)
+
+
 @query("q15_transitions", "SELECT status, count(*) FILTER (status IN ('PENDENTE', 'FALHA')) AS cancel, count(*) FILTER (status IN ('FALHA', 'DEAD_LETTER', 'CANCELADO')) AS retry FROM jobs GROUP BY 1", "jobs")
 def _(get, spark, d):
     ok = lambda a: F.count_if(queueing.transition_allowed(F.col("status"), F.lit(a))).alias(a)
@@ -652,9 +797,34 @@ def _(get, spark, d):
     return sweeps.subscription_states(get("subscriptions"), NOW)
 
 
-@query("b03_charge_decisions", "SELECT charge_id, CASE WHEN charge_status = 'PROCESSANDO' THEN 'PENDENTE' WHEN charge_status = 'RECUSADA' THEN 'RECUSADA' WHEN amount < 20000 THEN 'VALOR_DIVERGENTE' ELSE 'APLICAR' END AS decision FROM charges", "charges")
+@query(
+    "b03_charge_decisions",
+    """SELECT payment_id, CASE WHEN p.status <> 'approved' THEN 'status_nao_aprovado' WHEN NOT live THEN 'ambiente_divergente' WHEN c.charge_id IS NULL THEN 'cobranca_nao_encontrada' WHEN p.amount < c.amount - 0.01 THEN 'valor_divergente'
+    WHEN p.currency <> c.currency THEN 'moeda_divergente' WHEN charge_status NOT IN ('PENDENTE', 'PROCESSANDO') THEN 'ja_processada' ELSE 'APLICAR' END AS decision FROM payments p LEFT JOIN charges c ON c.charge_id = p.charge_id""",
+    "charges payments",
+)
+def _(get, spark, d):
+    return sweeps.charge_decision(get("payments"), get("charges"))
+
+
+@query(
+    "b04_missing_charges",
+    "SELECT DISTINCT payment_id AS charge_id, sub_id, price AS amount, 'BRL' AS currency, 'PROCESSANDO' AS charge_status, 'fatura:' || payment_id AS once_key FROM payments p JOIN subscriptions s ON s.contract = 'c' || (p.payment_id // 10) WHERE p.payment_id NOT IN (SELECT charge_id FROM charges WHERE charge_status <> 'RECUSADA')",
+    "payments subscriptions charges",
+)
+def _(get, spark, d):
+    invoices = get("payments").select(F.col("payment_id").alias("charge_id"), F.concat(F.lit("c"), F.expr("payment_id div 10")).alias("contract"))
+    return sweeps.missing_charges(invoices, get("subscriptions"), get("charges").filter("charge_status <> 'RECUSADA'"))
+
+
+@query(
+    "b05_cancel_decisions",
+    f"""x AS (SELECT *, CASE WHEN cancelled IS NOT NULL THEN 'ja_cancelada' WHEN NOT coalesce(period_end > TIMESTAMP '{NOW}', false) THEN 'sem_periodo_vigente' WHEN contract IS NULL THEN 'sem_assinatura_recorrente' END AS reason FROM subscriptions)
+    SELECT sub_id, reason IS NULL AS can_cancel, reason, CASE WHEN reason IS NULL OR reason = 'ja_cancelada' THEN period_end END AS access_until FROM x""",
+    "subscriptions",
+)
 def _(get, spark, d):
-    return sweeps.charge_decision(get("charges"), 20000.0)
+    return sweeps.cancel_decision(get("subscriptions"), NOW)
 
 
 @query("b08_in_flight_charges", f"SELECT DISTINCT sub_id FROM charges WHERE charge_status = 'PROCESSANDO' AND handled >= TIMESTAMP '{NOW}' - INTERVAL 30 MINUTE", "charges")
@@ -662,9 +832,9 @@ def _(get, spark, d):
     return sweeps.in_flight_guard(get("charges"), NOW, 30)
 
 
-@query("s17_missing_trials", f"SELECT party_id, TIMESTAMP '{NOW}' + INTERVAL 7 DAY AS trial_end FROM parties WHERE party_id NOT IN (SELECT user_id FROM subscriptions)", "parties subscriptions")
+@query("s17_missing_trials", f"SELECT party_id, TIMESTAMP '{NOW}' + INTERVAL 7 DAY AS trial_end FROM parties WHERE party_id NOT IN (SELECT user_id FROM subscriptions WHERE cancelled IS NULL AND period_end IS NULL)", "parties subscriptions")
 def _(get, spark, d):
-    return sweeps.missing_subscriptions(get("parties"), get("subscriptions"), "party_id", NOW)
+    return sweeps.missing_subscriptions(get("parties"), get("subscriptions").filter("cancelled IS NULL AND period_end IS NULL"), "party_id", NOW)
 
 
 # Texts: classification, two extractions, reconciliation, scores, rules
@@ -674,6 +844,10 @@ def _texts(spark, d):
     return documents.texts(documents.facts(spark, d))
 
 
+def _facts(spark, d):
+    return extraction.fiscal_facts(_texts(spark, d))
+
+
 @query("e01_classify", "SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 3 = 1 THEN 'DANFE' ELSE 'NFSE' END AS kind, CASE o_orderkey % 3 WHEN 2 THEN 'DANFSE_V2' ELSE 'MUNICIPAL' END AS layout FROM orders")
 def _(get, spark, d):
     return extraction.classify(_texts(spark, d)).select("doc_id", "kind", "layout")
@@ -685,105 +859,169 @@ def _(get, spark, d):
     (CASE WHEN o_orderkey % 7 = 0 THEN o_orderkey % 8 + 1 ELSE o_orderkey % 8 END)::DOUBLE AS rate, 'contato' || o_custkey || '@exemplo.com.br' AS email FROM orders""",
 )
 def _(get, spark, d):
-    w = rules.wide(extraction.by_labels(_texts(spark, d)))
+    w = extraction.values(*extraction.label_reading(extraction.trimmed(_texts(spark, d))))
     return w.select("doc_id", "numero", S.parse_date(F.col("data_emissao")).alias("day"), S.parse_number(F.col("valor_bruto")).alias("gross"), S.parse_number(F.col("aliquota")).alias("rate"), F.col("tomador_email").alias("email"))
 
 
 @query("e26_extract_by_search", "SELECT o_orderkey AS doc_id, CAST(o_orderkey AS VARCHAR) AS numero, o_totalprice AS gross, 'contato' || o_custkey || '@exemplo.com.br' AS email FROM orders")
 def _(get, spark, d):
-    w = rules.wide(extraction.by_search(_texts(spark, d)))
+    w = extraction.values(*extraction.search_reading(_texts(spark, d)))
     return w.select("doc_id", "numero", S.parse_number(F.col("valor_bruto")).alias("gross"), F.col("tomador_email").alias("email"))
 
 
+@query(
+    "e15_withholdings",
+    f"WITH {sql.FACTS} SELECT k AS doc_id, " + ", ".join(f"CASE WHEN service THEN CASE WHEN k % 8 = {r} THEN {x} ELSE 0 END END::DOUBLE AS {f}" for f, r, x in documents.WITHHELD) + ", CASE WHEN service THEN held ELSE 0 END AS total, CASE WHEN service AND k % 7 <> 3 THEN CASE WHEN k % 7 = 4 THEN '1401' ELSE '14.01' END END AS service_code FROM f",
+)
+def _(get, spark, d):
+    number = lambda c: S.parse_number(F.col(c))
+    total = sum((F.coalesce(number(c), F.lit(0.0)) for c in extraction.WITHHELD), F.lit(0.0))
+    return _facts(spark, d).select("doc_id", *[number(f).alias(f) for f, _, _ in documents.WITHHELD], total.alias("total"), F.col("codigo_servico").alias("service_code"))
+
+
 def _compared(spark, d):
-    docs = _texts(spark, d)
-    return rules.compare(extraction.by_labels(docs), extraction.by_search(docs))
+    return rules.compare(extraction.both(_texts(spark, d)))
 
 
-@query("c04_compare")
+@query("c04_compare", f"WITH {sql.COMPARED} SELECT doc_id, field, value_a, value_b, agreement FROM compared")
 def _(get, spark, d):
     return _compared(spark, d).select("doc_id", "field", "value_a", "value_b", "agreement")
 
 
-@query("c05_resolve")
+@query("c05_resolve", f"WITH {sql.COMPARED} SELECT doc_id, field, critical, value_a, value_b, agreement, value, confidence, winner, how, review FROM resolved")
 def _(get, spark, d):
     return rules.resolve(_compared(spark, d)).drop("section", "weight")
 
 
-@query("c06_ownership", "SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'par' ELSE 'impar' END AS parity, count(*) AS n FROM orders GROUP BY 1")
+_PARTIES = """f(n, name) AS (VALUES (0, 'email'), (1, 'telefone'), (2, 'endereco'), (3, 'inscricao_municipal')),
+    x AS (SELECT o_orderkey AS k, name, (o_orderkey + n) % 5 AS c,
+        CASE n WHEN 0 THEN 'fornecedor' || o_orderkey || '@exemplo.com.br' WHEN 1 THEN '11 3' || o_orderkey WHEN 2 THEN 'Rua do Fornecedor ' || o_orderkey ELSE CAST(o_orderkey * 10 AS VARCHAR) END AS p,
+        CASE n WHEN 0 THEN 'cliente' || o_orderkey || '@exemplo.com.br' WHEN 1 THEN '11 9' || o_orderkey WHEN 2 THEN 'Avenida do Cliente ' || o_orderkey ELSE CAST(o_orderkey * 10 + 5 AS VARCHAR) END AS t FROM orders CROSS JOIN f)"""
+
+
+def _owned(spark, d):
+    compared = rules.compare(extraction.paired(*extraction.party_readings(documents.party_texts(documents.facts(spark, d)))))
+    return rules.resolve(compared), rules.own_fields(rules.resolve(compared))
+
+
+@query(
+    "c06_ownership",
+    f"WITH {_PARTIES} SELECT 'prestador_' || name AS field, count(*) FILTER (c = 1) AS emptied, count(*) FILTER (c IN (0, 2, 3)) AS kept FROM x GROUP BY 1 UNION ALL SELECT 'tomador_' || name, count(*) FILTER (c IN (0, 2)), count(*) FILTER (c IN (1, 3)) FROM x GROUP BY 1",
+)
 def _(get, spark, d):
-    kept = rules.own_fields(rules.resolve(_compared(spark, d))).filter("field = 'numero'")
-    return kept.groupBy(F.when(F.col("doc_id") % 2 == 0, "par").otherwise("impar").alias("parity")).agg(F.count(F.lit(1)).alias("n"))
+    before, after = _owned(spark, d)
+    changed = before.select("doc_id", "field", F.col("value").alias("had")).join(after.select("doc_id", "field", "value"), ["doc_id", "field"])
+    return changed.groupBy("field").agg(F.count_if(F.col("had").isNotNull() & F.col("value").isNull()).alias("emptied"), F.count("value").alias("kept"))
 
 
 @query(
     "c06_exclusive_fields",
-    """WITH f(n, name) AS (VALUES (0, 'email'), (1, 'telefone'), (2, 'endereco'), (3, 'inscricao_municipal')),
-    x AS (SELECT o_orderkey AS k, name, (o_orderkey + n) % 5 AS c,
-        CASE n WHEN 0 THEN 'fornecedor' || o_orderkey || '@exemplo.com.br' WHEN 1 THEN '11 3' || o_orderkey WHEN 2 THEN 'Rua do Fornecedor ' || o_orderkey ELSE CAST(o_orderkey * 10 AS VARCHAR) END AS p,
-        CASE n WHEN 0 THEN 'cliente' || o_orderkey || '@exemplo.com.br' WHEN 1 THEN '11 9' || o_orderkey WHEN 2 THEN 'Avenida do Cliente ' || o_orderkey ELSE CAST(o_orderkey * 10 + 5 AS VARCHAR) END AS t FROM orders CROSS JOIN f)
+    f"""WITH {_PARTIES}
     SELECT k AS doc_id, 'prestador_' || name AS field, CASE WHEN c IN (0, 2, 3) THEN p END AS value, CASE WHEN c IN (0, 2, 3) THEN 90 ELSE 0 END::DOUBLE AS confidence, CASE WHEN c = 1 THEN 'NENHUM' ELSE 'AMBOS' END AS winner FROM x
     UNION ALL SELECT k, 'tomador_' || name, CASE WHEN c IN (1, 3) THEN t END, CASE WHEN c IN (1, 3) THEN 90 ELSE 0 END::DOUBLE, CASE WHEN c IN (0, 2) THEN 'NENHUM' ELSE 'AMBOS' END FROM x""",
 )
 def _(get, spark, d):
-    docs = documents.party_texts(documents.facts(spark, d))
-    compared = rules.compare(extraction.parties_by_labels(docs), extraction.parties_by_search(docs))
-    return rules.own_fields(rules.resolve(compared)).select("doc_id", "field", "value", "confidence", "winner")
+    return _owned(spark, d)[1].select("doc_id", "field", "value", "confidence", "winner")
 
 
-@query("c07_consolidate")
+@query(
+    "c07_consolidate",
+    f"WITH {sql.COMPARED} SELECT doc_id, floor(sum(confidence * CASE WHEN critical THEN 2 ELSE 1 END) / sum(CASE WHEN critical THEN 2 ELSE 1 END) * 10 + 0.5) / 10 AS confidence, count(*) FILTER (review) AS to_review, false AS blocked FROM resolved GROUP BY 1",
+)
 def _(get, spark, d):
     return rules.consolidate(rules.resolve(_compared(spark, d)))
 
 
-@query("c08_agreement_statistics")
+@query(
+    "c08_agreement_statistics",
+    f"""WITH {sql.COMPARED} SELECT doc_id, count(*) FILTER (agreement = 'CONCORDANCIA_TOTAL') AS "full", 0::BIGINT AS functional, 0::BIGINT AS light, count(*) FILTER (agreement = 'DIVERGENCIA_MODERADA') AS moderate, 0::BIGINT AS critical,
+    floor(count(*) FILTER (agreement = 'CONCORDANCIA_TOTAL') / count(*) * 100 * 10 + 0.5) / 10 AS agree_percent FROM compared GROUP BY 1""",
+)
 def _(get, spark, d):
     return rules.agreement_statistics(_compared(spark, d))
 
 
 def _rules(spark, d):
-    return rules.fiscal_rules(rules.wide(extraction.by_labels(_texts(spark, d))))
+    return rules.fiscal_rules(_facts(spark, d))
 
 
 def _scored(spark, d):
-    named = F.when(F.col("rule") == "R001", "aliquota").when(F.col("rule") == "R002", "valor_iss").when(F.col("rule") == "R003", "valor_liquido").otherwise("numero")
-    failures = _rules(spark, d).filter("outcome = 'REPROVADO'").groupBy("doc_id", named.alias("field")).agg(F.count(F.lit(1)).alias("fails"))
+    named = F.when(F.col("rule") == "R001", "aliquota").when(F.col("rule") == "R002", "valor_iss").when(F.col("rule") == "R003", "valor_liquido")
+    failures = _rules(spark, d).filter("outcome = 'REPROVADO' AND rule IN ('R001', 'R002', 'R003')").groupBy("doc_id", named.alias("field")).agg(F.count(F.lit(1)).alias("fails"))
     return rules.field_confidence(rules.resolve(_compared(spark, d)), failures)
 
 
-@query("k03_field_confidence")
+@query("k03_field_confidence", f"WITH {sql.SCORED} SELECT doc_id, field, score, level, origin, risk, must AS review FROM scored")
 def _(get, spark, d):
     return _scored(spark, d).select("doc_id", "field", "score", "level", "origin", "risk", "review")
 
 
-@query("k05_section_scores")
+@query("k05_section_scores", f"WITH {sql.SECTIONS} SELECT doc_id, section, floor(mean * 10 + 0.5) / 10 AS score, problems, problem_fields, weak > 0 OR mean < 70 AS review FROM sections")
 def _(get, spark, d):
     return rules.section_scores(_scored(spark, d))
 
 
-@query("k10_document_scores")
+@query(
+    "k06_ocr_score",
+    f"WITH {sql.COMPARED} SELECT doc_id, floor((100 - sum(CASE WHEN scan THEN 15 * weight ELSE 0 END) / sum(weight)) * 10 + 0.5) / 10 AS ocr_score FROM resolved GROUP BY 1",
+)
 def _(get, spark, d):
-    return rules.document_scores(_scored(spark, d))
+    return rules.ocr_score(_scored(spark, d))
 
 
 @query(
-    "g00_fiscal_rules",
-    """WITH x AS (SELECT o_orderkey AS doc_id, o_totalprice AS g, (o_orderkey % 8)::DOUBLE AS r, CASE WHEN o_orderkey % 7 = 0 THEN o_orderkey % 8 + 1 ELSE o_orderkey % 8 END AS p FROM orders),
-    y AS (SELECT doc_id, p, abs(g * p / 100 - floor(g * r / 100 * 100 + 0.5) / 100) <= 0.05 AS ok FROM x)
-    SELECT doc_id, 'R001' AS rule, CASE WHEN p = 0 OR (p >= 1 AND p < 2) THEN 'AVISO' WHEN p BETWEEN 2 AND 5 THEN 'APROVADO' ELSE 'REPROVADO' END AS outcome FROM y
-    UNION ALL SELECT doc_id, 'R002', CASE WHEN ok THEN 'APROVADO' ELSE 'REPROVADO' END FROM y
-    UNION ALL SELECT doc_id, r, 'APROVADO' FROM y CROSS JOIN (VALUES ('R003'), ('R014'), ('R016')) AS v(r)""",
+    "k07_structural_score",
+    f"WITH {sql.FACTS} SELECT k AS doc_id, 40 + CASE WHEN service AND k % 7 <> 3 THEN 20 ELSE 0 END + CASE WHEN service THEN 20 + CASE WHEN k % 5 <> 0 THEN 20 ELSE 15 END ELSE 0 END AS structural_score FROM f",
 )
 def _(get, spark, d):
-    return _rules(spark, d).select("doc_id", "rule", "outcome")
+    return rules.structural_score(_facts(spark, d))
+
+
+@query("k10_document_scores", f"WITH {sql.DOCUMENTS}")
+def _(get, spark, d):
+    fatal = _rules(spark, d).filter("outcome = 'REPROVADO' AND severity = 'CRITICO'").groupBy("doc_id").agg(F.count(F.lit(1)).alias("fatal"))
+    return rules.document_scores(_scored(spark, d), fatal)
 
 
-@query("g17_fiscal_confidence")
+@query("g00_fiscal_rules", f"WITH {sql.RULES} SELECT * FROM rules")
+def _(get, spark, d):
+    return _rules(spark, d)
+
+
+@query(
+    "g00_classification",
+    f"""WITH {sql.FACTS} SELECT k AS doc_id, CASE WHEN service AND k % 26 = 0 THEN 'MEI' WHEN simple THEN 'SIMPLES_NACIONAL' ELSE 'DESCONHECIDO' END AS regime_tributario,
+    CASE WHEN service AND k % 26 = 0 THEN 'MEI' WHEN service AND k % 4 = 2 THEN 'ME_EPP' WHEN simple THEN 'EMPRESA_GERAL' ELSE 'DESCONHECIDO' END AS tipo_prestador, service AND k % 4 = 0 AS iss_retido, CASE WHEN service AND k % 4 = 0 THEN 'TOMADOR' ELSE 'PRESTADOR' END AS responsavel_iss,
+    CASE WHEN service AND k % 5 <> 0 THEN CASE k % 5 WHEN 2 THEN 'Exportação de serviço' WHEN 3 THEN 'Isenta' ELSE 'Tributação no município' END END AS natureza_operacao, CASE WHEN service THEN CASE WHEN k % 4 = 0 THEN 'Retenção' ELSE 'Normal' END END AS situacao_issqn,
+    CASE WHEN service THEN CASE WHEN k % 12 = 0 THEN 'Retida' ELSE 'Emitida' END END AS situacao_nfse, CASE WHEN service THEN 'São Paulo - SP' END AS local_prestacao, simple AS simples_nacional FROM f""",
+)
+def _(get, spark, d):
+    return extraction.classification(_facts(spark, d))
+
+
+@query(
+    "g00b_approximate_taxes",
+    f"""WITH {sql.FACTS} SELECT k AS doc_id, CASE WHEN approximate THEN {documents.FEDERAL_PERCENT} END::DOUBLE AS federal_pct, CASE WHEN approximate THEN CASE WHEN k % 10 = 9 THEN 3 ELSE 0 END END::DOUBLE AS estadual_val,
+    CASE WHEN approximate THEN r + CASE WHEN k % 10 = 5 THEN 1 ELSE 0 END END AS municipal_pct FROM f""",
+)
+def _(get, spark, d):
+    return _facts(spark, d).select("doc_id", *[S.parse_number(F.col(c)).alias(c) for c in ("federal_pct", "estadual_val", "municipal_pct")])
+
+
+@query("g16_fiscal_alerts", f"WITH {sql.RULES} SELECT doc_id, rule AS alert, severity FROM rules WHERE outcome = 'REPROVADO'")
+def _(get, spark, d):
+    return rules.fiscal_alerts(_rules(spark, d))
+
+
+@query("g17_fiscal_confidence", f"WITH {sql.RULES} {sql.CONFIDENCE}")
 def _(get, spark, d):
     return rules.fiscal_confidence(_rules(spark, d))
 
 
-@query("h07_lineage")
+@query(
+    "h07_lineage",
+    f"WITH {sql.COMPARED} SELECT doc_id, field, 1 AS step, 'METODO_A' AS origin, value_a AS value FROM resolved WHERE value_a IS NOT NULL UNION ALL SELECT doc_id, field, 2, 'METODO_B', value_b FROM resolved WHERE value_b IS NOT NULL UNION ALL SELECT doc_id, field, 3, 'DECISAO', value FROM resolved",
+)
 def _(get, spark, d):
     return audit.lineage(rules.resolve(_compared(spark, d)))
 
@@ -791,14 +1029,85 @@ def _(get, spark, d):
 # Folds
 
 
-@query("m07_learning")
+# one correction after the other, as a recursion over each field's rows
+_FORM = "(corrected IS NULL OR field NOT IN ('valor_iss', 'valor_servico_fin') OR corrected <> 'abc')"
+_OWN = f"100 - CASE WHEN {_FORM} THEN 0 ELSE 40 END - CASE WHEN agreement = 'CONCORDANCIA_TOTAL' AND extracted IS DISTINCT FROM corrected THEN 30 ELSE 0 END - CASE WHEN human THEN 0 ELSE 20 END - CASE WHEN field IN ('numero_nota', 'valor_iss', 'tomador.cpf_cnpj') AND note IS NULL THEN 10 ELSE 0 END"
+_STATUS = "CASE WHEN s.frozen THEN 'REJEITADA' WHEN s.two OR (s.v IS NOT NULL AND s.c >= 2 AND r.corrected IS DISTINCT FROM s.v) THEN 'CONGELADA' WHEN r.e THEN 'VALIDADA' ELSE 'REJEITADA' END"
+_CORRECTED_LOG = f"""r0 AS (SELECT *, {_OWN} AS own, {_FORM} AND NOT (agreement = 'CONCORDANCIA_TOTAL' AND extracted IS DISTINCT FROM corrected) AND {_OWN} >= 50 AS e FROM corrections),
+    r AS (SELECT tenant, field, seq, extracted, corrected, own, e, row_number() OVER (PARTITION BY tenant, field ORDER BY seq) AS n FROM r0),
+    sim AS (SELECT DISTINCT tenant, field, 0::BIGINT AS n, NULL::BIGINT AS seq, NULL::VARCHAR AS v, 0 AS c, false AS two, false AS frozen, 0 AS validated, 0 AS sure, 0 AS delta, '' AS status, 0 AS score FROM r
+    UNION ALL SELECT t.tenant, t.field, t.n, t.seq, CASE WHEN t.status = 'VALIDADA' THEN coalesce(t.v, t.corrected) ELSE t.v END, CASE WHEN t.status = 'VALIDADA' AND t.corrected IS NOT NULL AND t.corrected = coalesce(t.v, t.corrected) THEN t.c + 1 ELSE t.c END,
+        t.two OR coalesce(t.status = 'VALIDADA' AND t.corrected IS NOT NULL AND t.corrected <> coalesce(t.v, t.corrected), false), t.frozen OR t.status = 'CONGELADA', t.validated + CASE WHEN t.status = 'VALIDADA' THEN 1 ELSE 0 END,
+        t.sure + CASE WHEN t.status = 'VALIDADA' AND t.extracted IS NOT DISTINCT FROM t.corrected THEN 1 ELSE 0 END,
+        greatest(-20, least(20, t.delta + CASE WHEN t.status <> 'VALIDADA' THEN 0 WHEN t.extracted IS NOT DISTINCT FROM t.corrected THEN 5 WHEN t.validated + 1 >= 3 THEN -8 ELSE 0 END)), t.status,
+        CASE WHEN t.frozen THEN 0 WHEN t.status = 'CONGELADA' THEN greatest(0, t.own - 50) ELSE t.own END
+    FROM (SELECT r.*, s.v, s.c, s.two, s.frozen, s.validated, s.sure, s.delta, {_STATUS} AS status FROM sim s JOIN r ON r.tenant = s.tenant AND r.field = s.field AND r.n = s.n + 1) t)"""
+
+
+def _recursive(statement: str) -> str:
+    return with_tables(f"{_CORRECTED_LOG} {statement}", "corrections").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def _judged(get):
+    return learning.judged(get("corrections"))
+
+
+@query("m04_judged_corrections", _recursive("SELECT seq AS correction_id, status, score FROM sim WHERE n > 0"))
+def _(get, spark, d):
+    return _judged(get).select("correction_id", "status", F.col("score").cast("int").alias("score"))
+
+
+@query("m05_contradictions", _recursive("SELECT a.tenant, a.field, (SELECT count(DISTINCT r.corrected) FROM r JOIN sim b ON b.seq = r.seq WHERE b.status = 'VALIDADA' AND r.tenant = a.tenant AND r.field = a.field) AS values, a.seq AS frozen_at FROM sim a WHERE a.status = 'CONGELADA'"))
 def _(get, spark, d):
-    return folds.learning(get("audit").select("field", "seq", (F.col("actor") == "HUMANO").alias("confirms")))
+    return learning.contradictions(_judged(get))
+
 
+@query(
+    "m07_learning",
+    _recursive("SELECT tenant, field, arg_max(validated, n)::BIGINT AS validated, arg_max(sure, n)::BIGINT AS confirmations, CASE WHEN max(validated) >= 7 THEN 'PADRAO_CONSOLIDADO' WHEN max(validated) >= 5 THEN 'CONFIANCA' WHEN max(validated) >= 3 THEN 'HEURISTICA' ELSE 'MEMORIA' END AS level, arg_max(delta, n) AS delta, bool_or(frozen) AS frozen FROM sim GROUP BY 1, 2"),
+)
+def _(get, spark, d):
+    return learning.knowledge(_judged(get))
 
-@query("m05_contradictions", "SELECT document, field, count(DISTINCT entry) AS values FROM audit WHERE actor <> 'HUMANO' GROUP BY 1, 2 HAVING count(DISTINCT entry) >= 2", "audit")
+
+_LOW, _HIGH = "lower(extracted)", "lower(corrected)"
+_SCAN = lambda t: "".join(["replace("] * len(learning.CONFUSED)) + t + "".join(f", '{a}', '{b}')" for a, b in learning.CONFUSED)
+_TYPE = f"""CASE WHEN extracted IS NULL AND corrected IS NOT NULL THEN 'ERRO_ANCORA' WHEN corrected IS NULL THEN 'ERRO_EXTRACAO_PARCIAL'
+    WHEN extracted = corrected AND NOT (field IN ('valor_iss', 'valor_servico_fin') AND corrected = 'abc') THEN 'ERRO_FORMATACAO' WHEN field IN ('valor_iss', 'valor_servico_fin') AND extracted = '1010,00' AND corrected = '1.010,00' THEN 'ERRO_FORMATACAO'
+    WHEN levenshtein({_LOW}, {_HIGH}) <= 3 AND ({_SCAN(_LOW)} = {_HIGH} OR {_SCAN(_HIGH)} = {_LOW}) THEN 'ERRO_OCR' WHEN field = 'valor_servico_fin' THEN 'ERRO_INFERENCIA' WHEN field = 'valor_iss' THEN 'ERRO_VALIDACAO_FISCAL'
+    WHEN field = 'tomador.cpf_cnpj' AND section = 'prestador' THEN 'ERRO_ASSOCIACAO_SECAO' WHEN confidence >= 90 THEN 'ERRO_CLASSIFICACAO_CONFIANCA' WHEN starts_with(extracted, 'Data') THEN 'ERRO_FRONTEIRA' ELSE 'ERRO_ANCORA' END"""
+_TYPED = f"ty AS (SELECT correction_id, field, agreement, winner, extracted, corrected, {_TYPE} AS type FROM corrections)"
+
+
+@query(
+    "m01_error_types",
+    f"""{_TYPED} SELECT correction_id, field, type, CASE WHEN type = 'ERRO_FORMATACAO' OR (extracted IS NULL AND corrected IS NULL) THEN 'BAIXA' WHEN type IN ('ERRO_VALIDACAO_FISCAL', 'ERRO_ASSOCIACAO_SECAO', 'ERRO_FRONTEIRA') THEN 'ALTA' WHEN type = 'ERRO_CLASSIFICACAO_CONFIANCA' THEN 'MEDIA'
+    WHEN field <> 'servico.descricao' THEN 'CRITICA' ELSE 'MEDIA' END AS severity, CASE WHEN agreement = 'DIVERGENCIA_CRITICA' THEN 'DESCONHECIDO' WHEN winner = 'A' THEN 'METODO_A' WHEN winner = 'B' THEN 'METODO_B' WHEN winner = 'AMBOS' THEN 'AMBOS' ELSE 'DESCONHECIDO' END AS origin FROM ty""",
+    "corrections",
+)
+def _(get, spark, d):
+    return learning.error_types(get("corrections"))
+
+
+@query(
+    "m03_impacts",
+    f"""{_TYPED} SELECT correction_id, 'ancora' AS kind, field AS target FROM ty WHERE type IN ('ERRO_ANCORA', 'ERRO_VALIDACAO_FISCAL', 'ERRO_ASSOCIACAO_SECAO', 'ERRO_EXTRACAO_PARCIAL') OR (type = 'ERRO_FRONTEIRA' AND field = 'tomador.cpf_cnpj')
+    UNION ALL SELECT correction_id, 'heuristica', field FROM ty WHERE type IN ('ERRO_ANCORA', 'ERRO_OCR', 'ERRO_FORMATACAO', 'ERRO_INFERENCIA', 'ERRO_VALIDACAO_FISCAL', 'ERRO_CLASSIFICACAO_CONFIANCA')
+    UNION ALL SELECT correction_id, 'fronteira', CASE WHEN type = 'ERRO_EXTRACAO_PARCIAL' THEN string_split(field, '.')[1] ELSE CASE string_split(field, '.')[1] WHEN 'tomador' THEN 'tomador' WHEN 'servico' THEN 'servicos' ELSE 'financeiro' END END FROM ty WHERE type IN ('ERRO_FRONTEIRA', 'ERRO_EXTRACAO_PARCIAL')
+    UNION ALL SELECT correction_id, 'fronteira', unnest(['prestador', 'tomador']) FROM ty WHERE type = 'ERRO_ASSOCIACAO_SECAO'""",
+    "corrections",
+)
+def _(get, spark, d):
+    return learning.impacts(learning.error_types(get("corrections")))
+
+
+@query(
+    "m09_reprocessed",
+    f"WITH {sql.SCORED}, kn AS (SELECT * FROM (VALUES ('valor_iss', -8), ('numero', 5), ('aliquota', -20)) AS v(field, delta)), a AS (SELECT s.*, greatest(0.0, least(100.0, score + coalesce(delta, 0))) AS then FROM scored s LEFT JOIN kn USING (field)), b AS (SELECT doc_id, floor(sum(score * weight) / sum(weight) * 10 + 0.5) / 10 AS before, floor(sum(a.then * weight) / sum(weight) * 10 + 0.5) / 10 AS after, count(*) FILTER (a.then > score) AS better, count(*) FILTER (a.then < score) AS worse FROM a GROUP BY 1) SELECT *, floor((after - before) * 10 + 0.5) / 10 AS change FROM b",
+)
 def _(get, spark, d):
-    return folds.frozen_fields(get("audit").withColumn("confirms", F.col("actor") == "HUMANO"))
+    known = spark.createDataFrame([("valor_iss", -8), ("numero", 5), ("aliquota", -20)], "field string, delta int")
+    return learning.reprocessed(_scored(spark, d), known)
 
 
 @query("q16_rate_limits")

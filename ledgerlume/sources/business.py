@@ -16,6 +16,16 @@ JOB_STATUS = (
 )
 TAX_KINDS = "CASE l_linenumber % 5 WHEN 0 THEN 'ISS' WHEN 1 THEN 'IR' WHEN 2 THEN 'PIS' WHEN 3 THEN 'COFINS' ELSE 'INSS' END"
 
+_FIELD = "CASE event_type WHEN 'signup' THEN 'numero_nota' WHEN 'purchase' THEN 'valor_iss' WHEN 'view' THEN 'tomador.cpf_cnpj' WHEN 'click' THEN 'valor_servico_fin' ELSE 'servico.descricao' END"
+_CORRECTED = (
+    "CASE WHEN event_id % 41 = 0 THEN NULL WHEN event_type IN ('purchase', 'click') THEN CASE WHEN event_id % 13 = 0 THEN 'abc' WHEN event_id % 29 = 0 THEN '20,50' ELSE '1.010,00' END"
+    " WHEN event_type = 'view' THEN CASE WHEN event_id % 29 = 0 THEN '22.222.222/0001-91' ELSE '11.111.111/0001-91' END"
+    " WHEN event_type = 'signup' THEN CASE WHEN event_id % 29 = 0 THEN '2001' ELSE '1005' END ELSE CASE WHEN event_id % 29 = 0 THEN 'Limpeza' ELSE 'Manutenção geral' END END"
+)
+_EXTRACTED = (
+    f"CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 2 = 0 THEN {_CORRECTED} WHEN event_id % 5 = 1 THEN 'lOO5' WHEN event_id % 5 = 2 THEN '1010,00' WHEN event_id % 5 = 3 THEN 'Data de emissão' ELSE 'outro' END"
+)
+
 #: name: (table, column expressions valid in both engines)
 TABLES: dict[str, tuple[str, dict[str, str]]] = {
     "invoices": (
@@ -23,6 +33,7 @@ TABLES: dict[str, tuple[str, dict[str, str]]] = {
         {
             "id": "o_orderkey",
             "number": "CAST(o_orderkey AS {text})",
+            "series_number": "CAST(o_orderkey % 200 AS {text})",
             "customer_id": "o_custkey",
             "supplier_id": "o_orderkey % 100 + 1",
             "substitute_id": "CASE WHEN o_orderkey % 50 = 0 THEN o_orderkey - 1 END",
@@ -32,6 +43,10 @@ TABLES: dict[str, tuple[str, dict[str, str]]] = {
             "rate": "CAST(o_orderkey % 8 AS {double})",
             "issued": "CASE WHEN o_orderkey % 10 <> 0 THEN CAST(o_orderdate AS {ts}) END",
             "created": "CAST(o_orderdate AS {ts}) + INTERVAL 3 DAY",
+            "due": "CASE WHEN o_orderkey % 6 <> 0 THEN CAST(o_orderdate AS {ts}) + INTERVAL 28 DAY END",
+            "withheld": "floor(o_totalprice * 1.5 + 0.5) / 100",
+            "anticipated": "CASE WHEN o_orderkey % 4 = 0 THEN floor(o_totalprice * 90 + 0.5) / 100 END",
+            "description": "concat('Serviço ', o_orderkey % 97)",
             "status": "CASE o_orderstatus WHEN 'O' THEN 'ATIVA' WHEN 'F' THEN 'PAGA' ELSE 'CANCELADA' END",
             "tenant": "o_custkey % 7",
         },
@@ -96,12 +111,13 @@ TABLES: dict[str, tuple[str, dict[str, str]]] = {
             "priority": "CAST(event_id % 3 AS {int})",
             "attempts": "CAST(event_id % 4 AS {int})",
             "document_id": "user_id",
-            "file_hash": "concat('h', user_id, '-', event_type)",
+            "file_hash": "concat('h', user_id, '-', event_id % 3)",
             "worker": "concat('w', event_id % 6)",
             "created": "CAST(ts AS {ts})",
             "started": "CASE WHEN event_id % 20 < 16 AND event_id % 20 NOT BETWEEN 11 AND 13 THEN CAST(ts AS {ts}) + INTERVAL 5 SECOND END",
             "finished": "CASE WHEN event_id % 20 < 11 OR event_id % 20 IN (16, 17, 19) THEN CAST(ts AS {ts}) + INTERVAL 65 SECOND END",
-            "after_id": "CASE WHEN event_id % 5 = 0 THEN event_id - 7 END",
+            "updated": "CASE WHEN event_id % 20 < 11 OR event_id % 20 IN (16, 17, 19) THEN CAST(ts AS {ts}) + INTERVAL 65 SECOND ELSE CAST(ts AS {ts}) + INTERVAL 5 SECOND END",
+            "after_ids": "CASE event_id % 5 WHEN 1 THEN {array}(event_id - 9, event_id - 2) WHEN 2 THEN {array}(CASE WHEN event_id % 40 < 20 THEN event_id - 8 ELSE event_id + 2 END) WHEN 3 THEN {array}(event_id - 3, event_id + 1000000000) END",
             "message": "CASE event_id % 6 WHEN 0 THEN 'Connection timed out' WHEN 1 THEN 'OCR engine lost' WHEN 2 THEN 'Prisma lock' WHEN 3 THEN 'ENOENT' WHEN 4 THEN 'parsing failed' ELSE 'unknown' END",
         },
     ),
@@ -118,6 +134,34 @@ TABLES: dict[str, tuple[str, dict[str, str]]] = {
             "entry": "CAST(CAST(floor(value) AS {int}) % 4 AS {text})",
         },
     ),
+    "corrections": (
+        "events",
+        {
+            "correction_id": "event_id",
+            "tenant": "user_id",
+            "seq": "event_id",
+            "field": _FIELD,
+            "section": "CASE WHEN event_type = 'view' THEN CASE WHEN event_id % 6 = 0 THEN 'prestador' ELSE 'tomador' END ELSE 'financeiro' END",
+            "extracted": _EXTRACTED,
+            "corrected": _CORRECTED,
+            "human": "event_id % 3 <> 0",
+            "note": "CASE WHEN event_id % 4 <> 0 THEN 'conferido' END",
+            "agreement": "CASE event_id % 9 WHEN 0 THEN 'CONCORDANCIA_TOTAL' WHEN 1 THEN 'DIVERGENCIA_CRITICA' ELSE 'DIVERGENCIA_LEVE' END",
+            "winner": "CASE event_id % 8 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'AMBOS' END",
+            "confidence": "CAST(event_id % 100 AS {int})",
+        },
+    ),
+    "payments": (
+        "lineitem",
+        {
+            "payment_id": "l_orderkey * 10 + l_linenumber",
+            "charge_id": "CASE WHEN l_partkey % 13 = 0 THEN -1 ELSE l_orderkey * 10 + l_linenumber END",
+            "status": "CASE WHEN l_partkey % 7 = 0 THEN 'pending' ELSE 'approved' END",
+            "live": "l_partkey % 11 <> 0",
+            "amount": "floor(l_extendedprice * 100 + 0.5) / 100 - CASE l_partkey % 5 WHEN 0 THEN 5 WHEN 1 THEN 0.005 ELSE 0 END",
+            "currency": "CASE WHEN l_partkey % 17 = 0 THEN 'USD' ELSE 'BRL' END",
+        },
+    ),
     "subscriptions": (
         "orders",
         {
@@ -127,6 +171,8 @@ TABLES: dict[str, tuple[str, dict[str, str]]] = {
             "period_end": "CASE WHEN o_orderkey % 4 <> 0 THEN CAST(o_orderdate AS {ts}) + INTERVAL 30 DAY END",
             "reminded": "CASE WHEN o_orderkey % 6 = 0 THEN CAST(o_orderdate AS {ts}) END",
             "cancelled": "CASE WHEN o_orderkey % 17 = 0 THEN CAST(o_orderdate AS {ts}) END",
+            "contract": "CASE WHEN o_orderkey % 5 <> 0 THEN concat('c', o_orderkey) END",
+            "price": "CAST(29.9 + o_orderkey % 3 * 10 AS {double})",
         },
     ),
     "charges": (
@@ -136,13 +182,14 @@ TABLES: dict[str, tuple[str, dict[str, str]]] = {
             "sub_id": "l_orderkey",
             "charge_status": "CASE WHEN l_returnflag = 'R' THEN 'RECUSADA' WHEN l_linestatus = 'O' THEN 'PROCESSANDO' ELSE 'APROVADA' END",
             "amount": "floor(l_extendedprice * 100 + 0.5) / 100",
+            "currency": "'BRL'",
             "handled": "CAST(l_shipdate AS {ts})",
         },
     ),
 }
 
-SPARK_TYPES = {"text": "string", "ts": "timestamp", "double": "double", "int": "int"}
-DUCK_TYPES = {"text": "VARCHAR", "ts": "TIMESTAMP", "double": "DOUBLE", "int": "INTEGER"}
+SPARK_TYPES = {"array": "array", "text": "string", "ts": "timestamp", "double": "double", "int": "int"}
+DUCK_TYPES = {"array": "list_value", "text": "VARCHAR", "ts": "TIMESTAMP", "double": "DOUBLE", "int": "INTEGER"}
 
 
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

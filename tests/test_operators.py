@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
-from ledgerlume.operators import folds, rules
+from ledgerlume.operators import folds, learning, rules
 from ledgerlume.sources import files
 from ledgerlume.streaming import limits
 
@@ -40,11 +40,40 @@ def test_rate_limits_in_a_stream(spark, tmp_path):
     assert {r.event_id: r.allowed for r in spark.table("limited").collect()} == brute_limits(EVENTS, 5, 900)
 
 
-def test_learning_levels_and_clamp(spark):
-    rows = [("f", i, False) for i in range(8)] + [("f", 8, True), ("g", 0, True)]
-    got = {(r.field, r.seq): (r.corrections, r.level, r.delta) for r in folds.learning(spark.createDataFrame(rows, "field string, seq long, confirms boolean")).collect()}
-    assert [got["f", i][1] for i in range(8)] == [1, 1, 2, 2, 3, 3, 4, 4]
-    assert [got["f", i][2] for i in range(9)] == [0, 0, -8, -16, -20, -20, -20, -20, -15] and got["g", 0] == (0, 1, 5)
+def plain_learning(rows):
+    """One correction of a field after the other, as (seq, extracted, corrected, eligible)."""
+    validated, frozen, delta, out = [], False, 0, {}
+    for seq, old, new, eligible in rows:
+        values = {v for v in validated if v is not None}
+        against = len(values) >= 2 or (len(values) == 1 and new not in values and sum(v in values for v in validated) >= 2)
+        out[seq] = "REJEITADA" if frozen else "CONGELADA" if against else "VALIDADA" if eligible else "REJEITADA"
+        frozen = frozen or out[seq] == "CONGELADA"
+        if out[seq] == "VALIDADA":
+            validated.append(new)
+            move = 5 if old == new else -8 if len(validated) >= 3 else 0
+            delta = max(-20, min(20, delta + move))
+    return out, len(validated), delta, frozen
+
+
+def test_learning_matches_one_correction_after_the_other(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(learning, "STRETCH", 5)
+    rng, rows = random.Random(6), []
+    for field in range(60):
+        usual = 0.97 if field % 2 else 0.8
+        for i in range(rng.randrange(1, 40)):
+            new = "a" if rng.random() < usual else rng.choice(["b", None, "c"])
+            old = new if rng.random() < 0.5 else "z"
+            rows.append((field, f"f{field}", len(rows), old, new, rng.random() < 0.8, None, "CONCORDANCIA_TOTAL" if rng.random() < 0.1 else None))
+    frame = spark.createDataFrame(rows, "tenant long, field string, seq long, extracted string, corrected string, human boolean, note string, agreement string")
+    judged = learning.judged(frame)
+    got, known = {r.seq: r.status for r in judged.collect()}, {r.tenant: r for r in learning.knowledge(judged).collect()}
+    for field in range(60):
+        mine = [(r[2], r[3], r[4], not (r[7] and r[3] != r[4])) for r in rows if r[0] == field]
+        out, validated, delta, frozen = plain_learning(mine)
+        assert {s: got[s] for s in out} == out
+        assert (known[field].validated, known[field].delta, known[field].frozen) == (validated, delta, frozen)
 
 
 def test_json_lines_and_upsert(spark, tmp_path):

@@ -3,11 +3,10 @@
 1. Words of all documents become 32-bit hashes, written once as a token table, in segments of SEGMENT
    words that overlap by the room of the longest item, so that a long text is many rows.
 2. TF-IDF over passages of WINDOW words, hashed into FEATURES; document frequencies cover all passages.
-3. A randomised SVD of the passages, in two sums over all of them made by Spark: a sparse sign sketch of
-   the matrix A gives a first basis Q, and the product of A'A with Q the singular vectors, as those of
-   its Nystroem approximation. The benchmark's passages are rows of A too, with BENCHMARK_SHARE of its
-   sum of squares between them, whatever their number. The space is FEATURES x RANK for any corpus and
-   one for all items.
+3. A randomised SVD of the passages: Spark sums the product of A'A with an orthonormal Gaussian test matrix Q
+   over all of them, and its Nystroem approximation gives the singular vectors. The benchmark's passages are
+   rows of A too, weighed so that they have BENCHMARK_SHARE times the documents' sum of squares between
+   them, whatever their number. The space is FEATURES x RANK for any corpus and one for all items.
 4. Windows at every BLOCK words are projected and compared with the benchmark's passages by cosine in
    that space; LEAST_COSINE, and LEAST_SHARE of the benchmark passage's projected length within the
    window's whole length, make a candidate.
@@ -43,14 +42,14 @@ from .workers import claim
 
 FEATURES, RANK, EXTRA, SEED = 1 << 15, 64, 8, 17
 BLOCK, WINDOW, SHORT_WINDOW = 8, 32, 16
-BENCHMARK_SHARE = 30.0
+BENCHMARK_SHARE = 300.0
 LEAST_COSINE, LEAST_SHARE = 0.45, 0.3
 COPY, PARAPHRASE, ANSWER_WORDS, ANSWER_SHARE = 0.8, 0.6, 6, 0.8
 LEAST_ITEM, ITEM_BLOCK = 8, 4096
 #: Words of a segment without its overlap: whole windows.
 SEGMENT = 1 << 15
 #: Words that one step of a task works on at once, of a product, and features in one row of a sum.
-PART, STEP, CHUNK = 1 << 16, 1 << 11, 512
+PART, STEP, CHUNK = 1 << 16, 1 << 10, 512
 
 
 def room(size: int) -> int:
@@ -134,12 +133,12 @@ def inverse_frequency(counts: np.ndarray) -> np.ndarray:
     return idf
 
 
-def passages(batches: Iterator[pa.RecordBatch], idf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """words, features and weights of passages, each of length one, a row a passage."""
-    for _, words, features, _, _ in padded_parts(batches, WINDOW, most=SEGMENT):
+def passages(batches: Iterator[pa.RecordBatch], idf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Features and weights of passages, each of length one, a row a passage."""
+    for _, _, features, _, _ in padded_parts(batches, WINDOW, most=SEGMENT):
         f = features.reshape(-1, WINDOW)
         v = idf[f]
-        yield words.reshape(-1, WINDOW), f, v / np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), 1e-9)
+        yield f, v / np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), 1e-9)
 
 
 def summed(tokens: DataFrame, part, shared) -> np.ndarray:
@@ -169,23 +168,11 @@ def summed(tokens: DataFrame, part, shared) -> np.ndarray:
     return out
 
 
-def sign_sketch(batches: Iterator[pa.RecordBatch], idf: np.ndarray) -> np.ndarray:
-    """A'S: every passage is added with a random sign to one column, both told by its words, in any partitioning."""
-    width = RANK + EXTRA
-    total = np.zeros((FEATURES + 1) * width, np.float32)
-    for words, f, v in passages(batches, idf):
-        h = (words.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).sum(1) ^ np.uint64(SEED)
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        column, sign = ((h >> np.uint64(32)) % np.uint64(width)).astype(np.int64), np.where(h >> np.uint64(63), np.float32(1), np.float32(-1))
-        np.add.at(total, (f.astype(np.int64) * width + column[:, None]).ravel(), (v * sign[:, None]).ravel())
-    return total.reshape(-1, width)
-
-
 def covariance_product(batches: Iterator[pa.RecordBatch], shared: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """A'(AQ), some passages at a time as a matrix over the features that they hold."""
     idf, basis = shared
     total = np.zeros(basis.shape, np.float32)
-    for _, features, values in passages(batches, idf):
+    for features, values in passages(batches, idf):
         for low in range(0, len(features), STEP // WINDOW):
             f, v = features[low : low + STEP // WINDOW], values[low : low + STEP // WINDOW]
             known, column = np.unique(f, return_inverse=True)
@@ -200,10 +187,7 @@ def latent_space(tokens: DataFrame, items: DataFrame) -> tuple[np.ndarray, np.nd
     counts, own = passage_counts(tokens), passage_counts(items)
     idf = inverse_frequency(counts)
     weight = BENCHMARK_SHARE * max(1, counts[-1]) / max(1, own[-1])  # of a benchmark passage's square
-    basis = summed(tokens, sign_sketch, idf)
-    basis += np.float32(np.sqrt(weight)) * summed(items, sign_sketch, idf)
-    basis = orthonormal(basis)
-    basis = np.pad(basis, ((0, 0), (0, RANK + EXTRA - basis.shape[1])))  # few passages span fewer columns
+    basis = np.linalg.qr(np.random.default_rng(SEED).standard_normal((FEATURES + 1, RANK + EXTRA)).astype(np.float32))[0]
     product = summed(tokens, covariance_product, (idf, basis))
     product += np.float32(weight) * summed(items, covariance_product, (idf, basis))
     return idf, singular_vectors(basis, product)

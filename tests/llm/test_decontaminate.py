@@ -90,6 +90,58 @@ def test_all_verbatim_items_of_the_small_tables(spark):
     assert all(brute_share(texts, bench, k) >= D.PARAPHRASE for k in got)
 
 
+def test_recall_of_paraphrases_against_all_windows(spark):
+    """Items with an id divisible by 20 against every window of every text, by the same subsequence and answer checks."""
+    d = "/root/testdata/sf0.001"
+    rng = random.Random(11)
+    texts = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{d}/documents.parquet").orderBy("doc_id").collect()]
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
+    pool = [w for _, t in texts for w in t.split()]
+    asked = [(i, t.split()) for i, t in bench if i % 20 == 0]
+    for n, (i, words) in enumerate((asked * 80)[:80]):
+        swapped = list(words)
+        for _ in range(int(len(words) * rng.uniform(0.1, 0.38))):
+            swapped[rng.randrange(max(1, len(words) - D.ANSWER_WORDS))] = rng.choice(pool)
+        host = texts[rng.randrange(200)][1].split()[:400]
+        at = rng.randrange(len(host) + 1)
+        texts.append((10_000 + n, " ".join(host[:at] + swapped + host[at:])))
+    want = set()
+    for doc, text in texts:
+        all_words = text.lower().split()
+        for i, words in asked:
+            low = [w.lower() for w in words]
+            bits, answer = D.Item.bits(np.array(low)), low[-D.ANSWER_WORDS :]
+            slack = D.room(len(low))
+            for at in range(0, max(1, len(all_words) - len(low) + 1), D.BLOCK):
+                near = all_words[max(0, at - slack) : at + len(low) + slack]
+                if sum(map(bits.__contains__, near)) >= D.PARAPHRASE * len(low):
+                    share = D.common_subsequence(bits, len(low), near) / len(low)
+                    if share >= D.COPY or (share >= D.PARAPHRASE and D.common_subsequence(D.Item.bits(np.array(answer)), len(answer), near) / len(answer) >= D.ANSWER_SHARE):
+                        want.add((doc, i))
+                        break
+    got = {(r.doc_id, r.item_id) for r in D.matches(*frames(spark, texts, bench)).collect() if r.item_id % 20 == 0}
+    assert len(want) > 60 and len(want & got) >= 0.9 * len(want), (len(want), len(want & got))
+
+
+def test_singular_vectors_match_a_plain_decomposition():
+    rng = np.random.default_rng(3)
+    a = rng.standard_normal((400, 6)) @ rng.standard_normal((6, D.FEATURES + 1)) * 0.1
+    a[:, D.FEATURES] = 0
+    q = D.orthonormal((a.T @ rng.standard_normal((400, 12))).astype(np.float32))
+    got = D.singular_vectors(q, (a.T @ (a @ q)).astype(np.float32), 6)
+    true = np.linalg.svd(a, full_matrices=False)[2][:6]
+    assert np.allclose(np.abs(true @ got), np.eye(6), atol=2e-2)
+
+
+def test_long_texts_in_segments_give_the_same_matches(spark, monkeypatch):
+    texts, bench, _ = world(docs=60)
+    texts = [(i, " ".join(t for _, t in texts[i : i + 12])) for i in range(0, 60, 12)]
+    whole = {(r.doc_id, r.item_id) for r in D.matches(*frames(spark, texts, bench)).collect()}
+    monkeypatch.setattr(D, "SEGMENT", 256)
+    parts = {(r.doc_id, r.item_id) for r in D.matches(*frames(spark, texts, bench)).collect()}
+    assert whole and parts == whole
+
+
 def test_nulls_short_items_answers_long_and_empty(spark):
     long = " ".join(f"w{i}" for i in range(50_000))
     item = " ".join(f"q{i}" for i in range(20))

@@ -236,6 +236,9 @@ def led(rows: DataFrame, sets: DataFrame, most: int) -> DataFrame:
             linked = [similar(np.frombuffer(a.as_buffer(), U), np.frombuffer(b.as_buffer(), U)) for a, b in zip(own, theirs, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(linked, pa.bool_())], names=["node", "linked"])
 
+    # only the shingles of large groups go through the rounds; narrow tables of nodes are broadcast to them while they are small
+    wanted = rows.select("node")
+    sets = materialise(sets.select("node", "shingles").join(sized(wanted, wanted.count()), "node", "left_semi"), "large-sets", most, WIDE)
     rows = rows.withColumns({"leader": F.lit(0), "head": F.lit(None).cast("long")})
     for n in range(1, LEADERS + 1):
         free = rows.filter("leader = 0")
@@ -244,10 +247,11 @@ def led(rows: DataFrame, sets: DataFrame, most: int) -> DataFrame:
         heads = materialise(heads, "leaders", most // BLOCK, IDS)
         narrow = sized(heads, heads.count(), BLOCK * BLOCK)
         copies = F.ceil(F.col("n") / BLOCK).cast("int")
-        told = heads.join(sets.select(F.col("node").alias("lead"), F.col("shingles").alias("theirs")), "lead")
+        told = narrow.join(sets.select(F.col("node").alias("lead"), F.col("shingles").alias("theirs")), "lead")
         told = told.select("group", "lead", "theirs", "n", F.explode(F.sequence(F.lit(0), copies - 1)).alias("slot"))
         asked = free.join(narrow, "group").filter(near)
-        asked = asked.select("group", "node", "lead", F.pmod(F.xxhash64("node"), copies).cast("int").alias("slot")).join(sets.select("node", "shingles"), "node")
+        asked = asked.select("group", "node", F.pmod(F.xxhash64("node"), copies).cast("int").alias("slot"))
+        asked = sets.join(sized(asked, asked.count()), "node")
         both = asked.join(told.select("group", "slot", "theirs"), ["group", "slot"])
         linked = both.select("node", "shingles", "theirs").mapInArrow(run, "node long, linked boolean").filter("linked").select("node", F.lit(True).alias("linked"))
         rows = rows.join(linked, "node", "left").join(narrow.select("group", "lead"), "group", "left")

@@ -1,6 +1,6 @@
 """Learning from corrections: what each correction does, when a field freezes, and what is known of a field afterwards.
 
-The reference processes corrections one after the other. The states that matter are few, so they are found by
+Corrections are defined to act one after the other. The states that matter are few, so they are found by
 sums per field instead: the first valid value, the second time it is confirmed, the first other value, the
 correction that freezes the field. Each is one minimum that Spark combines before the shuffle, however many
 corrections a field has; clamped sums are composed per stretch of the log and then over the stretches.

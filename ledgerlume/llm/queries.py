@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, exact_dedup, langid, license_scan, minhash, pii, quality, toxicity
+from . import align, bpe, chat, decontaminate, exact_dedup, langid, license_scan, minhash, pii, quality, toxicity
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_chat_format": chat.op9_chat_format,
     "op10_quality": quality.op10_quality,
+    "op11_tokenizer_alignment": align.op11_tokenizer_alignment,
 }
 
 ORACLE_SQL = {

@@ -111,6 +111,7 @@ def told_apart(dealt: DataFrame, hot: DataFrame, n_rows: int) -> DataFrame:
 
     `dealt` has anchor, digest and the place; the anchors of `hot` are few and are aggregated before the shuffle.
     """
+    hot = materialise(hot, "hot-anchors")
     marked = dealt.join(F.broadcast(hot.select("anchor", F.lit(True).alias("__hot"))), "anchor", "left")
     columns = [*PLACE, "size", "anchor", "digest"]
     cold = marked.filter("__hot IS NULL").repartition("anchor")
@@ -118,6 +119,8 @@ def told_apart(dealt: DataFrame, hot: DataFrame, n_rows: int) -> DataFrame:
     cold = cold.select(*columns, (F.row_number().over(same) > 1).alias("gone"))
     cold = cold.select(*columns, "gone", (F.min("digest").over(Window.partitionBy("anchor")) < F.max("digest").over(Window.partitionBy("anchor"))).alias("differs"))
     cold = cold.select(*columns, "gone", (~F.col("gone") & F.col("differs")).alias("mixed")).filter("gone OR mixed")
+    if not hot.limit(1).count():
+        return cold
 
     warm = marked.filter("__hot").select(*columns).withColumn("segment", F.struct("anchor", "digest"))
     groups = materialise(warm.groupBy("segment").agg(F.min(F.struct(*PLACE)).alias("first"), F.count(F.lit(1)).alias("copies")), "hot-segments")
@@ -135,11 +138,16 @@ def hot_keys(dealt: DataFrame) -> tuple[DataFrame, int]:
     return counts.filter(F.col("n") * HOT > total).select("anchor"), total
 
 
+def listed(grouped: DataFrame, name: str) -> int:
+    """Elements of all arrays of a table: they, not its rows, make its size."""
+    return grouped.agg(F.sum(F.size(name))).first()[0] or 0
+
+
 def at_places(rows: DataFrame, places: DataFrame, *names: str) -> DataFrame:
     """row, doc_id, text and an array of structs (`names`) for the rows that have places."""
     grouped = places.groupBy("row").agg(F.collect_list(F.struct(*names)).alias("places"))
     grouped = materialise(grouped, "places")
-    return rows.join(sized(grouped, grouped.count(), BROADCAST_PLACES), "row")
+    return rows.join(sized(grouped, listed(grouped, "places"), BROADCAST_PLACES), "row")
 
 
 def cut_out(rows: DataFrame, places: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
@@ -167,8 +175,8 @@ def cut_out(rows: DataFrame, places: DataFrame, window: int) -> tuple[DataFrame,
                 yield pa.RecordBatch.from_arrays([batch.column(1).take(owner), batch.column(0).take(owner), *columns], names=names)
 
     rows = rows.select("row", "doc_id", "text", "places")
-    pieces = rows.mapInArrow(partial(run, alone=False), f"doc_id {kind}, row long, start long, shard long, words array<long>")
-    windows = rows.mapInArrow(partial(run, alone=True), f"doc_id {kind}, row long, start long, size long, anchor long, digest long")
+    pieces = rows.filter("exists(places, p -> p.shard IS NOT NULL)").mapInArrow(partial(run, alone=False), f"doc_id {kind}, row long, start long, shard long, words array<long>")
+    windows = rows.filter("exists(places, p -> p.shard IS NULL)").mapInArrow(partial(run, alone=True), f"doc_id {kind}, row long, start long, size long, anchor long, digest long")
     return pieces, windows
 
 
@@ -213,7 +221,7 @@ def repeated_pieces(pieces: DataFrame, window: int) -> DataFrame:
 
 def repeated_spans(rows: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """row, start, size (in words) of passages that stand earlier; spans may overlap."""
-    dealt = all_segments(rows, window, seed)
+    dealt = materialise(all_segments(rows, window, seed), "all-segments")
     told = materialise(told_apart(dealt, *hot_keys(dealt)), "segments")
     mixed = told.filter("mixed")
     size = mixed.agg(F.sum("size")).first()[0] or 0
@@ -253,7 +261,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    joined = rows.join(sized(spans, spans.count(), BROADCAST_PLACES), "row", "left")
+    joined = rows.join(sized(spans, listed(spans, "spans"), BROADCAST_PLACES), "row", "left")
     return joined.select("doc_id", "text", "spans").mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept string")
 
 

@@ -6,9 +6,7 @@ a row limit are listings and rankings whose limit is the feature.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -16,34 +14,13 @@ from ..operators import audit, extraction, folds, learning, queueing, reports, r
 from ..sources import documents
 from ..sources.business import frame, with_tables
 from . import invoice_sql as sql
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import layout_queries  # noqa: F401  registers more
+from .registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 
 NOW, EVENT_NOW = "1998-01-01 00:00:00", "2024-01-30 00:00:00"
 FROM, UNTIL = "1996-01-01", "1997-12-31"
 
 
-def query(name: str, oracle: str | None = None, tables: str = ""):
-    """Register a query that takes (get, spark, sf_dir), where get(name) is a business or driver table."""
-
-    def add(build):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            def get(table: str) -> DataFrame:
-                from ..sources.business import TABLES
-
-                return frame(spark, sf_dir, table) if table in TABLES else spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-            return build(get, spark, sf_dir)
-
-        QUERIES[name] = run
-        if oracle:
-            ORACLE_SQL[name] = with_tables(oracle, *tables.split()) if tables else oracle
-        return build
-
-    return add
-
-
 MONEY = "CAST(coalesce(sum(CAST({0} AS DECIMAL(18,2))), 0) AS DOUBLE)"
 
 

@@ -158,7 +158,13 @@ def recovery_summary(jobs: DataFrame, now: str) -> DataFrame:
     return stuck(jobs, now).join(kinds, "job_id").groupBy("kind", "action").agg(F.count(F.lit(1)).alias("jobs"), F.max("idle_s").alias("longest_s"))
 
 
-def alert_history(jobs: DataFrame, most: int) -> DataFrame:
+def alert_history(alerts: DataFrame, most: int = 50) -> DataFrame:
+    """The latest alerts with their state and when they were resolved; of one time the larger id first."""
+    latest = alerts.orderBy(F.desc("created"), F.desc("alert_id")).limit(most)
+    return latest.select("alert_id", "kind", "severity", "resolved", "created", "resolved_at")
+
+
+def latest_failures(jobs: DataFrame, most: int) -> DataFrame:
     """The latest failures of each type, as many as asked for: (kind, job_id, failure, rank)."""
     latest = Window.partitionBy("kind").orderBy(F.desc("updated"), "job_id")
     rows = jobs.filter(F.col("status").isin("FALHA", "DEAD_LETTER")).withColumn("rank", F.row_number().over(latest)).filter(F.col("rank") <= most)

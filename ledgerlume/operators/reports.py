@@ -205,25 +205,34 @@ def recent_activity(sources: list[tuple[str, DataFrame, str, str]], most: int) -
 
 
 def early_payment(invoices: DataFrame, rate: float, now: str) -> DataFrame:
-    """Fee and net of an early payment at a monthly rate; days from the due date, at least one, 30 without one."""
+    """Fee and net of an early payment at a monthly rate; begun days until the due time, at least one, 30 without one."""
     base = F.coalesce("net", "gross", F.lit(0.0))
-    days = F.coalesce(F.greatest(F.lit(1), F.datediff(F.to_date("due"), F.to_date(F.lit(now)))), F.lit(30))
+    seconds = F.unix_timestamp(F.col("due").cast("timestamp")) - F.unix_timestamp(F.lit(now).cast("timestamp"))
+    days = F.coalesce(F.greatest(F.lit(1), F.ceil(seconds / 86400)), F.lit(30))
     fee = base * F.lit(rate) / 100 * days / 30
     return invoices.select("id", days.alias("days"), S.js_round(fee, 2).alias("fee"), S.js_round(F.greatest(F.lit(0.0), base - fee), 2).alias("paid_out"))
 
 
 def early_payment_for(invoices: DataFrame, fee: Column) -> DataFrame:
-    """The same for a fee stated directly: what is paid out, and the share of the net value that the fee is."""
-    base = F.coalesce("net", "gross", F.lit(0.0))
-    share = F.when(base > 0, S.js_round(fee / base * 100, 2)).otherwise(0.0)
-    return invoices.select("id", S.js_round(F.greatest(F.lit(0.0), base - fee), 2).alias("paid_out"), share.alias("fee_percent"))
+    """The same for a fee stated directly (null: none); below nothing or above the base it is invalid and nothing is paid out."""
+    base, fee = F.coalesce("net", "gross", F.lit(0.0)), F.coalesce(fee, F.lit(0.0))
+    valid = (fee >= 0) & (fee <= base)
+    return invoices.select("id", valid.alias("valid"), F.when(valid, S.js_round(fee, 2)).alias("fee"), F.when(valid, S.js_round(F.greatest(F.lit(0.0), base - fee), 2)).alias("paid_out"))
+
+
+#: Months before the current one in which a period begins; a year begins in January, everything in 2000.
+MONTHS_BACK = {"mes": 0, "6meses": 5}
 
 
-def period_of(name: str, now: str) -> Column:
-    """First day of a named period up to `now`: month, quarter, year, or everything."""
+def period_of(name: str, now: str) -> tuple[Column, Column]:
+    """First moment of a named period, and the first one after it: all end with the current month."""
     at = F.lit(now).cast("timestamp")
-    unit = {"mes": "month", "trimestre": "quarter", "ano": "year"}.get(name)
-    return F.date_trunc(unit, at) if unit else F.lit("1900-01-01").cast("timestamp")
+    month = F.date_trunc("month", at)
+    begins = {n: month - F.make_ym_interval(months=F.lit(back)) for n, back in MONTHS_BACK.items()}
+    begins |= {"ano": F.date_trunc("year", at), "total": F.lit("2000-01-01").cast("timestamp")}
+    if name not in begins:
+        raise ValueError(f"no period {name}: {', '.join(begins)}")
+    return begins[name], month + F.make_ym_interval(months=F.lit(1))
 
 
 def worker_summary(docs: DataFrame, workers: DataFrame, now: str, near: int = 30) -> DataFrame:
@@ -265,13 +274,17 @@ def zero_filled(counts: DataFrame, column: str, domain: list[str]) -> DataFrame:
     return known.join(counts, column, "left").select(column, F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
+# How one overdue document of a kind is named.
+OVERDUE_LABELS = (("INTEGRACAO", "Integração vencida"), ("ASO", "ASO vencido"))
+
+
 def worker_status(docs: DataFrame, workers: DataFrame, now: str, near: int = 30) -> DataFrame:
     """Worst state of every worker's documents, with its label."""
     days = S.days_left(F.col("expires"), F.lit(now).cast("timestamp"))
-    state = docs.groupBy("worker_id").agg(F.count_if(days < 0).alias("overdue"), F.count_if((days >= 0) & (days <= near)).alias("near"), F.min("kind").alias("one"))
+    state = docs.groupBy("worker_id").agg(F.count_if(days < 0).alias("overdue"), F.count_if((days >= 0) & (days <= near)).alias("near"), F.min(F.when(days < 0, F.col("kind"))).alias("one"))
     rows = workers.join(state, "worker_id", "left")
     overdue, soon = F.coalesce("overdue", F.lit(0)), F.coalesce("near", F.lit(0))
     label = (
-        F.when(overdue >= 2, "Integração e ASO vencidos").when(overdue == 1, "Documento vencido").when(soon > 0, "Próximo do vencimento").otherwise("Em dia")
+        F.when(overdue >= 2, "Integração e ASO vencidos").when(overdue == 1, F.coalesce(*[F.when(F.col("one") == kind, told) for kind, told in OVERDUE_LABELS], F.concat("one", F.lit(" vencido")))).when(soon > 0, "Próximo do vencimento").otherwise("Em dia")
     )
     return rows.select("worker_id", overdue.cast("long").alias("overdue"), soon.cast("long").alias("near"), label.alias("label"))

@@ -48,13 +48,16 @@ PLAN_CURRENCY, PRICE_TOLERANCE = "BRL", 0.01
 
 
 def subscription_states(subs: DataFrame, now: str) -> DataFrame:
+    """Whether a subscription runs, the reason why not (null while it does), whether there is something to cancel, its end if extended now.
+
+    Only a recurring contract that isn't cancelled and whose period still runs can be cancelled.
+    """
     at = F.lit(now).cast("timestamp")
-    state = (
-        F.when(F.col("cancelled").isNotNull() & active(at), "CANCELADA_ATIVA").when(F.col("cancelled").isNotNull(), "CANCELADA")
-        .when(F.coalesce(F.col("period_end") > at, F.lit(False)), "ATIVA").when(F.coalesce(F.col("trial_end") > at, F.lit(False)), "TRIAL").otherwise("EXPIRADA")
-    )
+    runs = active(at)
+    reason = F.when(~runs, F.when(F.col("period_end").isNull(), "trial_expirado").otherwise("assinatura_vencida"))
+    can_cancel = F.col("contract").isNotNull() & F.col("cancelled").isNull() & F.coalesce(F.col("period_end") > at, F.lit(False))
     extended = F.greatest(at, F.coalesce("period_end", at)) + F.make_interval(days=F.lit(PERIOD_DAYS))
-    return subs.select("sub_id", active(at).alias("active"), state.alias("state"), extended.alias("extended"))
+    return subs.select("sub_id", runs.alias("active"), reason.alias("reason"), can_cancel.alias("can_cancel"), extended.alias("extended"))
 
 
 def cancel_decision(subs: DataFrame, now: str) -> DataFrame:

@@ -306,20 +306,23 @@ def _(get, spark, d):
     return get("parties").select("party_id").join(cancelled, "party_id", "left_anti")
 
 
+_MIDDAY = "1997-12-31 12:00:00"
+
+
 @query(
     "r01_early_payment",
-    f"""x AS (SELECT id, coalesce(net, gross, 0) AS base, coalesce(greatest(1, date_diff('day', TIMESTAMP '{NOW}', date_trunc('day', due))), 30) AS days FROM invoices)
+    f"""x AS (SELECT id, coalesce(net, gross, 0) AS base, coalesce(greatest(1, CAST(ceil(epoch(due - TIMESTAMP '{_MIDDAY}') / 86400) AS BIGINT)), 30) AS days FROM invoices)
     SELECT id, days, floor(base * 2.5 / 100 * days / 30 * 100 + 0.5) / 100 AS fee, floor(greatest(0, base - base * 2.5 / 100 * days / 30) * 100 + 0.5) / 100 AS paid_out FROM x""",
     "invoices",
 )
 def _(get, spark, d):
-    return reports.early_payment(get("invoices"), 2.5, NOW)
+    return reports.early_payment(get("invoices"), 2.5, _MIDDAY)
 
 
 @query(
     "r04_worker_status",
-    f"""x AS (SELECT worker_id, date_diff('day', TIMESTAMP '{NOW}', date_trunc('day', expires)) AS days FROM worker_docs), s AS (SELECT worker_id, count(*) FILTER (days < 0) AS o, count(*) FILTER (days BETWEEN 0 AND 30) AS n FROM x GROUP BY 1)
-    SELECT w.worker_id, coalesce(o, 0) AS overdue, coalesce(n, 0) AS near, CASE WHEN coalesce(o, 0) >= 2 THEN 'Integração e ASO vencidos' WHEN o = 1 THEN 'Documento vencido' WHEN coalesce(n, 0) > 0 THEN 'Próximo do vencimento' ELSE 'Em dia' END AS label
+    f"""x AS (SELECT worker_id, kind, date_diff('day', TIMESTAMP '{NOW}', date_trunc('day', expires)) AS days FROM worker_docs), s AS (SELECT worker_id, count(*) FILTER (days < 0) AS o, count(*) FILTER (days BETWEEN 0 AND 30) AS n, min(kind) FILTER (days < 0) AS one FROM x GROUP BY 1)
+    SELECT w.worker_id, coalesce(o, 0) AS overdue, coalesce(n, 0) AS near, CASE WHEN coalesce(o, 0) >= 2 THEN 'Integração e ASO vencidos' WHEN o = 1 THEN CASE one WHEN 'INTEGRACAO' THEN 'Integração vencida' WHEN 'ASO' THEN 'ASO vencido' ELSE one || ' vencido' END WHEN coalesce(n, 0) > 0 THEN 'Próximo do vencimento' ELSE 'Em dia' END AS label
     FROM workers w LEFT JOIN s ON s.worker_id = w.worker_id""",
     "workers worker_docs",
 )
@@ -327,21 +330,30 @@ def _(get, spark, d):
     return reports.worker_status(get("worker_docs"), get("workers"), NOW)
 
 
-@query("r02_early_payment_direct", "SELECT id, floor(greatest(0, coalesce(net, gross, 0) - 15.5) * 100 + 0.5) / 100 AS paid_out, CASE WHEN coalesce(net, gross, 0) > 0 THEN floor(15.5 / coalesce(net, gross, 0) * 100 * 100 + 0.5) / 100 ELSE 0 END AS fee_percent FROM invoices", "invoices")
+@query(
+    "r02_early_payment_direct",
+    """x AS (SELECT id, coalesce(net, gross, 0) AS base, CASE id % 5 WHEN 0 THEN -1 WHEN 1 THEN coalesce(net, gross, 0) + 1 WHEN 2 THEN coalesce(net, gross, 0) WHEN 3 THEN 0 ELSE 15.5 END::DOUBLE AS fee FROM invoices)
+    SELECT id, fee BETWEEN 0 AND base AS valid, CASE WHEN fee BETWEEN 0 AND base THEN floor(fee * 100 + 0.5) / 100 END AS fee, CASE WHEN fee BETWEEN 0 AND base THEN floor((base - fee) * 100 + 0.5) / 100 END AS paid_out FROM x""",
+    "invoices",
+)
 def _(get, spark, d):
-    return reports.early_payment_for(get("invoices"), F.lit(15.5))
+    k, base = F.col("id") % 5, F.coalesce("net", "gross", F.lit(0.0))
+    return reports.early_payment_for(get("invoices"), F.when(k == 0, -1.0).when(k == 1, base + 1).when(k == 2, base).when(k == 4, 15.5))
+
+
+_PERIODS = (("mes", "1997-08-01"), ("6meses", "1997-03-01"), ("ano", "1997-01-01"))
 
 
 @query(
     "r10_periods",
-    f"SELECT 'mes' AS period, count(*) FILTER (created >= TIMESTAMP '1997-08-01') AS invoices FROM invoices WHERE created <= TIMESTAMP '1997-08-20' UNION ALL SELECT 'trimestre', count(*) FILTER (created >= TIMESTAMP '1997-07-01') FROM invoices WHERE created <= TIMESTAMP '1997-08-20' UNION ALL SELECT 'ano', count(*) FILTER (created >= TIMESTAMP '1997-01-01') FROM invoices WHERE created <= TIMESTAMP '1997-08-20' UNION ALL SELECT 'tudo', count(*) FROM invoices WHERE created <= TIMESTAMP '1997-08-20'",
+    " UNION ALL ".join(f"SELECT '{n}' AS period, count(*) FILTER (created >= TIMESTAMP '{day}' AND created < TIMESTAMP '1997-09-01') AS invoices FROM invoices" for n, day in _PERIODS)
+    + " UNION ALL SELECT 'total', count(*) FILTER (created >= TIMESTAMP '2000-01-01' AND created < TIMESTAMP '2000-06-01') FROM invoices",
     "invoices",
 )
 def _(get, spark, d):
-    now, names = "1997-08-20 00:00:00", ("mes", "trimestre", "ano", "tudo")
-    rows = get("invoices").filter(F.col("created") <= F.lit(now).cast("timestamp"))
-    counted = rows.agg(*[F.count_if(F.col("created") >= reports.period_of(n, now)).alias(n) for n in names])
-    return counted.unpivot([], list(names), "period", "invoices")
+    rows, spans = get("invoices"), {n: reports.period_of(n, "1997-08-20 10:00:00") for n, _ in _PERIODS} | {"total": reports.period_of("total", "2000-05-31 10:00:00")}
+    counted = rows.agg(*[F.count_if((F.col("created") >= begins) & (F.col("created") < ends)).alias(n) for n, (begins, ends) in spans.items()])
+    return counted.unpivot([], list(spans), "period", "invoices")
 
 
 @query(
@@ -706,7 +718,12 @@ def _(get, spark, d):
     "jobs",
 )
 def _(get, spark, d):
-    return queueing.alert_history(get("jobs"), 10)
+    return queueing.latest_failures(get("jobs"), 10)
+
+
+@query("o08_alert_history", "SELECT alert_id, kind, severity, resolved, created, resolved_at FROM alerts ORDER BY created DESC, alert_id DESC LIMIT 50", "alerts")
+def _(get, spark, d):
+    return queueing.alert_history(get("alerts"))
 
 
 @query("q15_transitions", "SELECT status, count(*) FILTER (status IN ('PENDENTE', 'FALHA')) AS cancel, count(*) FILTER (status IN ('FALHA', 'DEAD_LETTER', 'CANCELADO')) AS retry FROM jobs GROUP BY 1", "jobs")
@@ -766,7 +783,7 @@ def _(get, spark, d):
 @query(
     "r07_subscription_states",
     f"""x AS (SELECT *, coalesce(trial_end > TIMESTAMP '{NOW}', false) AS t, coalesce(period_end > TIMESTAMP '{NOW}', false) AS p FROM subscriptions)
-    SELECT sub_id, t OR p AS active, CASE WHEN cancelled IS NOT NULL AND (t OR p) THEN 'CANCELADA_ATIVA' WHEN cancelled IS NOT NULL THEN 'CANCELADA' WHEN p THEN 'ATIVA' WHEN t THEN 'TRIAL' ELSE 'EXPIRADA' END AS state,
+    SELECT sub_id, t OR p AS active, CASE WHEN t OR p THEN NULL WHEN period_end IS NULL THEN 'trial_expirado' ELSE 'assinatura_vencida' END AS reason, contract IS NOT NULL AND cancelled IS NULL AND p AS can_cancel,
     greatest(TIMESTAMP '{NOW}', coalesce(period_end, TIMESTAMP '{NOW}')) + INTERVAL 30 DAY AS extended FROM x""",
     "subscriptions",
 )
@@ -848,11 +865,11 @@ def _(get, spark, d):
 
 @query(
     "e15_withholdings",
-    f"WITH {sql.FACTS} SELECT k AS doc_id, " + ", ".join(f"CASE WHEN service THEN CASE WHEN k % 8 = {r} THEN {x} ELSE 0 END END::DOUBLE AS {f}" for f, r, x in documents.WITHHELD) + ", CASE WHEN service THEN held ELSE 0 END AS total, CASE WHEN service AND k % 7 <> 3 THEN CASE WHEN k % 7 = 4 THEN '1401' ELSE '14.01' END END AS service_code FROM f",
+    f"WITH {sql.FACTS} SELECT k AS doc_id, " + ", ".join(f"CASE WHEN service THEN CASE WHEN k % 8 = {r} THEN {x} ELSE 0 END END::DOUBLE AS {f}" for f, r, x in documents.WITHHELD) + ", CASE WHEN service THEN held END AS total, CASE WHEN service AND k % 7 <> 3 THEN CASE WHEN k % 7 = 4 THEN '1401' ELSE '14.01' END END AS service_code FROM f",
 )
 def _(get, spark, d):
     number = lambda c: S.parse_number(F.col(c))
-    total = sum((F.coalesce(number(c), F.lit(0.0)) for c in extraction.WITHHELD), F.lit(0.0))
+    total = sum((number(c) for c in extraction.WITHHELD), F.lit(0.0))  # unknown if one is
     return _facts(spark, d).select("doc_id", *[number(f).alias(f) for f, _, _ in documents.WITHHELD], total.alias("total"), F.col("codigo_servico").alias("service_code"))
 
 

@@ -162,6 +162,17 @@ TABLES: dict[str, tuple[str, dict[str, str]]] = {
             "currency": "CASE WHEN l_partkey % 17 = 0 THEN 'USD' ELSE 'BRL' END",
         },
     ),
+    "alerts": (
+        "events",
+        {
+            "alert_id": "event_id",
+            "kind": "CASE event_id % 3 WHEN 0 THEN 'fila_acumulando' WHEN 1 THEN 'latencia_alta' ELSE 'taxa_erro_alta' END",
+            "severity": "CASE event_id % 4 WHEN 0 THEN 'EMERGENCIA' WHEN 1 THEN 'CRITICO' ELSE 'AVISO' END",
+            "resolved": "event_id % 5 <> 0",
+            "created": "CAST(ts AS {ts})",
+            "resolved_at": "CASE WHEN event_id % 5 <> 0 THEN CAST(ts AS {ts}) + INTERVAL 1 HOUR END",
+        },
+    ),
     "subscriptions": (
         "orders",
         {

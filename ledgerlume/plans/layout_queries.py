@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import goods
+from ..operators import candidates, goods
 from ..sources import layouts
 from .invoice_sql import _company
 from .registry import query
@@ -66,3 +66,30 @@ def _(get, spark, d):
 def _(get, spark, d):
     rows = goods.goods_invoices(layouts.goods_texts(spark, d)).drop("products", "product_sum", "product_confidence", "reconciles")
     return rows.withColumns({c: F.array_join(c, ",") for c in ("missing", "unsure", "inconsistent")})
+
+
+#: What the texts of `layouts.critical_texts` say; `far` lines stand between the first lines and the labels.
+_CRITICAL = """o AS (SELECT o_orderkey AS k, o_orderkey % 3 * 10 AS far, o_orderkey % 11 AS c, o_orderkey % 10 <> 0 AS ei, o_orderkey % 7 <> 0 AS en, o_orderkey % 8 <> 0 AS ec, o_orderkey % 6 = 0 AS seventy, o_orderkey % 5 <> 0 AS own, o_orderkey % 4 = 0 AS city, o_orderkey % 9 <> 0 AS coded,
+        CASE WHEN o_orderkey % 11 = 4 THEN '31/02/2025 25:00:00' ELSE strftime(o_orderdate + INTERVAL 10 YEAR, '%d/%m/%Y') || ' 10:20:30' END AS d1, strftime(o_orderdate + INTERVAL 1 DAY + INTERVAL 10 YEAR, '%d/%m/%Y') || ' 11:00:00' AS d2 FROM orders),
+    p AS (SELECT *, CASE WHEN seventy AND (NOT en OR far = 0 OR NOT own) THEN '77' WHEN own THEN CAST(k AS VARCHAR) WHEN en THEN CAST(k + 10000000 AS VARCHAR) ELSE '123456789' END AS nv,
+        CASE WHEN city AND (NOT ec OR NOT coded) THEN 'PREFEITURA' WHEN coded THEN 'AB' || lpad(CAST(k AS VARCHAR), 8, '0') END AS cv FROM o),
+    found AS (
+        SELECT k, 'number' AS field, nv AS value, 35 + CASE WHEN own OR seventy THEN 20 ELSE 0 END + CASE WHEN en THEN 40 + CASE WHEN nv = '77' AND far = 20 THEN 0 ELSE 5 END ELSE 0 END AS s,
+            CASE WHEN NOT own AND NOT seventy THEN 'fallback_any_numeric' WHEN en THEN 'short_numeric_closest_anchor' ELSE 'short_numeric_first' END AS method FROM p
+        UNION ALL SELECT k, 'code', cv, CASE WHEN cv IS NULL THEN 0 ELSE 55 + CASE WHEN city AND coded THEN 0 ELSE 10 END + CASE WHEN ec THEN 20 + CASE WHEN cv = 'PREFEITURA' AND far = 20 THEN 0 ELSE 15 END ELSE 0 END END,
+            CASE WHEN cv IS NULL THEN 'sem_candidatos' WHEN ec THEN 'pattern_com_ancora' ELSE 'pattern_sem_ancora' END FROM p
+        UNION ALL SELECT k, 'issued', CASE WHEN c = 3 THEN NULL WHEN c = 0 AND ei THEN d2 ELSE d1 END, CASE WHEN c = 3 THEN 0 ELSE 40 + CASE WHEN c <> 2 THEN 10 ELSE 0 END + CASE WHEN c <> 4 THEN 20 ELSE 0 END + CASE WHEN ei THEN 30 ELSE 0 END END,
+            CASE WHEN c = 3 THEN 'sem_datas' WHEN c = 0 AND ei THEN 'proximity_swap' WHEN c = 2 THEN 'unica_data_compartilhada' ELSE 'stream_order_primeiro' END FROM p
+        UNION ALL SELECT k, 'event', CASE WHEN c = 3 THEN NULL WHEN c = 2 OR (c = 0 AND ei) THEN d1 ELSE d2 END, CASE c WHEN 3 THEN 0 WHEN 2 THEN 90 ELSE 100 END,
+            CASE WHEN c = 3 THEN 'sem_datas' WHEN c = 0 AND ei THEN 'proximity_swap' WHEN c = 2 THEN 'unica_data_compartilhada' ELSE 'stream_order_segundo' END FROM p)"""
+_LEVEL = "CASE WHEN {0} >= 90 THEN 'alta' WHEN {0} >= 70 THEN 'media' WHEN {0} >= 50 THEN 'baixa' ELSE 'nula' END"
+
+
+@query("j17_nearest_candidates", f"WITH {_CRITICAL} SELECT k AS doc_id, field, value, s AS confidence, {_LEVEL.format('s')} AS level, method FROM found")
+def _(get, spark, d):
+    return candidates.long_form(candidates.critical_fields(layouts.critical_texts(spark, d)))
+
+
+@query("e08_critical_bundle", f"WITH {_CRITICAL}, m AS (SELECT k, CAST(floor(sum(s) / 4 + 0.5) AS INT) AS s FROM found GROUP BY k) SELECT k AS doc_id, s AS confidence, {_LEVEL.format('s')} AS level FROM m")
+def _(get, spark, d):
+    return candidates.critical_fields(layouts.critical_texts(spark, d)).select("doc_id", "confidence", "level")

@@ -23,7 +23,6 @@ other columns pass by unseen. Equal means equal 64-bit hashes of all words withi
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +32,7 @@ from pyspark.sql import functions as F
 from .fmindex import FMIndex
 from .joins import HOT, by_key, sized
 from .spans import Splitter
-from .storage import bounded_batches, materialise
+from .storage import bounded_batches, fresh_path, materialise, release, scratch
 from .words import BASE, INVERSE, U, mix, powers
 
 WINDOW, SEED = 20, 8
@@ -150,34 +149,32 @@ def at_places(rows: DataFrame, places: DataFrame, *names: str) -> DataFrame:
     return rows.join(sized(grouped, listed(grouped, "places"), BROADCAST_PLACES), "row")
 
 
-def cut_out(rows: DataFrame, places: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
-    """The words of segments (`shard` not null): shard, place, words; the windows of the others: place, size, anchor, digest."""
+def cut_out(rows: DataFrame, window: int) -> DataFrame:
+    """The words of segments that go to a `shard`; of the others each window, with its digest."""
     kind = rows.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch], alone: bool) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, words in enumerate(hashed(batch.column(2).to_pylist())):
                 listed = batch.column(3)[i].values.flatten()
-                start, size, anchor, shard = (listed[k] for k in range(4))
-                keep = np.flatnonzero(shard.is_null().to_numpy(zero_copy_only=False) == alone)
-                start, size, anchor = (x.to_numpy()[keep] for x in (start, size, anchor))
-                if not len(keep):
-                    continue
-                if alone:
-                    n = size - window + 1
-                    at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                    columns = [as_long(at), as_long(np.full(len(at), window)), as_long(np.repeat(anchor, n)), as_long(sequence_hashes(words, at, np.full(len(at), window)))]
-                else:
-                    lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(size)]).astype(np.int32), as_long(np.concatenate([words[a : a + b] for a, b in zip(start, size, strict=True)])))
-                    columns = [as_long(start), shard.take(pa.array(keep)), lists]
-                owner = pa.array(np.full(len(columns[0]), i))
-                names = ["doc_id", "row", "start", *(["size", "anchor", "digest"] if alone else ["shard", "words"])]
-                yield pa.RecordBatch.from_arrays([batch.column(1).take(owner), batch.column(0).take(owner), *columns], names=names)
+                start, size, anchor = (listed[k].to_numpy() for k in range(3))
+                sharded = listed[3].is_valid().to_numpy(zero_copy_only=False)
+                one, other = np.flatnonzero(sharded), np.flatnonzero(~sharded)
+                n = size[other] - window + 1
+                at = np.repeat(start[other] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                lengths = np.concatenate([[0], size[one], np.zeros(len(at), np.int64)])
+                held = [words[x : x + y] for x, y in zip(start[one], size[one], strict=True)]
+                m = len(one) + len(at)
+                columns = [
+                    as_long(np.concatenate([start[one], at])), as_long(np.concatenate([size[one], np.full(len(at), window)])), as_long(np.concatenate([anchor[one], np.repeat(anchor[other], n)])),
+                    as_long(np.concatenate([np.zeros(len(one), U), sequence_hashes(words, at, np.full(len(at), window))])),
+                    pa.concat_arrays([listed[3].take(pa.array(one)), pa.nulls(len(at), pa.int64())]), pa.ListArray.from_arrays(np.cumsum(lengths).astype(np.int32), as_long(np.concatenate([np.zeros(0, U), *held]))),
+                ]
+                owner = pa.array(np.full(m, i))
+                yield pa.RecordBatch.from_arrays([batch.column(1).take(owner), batch.column(0).take(owner), *columns], names=["doc_id", "row", "start", "size", "anchor", "digest", "shard", "words"])
 
     rows = rows.select("row", "doc_id", "text", "places")
-    pieces = rows.filter("exists(places, p -> p.shard IS NOT NULL)").mapInArrow(partial(run, alone=False), f"doc_id {kind}, row long, start long, shard long, words array<long>")
-    windows = rows.filter("exists(places, p -> p.shard IS NULL)").mapInArrow(partial(run, alone=True), f"doc_id {kind}, row long, start long, size long, anchor long, digest long")
-    return pieces, windows
+    return rows.mapInArrow(run, f"doc_id {kind}, row long, start long, size long, anchor long, digest long, shard long, words array<long>")
 
 
 def later_windows(words: np.ndarray, sizes: np.ndarray, window: int) -> np.ndarray:
@@ -221,18 +218,24 @@ def repeated_pieces(pieces: DataFrame, window: int) -> DataFrame:
 
 def repeated_spans(rows: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """row, start, size (in words) of passages that stand earlier; spans may overlap."""
-    dealt = materialise(all_segments(rows, window, seed), "all-segments")
-    told = materialise(told_apart(dealt, *hot_keys(dealt)), "segments")
+    spark = rows.sparkSession
+    path = fresh_path(spark, "segments")
+    with scratch(spark):
+        dealt = materialise(all_segments(rows, window, seed), "all-segments")
+        told = told_apart(dealt, *hot_keys(dealt))
+        told.write.parquet(path)
+    told = spark.read.schema(told.schema).parquet(path)
     mixed = told.filter("mixed")
     size = mixed.agg(F.sum("size")).first()[0] or 0
     wide = mixed.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SEGMENTS).select("anchor", F.lit(True).alias("wide"))
     wide = materialise(wide, "wide-anchors")
     shard = F.when(F.col("wide").isNull(), F.pmod(F.xxhash64("anchor"), F.lit(size // SHARD_WORDS + 1)))
     places = mixed.join(sized(wide, wide.count(), BROADCAST_PLACES), "anchor", "left").select("row", "start", "size", "anchor", shard.alias("shard"))
-    pieces, windows = cut_out(at_places(rows, places, "start", "size", "anchor", "shard"), places, window)
-    spans = told.filter("gone").select("row", "start", "size").unionByName(repeated_pieces(pieces, window))
+    cut = materialise(cut_out(at_places(rows, places, "start", "size", "anchor", "shard"), window), "cut")
+    release(spark)
+    spans = told.filter("gone").select("row", "start", "size").unionByName(repeated_pieces(cut.filter("shard IS NOT NULL"), window))
     if wide.limit(1).count():
-        windows = materialise(windows, "windows").withColumn("anchor", F.xxhash64("anchor", "digest"))
+        windows = cut.filter("shard IS NULL").drop("shard", "words").withColumn("anchor", F.xxhash64("anchor", "digest"))
         spans = spans.unionByName(told_apart(windows, *hot_keys(windows)).filter("gone").select("row", "start", "size"))
     return spans
 
@@ -240,9 +243,12 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, seed: int = SEED) -> D
 def without_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """doc_id, n_words, n_removed, kept (words joined by one space) of every row of a table that is read from files; others are written first by the caller."""
     bounded_batches(docs.sparkSession)
+    spark, path = docs.sparkSession, fresh_path(docs.sparkSession, "spans")
+    with scratch(spark):
+        spans = repeated_spans(numbered(docs), window, seed).groupBy("row").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
+        spans.write.parquet(path)
+    spans = spark.read.schema(spans.schema).parquet(path)
     rows = numbered(docs)
-    spans = repeated_spans(rows, window, seed).groupBy("row").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
-    spans = materialise(spans, "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

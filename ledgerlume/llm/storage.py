@@ -9,6 +9,7 @@ that has written its result wraps the work in `scratch`.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -46,6 +47,12 @@ def remove(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished jobs now: it does so once the driver has collected their handles."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Delete the tables made within, at its end: whatever reads them must have been written by then."""
@@ -54,6 +61,7 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         remove(spark, *_open.pop())
+        release(spark)
 
 
 #: Rows and bytes in one Arrow batch between the JVM and Python: texts are long, and both sides hold a batch.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import candidates, goods
+from ..operators import candidates, goods, national
 from ..sources import layouts
 from .invoice_sql import _company
 from .registry import query
@@ -93,3 +93,23 @@ def _(get, spark, d):
 @query("e08_critical_bundle", f"WITH {_CRITICAL}, m AS (SELECT k, CAST(floor(sum(s) / 4 + 0.5) AS INT) AS s FROM found GROUP BY k) SELECT k AS doc_id, s AS confidence, {_LEVEL.format('s')} AS level FROM m")
 def _(get, spark, d):
     return candidates.critical_fields(layouts.critical_texts(spark, d)).select("doc_id", "confidence", "level")
+
+
+@query(
+    "e22_national_invoices",
+    f"""WITH {_company('orders', 'o_custkey', 7_919_333, 'sup')}, x AS (SELECT o_orderkey AS k, o_custkey AS cust, strftime(o_orderdate, '%d/%m/%Y') AS day, CAST(round(o_totalprice * 100) AS BIGINT) AS cents, shown FROM orders JOIN sup ON sup.k = o_orderkey),
+    y AS (SELECT *, cents * (k % 8) // 100 AS iss, k % 17 <> 0 AS keyed, k % 13 <> 0 AS bought, k % 19 <> 0 AS summed, k % 23 <> 0 AS served, CASE WHEN k % 9 <> 0 THEN k % 2 = 1 END AS withheld FROM x)
+    SELECT k AS doc_id, CASE WHEN keyed THEN lpad(CAST(k AS VARCHAR), 50, '5') END AS access_key, CASE WHEN keyed THEN CAST(k AS VARCHAR) END AS number, CASE WHEN keyed THEN day END AS competence, CASE WHEN keyed THEN day || ' 14:47:16' END AS issued, CASE WHEN keyed THEN day || ' 15:00:00' END AS dps_issued,
+        CASE WHEN keyed THEN CAST(k % 1000 AS VARCHAR) END AS dps_number, CASE WHEN keyed THEN '1' END AS dps_series, shown AS provider_id, 'Prestadora ' || cust || ' Ltda' AS provider_name, CASE WHEN k % 3 <> 0 THEN 'p' || k || '@exemplo.com.br' END AS provider_email,
+        '(11) 3000-0000' AS provider_phone, CASE WHEN k % 4 <> 0 THEN CAST(k AS VARCHAR) END AS provider_registration, 'Rua Um, 1' AS provider_address, '79800-000' AS provider_zip, 'Dourados' AS provider_town, 'MS' AS provider_state,
+        CASE WHEN bought AND k % 11 <> 0 THEN '111.222.' || lpad(CAST(k % 1000 AS VARCHAR), 3, '0') || '-09' END AS customer_id, CASE WHEN bought THEN 'Cliente ' || k END AS customer_name, CASE WHEN bought AND k % 2 = 1 THEN 'c' || k || '@exemplo.com.br' END AS customer_email,
+        CASE WHEN bought THEN 'Rua Dois, 2' END AS customer_address, CASE WHEN bought THEN '01310-100' END AS customer_zip, CASE WHEN bought THEN 'Campo Grande' END AS customer_town, CASE WHEN bought THEN 'MS' END AS customer_state,
+        CASE WHEN k % 6 <> 0 THEN true END AS simple, CASE WHEN k % 6 <> 0 THEN 'SIMPLES_NACIONAL' WHEN k % 7 <> 0 THEN 'Regime geral' END AS tax_regime, CASE WHEN k % 3 <> 1 THEN iss / 100 END AS ir, 11.0::DOUBLE AS inss, NULL::DOUBLE AS pis, 3.5::DOUBLE AS cofins, cents / 100 AS base,
+        'Operação Tributável' AS iss_taxation, (k % 8)::DOUBLE AS rate, CASE WHEN k % 9 <> 0 THEN iss / 100 END AS iss, withheld, CASE WHEN withheld THEN 'Retido pelo Tomador' WHEN NOT withheld THEN 'Devido pelo Prestador' END AS iss_owed, 'Dourados - MS' AS iss_town, 'Brasil' AS result_country,
+        CASE WHEN k % 4 <> 1 THEN 'Nenhum' END AS special_regime, cents / 100 AS gross, CASE WHEN NOT summed THEN cents / 100 WHEN k % 5 = 0 THEN 0.0 ELSE (cents - iss) / 100 END AS net, CASE WHEN summed THEN floor(cents / 100 * 13.45::DOUBLE / 100 * 100 + 0.5) / 100 END AS approximate_taxes, '1200' || k AS nbs,
+        CASE WHEN served THEN '14.01.01' END AS national_code, CASE WHEN served THEN 'Dourados - MS' END AS place, CASE WHEN served THEN 'Manutenção ' || k END AS description,
+        concat_ws(',', CASE WHEN NOT bought OR k % 11 = 0 THEN 'tomador.cpf_cnpj' END, CASE WHEN NOT keyed THEN 'numero_nota,data_emissao,chave_acesso_nfse' END) AS missing FROM y""",
+)
+def _(get, spark, d):
+    rows = national.national_invoices(layouts.national_texts(spark, d)).withColumn("missing", F.array_join("missing", ","))
+    return rows.drop("customer_phone", "customer_registration", "immunity", "suspension", "suspension_case", "benefit", "municipal_code", "country")

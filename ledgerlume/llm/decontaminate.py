@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .joins import row_key, without_rows
 from .storage import bounded_batches, materialise
@@ -328,7 +329,7 @@ def match_schema(tokens: DataFrame) -> str:
 def search(tokens: DataFrame, index: Index) -> DataFrame:
     """Verified matches of one block of items."""
     shared = tokens.sparkSession.sparkContext.broadcast(index)
-    id_kind = pa.binary() if tokens.schema["doc_id"].dataType.simpleString() == "binary" else pa.int64()
+    id_kind = to_arrow_type(tokens.schema["doc_id"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("decontaminate")

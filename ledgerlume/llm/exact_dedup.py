@@ -66,12 +66,24 @@ def sha256_digest(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
+#: What may stand between a table and its files if every row of it is to be one row of a file.
+ROWWISE = "Project", "Filter", "SubqueryAlias", "View"
+
+
+def rows_of_files(docs: DataFrame) -> bool:
+    """Whether `docs` is files under filters and projections; exploded, joined or united rows share locators or have none."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.getClass().getSimpleName() in ROWWISE:
+        plan = plan.children().head()
+    return plan.getClass().getSimpleName() == "LogicalRelation"
+
+
 def located(docs: DataFrame) -> DataFrame:
-    """`docs` with the locator of every row; written and read again where it has no files of its own."""
-    if docs.inputFiles():
+    """`docs` with the locator of every row; written and read again where its rows aren't those of files."""
+    if rows_of_files(docs):
         try:
             return docs.select("*", F.col("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(ROW))
-        except AnalysisException:  # not files as they are, but joins or sums of them
+        except AnalysisException:  # projected away, or a source without such rows
             pass
     return located(materialise(docs, "located"))
 

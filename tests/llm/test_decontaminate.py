@@ -153,3 +153,11 @@ def test_nulls_short_items_answers_long_and_empty(spark):
     assert D.matches(docs.limit(0), items).count() == 0 and D.matches(docs, items.limit(0)).count() == 0
     kept = D.keep_clean(docs, items)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 5]
+
+
+def test_ids_of_other_types_are_kept(spark):
+    words = [f"w{n}" for n in range(60)]
+    items = spark.createDataFrame([(7, " ".join(words[:40]))], "item_id long, text string")
+    for kind, cast in (("int", int), ("string", str)):
+        docs = spark.createDataFrame([(cast(1), " ".join(["x"] * 30 + words[:40])), (cast(2), " ".join(words[50:]))], f"doc_id {kind}, text string")
+        assert [(r.doc_id, r.item_id) for r in D.matches(docs, items).collect()] == [(cast(1), 7)]

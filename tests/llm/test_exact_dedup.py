@@ -78,3 +78,16 @@ def test_state_survives_between_batches(spark, tmp_path):
     X.digest_log(X.located(rows(spark, [(9, "a")]))).write.mode("append").parquet(at)
     got = {(r.stays.doc_id, r.group_size) for r in X.keyed_state(spark, at, ckpt, log.schema).collect()}
     assert got == {(9, 2), (2, 1)}
+
+
+def test_derived_tables_lose_no_rows(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    spark.createDataFrame([(1, "a\nb"), (2, "a\nc"), (3, "d\nd")], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/t")
+    table = spark.read.parquet(f"{tmp_path}/t")
+    lines = table.select("doc_id", F.explode(F.split("text", "\n")).alias("text"))
+    assert sorted(map(tuple, X.deduplicate(lines).collect())) == [(1, "b"), (2, "a"), (2, "c"), (3, "d")]
+    twice = table.join(spark.createDataFrame([(1,), (1,), (2,)], "doc_id long"), "doc_id")
+    assert sorted(map(tuple, X.deduplicate(twice).collect())) == [(1, "a\nb"), (2, "a\nc")]
+    assert X.deduplicate(table.union(table)).count() == 3
+    assert X.rows_of_files(table.filter("doc_id > 1").select("text", "doc_id")) and not X.rows_of_files(lines)

@@ -82,7 +82,14 @@ def stuck(jobs: DataFrame, now: str) -> DataFrame:
     """Running jobs idle for more than twice their timeout, and what recovery does with them."""
     age = F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp("started")
     rows = job_config(jobs.filter("status = 'PROCESSANDO'")).filter(age > 2 * F.col("timeout_s"))
-    return rows.select("job_id", age.alias("idle_s"), F.when(F.col("attempts") < F.col("max_attempts"), "REENFILEIRAR").otherwise("DEAD_LETTER").alias("action"))
+    return rows.select("job_id", "kind", age.alias("idle_s"), F.when(F.col("attempts") < F.col("max_attempts"), "REENFILEIRAR").otherwise("DEAD_LETTER").alias("action"))
+
+
+def blocked(jobs: DataFrame) -> DataFrame:
+    """Pending jobs that need a cancelled or dead one, with those they need in order: recovery cancels them."""
+    needed = jobs.filter("status = 'PENDENTE'").select("job_id", "kind", F.explode("after_ids").alias("needs"))
+    over = jobs.filter(F.col("status").isin("CANCELADO", "DEAD_LETTER")).select(F.col("job_id").alias("needs"))
+    return needed.join(over, "needs").groupBy("job_id", "kind").agg(F.sort_array(F.collect_set("needs")).alias("over"))
 
 
 def status_by_kind(jobs: DataFrame) -> DataFrame:
@@ -153,9 +160,9 @@ def file_states(jobs: DataFrame) -> DataFrame:
 
 
 def recovery_summary(jobs: DataFrame, now: str) -> DataFrame:
-    """What recovery would do with stuck jobs, by job type."""
-    kinds = jobs.select("job_id", "kind")
-    return stuck(jobs, now).join(kinds, "job_id").groupBy("kind", "action").agg(F.count(F.lit(1)).alias("jobs"), F.max("idle_s").alias("longest_s"))
+    """What a recovery cycle does with stuck jobs and with jobs that wait for a cancelled or dead one: by job type, and in all (kind null)."""
+    found = stuck(jobs, now).select("kind", "action", "idle_s").unionByName(blocked(jobs).select("kind", F.lit("CANCELAR").alias("action"), F.lit(0).cast("long").alias("idle_s")))
+    return found.groupingSets([[F.col("kind"), F.col("action")], [F.col("action")]], "kind", "action").agg(F.count(F.lit(1)).alias("jobs"), F.max("idle_s").alias("longest_s"))
 
 
 def alert_history(alerts: DataFrame, most: int = 50) -> DataFrame:

@@ -675,7 +675,16 @@ def _(get, spark, d):
     "jobs",
 )
 def _(get, spark, d):
-    return queueing.stuck(get("jobs"), EVENT_NOW)
+    return queueing.stuck(get("jobs"), EVENT_NOW).drop("kind")
+
+
+@query(
+    "q05_blocked_jobs",
+    "w AS (SELECT job_id, kind, unnest(after_ids) AS needs FROM jobs WHERE status = 'PENDENTE') SELECT w.job_id, w.kind, string_agg(DISTINCT needs, ',' ORDER BY needs) AS over FROM w JOIN jobs o ON o.job_id = w.needs WHERE o.status IN ('CANCELADO', 'DEAD_LETTER') GROUP BY 1, 2",
+    "jobs",
+)
+def _(get, spark, d):
+    return queueing.blocked(get("jobs")).withColumn("over", F.array_join("over", ","))
 
 
 @query(
@@ -704,8 +713,10 @@ def _(get, spark, d):
 
 @query(
     "q05_recovery_summary",
-    f"""{_CONFIG}, x AS (SELECT jobs.kind, epoch(TIMESTAMP '{EVENT_NOW}')::BIGINT - epoch(date_trunc('second', started))::BIGINT AS idle_s, CASE WHEN attempts < max_attempts THEN 'REENFILEIRAR' ELSE 'DEAD_LETTER' END AS action, timeout_s FROM jobs JOIN c ON c.kind = jobs.kind WHERE status = 'PROCESSANDO')
-    SELECT kind, action, count(*) AS jobs, max(idle_s) AS longest_s FROM x WHERE idle_s > 2 * timeout_s GROUP BY 1, 2""",
+    f"""{_CONFIG}, x AS (SELECT jobs.kind, epoch(TIMESTAMP '{EVENT_NOW}')::BIGINT - epoch(date_trunc('second', started))::BIGINT AS idle_s, CASE WHEN attempts < max_attempts THEN 'REENFILEIRAR' ELSE 'DEAD_LETTER' END AS action, timeout_s FROM jobs JOIN c ON c.kind = jobs.kind WHERE status = 'PROCESSANDO'),
+    w AS (SELECT job_id, kind, unnest(after_ids) AS needs FROM jobs WHERE status = 'PENDENTE'), b AS (SELECT DISTINCT w.job_id, w.kind FROM w JOIN jobs o ON o.job_id = w.needs WHERE o.status IN ('CANCELADO', 'DEAD_LETTER')),
+    y AS (SELECT kind, action, idle_s FROM x WHERE idle_s > 2 * timeout_s UNION ALL SELECT kind, 'CANCELAR', 0 FROM b)
+    SELECT kind, action, count(*) AS jobs, max(idle_s) AS longest_s FROM y GROUP BY GROUPING SETS ((kind, action), (action))""",
     "jobs",
 )
 def _(get, spark, d):

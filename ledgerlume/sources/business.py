@@ -117,7 +117,7 @@ TABLES: dict[str, tuple[str, dict[str, str]]] = {
             "started": "CASE WHEN event_id % 20 < 16 AND event_id % 20 NOT BETWEEN 11 AND 13 THEN CAST(ts AS {ts}) + INTERVAL 5 SECOND END",
             "finished": "CASE WHEN event_id % 20 < 11 OR event_id % 20 IN (16, 17, 19) THEN CAST(ts AS {ts}) + INTERVAL 65 SECOND END",
             "updated": "CASE WHEN event_id % 20 < 11 OR event_id % 20 IN (16, 17, 19) THEN CAST(ts AS {ts}) + INTERVAL 65 SECOND ELSE CAST(ts AS {ts}) + INTERVAL 5 SECOND END",
-            "after_ids": "CASE event_id % 5 WHEN 1 THEN {array}(event_id - 9, event_id - 2) WHEN 2 THEN {array}(CASE WHEN event_id % 40 < 20 THEN event_id - 8 ELSE event_id + 2 END) WHEN 3 THEN {array}(event_id - 3, event_id + 1000000000) END",
+            "after_ids": "CASE event_id % 5 WHEN 1 THEN {array}(CASE WHEN event_id % 60 < 20 THEN event_id + 5 WHEN event_id % 60 < 40 THEN event_id + 7 ELSE event_id - 9 END, event_id - 2) WHEN 2 THEN {array}(CASE WHEN event_id % 40 < 20 THEN event_id - 8 ELSE event_id + 2 END) WHEN 3 THEN {array}(event_id - 3, event_id + 1000000000) END",
             "message": "CASE event_id % 6 WHEN 0 THEN 'Connection timed out' WHEN 1 THEN 'OCR engine lost' WHEN 2 THEN 'Prisma lock' WHEN 3 THEN 'ENOENT' WHEN 4 THEN 'parsing failed' ELSE 'unknown' END",
         },
     ),

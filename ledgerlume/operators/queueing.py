@@ -115,6 +115,24 @@ def queue_report(jobs: DataFrame, now: str) -> DataFrame:
     return row.select("pending", "dead_letter", "throughput", "workers", rate.alias("error_rate"), F.coalesce(S.js_round(F.col("mean")), F.lit(0.0)).alias("latency_ms"))
 
 
+def metric_log(jobs: DataFrame) -> DataFrame:
+    """The metrics that jobs append as they end, fail, die or are tried again: job_id, name, value, unit, kind, detail.
+
+    The detail of a failure is its category, of a repeated attempt its number.
+    """
+    one, ended = F.lit(1.0), F.col("status") == "CONCLUIDO"
+    took = (F.unix_millis("finished") - F.unix_millis("started")).cast("double")
+    entry = lambda name, value, unit, detail=None: F.struct(
+        F.lit(name).alias("name"), value.alias("value"), F.lit(unit).alias("unit"), F.col("kind"), (F.lit(None) if detail is None else detail).cast("string").alias("detail"),
+    )
+    made = F.array(
+        F.when(ended, entry("job.concluido.total", one, "jobs")), F.when(ended, entry("job.latencia.ms", took, "ms")),
+        F.when(F.col("status") == "FALHA", entry("job.falha.total", one, "jobs", S.failure_kind(F.col("message")))), F.when(F.col("status") == "DEAD_LETTER", entry("job.dead_letter.total", one, "jobs")),
+        F.when(F.col("attempts") > 0, entry("job.retry.total", one, "jobs", F.col("attempts"))),
+    )
+    return jobs.select("job_id", F.inline(F.filter(made, lambda m: m.isNotNull())))
+
+
 def metric_rows(report: DataFrame) -> DataFrame:
     """The report as (metric, value) rows."""
     names = ["pending", "dead_letter", "throughput", "workers", "error_rate", "latency_ms"]

@@ -614,6 +614,19 @@ def _(get, spark, d):
     return queueing.metric_rows(queueing.queue_report(get("jobs"), EVENT_NOW))
 
 
+@query(
+    "q06_metric_log",
+    f"""SELECT job_id, 'job.concluido.total' AS name, 1.0::DOUBLE AS value, 'jobs' AS unit, kind, NULL::VARCHAR AS detail FROM jobs WHERE status = 'CONCLUIDO'
+    UNION ALL SELECT job_id, 'job.latencia.ms', CAST(epoch_ms(finished) - epoch_ms(started) AS DOUBLE), 'ms', kind, NULL FROM jobs WHERE status = 'CONCLUIDO'
+    UNION ALL SELECT job_id, 'job.falha.total', 1, 'jobs', kind, {_FAIL} FROM jobs WHERE status = 'FALHA'
+    UNION ALL SELECT job_id, 'job.dead_letter.total', 1, 'jobs', kind, NULL FROM jobs WHERE status = 'DEAD_LETTER'
+    UNION ALL SELECT job_id, 'job.retry.total', 1, 'jobs', kind, CAST(attempts AS VARCHAR) FROM jobs WHERE attempts > 0""",
+    "jobs",
+)
+def _(get, spark, d):
+    return queueing.metric_log(get("jobs"))
+
+
 @query("q08_alerts", f"{_REPORT} " + " UNION ALL ".join(f"SELECT '{n}' AS alert, '{s}' AS severity FROM r WHERE {rule}" for n, s, rule in queueing.ALERT_RULES), "jobs")
 def _(get, spark, d):
     return queueing.active_alerts(queueing.queue_report(get("jobs"), EVENT_NOW))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import audit, extraction, folds, learning, queueing, reports, rules, sweeps
 from ..sources import documents
-from ..sources.business import frame, with_tables
+from ..sources.business import with_tables
 from . import invoice_sql as sql
 from . import layout_queries  # noqa: F401  registers more
 from .registry import ORACLE_SQL, QUERIES, query  # noqa: F401

@@ -251,8 +251,8 @@ def fiscal_facts(docs: DataFrame) -> DataFrame:
     """
     rows, fields = label_reading(trimmed(docs))
     t = F.col("lines")
-    info = F.regexp_extract(t, r"(?is)([^\n]*outras\s+informa[çc][oõ]es.*)", 1)
-    approximate = F.regexp_extract(t, r"(?i)([^\n]*Valor\s+aproximado\s+do\s+tributo[^\n]*(?:\n[^\n]*){0,2})", 1)
+    info = F.regexp_extract(t, r"(?idms)^([^\n]*outras\s+informa[çc][oõ]es.*)", 1)
+    approximate = F.regexp_extract(t, r"(?idm)^([^\n]*Valor\s+aproximado\s+do\s+tributo[^\n]*(?:\n[^\n]*){0,2})", 1)
     money = lambda label: grab(t, rf"(?m)^{label} = {MONEY}")
     rows = rows.withColumns({"info": F.when(info == "", t).otherwise(info), "approximate": F.replace(approximate, F.lit("\n"), F.lit(" "))})
     last = lambda label: F.trim(F.try_element_at(F.regexp_extract_all("info", F.lit(rf"(?i){label}:\s*([^\n]+)"), 1), F.lit(-1)))

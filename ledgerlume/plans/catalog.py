@@ -859,7 +859,8 @@ def _(get, spark, d):
 
 
 def _texts(spark, d):
-    return documents.texts(documents.facts(spark, d))
+    # a small file is one task: the narrow facts are spread before texts are rendered, read and judged, by the key that later groups share
+    return documents.texts(documents.facts(spark, d).repartition("doc_id"))
 
 
 def _facts(spark, d):

@@ -91,8 +91,7 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def grab(text: Column, pattern: str) -> Column:
-    found = F.regexp_extract(text, pattern, 1)
-    return F.when(found != "", found)
+    return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))  # searched once: a condition and its branch would search twice
 
 
 def below(text: Column, label: str, lines: int = 1) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import candidates, goods, national
+from ..operators import candidates, goods, national, services
 from ..sources import layouts
 from .invoice_sql import _company
 from .registry import query
@@ -113,3 +113,66 @@ def _(get, spark, d):
 def _(get, spark, d):
     rows = national.national_invoices(layouts.national_texts(spark, d)).withColumn("missing", F.array_join("missing", ","))
     return rows.drop("customer_phone", "customer_registration", "immunity", "suspension", "suspension_case", "benefit", "municipal_code", "country")
+
+
+#: What the run-on line of every order's service text says: its amounts (v in ten-thousandths, d4: four decimals) in order.
+_SERVICES = """s0 AS (SELECT o_orderkey AS k, o_orderpriority AS priority, o_orderkey % 8 AS m, CAST(round(o_totalprice * 100) AS BIGINT) % 3000000 + 2000000 AS c,
+        CASE WHEN o_orderkey % 8 = 2 THEN o_orderkey % 80 + 10 ELSE o_orderkey % 9 + 1 END AS q, o_orderkey % 4 * 25 + 500 AS rate FROM orders),
+    s1 AS (SELECT *, (c * rate + 5000) // 10000 + CASE WHEN m = 7 THEN 100 ELSE 0 END AS tax, c * 100 // q AS price FROM s0),
+    s2 AS (SELECT *, [{'v': c * 100, 'd4': true}, {'v': c * 100, 'd4': false}, {'v': rate * 100, 'd4': false}] AS head FROM s1),
+    s3 AS (SELECT *, CASE WHEN m IN (0, 1) THEN [] WHEN m = 4 THEN head[1:1] WHEN m = 2 THEN head || [{'v': tax * 100 + q, 'd4': true}, {'v': price, 'd4': true}]
+        WHEN m = 3 THEN head || [{'v': tax * 100, 'd4': false}, {'v': q * 10000, 'd4': true}, {'v': price, 'd4': true}, {'v': 0, 'd4': false}]
+        ELSE head || [{'v': tax * 100, 'd4': false}, {'v': q * 10000, 'd4': true}, {'v': price, 'd4': true}] END AS t FROM s2),
+    s4 AS (SELECT *, len(t) AS n, list_sort(list_transform(t, lambda x: x.v)) AS z FROM s3),
+    s5 AS (SELECT *, CASE WHEN n = 6 THEN t[1].v WHEN n >= 2 THEN z[n] END AS v1, CASE WHEN n = 6 THEN t[2].v WHEN n >= 2 THEN z[n - 1] END AS v2,
+        CASE WHEN n = 6 THEN t[3].v WHEN n >= 2 THEN list_filter(t, lambda x: x.v % (CASE WHEN x.d4 THEN 100 ELSE 10000 END) <> 0 OR x.v <= 1000000)[1].v END AS v3,
+        CASE WHEN n = 6 THEN t[4].v WHEN n >= 2 THEN z[1] END AS v4, CASE WHEN n = 6 THEN t[5].v WHEN n >= 2 THEN list_filter(t, lambda x: x.d4 AND x.v < 100000000)[1].v END AS v5,
+        CASE WHEN n = 6 THEN t[6].v WHEN n >= 3 THEN z[n - 2] END AS v6 FROM s4),
+    svc AS (SELECT k, m, n, c, tax, v1 / 10000 AS service_value, v2 / 10000 AS base, v3 / 10000 AS rate, v4 / 10000 AS tax_read, v5 / 10000 AS quantity, v6 / 10000 AS unit_price,
+        CASE WHEN m <> 0 THEN 'Manutenção ' || priority || CASE WHEN k % 3 = 0 THEN ' Contrato ' || k ELSE '' END END AS description,
+        CASE WHEN m <> 0 AND k % 6 <> 0 THEN CAST(k AS VARCHAR) END AS of_number, CASE WHEN m <> 0 AND k % 7 <> 3 THEN '14.01' END AS code, t FROM s5)"""
+
+
+def _conf(value: str) -> str:
+    return f"CASE WHEN m = 0 THEN 30 WHEN m = 1 THEN 40 WHEN {value} IS NULL THEN 55 WHEN n = 6 THEN 88 ELSE 60 END"
+
+
+def _services(spark, d):
+    return services.service_fields(layouts.service_texts(spark, d))
+
+
+@query("x10_run_on_amounts", f"WITH {_SERVICES} SELECT k AS doc_id, CAST(i AS INT) AS pos, t[i].v / 10000 AS amount FROM (SELECT k, t, unnest(generate_series(1, n)) AS i FROM svc)")
+def _(get, spark, d):
+    lines = layouts.service_texts(spark, d).select("doc_id", F.regexp_extract("text", r"DISCRIMINAÇÃO[\s\S]*\nx=(.*)", 1).alias("line"))
+    return lines.select("doc_id", F.posexplode_outer(services.amounts(F.col("line"))).alias("pos", "amount")).filter("amount IS NOT NULL").select("doc_id", (F.col("pos") + 1).alias("pos"), services.number(F.col("amount")).alias("amount"))
+
+
+@query(
+    "e11_service_zone",
+    f"""WITH {_SERVICES}, sure AS (SELECT *, CASE WHEN m = 0 THEN 30 WHEN k % 3 = 0 THEN 95 ELSE 90 END AS c_text, CASE WHEN m = 0 THEN 30 WHEN of_number IS NULL THEN 40 ELSE 95 END AS c_order, CASE WHEN m = 0 THEN 30 WHEN code IS NULL THEN 40 ELSE 92 END AS c_code,
+        {_conf('service_value')} AS c1, {_conf('base')} AS c2, {_conf('rate')} AS c3, {_conf('tax_read')} AS c4, {_conf('quantity')} AS c5, {_conf('unit_price')} AS c6 FROM svc)
+    SELECT k AS doc_id, m <> 0 AS has_zone, CAST(n AS INT) AS n_amounts, description, of_number, code, CASE WHEN code IS NULL THEN 'campo_ausente' WHEN k % 7 = 5 THEN 'label_fora_da_zona' ELSE 'label_apos_zona' END AS code_how,
+        service_value, base, rate, tax_read, quantity, unit_price, CASE WHEN v1_null THEN 'campo_ausente' WHEN n = 6 THEN 'positional_parse' ELSE 'heuristic_fallback' END AS value_how,
+        CASE WHEN m = 0 THEN 0 ELSE (c_text * 20 + c_order * 10 + c5 * 10 + c6 * 10 + c1 * 20 + c2 * 10 + c3 * 10 + c4 * 10 + c_code * 8) / 108 END AS confidence
+        FROM (SELECT *, service_value IS NULL AS v1_null FROM sure)""",
+)
+def _(get, spark, d):
+    n = lambda f: services.number(F.col(f)).alias({"tax": "tax_read"}.get(f, f))
+    return _services(spark, d).select("doc_id", "has_zone", "n_amounts", "description", F.col("order").alias("of_number"), "code", "code_how", *[n(f) for f in services.VALUES], F.col("service_value_how").alias("value_how"), "confidence")
+
+
+@query(
+    "e12_service_checks",
+    f"WITH {_SERVICES} SELECT k AS doc_id, abs(quantity * unit_price - service_value) <= 0.02 AS product_fits, abs(service_value * rate / 100 - tax_read) <= 0.02 AS tax_fits FROM svc",
+)
+def _(get, spark, d):
+    return services.service_checks(_services(spark, d))
+
+
+@query(
+    "e16_tax_table",
+    f"WITH {_SERVICES} SELECT k AS doc_id, CASE WHEN m <> 6 THEN c / 100 END AS base, CASE WHEN m <> 6 THEN 90 ELSE 40 END AS base_conf, CASE WHEN m <> 6 THEN tax / 100 END AS tax, CASE WHEN m <> 6 THEN 88 ELSE 40 END AS tax_conf FROM svc",
+)
+def _(get, spark, d):
+    rows = services.tax_table(layouts.service_texts(spark, d))
+    return rows.select("doc_id", services.number(F.col("base")).alias("base"), "base_conf", services.number(F.col("tax")).alias("tax"), "tax_conf")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import candidates, goods, national, services
+from ..operators import baselines, candidates, goods, national, services
 from ..sources import layouts
 from .invoice_sql import _company
 from .registry import query
@@ -176,3 +176,43 @@ def _(get, spark, d):
 def _(get, spark, d):
     rows = services.tax_table(layouts.service_texts(spark, d))
     return rows.select("doc_id", services.number(F.col("base")).alias("base"), "base_conf", services.number(F.col("tax")).alias("tax"), "tax_conf")
+
+
+#: Paths that differ between two runs' records of every order: the amount, the third item's members, or all of them.
+_CHANGES = """o AS (SELECT o_orderkey AS k, 'nota-' || o_orderkey || '.pdf' AS file, CAST(floor(o_totalprice) AS BIGINT) AS gross, o_orderstatus AS kind, o_orderkey % 7 AS r FROM orders),
+    ch AS (SELECT file, 'resultado.valores.bruto' AS path, CAST(gross AS VARCHAR) AS before, CAST(gross + 5 AS VARCHAR) AS after FROM o WHERE k % 4 = 1 AND k % 10 NOT IN (0, 1)
+        UNION ALL SELECT file, unnest(['resultado.valores.itens.2.q', 'resultado.valores.itens.2.v']), NULL, unnest([CAST(r + 3 AS VARCHAR), CAST(k * 3 AS VARCHAR)]) FROM o WHERE k % 4 = 2 AND k % 10 NOT IN (0, 1)
+        UNION ALL SELECT file, unnest(['roteamento.tipo', 'resultado.numero', 'resultado.valores.bruto', 'resultado.valores.itens.0.q', 'resultado.valores.itens.0.v', 'resultado.valores.itens.1.q', 'resultado.valores.itens.1.v',
+            'resultado.aviso', 'roteamento', 'resultado', 'erro']), unnest([kind, CAST(k AS VARCHAR), CAST(gross AS VARCHAR), CAST(r + 1 AS VARCHAR), CAST(k AS VARCHAR), CAST(r + 2 AS VARCHAR), CAST(k * 2 AS VARCHAR), 'null', NULL, NULL, 'undefined']),
+            unnest([NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'undefined', 'undefined', 'falha ' || k]) FROM o WHERE k % 4 = 3 AND k % 10 NOT IN (0, 1)),
+    st AS (SELECT o.file, CASE WHEN k % 10 = 0 THEN 'NOVO' WHEN k % 10 = 1 THEN 'SUMIU' WHEN k % 4 = 0 THEN 'IDENTICO' WHEN k % 3 = 0 THEN 'ESPERADO' ELSE 'ALTERADO' END AS state,
+        CASE WHEN k % 10 IN (0, 1) THEN 0 ELSE [0, 1, 2, 11][k % 4 + 1] END::BIGINT AS n_changes FROM o)"""
+
+
+def _runs(spark, d):
+    return layouts.result_records(spark, d, False), layouts.result_records(spark, d, True)
+
+
+def _states(spark, d):
+    runs = _runs(spark, d)
+    k = F.regexp_extract("file", r"(\d+)", 1).cast("long")
+    return baselines.file_states(*runs, baselines.changes(*runs), runs[1].filter(k % 3 == 0))
+
+
+@query("j13_baseline_changes", f"WITH {_CHANGES} SELECT * FROM ch")
+def _(get, spark, d):
+    return baselines.changes(*_runs(spark, d))
+
+
+@query("j13_baseline_files", f"WITH {_CHANGES} SELECT * FROM st")
+def _(get, spark, d):
+    return _states(spark, d)
+
+
+@query(
+    "j13_baseline_verdict",
+    f"""WITH {_CHANGES} SELECT count(*) FILTER (state <> 'NOVO') AS compared, count(*) FILTER (state = 'ESPERADO') AS expected, count(*) FILTER (state IN ('SUMIU', 'ALTERADO')) AS unexpected,
+        count(*) FILTER (state = 'NOVO') AS new, count(*) FILTER (state IN ('SUMIU', 'ALTERADO')) > 0 AS regression FROM st""",
+)
+def _(get, spark, d):
+    return baselines.verdict(_states(spark, d))

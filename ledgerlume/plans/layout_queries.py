@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import baselines, candidates, goods, national, services
+from ..operators import baselines, candidates, goods, national, services, versions
 from ..sources import layouts
 from .invoice_sql import _company
 from .registry import query
@@ -216,3 +216,45 @@ def _(get, spark, d):
 )
 def _(get, spark, d):
     return baselines.verdict(_states(spark, d))
+
+
+#: Orders of a customer as versions of one document; a note is there for two thirds, a total that is null for some.
+_VERSIONS = """v AS (SELECT o_custkey AS document, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS version, * FROM orders),
+    f AS (SELECT document, version, unnest(['status', 'prioridade', 'valor', 'nota']) AS field, unnest([o_orderstatus, o_orderpriority,
+        CASE WHEN o_orderkey % 5 = 0 THEN 'null' ELSE CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) END, CASE WHEN o_orderkey % 3 <> 0 THEN 'n' || o_orderkey % 4 END]) AS value FROM v),
+    h AS (SELECT * FROM f WHERE value IS NOT NULL)"""
+
+
+def _versions(spark, d):
+    k = F.col("o_orderkey")
+    total = F.when(k % 5 != 0, F.floor("o_totalprice").cast("long").cast("string"))
+    base = F.create_map(F.lit("status"), F.col("o_orderstatus"), F.lit("prioridade"), F.col("o_orderpriority"), F.lit("valor"), total)
+    snapshot = F.when(k % 3 == 0, base).otherwise(F.map_concat(base, F.create_map(F.lit("nota"), F.concat(F.lit("n"), k % 4))))
+    label = F.when(k % 7 == 0, "corrigida").otherwise("apos_extracao")
+    rows = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_custkey").alias("document"), k.alias("seq"), label.alias("label"), snapshot.alias("snapshot"))
+    return versions.versions(rows)
+
+
+@query(
+    "w06_version_diffs",
+    f"""WITH {_VERSIONS}, p AS (SELECT document, version + 1 AS version, field, value FROM h WHERE (document, version + 1) IN (SELECT (document, version) FROM v))
+    SELECT coalesce(h.document, p.document) AS document, CAST(coalesce(h.version, p.version) AS INT) AS version, CASE WHEN p.value IS NULL THEN 'ADICIONADO' WHEN h.value IS NULL THEN 'REMOVIDO' ELSE 'ALTERADO' END AS kind,
+        coalesce(h.field, p.field) AS field, p.value AS before, h.value AS after FROM h FULL JOIN p ON h.document = p.document AND h.version = p.version AND h.field = p.field WHERE h.value IS DISTINCT FROM p.value""",
+)
+def _(get, spark, d):
+    return versions.changes(_versions(spark, d))
+
+
+@query(
+    "h05_compare_versions",
+    f"""WITH {_VERSIONS}, b AS (SELECT document FROM v WHERE version = 3), x AS (SELECT * FROM h SEMI JOIN b USING (document) WHERE version = 1), y AS (SELECT * FROM h SEMI JOIN b USING (document) WHERE version = 3)
+    SELECT coalesce(x.document, y.document) AS document, coalesce(x.field, y.field) AS field, x.value AS before, y.value AS after FROM x FULL JOIN y ON x.document = y.document AND x.field = y.field WHERE x.value IS DISTINCT FROM y.value""",
+)
+def _(get, spark, d):
+    return versions.compare(_versions(spark, d), 1, 3)
+
+
+@query("h05_latest_labelled", f"WITH {_VERSIONS} SELECT document, CAST(max(version) AS INT) AS version, arg_max(o_orderpriority, version) AS priority, arg_max(CASE WHEN o_orderkey % 3 <> 0 THEN 4 ELSE 3 END, version) AS n_fields FROM v WHERE o_orderkey % 7 = 0 GROUP BY document")
+def _(get, spark, d):
+    rows = versions.as_of(_versions(spark, d), "corrigida")
+    return rows.select("document", "version", F.col("snapshot")["prioridade"].alias("priority"), F.size("snapshot").alias("n_fields"))

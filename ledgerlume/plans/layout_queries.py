@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import baselines, candidates, goods, national, services, versions
 from ..sources import layouts
+from ..streaming import effects
 from .invoice_sql import _company
 from .registry import query
 
@@ -258,3 +259,12 @@ def _(get, spark, d):
 def _(get, spark, d):
     rows = versions.as_of(_versions(spark, d), "corrigida")
     return rows.select("document", "version", F.col("snapshot")["prioridade"].alias("priority"), F.size("snapshot").alias("n_fields"))
+
+
+@query("st05_effects_once", "SELECT DISTINCT user_id, user_id % 12 + 1 AS months FROM events WHERE user_id IS NOT NULL")
+def _(get, spark, d):
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    out = effects.shared_folder(spark, "effects")
+    effects.consume(stream.select("user_id"), "user_id", lambda rows: rows.withColumn("months", F.col("user_id") % 12 + 1), f"{out}/effects", f"{out}/checkpoint").awaitTermination()
+    return effects.effects(spark, f"{out}/effects").drop("batch")

@@ -5,12 +5,13 @@ word that repeats at once): one of the target texts (those labelled as good), on
 A document's log weight is the sum of log p_target - log p_raw over its n-grams. Adding Gumbel noise
 to the log weights and taking the k largest draws k documents without replacement in proportion to
 their weights. `k` is the number of documents whose log weight is at or above a level that best
-parts labelled good from labelled bad documents, among a quarter of them that the target model
-doesn't learn from.
+parts labelled good from labelled bad documents. Every label counts twice, for the target model and
+for the level: the level looks at weights by a model of the other folds' good documents (cross-fitting).
 
-The models are sums over all documents, made by Spark, of fixed size. The level comes from at most
-LEVEL_SAMPLE labelled documents. The k-th key is found by counting within ever finer bins, so no
-sort meets in one task, however many keys are equal. The noise of a document depends on its id and SEED only.
+The models are sums over all documents, made by Spark, of fixed size. The level is exact over all labelled
+documents: their weights are dealt by range, and every part adds up its counts on top of those of the parts
+below. The k-th key is found by counting within ever finer bins, so no sort meets in one task, however
+many keys are equal. The noise of a document depends on its id and SEED only.
 
 Defined results: null and empty texts have log weight 0; whole texts are read; with no good or no
 bad labels every document is taken; ties at the k-th key go to the smaller ids, and rows that repeat
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .joins import row_key, with_labels, without_rows
@@ -34,10 +35,15 @@ from .workers import claim
 BUCKETS, SEED = 1 << 14, 11
 #: Pseudo-counts of the target model per bucket, spread as the raw model's.
 SMOOTHING = 4.0
-LEVEL_SAMPLE = 50_000
+#: Folds of the labelled documents by their id.
+FOLDS = 4
 #: Weight of lost good texts against kept bad ones, and the room left below good log weights for the Gumbel noise.
 KEEP, SLACK = 10.0, 3.0
 BINS, FINISH = 4096, 4096
+#: Different weights of labelled documents in one part, and the least number of parts.
+PART_WEIGHTS, PARTS = 1 << 18, 16
+#: Documents in one file of weights.
+NARROW = 1 << 17
 
 
 def features(texts: list[str | None]) -> list[np.ndarray]:
@@ -50,29 +56,32 @@ def features(texts: list[str | None]) -> list[np.ndarray]:
     return out
 
 
+def fold() -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS, F.lit(0)).cast("int").alias("fold")
+
+
 def model_counts(labelled: DataFrame) -> DataFrame:
-    """bucket, raw, target: n-gram counts of all documents and of the good ones."""
+    """bucket, raw, target_0, ...: n-gram counts of all documents and of each fold's good ones."""
+    names = ["raw", *(f"target_{i}" for i in range(FOLDS))]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("quality")
-        raw, target = np.zeros(BUCKETS + 1, np.int64), np.zeros(BUCKETS + 1, np.int64)
+        n = np.zeros((1 + FOLDS, BUCKETS + 1), np.int64)
         for batch in batches:
             found = features(batch.column(0).to_pylist())
-            good = [f for f, label in zip(found, batch.column(1).to_pylist(), strict=True) if label == 1]
-            for n, some in ((raw, found), (target, good)):
-                n += np.bincount(np.concatenate([np.zeros(0, np.int64), *some]), minlength=BUCKETS + 1)
-        at = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(raw[at]), pa.array(target[at])], names=["bucket", "raw", "target"])
+            owner = [1 + part if label == 1 else 0 for label, part in zip(*(batch.column(i).to_pylist() for i in (1, 2)), strict=True)]
+            for row in range(1 + FOLDS):
+                some = [f for f, own in zip(found, owner, strict=True) if own == row or row == 0]
+                n[row] += np.bincount(np.concatenate([np.zeros(0, np.int64), *some]), minlength=BUCKETS + 1)
+        at = np.flatnonzero(n[0])
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(x[at]) for x in n)], names=["bucket", *names])
 
-    rows = labelled.select("text", "label").mapInArrow(count, "bucket int, raw long, target long")
-    return rows.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    rows = labelled.select("text", "label", fold()).mapInArrow(count, "bucket int, " + ", ".join(f"{x} long" for x in names))
+    return rows.groupBy("bucket").agg(*[F.sum(x).alias(x) for x in names])
 
 
-def fit_ratio(labelled: DataFrame) -> np.ndarray:
+def log_ratio(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
     """log p_target - log p_raw of every bucket; 0 where nothing was seen."""
-    raw, target = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
-    for r in model_counts(labelled).collect():  # at most BUCKETS + 1 rows
-        raw[r.bucket], target[r.bucket] = r.raw, r.target
     if not target.any():
         return np.zeros(BUCKETS + 1)
     seen, prior = raw > 0, SMOOTHING * len(raw) * raw / raw.sum()  # few target texts: the ratio shrinks towards 0
@@ -81,18 +90,42 @@ def fit_ratio(labelled: DataFrame) -> np.ndarray:
     return ratio
 
 
-def log_weights(labelled: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """doc_id, label, log_weight, row_key of every row."""
-    shared = labelled.sparkSession.sparkContext.broadcast(ratio)
+def fit_ratios(labelled: DataFrame) -> np.ndarray:
+    """The ratio of all good documents last; before it one for each fold, of the good documents of the others."""
+    raw, target = np.zeros(BUCKETS + 1), np.zeros((FOLDS, BUCKETS + 1))
+    for bucket, n, *good in model_counts(labelled).collect():  # at most BUCKETS + 1 rows
+        raw[bucket], target[:, bucket] = n, good
+    return np.stack([log_ratio(raw, good) for good in (*(target.sum(0) - target), target.sum(0))])
+
+
+def fit_ratio(labelled: DataFrame) -> np.ndarray:
+    """The ratio of all good documents."""
+    return fit_ratios(labelled)[-1]
+
+
+def log_weights(labelled: DataFrame, ratios: np.ndarray) -> DataFrame:
+    """doc_id, label, log_weight, unseen_weight, row_key of every row.
+
+    `ratios` are those of `fit_ratios`, or a single one. The unseen weight of a labelled row is by the ratio that its
+    fold has no part in; it is null for other rows.
+    """
+    shared = labelled.sparkSession.sparkContext.broadcast(np.atleast_2d(ratios))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("quality")
         by_bucket = shared.value
         for batch in batches:
-            got = [float(by_bucket[found].sum()) for found in features(batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.float64()), batch.column(3)], names=["doc_id", "label", "log_weight", "row_key"])
+            found = features(batch.column(2).to_pylist())
+            got = [float(by_bucket[-1][f].sum()) for f in found]
+            unseen = [
+                None if label is None else float(by_bucket[min(part, len(by_bucket) - 1)][f].sum())
+                for f, label, part in zip(found, batch.column(1).to_pylist(), batch.column(4).to_pylist(), strict=True)
+            ]
+            weights = [pa.array(got, pa.float64()), pa.array(unseen, pa.float64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *weights, batch.column(3)], names=["doc_id", "label", "log_weight", "unseen_weight", "row_key"])
 
-    return labelled.select("doc_id", F.col("label").cast("int").alias("label"), "text", row_key().alias("row_key")).mapInArrow(score, "doc_id long, label int, log_weight double, row_key binary")
+    rows = labelled.select("doc_id", F.col("label").cast("int").alias("label"), "text", row_key().alias("row_key"), fold())
+    return rows.mapInArrow(score, "doc_id long, label int, log_weight double, unseen_weight double, row_key binary")
 
 
 def best_level(weights: np.ndarray, good: np.ndarray) -> float:
@@ -108,7 +141,34 @@ def best_level(weights: np.ndarray, good: np.ndarray) -> float:
     kept_bad = 1 - np.concatenate([[0], np.cumsum(~g)]) / (~g).sum()
     new = np.concatenate([[True], w[1:] > w[:-1], [True]])  # a level can't part equal weights
     at = int(np.where(new, KEEP * kept_good - kept_bad, -np.inf).argmax())
-    return -np.inf if at == 0 else float(max((w[at - 1] + w[at]) / 2, w[at] - SLACK)) if at < len(w) else np.inf
+    return -np.inf if at == 0 else below(w[at - 1], w[at]) if at < len(w) else np.inf
+
+
+def below(low: float, high: float) -> float:
+    """The level in the gap between two neighbouring weights of which the higher one stays."""
+    return float(max((low + high) / 2, high - SLACK))
+
+
+def level_of(known: DataFrame) -> float:
+    """What `best_level` finds for all rows of `known` (weight, good), however many: counts by weight, added up within ranges."""
+    counted = known.groupBy("weight").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
+    n = counted.agg(F.count(F.lit(1)), F.sum("good"), F.sum("bad")).first()
+    if not n[1] or not n[2]:
+        return -np.inf
+    parts = max(PARTS, -(-n[0] // PART_WEIGHTS))
+    dealt = materialise(counted.repartitionByRange(parts, "weight").withColumn("part", F.spark_partition_id()), "levels", n[0], PART_WEIGHTS)
+    before, rows = [0, 0], []
+    for r in dealt.groupBy("part").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).orderBy("part").collect():  # a row a part
+        rows.append((r.part, *before))
+        before = [before[0] + r.good, before[1] + r.bad]
+    offsets = F.broadcast(known.sparkSession.createDataFrame(rows, "part int, good_below long, bad_below long"))
+    here = Window.partitionBy("part").orderBy("weight").rowsBetween(Window.unboundedPreceding, -1)
+    left = lambda name, total: F.lit(total) - F.col(f"{name}_below") - F.coalesce(F.sum(name).over(here), F.lit(0))
+    cuts = dealt.join(offsets, "part").select("weight", left("good", n[1]).alias("good"), left("bad", n[2]).alias("bad"))
+    worth = F.expr(f"CAST({KEEP} AS DECIMAL(6,3)) * CAST(good AS DECIMAL(13,0)) * CAST({n[2]} AS DECIMAL(13,0)) - CAST(bad AS DECIMAL(13,0)) * CAST({n[1]} AS DECIMAL(13,0))")
+    high = cuts.orderBy(worth.desc(), "weight").first()["weight"]
+    low = dealt.filter(F.col("weight") < F.lit(high)).agg(F.max("weight")).first()[0]
+    return -np.inf if low is None else below(low, high)
 
 
 def with_keys(weights: DataFrame, seed: int = SEED) -> DataFrame:
@@ -156,12 +216,8 @@ def drawn(docs: DataFrame, labels: DataFrame, seed: int = SEED) -> DataFrame:
     """doc_id, log_weight, gumbel_key, selected, row_key of every row of `docs`."""
     bounded_batches(docs.sparkSession)
     labelled = with_labels(docs, labels, "quality")
-    aside = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
-    taught = labelled.withColumn("label", F.when(~aside, F.col("label")))
-    scored = materialise(with_keys(log_weights(labelled, fit_ratio(taught)), seed), "log-weights")
-    known = scored.filter("label IS NOT NULL").filter(aside).orderBy(F.xxhash64("doc_id"), "doc_id").limit(LEVEL_SAMPLE).select("log_weight", "label")
-    sample = known.toPandas()
-    level = best_level(sample["log_weight"].to_numpy(float), sample["label"].to_numpy() == 1)
+    scored = materialise(with_keys(log_weights(labelled, fit_ratios(labelled)), seed), "log-weights", docs.count(), NARROW)
+    level = level_of(scored.filter("label IS NOT NULL").select(F.col("unseen_weight").alias("weight"), (F.col("label") == 1).alias("good")))
     total = scored.count()
     k = scored.filter(F.col("log_weight") >= F.lit(level)).count()
     taken = F.lit(k == total)

@@ -71,3 +71,25 @@ def test_nulls_repeats_no_labels_and_empty(spark):
     odd = spark.createDataFrame([(3, None, 1), (None, 1, 0), (3, 1, 0), (3, 0, 0), (1, 0, 0)], LABELS)
     assert Q.select(docs, odd).count() == 5 and Q.keep_good(docs, odd).columns == docs.columns
     assert Q.select(docs.limit(0), odd).count() == 0
+
+
+def test_level_of_all_labels_matches_the_plain_one(spark, monkeypatch):
+    monkeypatch.setattr(Q, "PART_WEIGHTS", 50)
+    rng = np.random.default_rng(5)
+    for shift in (0.0, 1.5, 9.0):
+        good = rng.random(3000) < 0.6
+        weight = np.round(rng.normal(size=3000) + shift * good, 2)  # many equal ones
+        known = spark.createDataFrame([(float(w), bool(g)) for w, g in zip(weight, good, strict=True)], "weight double, good boolean")
+        assert Q.level_of(known) == Q.best_level(weight, good)
+    assert Q.level_of(known.filter("good")) == -np.inf and Q.level_of(known.limit(0)) == -np.inf
+
+
+def test_every_label_sets_the_level_and_teaches(spark, monkeypatch):
+    """No bound on the labels, and no fold of them left out of the level or the model."""
+    seen = []
+    monkeypatch.setattr(Q, "LEVEL_SAMPLE", 10, raising=False)
+    monkeypatch.setattr(Q, "level_of", lambda known: seen.append(known.count()) or 0.0, raising=False)
+    monkeypatch.setattr(Q, "best_level", lambda w, good: seen.append(len(w)) or 0.0)
+    docs = spark.range(400).selectExpr("id AS doc_id", "concat('w', id % 7, ' v', id) AS text", "1 AS label", "1 AS log_weight")
+    labels = docs.selectExpr("doc_id", "CAST(doc_id % 3 > 0 AS int) AS quality", "0 AS toxic")
+    assert Q.select(docs, labels).count() == 400 and seen == [400]

@@ -48,3 +48,14 @@ def test_stages_against_brute_force(spark, tmp_path):
             assert got.columns == spark.read.parquet(f"{SMALL}/documents.parquet").columns
         docs, kept = got, ids
     assert {r.doc_id for r in P.run(spark, SMALL).collect()} == kept
+
+
+def test_quality_stage_counts_every_label(spark):
+    """As many rows stay as lie above the level worked out in plain numpy from all labels."""
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    labelled = quality.with_labels(docs, labels, "quality")
+    rows = quality.log_weights(labelled, quality.fit_ratios(labelled)).toPandas()
+    known = rows[rows.label.notna()]
+    assert len(known) == labels.filter("quality IS NOT NULL").join(docs, "doc_id").count()
+    level = quality.best_level(known.unseen_weight.to_numpy(float), known.label.to_numpy() == 1)
+    assert P.filter_quality(spark, docs, SMALL).count() == (rows.log_weight >= level).sum()

@@ -39,6 +39,8 @@ LEAST, INSIDE, TOP = 10, 50, 2000
 BROADCAST_WORDS = 2_000_000
 #: Occurrences in one part of a language's filters; entries that a task holds before it sends them.
 PART_WORDS, HELD = 1 << 20, 1_500_000
+#: Documents whose words, or phrases, are one file of an intermediate table.
+DOCS = 1 << 14
 #: Rows of a phrase table that may be broadcast.
 BROADCAST_PHRASES = 200_000
 
@@ -77,9 +79,9 @@ def word_counts(docs: DataFrame, seed: int) -> DataFrame:
 
 def known_words(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame, int]:
     """lang, hash, word, n of words with `least` occurrences; lang and all occurrences of its words; the seed of the hashes."""
-    seed = 0
+    seed, n_docs = 0, docs.count()
     while True:
-        every = materialise(word_counts(docs, seed), "words")
+        every = materialise(word_counts(docs, seed), "words", n_docs, DOCS)
         shared = every.groupBy("lang", "hash").agg(F.count(F.lit(1)).alias("words"), F.max("n").alias("most")).filter(f"words > 1 AND most >= {least}")
         if not shared.limit(1).count():
             return every.filter(F.col("n") >= least), every.groupBy("lang").agg(F.sum("n").alias("words")), seed
@@ -207,7 +209,7 @@ def candidates(docs: DataFrame, least: int = LEAST, inside: int = INSIDE) -> Dat
     words, totals, seed = known_words(docs, least)
     n_words = words.count()
     large = {r["lang"]: r["words"] for r in totals.filter(F.col("words") >= PART_WORDS).collect()}  # at most a row for so many words
-    phrases = materialise(phrase_counts(docs, dictionary(words), large, seed, least), "phrases")
+    phrases = materialise(phrase_counts(docs, dictionary(words), large, seed, least), "phrases", docs.count(), DOCS)
     twos = phrases.filter("n = 2").select("lang", "h1", "h2", "a")
     threes = phrases.filter("n = 3").select("lang", "h1", "h2", "h3", "a")
     n_twos = twos.count()

@@ -148,3 +148,21 @@ def test_sql_says_the_same(spark):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{at}/documents.parquet'")
     expected = con.execute(f"SELECT {', '.join(COLUMNS)} FROM ({C.OP13_SQL})").fetchall()
     assert expected and sorted(map(tuple, C.op13_collocations(spark, at).select(COLUMNS).collect())) == sorted(expected)
+
+
+def test_tables_between_are_few_files(spark, monkeypatch):
+    """However many partitions a shuffle has: every file starts processes that share an executor's memory for a moment."""
+    written = []
+    kept = C.materialise
+    monkeypatch.setattr(C, "materialise", lambda frame, label, *bound: written.append(kept(frame, label, *bound)) or written[-1])
+    values = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        docs = spark.range(200).selectExpr("CAST(id AS string) AS lang", "repeat(concat('a', id, ' b', id, ' '), 12) AS text")
+        C.candidates(docs)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(written) == 2 and all(0 < len(t.inputFiles()) <= 16 for t in written)

@@ -29,6 +29,7 @@ other columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -369,7 +370,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, cosine, lcs, answer, at of every contaminated document and item."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    items = materialise(benchmark_items(benchmark), "benchmark")
+    items = materialise(benchmark_items(benchmark), "benchmark", benchmark.count())
     own = materialise(token_table(items.select(F.col("item_id").alias("doc_id"), "text"), 0), "benchmark-tokens")
     longest = own.agg(F.max(F.col("offset") + F.octet_length("words") / 4)).first()[0]
     if longest is None:
@@ -377,14 +378,16 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     tokens = materialise(token_table(docs, int(longest) + 2 * room(int(longest)) + WINDOW), "tokens")
     idf, basis = latent_space(tokens, own)
     blocks = -(-items.count() // ITEM_BLOCK)
-    found = spark.createDataFrame([], match_schema(tokens))
+    found = []
     for b in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()  # about ITEM_BLOCK rows
         words, answers = ([w.astype(np.uint32) for w in word_hashes([r[name] for r in rows])] for name in ("text", "answer"))
         some = [Item(r.item_id, w, a if r.answer is not None else w[-ANSWER_WORDS:]) for r, w, a in zip(rows, words, answers, strict=True) if len(w)]
         if some:
-            found = found.unionByName(search(tokens, Index(some, idf, basis)))
-    found = materialise(found, "matches")
+            found.append(search(tokens, Index(some, idf, basis)))
+    if not found:
+        return spark.createDataFrame([], match_schema(tokens))
+    found = materialise(reduce(DataFrame.unionByName, found), "matches")
     best = F.max_by(F.struct("cosine", "lcs", "answer", "at"), F.struct("lcs", "cosine", -F.col("at"))).alias("best")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
 

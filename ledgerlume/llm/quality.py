@@ -161,7 +161,8 @@ def level_of(known: DataFrame) -> float:
     for r in dealt.groupBy("part").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).orderBy("part").collect():  # a row a part
         rows.append((r.part, *before))
         before = [before[0] + r.good, before[1] + r.bad]
-    offsets = F.broadcast(known.sparkSession.createDataFrame(rows, "part int, good_below long, bad_below long"))
+    table = pa.table(list(zip(*rows, strict=True)), names=["part", "good_below", "bad_below"])  # rows as a list would go through Python workers
+    offsets = F.broadcast(known.sparkSession.createDataFrame(table))
     here = Window.partitionBy("part").orderBy("weight").rowsBetween(Window.unboundedPreceding, -1)
     left = lambda name, total: F.lit(total) - F.col(f"{name}_below") - F.coalesce(F.sum(name).over(here), F.lit(0))
     cuts = dealt.join(offsets, "part").select("weight", left("good", n[1]).alias("good"), left("bad", n[2]).alias("bad"))

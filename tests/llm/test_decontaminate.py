@@ -161,3 +161,20 @@ def test_ids_of_other_types_are_kept(spark):
     for kind, cast in (("int", int), ("string", str)):
         docs = spark.createDataFrame([(cast(1), " ".join(["x"] * 30 + words[:40])), (cast(2), " ".join(words[50:]))], f"doc_id {kind}, text string")
         assert [(r.doc_id, r.item_id) for r in D.matches(docs, items).collect()] == [(cast(1), 7)]
+
+
+def test_no_python_workers_for_empty_tables(spark):
+    """An empty table made from a list is read by Python workers of its own, beside those of the search."""
+    from ledgerlume.llm import decontaminate
+
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j k l m n o p")], "doc_id long, text string")
+    bench = spark.range(1).selectExpr("1L AS item_id", "'q r s t u v w x y z a b c d e f' AS text")
+    made = []
+    kept = decontaminate.materialise
+    try:
+        decontaminate.materialise = lambda frame, label, *bound: made.append((label, frame._jdf.queryExecution().toString())) or kept(frame, label, *bound)
+        assert decontaminate.matches(docs.coalesce(1), bench).count() == 0
+    finally:
+        decontaminate.materialise = kept
+    plan = dict(made)["matches"]
+    assert "Union" not in plan

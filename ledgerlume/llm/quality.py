@@ -6,7 +6,8 @@ A document's log weight is the sum of log p_target - log p_raw over its n-grams.
 to the log weights and taking the k largest draws k documents without replacement in proportion to
 their weights. `k` is the number of documents whose log weight is at or above a level that best
 parts labelled good from labelled bad documents. Every label counts twice, for the target model and
-for the level: the level looks at weights by a model of the other folds' good documents (cross-fitting).
+for the level: there a good document goes by the target model of all other good documents (leave one out),
+which is the whole model less its own counts, so no label is set aside and no fold of them decides.
 
 The models are sums over all documents, made by Spark, of fixed size. The level is exact over all labelled
 documents: their weights are dealt by range, and every part adds up its counts on top of those of the parts
@@ -20,11 +21,11 @@ an id share its noise; other columns are ignored; an empty table gives an empty
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .joins import row_key, with_labels, without_rows
@@ -35,8 +36,6 @@ from .workers import claim
 BUCKETS, SEED = 1 << 14, 11
 #: Pseudo-counts of the target model per bucket, spread as the raw model's.
 SMOOTHING = 4.0
-#: Folds of the labelled documents by their id.
-FOLDS = 4
 #: Weight of lost good texts against kept bad ones, and the room left below good log weights for the Gumbel noise.
 KEEP, SLACK = 10.0, 3.0
 BINS, FINISH = 4096, 4096
@@ -56,46 +55,60 @@ def features(texts: list[str | None]) -> list[np.ndarray]:
     return out
 
 
-def fold() -> Column:
-    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS, F.lit(0)).cast("int").alias("fold")
-
-
 def model_counts(labelled: DataFrame) -> DataFrame:
-    """bucket, raw, target_0, ...: n-gram counts of all documents and of each fold's good ones."""
-    names = ["raw", *(f"target_{i}" for i in range(FOLDS))]
+    """bucket, raw, target: n-gram counts of all documents and of the good ones."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("quality")
-        n = np.zeros((1 + FOLDS, BUCKETS + 1), np.int64)
+        raw, target = np.zeros(BUCKETS + 1, np.int64), np.zeros(BUCKETS + 1, np.int64)
         for batch in batches:
             found = features(batch.column(0).to_pylist())
-            owner = [1 + part if label == 1 else 0 for label, part in zip(*(batch.column(i).to_pylist() for i in (1, 2)), strict=True)]
-            for row in range(1 + FOLDS):
-                some = [f for f, own in zip(found, owner, strict=True) if own == row or row == 0]
-                n[row] += np.bincount(np.concatenate([np.zeros(0, np.int64), *some]), minlength=BUCKETS + 1)
-        at = np.flatnonzero(n[0])
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(x[at]) for x in n)], names=["bucket", *names])
+            good = [f for f, label in zip(found, batch.column(1).to_pylist(), strict=True) if label == 1]
+            for n, some in ((raw, found), (target, good)):
+                n += np.bincount(np.concatenate([np.zeros(0, np.int64), *some]), minlength=BUCKETS + 1)
+        at = np.flatnonzero(raw)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(raw[at]), pa.array(target[at])], names=["bucket", "raw", "target"])
+
+    rows = labelled.select("text", F.col("label").cast("int").alias("label")).mapInArrow(count, "bucket int, raw long, target long")
+    return rows.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+
 
-    rows = labelled.select("text", "label", fold()).mapInArrow(count, "bucket int, " + ", ".join(f"{x} long" for x in names))
-    return rows.groupBy("bucket").agg(*[F.sum(x).alias(x) for x in names])
+def prior(raw: np.ndarray) -> np.ndarray:
+    """Pseudo-counts of the target model: with few target texts the ratio shrinks towards 0."""
+    return SMOOTHING * len(raw) * raw / raw.sum()
 
 
 def log_ratio(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
     """log p_target - log p_raw of every bucket; 0 where nothing was seen."""
     if not target.any():
         return np.zeros(BUCKETS + 1)
-    seen, prior = raw > 0, SMOOTHING * len(raw) * raw / raw.sum()  # few target texts: the ratio shrinks towards 0
+    seen, smooth = raw > 0, target + prior(raw)
     ratio = np.zeros(BUCKETS + 1)
-    ratio[seen] = np.log((target + prior)[seen] / (target + prior).sum()) - np.log(raw[seen] / raw.sum())
+    ratio[seen] = np.log(smooth[seen] / smooth.sum()) - np.log(raw[seen] / raw.sum())
     return ratio
 
 
+def weights_without(raw: np.ndarray, target: np.ndarray) -> Callable[[np.ndarray], float]:
+    """The log weight of a good document's n-grams by the target model of all other good documents."""
+    pseudo, good = prior(raw), target.sum()
+    total = pseudo.sum() + good
+    share = np.log(np.where(raw > 0, raw, 1) / raw.sum())
+
+    def weight(found: np.ndarray) -> float:
+        if len(found) >= good:  # no other has any n-gram
+            return 0.0
+        at, own = np.unique(found, return_counts=True)
+        return float(((np.log((target[at] - own + pseudo[at]) / (total - len(found))) - share[at]) * own).sum())
+
+    return weight
+
+
 def fit_ratios(labelled: DataFrame) -> np.ndarray:
-    """The ratio of all good documents last; before it one for each fold, of the good documents of the others."""
-    raw, target = np.zeros(BUCKETS + 1), np.zeros((FOLDS, BUCKETS + 1))
-    for bucket, n, *good in model_counts(labelled).collect():  # at most BUCKETS + 1 rows
-        raw[bucket], target[:, bucket] = n, good
-    return np.stack([log_ratio(raw, good) for good in (*(target.sum(0) - target), target.sum(0))])
+    """Three rows: the counts of all documents, those of the good ones, and the ratio."""
+    raw, target = np.zeros((2, BUCKETS + 1))
+    for r in model_counts(labelled).collect():  # at most BUCKETS + 1 rows
+        raw[r.bucket], target[r.bucket] = r.raw, r.target
+    return np.stack([raw, target, log_ratio(raw, target)])
 
 
 def fit_ratio(labelled: DataFrame) -> np.ndarray:
@@ -106,25 +119,24 @@ def fit_ratio(labelled: DataFrame) -> np.ndarray:
 def log_weights(labelled: DataFrame, ratios: np.ndarray) -> DataFrame:
     """doc_id, label, log_weight, unseen_weight, row_key of every row.
 
-    `ratios` are those of `fit_ratios`, or a single one. The unseen weight of a labelled row is by the ratio that its
-    fold has no part in; it is null for other rows.
+    `ratios` are what `fit_ratios` gives, or a ratio alone. The unseen weight of a row labelled good is by the model of
+    all other good ones (that of a ratio alone is its log weight); a bad one is in no model, so it is its log weight; it is
+    null for other rows.
     """
     shared = labelled.sparkSession.sparkContext.broadcast(np.atleast_2d(ratios))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("quality")
-        by_bucket = shared.value
+        *counts, ratio = shared.value
+        weight = weights_without(*counts) if counts and counts[1].any() else None
         for batch in batches:
-            found = features(batch.column(2).to_pylist())
-            got = [float(by_bucket[-1][f].sum()) for f in found]
-            unseen = [
-                None if label is None else float(by_bucket[min(part, len(by_bucket) - 1)][f].sum())
-                for f, label, part in zip(found, batch.column(1).to_pylist(), batch.column(4).to_pylist(), strict=True)
-            ]
+            found, labels = features(batch.column(2).to_pylist()), batch.column(1).to_pylist()
+            got = [float(ratio[f].sum()) for f in found]
+            unseen = [None if label is None else weight(f) if weight and label == 1 else own for f, label, own in zip(found, labels, got, strict=True)]
             weights = [pa.array(got, pa.float64()), pa.array(unseen, pa.float64())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *weights, batch.column(3)], names=["doc_id", "label", "log_weight", "unseen_weight", "row_key"])
 
-    rows = labelled.select("doc_id", F.col("label").cast("int").alias("label"), "text", row_key().alias("row_key"), fold())
+    rows = labelled.select("doc_id", F.col("label").cast("int").alias("label"), "text", row_key().alias("row_key"))
     return rows.mapInArrow(score, "doc_id long, label int, log_weight double, unseen_weight double, row_key binary")
 
 

@@ -59,3 +59,14 @@ def test_quality_stage_counts_every_label(spark):
     assert len(known) == labels.filter("quality IS NOT NULL").join(docs, "doc_id").count()
     level = quality.best_level(known.unseen_weight.to_numpy(float), known.label.to_numpy() == 1)
     assert P.filter_quality(spark, docs, SMALL).count() == (rows.log_weight >= level).sum()
+
+
+def test_quality_stage_with_labels_of_any_ids(spark, tmp_path):
+    """Labels teach and set the level whatever the hashes of their ids; none of those is a fold of its own."""
+    phrase = "IF(id % 3 > 0, 'the river runs along quiet fields ', 'click here to win a prize now ')"
+    docs = spark.range(400).selectExpr("id AS doc_id", f"concat(repeat({phrase}, 40), id) AS text")
+    for part in range(4):
+        some = docs.filter(f"crc32(CAST(doc_id AS string)) % 4 = {part}")
+        some.selectExpr("doc_id", "CAST(doc_id % 3 > 0 AS int) AS quality", "0 AS toxic").write.parquet(f"{tmp_path}/{part}/labels.parquet")
+        kept = {r.doc_id for r in P.filter_quality(spark, docs, f"{tmp_path}/{part}").collect()}
+        assert kept == {i for i in range(400) if i % 3 > 0}

@@ -93,3 +93,21 @@ def test_every_label_sets_the_level_and_teaches(spark, monkeypatch):
     docs = spark.range(400).selectExpr("id AS doc_id", "concat('w', id % 7, ' v', id) AS text", "1 AS label", "1 AS log_weight")
     labels = docs.selectExpr("doc_id", "CAST(doc_id % 3 > 0 AS int) AS quality", "0 AS toxic")
     assert Q.select(docs, labels).count() == 400 and seen == [400]
+
+
+def test_good_documents_go_by_all_other_good_ones(spark):
+    """The unseen weight is that of a model fitted again without the document's own label."""
+    rows = [(1, "a b a c", 1), (2, "a ! !", 0), (3, "b b d", 1), (4, None, 1), (5, "e f", None), (6, "a c e", 1), (6, "a c e", 1)]
+    fit = lambda some: Q.fit_ratio(spark.createDataFrame(some, "doc_id long, text string, label int").coalesce(1))
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    got = Q.log_weights(labelled, Q.fit_ratios(labelled)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        n, (_, text, label) = next((n, x) for n, x in enumerate(rows) if x[0] == r.doc_id)
+        if label is None:
+            assert r.unseen_weight is None
+        else:
+            without = fit([*rows[:n], (r.doc_id, text, None), *rows[n + 1 :]]) if label else fit(rows)
+            assert r.unseen_weight == pytest.approx(float(without[Q.features([text])[0]].sum()))
+    alone = spark.createDataFrame([(1, "a b", 1), (2, "c", 0), (3, "", 1)], "doc_id long, text string, label int")
+    assert {r.unseen_weight for r in Q.log_weights(alone, Q.fit_ratios(alone)).filter("label = 1").collect()} == {0.0}

@@ -1,4 +1,5 @@
 from ledgerlume.operators import national as N
+from ledgerlume.sources import layouts
 
 TEXT = """DANFSe v1.0
 EMITENTE DA NFS-e
@@ -67,3 +68,17 @@ def test_null_and_empty_texts(spark):
     for text in (None, "", "-"):
         row = one(spark, text)
         assert row["number"] is None and row["gross"] is None and len(row["missing"]) == 6
+
+
+def test_texts_of_a_small_file_are_made_and_read_in_many_tasks(spark):
+    texts = layouts.national_texts(spark, "/root/testdata/sf0.001")
+    assert texts.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_a_label_is_looked_up_once(spark):
+    docs = spark.createDataFrame([(1, TEXT)], "doc_id long, text string")
+    spark.conf.set("spark.sql.debug.maxToStringFields", 1000)
+    plan = N.national_invoices(docs)._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
+    for label, sections in ((N.AMOUNTS["ir"][1], 1), (N.PARTY["email"], 2), (N.TEXTS["iss_line"][1], 1)):
+        assert plan.count(f"(?iu){label}") == sections

@@ -8,7 +8,7 @@ from ledgerlume.operators import extraction as E
 from ledgerlume.plans.catalog import QUERIES
 
 
-@pytest.mark.parametrize("name", ["k10_document_scores", "m09_reprocessed", "k05_section_scores", "k03_field_confidence"])
+@pytest.mark.parametrize("name", ["k10_document_scores", "m09_reprocessed", "k05_section_scores", "k03_field_confidence", "k06_ocr_score"])
 def test_rules_and_comparison_share_one_pass(spark, name):
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("] parquet") == 1
